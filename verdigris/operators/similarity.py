@@ -1,0 +1,22 @@
+"""Shared n-grams between records and benchmark items."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, functions as F
+
+from verdigris.functions.text import ngrams, tokens
+
+
+def gram_table(df: DataFrame, id: str, text: str, n: int) -> DataFrame:
+    """(id, units, gram): one row per distinct n-gram of a record; ``units`` is how many the record has."""
+    words = df.select(F.col(id).alias("id"), tokens(F.col(text)).alias("words"))  # a projection of its own, so that texts are cut once
+    grams = words.select("id", ngrams(F.col("words"), n).alias("grams"))
+    return grams.select("id", F.size("grams").alias("units"), F.explode("grams").alias("gram"))
+
+
+def containment(records: DataFrame, benchmark: DataFrame, n: int = 13, *, id: str, text: str, bench_id: str, bench_text: str) -> DataFrame:
+    """(id, bench_id, shared, share) of every pair with a common n-gram; share is the larger of both containments."""
+    r, b = gram_table(records, id, text, n), gram_table(benchmark, bench_id, bench_text, n)
+    pairs = r.join(b.select(F.col("id").alias("bench"), F.col("units").alias("bench_units"), "gram"), "gram")
+    counted = pairs.groupBy("id", "bench").agg(F.count("*").alias("shared"), F.first("units").alias("u"), F.first("bench_units").alias("v"))
+    return counted.select(F.col("id").alias(id), F.col("bench").alias(bench_id), "shared", F.greatest(F.col("shared") / F.col("u"), F.col("shared") / F.col("v")).alias("share"))
