@@ -29,6 +29,8 @@ class Settings:
     buckets: int = 1 << 18
     dimensions: int = 4
     epochs: int = 5
+    #: Small samples are gone through more often, up to this many times, to take as many steps as large ones.
+    most_epochs: int = 60
     batch: int = 32
     rate: float = 0.05
     seed: int = 7
@@ -111,7 +113,8 @@ def train(texts: list[str], labels: np.ndarray, settings: Settings = Settings())
     weight = np.where(labels == 1, 0.5 / share, 0.5 / max(1e-6, 1 - share)).astype(np.float32) ** 0.75
     if len(set(labels.tolist())) < 2:
         return np.zeros(settings.buckets, np.float32), float(np.log((share + 1e-6) / (1 - share + 1e-6)))
-    for _ in range(settings.epochs):
+    large = settings.sample_rows * settings.epochs
+    for _ in range(max(settings.epochs, min(settings.most_epochs, large // max(1, len(texts))))):
         order = rng.permutation(len(texts))
         for at in range(0, len(order), settings.batch):
             rows = order[at : at + settings.batch]
