@@ -33,6 +33,32 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.expr(HELD_OUT).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from verdigris.llm import url_filter
+
+    return url_filter.judge_urls(_read(spark, sf_dir, "pages", "page_id", "url"), URL_RULES()).select("page_id", "host", "path", "rule", "verdict")
+
+
+def URL_RULES() -> list:
+    from verdigris.llm.url_filter import PATTERN_RULES, host_rule
+
+    return [host_rule("net/", "block"), host_rule("example.net/en/", "allow"), host_rule("example.com/de/", "block"), host_rule("org/fr/", "allow"), *PATTERN_RULES]
+
+
+URL_SQL = r"""
+with a as (select page_id, case when contains(url, '://') then url[instr(url, '://') + 3:] else '' end rest from pages),
+b as (select page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) path from a),
+c as (select *, case
+  when ('.' || host) like '%.example.net' and path like '/en/%' then 'example.net/en/'
+  when ('.' || host) like '%.example.com' and path like '/de/%' then 'example.com/de/'
+  when ('.' || host) like '%.org' and path like '/fr/%' then 'org/fr/'
+  when ('.' || host) like '%.net' and path like '/%' then 'net/' end rule from b)
+select page_id, host, path, rule, case when rule in ('example.net/en/', 'org/fr/') then 'allow' when rule is not null then 'block'
+  when regexp_matches(host, '(^|[.-])(adult|bets|betting|casino|escort|jackpot|phishing|pills|poker|porn|sex|spam|torrent|viagra|warez|xxx)([.-]|$)') then 'block' else 'allow' end verdict
+from c
+"""
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from verdigris.llm import simhash
 
@@ -45,5 +71,13 @@ def op8_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_read(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_toxicity, op6_simhash, op8_best_two_fit)}
-SQL: dict[str, str] = {}
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from verdigris.llm import secret_scan
+
+    docs = _read(spark, sf_dir, "documents", "doc_id", "text")
+    found = secret_scan.scan(docs, secret_scan.train_forest(secret_scan.labelled_findings(spark)))
+    return found.select("doc_id", "scan.candidates", F.size("scan.findings").alias("secrets"), F.transform("scan.findings", lambda x: F.struct(x["start"].alias("start"), x["length"].alias("length"))).alias("spans"), F.sha2("scan.redacted", 256).alias("redacted_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_toxicity, op3_url_filter, op6_simhash, op8_best_two_fit, op10_secret_scan)}
+SQL: dict[str, str] = {"op3_url_filter": URL_SQL}
