@@ -65,6 +65,12 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(_read(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op7_edit_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from verdigris.llm import edit_fingerprint
+
+    return edit_fingerprint.compare_edited(_read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op8_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     from verdigris.llm import packing
 
@@ -79,5 +85,5 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "scan.candidates", F.size("scan.findings").alias("secrets"), F.transform("scan.findings", lambda x: F.struct(x["start"].alias("start"), x["length"].alias("length"))).alias("spans"), F.sha2("scan.redacted", 256).alias("redacted_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_toxicity, op3_url_filter, op6_simhash, op8_best_two_fit, op10_secret_scan)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_toxicity, op3_url_filter, op6_simhash, op7_edit_fingerprint, op8_best_two_fit, op10_secret_scan)}
 SQL: dict[str, str] = {"op3_url_filter": URL_SQL}
