@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from verdigris.session import ship_package
-from verdigris.storage import materialise
+from verdigris.storage import materialise, scratch_path
 
 HELD_OUT = "pmod(crc32(cast(cast(doc_id as string) as binary)), 5) = 0"
 
@@ -59,6 +59,19 @@ from c
 """
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from verdigris.llm import warc
+
+    return warc.archive_and_read(_read(spark, sf_dir, "pages", "page_id", "html"))
+
+
+def op5_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from verdigris.llm import ann
+
+    rows = _read(spark, sf_dir, "embeddings", "vec_id", "embedding")
+    return ann.search(rows, rows.where("vec_id % 100 = 0"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from verdigris.llm import simhash
 
@@ -77,6 +90,23 @@ def op8_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_read(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three batches over all documents: inserts with the length-based estimate, their revision to the tokenizer's
+    counts (sent twice, as after a lost acknowledgement), and the deletion of exact copies of a smaller id's text."""
+    from verdigris.llm import bpe
+    from verdigris.llm.token_ledger import TokenLedger
+
+    docs = _read(spark, sf_dir, "documents", "doc_id", "text", "source", "lang").withColumn("version", F.lit("byte_bpe_50k"))
+    ledger = TokenLedger(spark, scratch_path(spark, "ledger"))
+    ledger.apply("001-arrivals", inserts=docs.withColumn("tokens", F.ceil(F.length(F.coalesce("text", F.lit(""))) / 3.2)))
+    exact = materialise(bpe.count_tokens(docs.select("doc_id", "version", "text"), "text", public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, "tokens").select("doc_id", "version", "tokens", F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha")), "counts")
+    for _ in range(2):
+        ledger.apply("002-exact-counts", revised=exact)
+    first = exact.groupBy("sha").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    ledger.apply("003-copies", deletes=exact.join(first, "sha").where("doc_id <> first").select("doc_id", "version"))
+    return ledger.totals()
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from verdigris.llm import secret_scan
 
@@ -85,5 +115,19 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "scan.candidates", F.size("scan.findings").alias("secrets"), F.transform("scan.findings", lambda x: F.struct(x["start"].alias("start"), x["length"].alias("length"))).alias("spans"), F.sha2("scan.redacted", 256).alias("redacted_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_toxicity, op3_url_filter, op6_simhash, op7_edit_fingerprint, op8_best_two_fit, op10_secret_scan)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_byte_bpe,
+        op2_toxicity,
+        op3_url_filter,
+        op4_warc,
+        op5_prefix_forest,
+        op6_simhash,
+        op7_edit_fingerprint,
+        op8_best_two_fit,
+        op9_token_counts,
+        op10_secret_scan,
+    )
+}
 SQL: dict[str, str] = {"op3_url_filter": URL_SQL}
