@@ -20,45 +20,57 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 #: Characters of text handled at once in a worker, pieces per DuckDB query, and pieces remembered by a worker.
-BATCH_CHARS, QUERY_PIECES, MEMORY_PIECES = 4_000_000, 40_000, 300_000
+BATCH_CHARS, QUERY_PIECES, MEMORY_PIECES = 4_000_000, 40_000, 700_000
 #: Bytes above which a piece is contracted by repeated queries over a replaced table: the recursion keeps every
 #: step's rows, which is quadratic in the piece's length.
 LONG_PIECE = 400
 
-_STEP = """
-select w, p, case when k = best then m else t end as t {extra} from (
-  select *, lag(k) over (partition by w order by p) as kp from (
-    select *, min(k) over (partition by w) as best from (
-      select q.*, m.m, m.m::bigint * 4294967296 + q.p as k
-      from (select *, lead(t) over (partition by w order by p) as t2 from {source}) q
-      left join merges m on m.l = q.t and m.r = q.t2))
-  where best is not null)
-where kp is distinct from best
+#: A row carries the position and token of its right neighbour, so that a step is joins and an aggregate by piece:
+#: find each piece's best pair (smallest rank, then leftmost), look up the row it swallows, and rewrite the piece's rows.
+ENCODE = """
+with recursive s(w, p, t, pn, tn, n) as (
+  select w, p, t, lead(p) over win, lead(t) over win, 0 from toks window win as (partition by w order by p)
+  union all (
+    with best as materialized (
+      select s.w, min(m.m::bigint * 4294967296 + s.p) as k, arg_min(s.pn, m.m::bigint * 4294967296 + s.p) as gone
+      from s join merges m on m.l = s.t and m.r = s.tn group by s.w),
+    merge as materialized (
+      select b.w, b.k & 4294967295 as at, (b.k >> 32)::int as m, b.gone, s.pn, s.tn from best b join s on s.w = b.w and s.p = b.gone)
+    select s.w, s.p, case when s.p = c.at then c.m else s.t end,
+           case when s.p = c.at then c.pn else s.pn end,
+           case when s.p = c.at then c.tn when s.pn = c.at then c.m else s.tn end, s.n + 1
+    from s join merge c on c.w = s.w where s.p <> c.gone))
+select s.w, s.p, s.t from s join (select w, max(n) as n from s group by w) z on z.w = s.w and z.n = s.n
 """
 
-ENCODE = (
-    "with recursive s(w, p, t, n) as (select w, p, t, 0 from toks union all "
-    + _STEP.format(source="s", extra=", n + 1")
-    + ") select w, list(t order by p) as ids from (select w, p, t from s qualify n = max(n) over (partition by w)) group by w order by w"
-)
-
-#: One contraction of every non-overlapping occurrence, from the left, of a long piece's minimum-rank pair. Pairs of
-#: that rank that touch form a run; every other one of a run is contracted.
+#: A step of a long piece: the occurrences of its minimum-rank pair, from the left and not overlapping (pairs that touch
+#: form a run; every other one of a run counts), are contracted up to the first whose result makes a pair of smaller
+#: rank with a neighbour. That one comes first in the next step, as it would contracting one pair at a time.
 LONG_STEP = """
-with pairs as (
+with pairs as materialized (
   select q.*, m.m from (select *, lead(t) over (partition by w order by p) as t2,
                                row_number() over (partition by w order by p) as i from {source}) q
   left join merges m on m.l = q.t and m.r = q.t2),
 hits as (
   select w, i, m, i - row_number() over (partition by w order by i) as run
-  from pairs where m is not null qualify m = min(m) over (partition by w)),
-taken as (
-  select w, i, m from hits qualify row_number() over (partition by w, m, run order by i) % 2 = 1)
+  from (select w, i, m from pairs where m is not null qualify m = min(m) over (partition by w))),
+touching as materialized (
+  select w, i, m from hits qualify row_number() over (partition by w, m, run order by i) % 2 = 1),
+beside as (
+  select k.w, k.i, k.m, case when b.i is null then a.t else k.m end as lt, c.t as rt from touching k
+  left join pairs a on a.w = k.w and a.i = k.i - 1 left join touching b on b.w = k.w and b.i = k.i - 2
+  left join pairs c on c.w = k.w and c.i = k.i + 2),
+halt as (
+  select z.w, min(z.i) as i from beside z left join merges x on x.l = z.lt and x.r = z.m left join merges y on y.l = z.m and y.r = z.rt
+  where x.m < z.m or y.m < z.m group by z.w),
+taken as materialized (
+  select k.w, k.i, k.m from touching k left join halt h on h.w = k.w where h.i is null or k.i <= h.i)
 select a.w, a.p, coalesce(b.m, a.t)::int as t from pairs a
 left join taken b on b.w = a.w and b.i = a.i left join taken c on c.w = a.w and c.i = a.i - 1 where c.i is null
 """
 
-DECODE = "select x.w, string_agg(v.hex, '' order by x.p) as hex from {source} x join vocab v on v.id = x.t group by x.w order by x.w"
+RENDER = "select w, count(*) as n, string_agg(t::varchar, ' ' order by p) as ids from coded group by w order by w"
+DECODE = "select x.w, string_agg(v.hex, '' order by x.p) as hex from coded x join vocab v on v.id = x.t group by x.w order by x.w"
 
 
 class BytePairCoder:
@@ -92,54 +104,47 @@ class BytePairCoder:
         raw = np.frombuffer(b"".join(pieces), np.uint8)
         return {"w": np.repeat(np.arange(len(pieces), dtype=np.int64), lengths), "p": np.arange(len(raw)) - np.repeat(np.cumsum(lengths) - lengths, lengths), "t": self.byte_ids[raw]}
 
-    def encode_pieces(self, pieces: list[bytes]) -> list[list[int]]:
-        out: list[list[int]] = [[]] * len(pieces)
-        short = [i for i, x in enumerate(pieces) if len(x) <= LONG_PIECE]
-        for at in range(0, len(short), QUERY_PIECES):
-            part = [i for i in short[at : at + QUERY_PIECES] if pieces[i]]
-            if part:
-                self._put("toks", self._rows([pieces[i] for i in part]))
-                for i, ids in zip(part, self.db.sql(ENCODE).to_arrow_table()["ids"].to_pylist(), strict=True):
-                    out[i] = ids
-        for i, x in enumerate(pieces):
-            if len(x) > LONG_PIECE:
-                out[i] = self._encode_long(x)
+    def _encode(self, pieces: list[bytes]) -> None:
+        """Fill table ``coded`` (w, p, t) with the ids of non-empty pieces; w is a piece's place in the list."""
+        rows = self._rows(pieces)
+        short = np.array([len(x) <= LONG_PIECE for x in pieces])
+        self._put("toks", {c: v[short[rows["w"]]] for c, v in rows.items()})
+        self.db.execute("create or replace table coded as " + ENCODE)
+        for i in np.flatnonzero(~short):
+            self._put("toks", {c: v[rows["w"] == i] for c, v in rows.items()})
+            self.db.execute("create or replace table state as select * from toks")
+            size, now = -1, len(pieces[i])
+            while size != now:
+                self.db.execute("create or replace table state as " + LONG_STEP.format(source="state"))
+                size, now = now, self.db.sql("select count(*) from state").fetchall()[0][0]
+            self.db.execute("insert into coded select w, p, t from state")
+
+    def _decoded(self, n: int) -> list[bytes]:
+        """The bytes of each of n id sequences in table ``coded``, by an ordered aggregation."""
+        found = self.db.sql(DECODE).to_arrow_table()
+        out = [b""] * n
+        for w, h in zip(found["w"].to_pylist(), found["hex"].to_pylist()):
+            out[w] = bytes.fromhex(h)
         return out
 
-    def _encode_long(self, piece: bytes) -> list[int]:
-        self._put("toks", self._rows([piece]))
-        self.db.execute("create or replace table state as select * from toks")
-        size = len(piece)
-        while True:
-            self.db.execute("create or replace table state as " + LONG_STEP.format(source="state"))
-            now = self.db.sql("select count(*) from state").fetchall()[0][0]
-            if now == size:
-                return [t for (t,) in self.db.sql("select t from state order by p").fetchall()]
-            size = now
-
     def decode(self, ids: list[list[int]]) -> list[bytes]:
-        """The bytes of each id list, by an ordered aggregation."""
         lengths = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
         flat = np.fromiter((t for x in ids for t in x), dtype=np.int32, count=int(lengths.sum()))
-        if not len(flat):
-            return [b""] * len(ids)
-        self._put("coded", {"w": np.repeat(np.arange(len(ids)), lengths), "p": np.arange(len(flat)), "t": flat})
-        found = self.db.sql(DECODE.format(source="coded")).to_arrow_table()
-        out = [b""] * len(ids)
-        for w, h in zip(found["w"].to_pylist(), found["hex"].to_pylist()):
-            out[w] = bytes.fromhex(h)
-        return out
+        self._put("given", {"w": np.repeat(np.arange(len(ids)), lengths), "p": np.arange(len(flat)), "t": flat})
+        self.db.execute("create or replace table coded as select * from given")
+        return self._decoded(len(ids))
 
     def learn(self, pieces: set[str]) -> None:
         """Encode the pieces that are not known yet and decode them from their ids."""
-        if len(self.known) > MEMORY_PIECES:
-            self.known.clear()
         new = sorted(p for p in pieces if p not in self.known)
+        if len(self.known) + len(new) > MEMORY_PIECES:
+            self.known.clear()
+            new = sorted(pieces)
         for at in range(0, len(new), QUERY_PIECES):
             part = new[at : at + QUERY_PIECES]
-            ids = self.encode_pieces([x.encode() for x in part])
-            for piece, own, raw in zip(part, ids, self.decode(ids), strict=True):
-                self.known[piece] = (" ".join(map(str, own)), len(own), raw)
+            self._encode([x.encode() for x in part])
+            shown = self.db.sql(RENDER).to_arrow_table()
+            self.known.update(zip(part, zip(shown["ids"].to_pylist(), shown["n"].to_pylist(), self._decoded(len(part))), strict=True))
 
     def digests(self, texts: list[str]) -> Iterator[tuple[int, str, str]]:
         """(number of ids, digest of the ids, digest of the decoded bytes) of each text."""
