@@ -1,40 +1,6 @@
-"""Every query of the engine's own operators, with its SQL."""
+"""Every query of the engine's own operators; each module enters its own."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
-
-from verdigris.operators import similarity
-
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-GRAMS_SQL = """
-with dw as (select doc_id, regexp_extract_all(lower(coalesce(text,'')), '[a-z0-9]+') w from documents),
-bw as (select item_id, regexp_extract_all(lower(coalesce(text,'')), '[a-z0-9]+') w from benchmark),
-dg as (select doc_id, list_distinct(list_transform(range(1, greatest(len(w)-{n}+2, 1)), lambda i: array_to_string(w[i:i+{n}-1], ' '))) g from dw),
-bg as (select item_id, list_distinct(list_transform(range(1, greatest(len(w)-{n}+2, 1)), lambda i: array_to_string(w[i:i+{n}-1], ' '))) g from bw),
-d as (select doc_id, len(g) u, unnest(g) gram from dg), b as (select item_id, len(g) v, unnest(g) gram from bg),
-pairs as (select doc_id, item_id, count(*) shared, greatest(count(*)/any_value(u), count(*)/any_value(v)) share from d join b using (gram) group by all)
-"""
-
-
-@query(GRAMS_SQL.format(n=13) + "select doc_id, item_id, shared, round(share, 6) share from pairs where share > 0.5")
-def near_dup_13gram(spark, sf_dir):
-    found = similarity.containment(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 13, id="doc_id", text="text", bench_id="item_id", bench_text="text")
-    return found.where("share > 0.5").withColumn("share", F.round("share", 6))
+from verdigris.plans import data_queries, evaluation_queries, relational_queries, similarity_queries  # noqa: F401
+from verdigris.plans.registry import QUERIES, SQL  # noqa: F401
