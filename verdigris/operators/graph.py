@@ -51,3 +51,26 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     linked = found.unionAll(roots.select("node", F.col("node").alias("component")))
     alone = nodes.join(linked.select("node"), "node", "left_anti")
     return linked.unionAll(alone.select("node", F.col("node").alias("component")))
+
+
+def family_roots(df: DataFrame, id: str, parent: str, max_rounds: int = 40) -> DataFrame:
+    """(id, root, depth): the end of each row's chain of parents, by pointer doubling, so a chain of n parents takes log n rounds.
+
+    A parent that is no row ends a chain. Rows on a cycle, and those that lead into one, get a null root."""
+    rows = df.select(F.col(id).alias("id"), F.col(parent).alias("up")).where("id is not null")
+    known = rows.select(F.col("id").alias("k")).distinct()
+    start = rows.join(known, F.col("up") == F.col("k"), "left").select("id", F.coalesce("k", "id").alias("at"), F.col("k").isNotNull().cast("long").alias("depth"))
+    current = materialise(start, "roots")
+    for _ in range(max_rounds):
+        ahead = current.select(F.col("id").alias("k"), F.col("at").alias("at2"), F.col("depth").alias("d2"))
+        following = materialise(current.join(ahead, F.col("at") == F.col("k")).select("id", F.col("at2").alias("at"), (F.col("depth") + F.col("d2")).alias("depth"), (F.col("at2") != F.col("at")).alias("moved")), "roots")
+        moved = following.where("moved").limit(1).count()
+        discard(current)
+        current = following.select("id", "at", "depth")
+        current._verdigris_path = following._verdigris_path
+        if not moved:
+            return current.select(F.col("id").alias(id), F.col("at").alias("root"), "depth")
+        if following.agg(F.max("depth")).first()[0] > (1 << 40):
+            break
+    looping = current.join(start.where("at = id").select(F.col("id").alias("k")), F.col("at") == F.col("k"), "left")
+    return looping.select(F.col("id").alias(id), F.col("k").alias("root"), F.when(F.col("k").isNotNull(), F.col("depth")).alias("depth"))

@@ -1,17 +1,23 @@
-"""Shared n-grams between records and benchmark items."""
+"""Shared n-grams between records and benchmark items, and between records of different sources."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from verdigris.functions.text import ngrams, tokens
 
+#: An n-gram in more records than this is too common to say anything; of the pair search only, see ``near_duplicate_pairs``.
+MOST_RECORDS = 200
+
 
-def gram_table(df: DataFrame, id: str, text: str, n: int) -> DataFrame:
+def gram_table(df: DataFrame, id: str, text: str, n: int, *extra: str) -> DataFrame:
     """(id, units, gram): one row per distinct n-gram of a record; ``units`` is how many the record has."""
-    words = df.select(F.col(id).alias("id"), tokens(F.col(text)).alias("words"))  # a projection of its own, so that texts are cut once
-    grams = words.select("id", ngrams(F.col("words"), n).alias("grams"))
-    return grams.select("id", F.size("grams").alias("units"), F.explode("grams").alias("gram"))
+    words = df.select(F.col(id).alias("id"), *extra, tokens(F.col(text)).alias("words"))  # a projection of its own, so that texts are cut once
+    grams = words.select("id", *extra, ngrams(F.col("words"), n).alias("grams"))
+    # outer, then filtered: the filter that a plain explode infers would repeat the whole expression at the scan
+    return grams.select("id", *extra, F.size("grams").alias("units"), F.explode_outer("grams").alias("gram")).where("gram is not null")
 
 
 def containment(records: DataFrame, benchmark: DataFrame, n: int = 13, *, id: str, text: str, bench_id: str, bench_text: str) -> DataFrame:
@@ -20,3 +26,118 @@ def containment(records: DataFrame, benchmark: DataFrame, n: int = 13, *, id: st
     pairs = r.join(b.select(F.col("id").alias("bench"), F.col("units").alias("bench_units"), "gram"), "gram")
     counted = pairs.groupBy("id", "bench").agg(F.count("*").alias("shared"), F.first("units").alias("u"), F.first("bench_units").alias("v"))
     return counted.select(F.col("id").alias(id), F.col("bench").alias(bench_id), "shared", F.greatest(F.col("shared") / F.col("u"), F.col("shared") / F.col("v")).alias("share"))
+
+
+def sequence_match(records: DataFrame, benchmark: DataFrame, least: int, *, id: str, text: str, bench_id: str, bench_text: str) -> DataFrame:
+    """(id, bench_id): records whose whole token sequence, of at least ``least`` tokens, is that of an item."""
+    def key(df: DataFrame, name: str, column: str) -> DataFrame:
+        return df.select(F.col(name), tokens(F.col(column)).alias("w")).where(F.size("w") >= least).select(name, F.sha2(F.array_join("w", " "), 256).alias("key"))
+
+    return key(records, id, text).join(key(benchmark, bench_id, bench_text), "key").select(id, bench_id)
+
+
+def line_match(records: DataFrame, benchmark: DataFrame, least: int = 6, template_rows: int = 50, *, id: str, text: str, bench_id: str, bench_text: str) -> DataFrame:
+    """(id, bench_id, template): records with a line that is a whole line of an item, of at least ``least`` tokens. A line that many
+    items hold is a template."""
+    def lines(df: DataFrame, name: str, column: str) -> DataFrame:
+        cut = df.select(F.col(name), F.explode(F.split(F.coalesce(column, F.lit("")), "\n")).alias("line")).select(name, tokens(F.col("line")).alias("w"))
+        return cut.where(F.size("w") >= least).select(name, F.sha2(F.array_join("w", " "), 256).alias("key")).distinct()
+
+    items = lines(benchmark, bench_id, bench_text)
+    often = items.groupBy("key").agg((F.count("*") >= template_rows).alias("template"))
+    return lines(records, id, text).join(items.join(often, "key"), "key").groupBy(id, bench_id).agg(F.bool_and("template").alias("template"))
+
+
+def decontaminate(records: DataFrame, benchmark: DataFrame, n: int = 13, *, id: str, text: str, bench_id: str, bench_text: str) -> DataFrame:
+    """(id, verdict, reasons): ``drop`` where a near-duplicate, an exact line that is no template or an exact text is found,
+    ``flag`` for any other shared n-gram or template, else ``keep``."""
+    names = {"id": id, "text": text, "bench_id": bench_id, "bench_text": bench_text}
+    grams = containment(records, benchmark, n, **names).select(id, F.when(F.col("share") > 0.5, "near_dup").otherwise("shared_gram").alias("reason"))
+    lines = line_match(records, benchmark, **names).select(id, F.when(F.col("template"), "template").otherwise("field").alias("reason"))
+    whole = sequence_match(records, benchmark, 3, **names).select(id, F.lit("state").alias("reason"))
+    found = grams.unionAll(lines).unionAll(whole).groupBy(id).agg(F.sort_array(F.collect_set("reason")).alias("reasons"))
+    verdict = F.when(F.col("reasons").isNull(), "keep").when(F.arrays_overlap("reasons", F.array(F.lit("near_dup"), F.lit("field"), F.lit("state"))), "drop").otherwise("flag")
+    return records.select(id).join(found, id, "left").select(id, verdict.alias("verdict"), F.coalesce(F.array_join("reasons", ","), F.lit("")).alias("reasons"))
+
+
+def near_duplicate_pairs(df: DataFrame, n: int = 13, *, id: str, text: str, source: str, least: float = 0.5, most_records: int = MOST_RECORDS) -> DataFrame:
+    """(a, b, shared, share), a < b, of records of different sources that share more than ``least`` of the distinct n-grams of either.
+
+    N-grams in more than ``most_records`` records are part of the definition's cut: they don't count as shared."""
+    grams = gram_table(df, id, text, n, source)
+    counted = grams.groupBy("gram").agg(F.count("*").alias("df"), F.min(source).alias("lo"), F.max(source).alias("hi")).where((F.col("df") >= 2) & (F.col("df") <= most_records) & (F.col("lo") != F.col("hi")))
+    kept = grams.join(counted.select("gram"), "gram")
+    a = kept.select("gram", F.col("id").alias("a"), F.col("units").alias("ua"), F.col(source).alias("sa"))
+    b = kept.select("gram", F.col("id").alias("b"), F.col("units").alias("ub"), F.col(source).alias("sb"))
+    pairs = a.join(b, "gram").where((F.col("a") < F.col("b")) & (F.col("sa") != F.col("sb")))
+    shared = pairs.groupBy("a", "b").agg(F.count("*").alias("shared"), F.first("ua").alias("ua"), F.first("ub").alias("ub"))
+    share = F.greatest(F.col("shared") / F.col("ua"), F.col("shared") / F.col("ub"))
+    return shared.select("a", "b", "shared", share.alias("share")).where(F.col("share") > least)
+
+
+def survivors(records: DataFrame, pairs: DataFrame, id: str, score: Column, rounds: int = 50) -> DataFrame:
+    """``records`` without the losers of their pairs. Pairs are settled by descending share; the record of smaller score loses, unless
+    the winner has lost before (a loser cannot eliminate). Solved in rounds: a pair is settled once no undecided pair that ranks before it
+    touches its winner, so each round settles many pairs; the pair table is written between rounds."""
+    from verdigris.storage import discard, materialise
+
+    scored = records.select(F.col(id).alias("x"), score.alias("s"))
+    p = pairs.join(scored.withColumnsRenamed({"x": "a", "s": "s_a"}), "a").join(scored.withColumnsRenamed({"x": "b", "s": "s_b"}), "b")
+    a_wins = (F.col("s_a") > F.col("s_b")) | ((F.col("s_a") == F.col("s_b")) & (F.col("a") < F.col("b")))
+    w, loser = F.when(a_wins, F.col("a")).otherwise(F.col("b")), F.when(a_wins, F.col("b")).otherwise(F.col("a"))
+    left = materialise(p.select(w.alias("w"), loser.alias("l"), F.struct((-F.col("share")).alias("r"), F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).alias("rank")), "pairs")
+    lost = None
+    for _ in range(rounds):
+        # the first undecided pair in which a record would lose: its winner's fate is open before that
+        threat = left.groupBy("l").agg(F.min("rank").alias("first"))
+        marked = left.join(threat.select(F.col("l").alias("w"), "first"), "w", "left")
+        settled = marked.where(F.col("first").isNull() | (F.col("first") > F.col("rank")))
+        out = materialise(settled.select("l").distinct(), "lost")
+        if out.isEmpty():
+            break
+        lost = out if lost is None else lost.unionAll(out)
+        # pairs whose loser is lost are settled; those whose winner was lost by an earlier pair can't eliminate
+        gone = out.select("l")
+        following = left.join(gone, "l", "left_anti").join(gone.select(F.col("l").alias("w")), "w", "left_anti")
+        following = materialise(following.select("w", "l", "rank"), "pairs")
+        discard(left)
+        left = following
+    return records if lost is None else records.join(lost.select(F.col("l").alias(id)), id, "left_anti")
+
+
+def earlier_duplicates(df: DataFrame, n: int = 8, least: int = 5, *, id: str, text: str) -> DataFrame:
+    """(id, earlier, shared): each record with every earlier one (smaller id) with which it shares at least ``least`` n-grams.
+
+    The smallest id of a gram's holders stands for exact copies: records are first reduced to distinct gram sets."""
+    grams = gram_table(df, id, text, n)
+    many = grams.groupBy("gram").agg(F.count("*").alias("m")).where("m > 1").select("gram")
+    kept = grams.join(many, "gram").select("gram", "id")
+    pairs = kept.join(kept.select("gram", F.col("id").alias("earlier")), "gram").where("earlier < id")
+    return pairs.groupBy(F.col("id").alias(id), "earlier").agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
+
+
+def hamming_pairs(df: DataFrame, id: str, code: str, bits: int = 6, blocks: int = 8) -> DataFrame:
+    """(a, b, distance), a < b, of 64-bit codes that differ in at most ``bits`` bits. With more blocks than differing bits, a pair
+    agrees on one whole block; rows meet by (block, value), and a pair is kept at its first such block only."""
+    if bits >= blocks:
+        raise ValueError("needs more blocks than differing bits")
+    width = 64 // blocks
+    at = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.shiftrightunsigned(F.col(code), i * width).bitwiseAND((1 << width) - 1).alias("v")) for i in range(blocks)]))
+    dealt = df.select(F.col(id).alias("id"), F.col(code).alias("c"), at.alias("k")).select("id", "c", "k.i", "k.v")
+    other = dealt.select(F.col("id").alias("b"), F.col("c").alias("cb"), "i", "v")
+    met = dealt.withColumnsRenamed({"id": "a", "c": "ca"}).join(other, ["i", "v"]).where("a < b")
+    x = F.col("ca").bitwiseXOR(F.col("cb"))
+    first = reduce(lambda acc, i: F.when(F.shiftrightunsigned(x, i * width).bitwiseAND((1 << width) - 1) == 0, F.lit(i)).otherwise(acc), range(blocks - 1, -1, -1), F.lit(-1))
+    return met.where((F.bit_count(x) <= bits) & (first == F.col("i"))).select("a", "b", F.bit_count(x).alias("distance"))
+
+
+def partition_priority(df: DataFrame, key: Column, priority: Column) -> DataFrame:
+    """Rows of the highest priority among those with their key. The maximum is a partial aggregate and joins back by key."""
+    keyed = df.withColumns({"__k": key, "__p": priority})
+    top = keyed.groupBy("__k").agg(F.max("__p").alias("__m"))
+    return keyed.join(top, "__k").where("__p = __m").drop("__k", "__p", "__m")
+
+
+def first_of(df: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
+    """The first row of each key. The rank limit is applied before the exchange as well, so a frequent key moves a row a task."""
+    return df.withColumn("__n", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where("__n = 1").drop("__n")

@@ -22,7 +22,8 @@ def as_of(left: DataFrame, right: DataFrame, key: str, at: str, quoted: str, val
 def step_integral(df: DataFrame, pool: str, at: str, level: str, until: Column) -> DataFrame:
     """pool, hours: the integral of a level that holds from each event to the next, the last one until a given moment."""
     w = Window.partitionBy(pool).orderBy(at)
-    seconds = F.coalesce(F.lead(F.col(at).cast("double")).over(w), until.cast("double")) - F.col(at).cast("double")
+    now = F.col(at).cast("timestamp").cast("double")
+    seconds = F.coalesce(F.lead(now).over(w), until.cast("timestamp").cast("double")) - now
     return df.withColumn("__s", F.greatest(seconds, F.lit(0.0)) * F.col(level)).groupBy(pool).agg((F.sum("__s") / 3600).alias("hours"))
 
 

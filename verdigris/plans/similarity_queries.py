@@ -1 +1,184 @@
-"""Queries."""
+"""Decontamination, leakage, duplicates and evidence clusters over documents, benchmark and conversations."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from verdigris.functions.text import state_key
+from verdigris.operators import graph, similarity
+from verdigris.plans.registry import query, table
+
+D = {"id": "doc_id", "text": "text"}
+DB = D | {"bench_id": "item_id", "bench_text": "text"}
+
+TOKENS = "regexp_extract_all(lower(coalesce({x}, '')), '[a-z0-9]+')"
+GRAMS = "list_distinct(list_transform(range(1, greatest(len(w) - {n} + 2, 1)), lambda i: array_to_string(w[i:i+{n}-1], ' ')))"
+
+
+def grams_sql(n: int) -> str:
+    t = TOKENS.format(x="text")
+    g = GRAMS.format(n=n)
+    return f"""with dw as (select doc_id, source, {t} w from documents), bw as (select item_id, {t} w from benchmark),
+dg as (select doc_id, source, {g} g from dw), bg as (select item_id, {g} g from bw),
+d as (select doc_id, source, len(g) u, unnest(g) gram from dg), b as (select item_id, len(g) v, unnest(g) gram from bg),
+pairs as (select doc_id, item_id, count(*) shared, greatest(count(*) / any_value(u), count(*) / any_value(v)) share from d join b using (gram) group by all)"""
+
+
+@query(grams_sql(13) + " select doc_id, item_id, shared, round(share, 6) share from pairs where share > 0.5")
+def near_dup_13gram(spark, sf_dir):
+    found = similarity.containment(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 13, **DB)
+    return found.where("share > 0.5").withColumn("share", F.round("share", 6))
+
+
+LINES = f"""dl as (select doc_id, {TOKENS.format(x='l')} w from (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) l from documents)),
+bl as (select item_id, {TOKENS.format(x='l')} w from (select item_id, unnest(string_split(coalesce(text, ''), chr(10))) l from benchmark)),
+lm as (select distinct doc_id, item_id from dl join bl using (w) where len(w) >= 6), sm as (select distinct doc_id, item_id from dw join bw using (w) where len(w) >= 3)"""
+
+
+@query(f"with dw as (select doc_id, {TOKENS.format(x='text')} w from documents), bw as (select item_id, {TOKENS.format(x='text')} w from benchmark), {LINES} select doc_id, item_id, false template from lm")
+def exact_field_match(spark, sf_dir):
+    return similarity.line_match(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), **DB)
+
+
+@query(f"with dw as (select doc_id, {TOKENS.format(x='text')} w from documents), bw as (select item_id, {TOKENS.format(x='text')} w from benchmark), {LINES} select doc_id, item_id from sm")
+def exact_state_match(spark, sf_dir):
+    return similarity.sequence_match(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 3, **DB)
+
+
+@query(
+    grams_sql(13)
+    + f""", {LINES}, r as (select doc_id, case when share > 0.5 then 'near_dup' else 'shared_gram' end reason from pairs union select doc_id, 'field' from lm union select doc_id, 'state' from sm),
+g as (select doc_id, list_sort(list(distinct reason)) rs from r group by doc_id)
+select doc_id, case when rs is null then 'keep' when list_has_any(rs, ['near_dup', 'field', 'state']) then 'drop' else 'flag' end verdict, coalesce(array_to_string(rs, ','), '') reasons from documents left join g using (doc_id)"""
+)
+def decontam_verdict(spark, sf_dir):
+    return similarity.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 13, **DB)
+
+
+@query(grams_sql(8) + " select doc_id, count(distinct gram) shared from d where gram in (select gram from b) group by doc_id having count(distinct gram) >= 2")
+def ngram8_lint(spark, sf_dir):
+    grams = similarity.gram_table(table(spark, sf_dir, "documents"), "doc_id", "text", 8)
+    known = similarity.gram_table(table(spark, sf_dir, "benchmark"), "item_id", "text", 8).select("gram").distinct()
+    return grams.join(known, "gram", "left_semi").groupBy(F.col("id").alias("doc_id")).agg(F.count("*").alias("shared")).where("shared >= 2")
+
+
+@query(
+    grams_sql(13)
+    + """ select lang, count(*) records, count(distinct p.doc_id) any_gram, count(distinct case when share > 0.5 then p.doc_id end) near_dup
+from (select doc_id, lang from documents) x left join pairs p using (doc_id) group by lang""".replace("count(*) records", "count(distinct x.doc_id) records")
+)
+def contamination_by_task(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    best = similarity.containment(docs, table(spark, sf_dir, "benchmark"), 13, **DB).groupBy("doc_id").agg(F.max("share").alias("share"))
+    joined = docs.select("doc_id", "lang").join(best, "doc_id", "left")
+    return joined.groupBy("lang").agg(F.count("*").alias("records"), F.count("share").alias("any_gram"), F.count_if(F.col("share") > 0.5).alias("near_dup"))
+
+
+PAIRS = grams_sql(13) + """, c as (select gram from d group by gram having count(*) between 2 and 200 and count(distinct source) > 1), k as (select d.* from d join c using (gram)),
+pp as (select x.doc_id a, y.doc_id b, count(*) shared, greatest(count(*) / any_value(x.u), count(*) / any_value(y.u)) share from k x join k y on x.gram = y.gram and x.doc_id < y.doc_id and x.source <> y.source group by all)"""
+
+
+@query(PAIRS + " select a, b, shared, round(share, 6) share from pp where share > 0.5")
+def cross_source_near_dup_pairs(spark, sf_dir):
+    return similarity.near_duplicate_pairs(table(spark, sf_dir, "documents"), **D, source="source").withColumn("share", F.round("share", 6))
+
+
+@query()
+def cross_source_dedup_survivors(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    pairs = similarity.near_duplicate_pairs(docs, **D, source="source")
+    return similarity.survivors(docs.select("doc_id", "source", "lang", "n_chars"), pairs, "doc_id", F.col("n_chars"))
+
+
+@query(grams_sql(8) + " select x.doc_id, y.doc_id earlier, count(*) shared from d x join d y on x.gram = y.gram and y.doc_id < x.doc_id group by all having count(*) >= 5")
+def earlier_doc_8gram_dups(spark, sf_dir):
+    return similarity.earlier_duplicates(table(spark, sf_dir, "documents"), 8, 5, **D)
+
+
+CODE_SQL = "('0x' || sha256(left(text, 40))[1:15])::bigint"
+
+
+@query(f"with c as (select doc_id, {CODE_SQL} code from documents) select x.doc_id a, y.doc_id b, bit_count(xor(x.code, y.code))::int distance from c x join c y on x.doc_id < y.doc_id and bit_count(xor(x.code, y.code)) <= 6")
+def hamming_pairs(spark, sf_dir):
+    """Codes are 60 bits of a digest of the text's beginning, in place of an image's difference hash."""
+    code = F.conv(F.substring(F.sha2(F.substring("text", 1, 40), 256), 1, 15), 16, 10).cast("bigint")
+    return similarity.hamming_pairs(table(spark, sf_dir, "documents").select("doc_id", code.alias("code")), "doc_id", "code", 6)
+
+
+KEY = "sha256(trim(regexp_replace(lower(coalesce(text, '')), '\\s+', ' ', 'g')))"
+
+
+@query(f"with k as (select doc_id, source, {KEY} key, case source when 'src0' then 3 when 'src1' then 2 else 1 end p from documents) select doc_id, source from k qualify p = max(p) over (partition by key)")
+def dedup_by_partition_priority(spark, sf_dir):
+    priority = F.when(F.col("source") == "src0", 3).when(F.col("source") == "src1", 2).otherwise(1)
+    return similarity.partition_priority(table(spark, sf_dir, "documents"), state_key(F.col("text")), priority).select("doc_id", "source")
+
+
+@query(f"with k as (select doc_id, {KEY} key from documents) select min(doc_id) doc_id, key from k group by key")
+def first_occurrence(spark, sf_dir):
+    keyed = table(spark, sf_dir, "documents").select("doc_id", state_key(F.col("text")).alias("key"))
+    return similarity.first_of(keyed, ["key"], [F.col("doc_id")])
+
+
+@query("select user_id, event_id, event_type, value from events qualify row_number() over (partition by user_id order by ts desc, event_id desc) = 1")
+def latest_row(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "value", "ts")
+    return similarity.first_of(rows, ["user_id"], [F.desc("ts"), F.desc("event_id")]).drop("ts")
+
+
+@query(
+    f"with recursive k as (select doc_id, {KEY} key from documents), e as (select x.doc_id a, y.doc_id b from k x join k y using (key)), "
+    "r(doc_id, c) as (select doc_id, doc_id from documents union select e.b, r.c from r join e on e.a = r.doc_id) select doc_id, min(c) cluster_id from r group by doc_id"
+)
+def evidence_clusters(spark, sf_dir):
+    """Records and the evidence they share form a bipartite graph; each record's cluster is the smallest record it reaches."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", state_key(F.col("text")).alias("key"))
+    anchor = docs.groupBy("key").agg(F.min("doc_id").alias("a"))
+    edges = docs.join(anchor, "key").select("doc_id", "a")
+    return graph.connected_components(edges, "doc_id", "a").withColumnsRenamed({"node": "doc_id", "component": "cluster_id"})
+
+
+@query(
+    "with recursive p as (select conv_id, case when conv_id % 7 = 0 then null else conv_id - 7 end parent from (select distinct conv_id from conversations)), "
+    "r(conv_id, root, depth) as (select conv_id, conv_id, 0 from p where parent is null or parent < 0 or parent not in (select conv_id from p) union all select p.conv_id, r.root, r.depth + 1 from p join r on p.parent = r.conv_id) "
+    "select conv_id, root, depth from r"
+)
+def family_roots(spark, sf_dir):
+    """Chains of parents: a conversation's parent is the one seven before it, unless its id is divisible by seven."""
+    convs = table(spark, sf_dir, "conversations").select("conv_id").distinct()
+    parents = convs.withColumn("parent", F.when(F.col("conv_id") % 7 != 0, F.col("conv_id") - 7))
+    return graph.family_roots(parents, "conv_id", "parent")
+
+
+@query(
+    """with t as (select conv_id, turn, trim(regexp_replace(lower(coalesce(text, '')), '\\s+', ' ', 'g')) k from conversations),
+f as (select conv_id, min(turn) first_turn from t group by 1), o as (select t.conv_id, k from t join f on t.conv_id = f.conv_id and turn = first_turn)
+select t.conv_id, count(*) variants, count_if(t.k = o.k) same, count_if(t.k <> o.k) changed from t join f using (conv_id) join o using (conv_id) where turn > first_turn group by 1"""
+)
+def contrast_metrics(spark, sf_dir):
+    """Original (first turn) against its variants (later turns) of a set."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.trim(F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), r"\s+", " ")).alias("k"))
+    first = rows.groupBy("conv_id").agg(F.min(F.struct("turn", "k")).alias("o"))
+    joined = rows.join(first, "conv_id").where("turn > o.turn")
+    return joined.groupBy("conv_id").agg(F.count("*").alias("variants"), F.count_if(F.col("k") == F.col("o.k")).alias("same"), F.count_if(F.col("k") != F.col("o.k")).alias("changed"))
+
+
+@query(
+    """with c as (select conv_id, role, count(*) m from conversations group by all), b as (select conv_id, sum(m) n, max(m) best, count(*) kinds from c group by 1)
+select count(*) sets, round(sum(best) / sum(n), 6) baseline, count_if(kinds = 1) solvable from b"""
+)
+def constant_baseline(spark, sf_dir):
+    """The best constant answer per set, the label being the role."""
+    c = table(spark, sf_dir, "conversations").groupBy("conv_id", "role").agg(F.count("*").alias("m"))
+    b = c.groupBy("conv_id").agg(F.sum("m").alias("n"), F.max("m").alias("best"), F.count("*").alias("kinds"))
+    return b.agg(F.count("*").alias("sets"), F.round(F.sum("best") / F.sum("n"), 6).alias("baseline"), F.count_if(F.col("kinds") == 1).alias("solvable"))
+
+
+@query(
+    "with c as (select role, length(text) % 5 g, conv_id % 2 v, count(*) m from conversations group by all), t as (select role, g, sum(m) n, sum(m * (m - 1) / 2) s from c group by all) select role, g, (n * (n - 1) / 2)::bigint pairs, (n * (n - 1) / 2 - s)::bigint opposite from t"
+)
+def sibling_pairs(spark, sf_dir):
+    """Pairs of rows of one question and how many have opposite labels, from counts rather than from the pairs."""
+    c = table(spark, sf_dir, "conversations").groupBy("role", (F.length("text") % 5).alias("g"), (F.col("conv_id") % 2).alias("v")).agg(F.count("*").alias("m"))
+    t = c.groupBy("role", "g").agg(F.sum("m").alias("n"), F.sum(F.expr("m * (m - 1) div 2")).alias("s"))
+    return t.select("role", "g", F.expr("n * (n - 1) div 2").alias("pairs"), F.expr("n * (n - 1) div 2 - s").alias("opposite"))
