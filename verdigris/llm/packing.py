@@ -13,17 +13,19 @@ empty table gives an empty plan and an empty result.
 
 from __future__ import annotations
 
+import struct
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, Window
 
 from verdigris.storage import materialise
 
-#: White-space separated chunks remembered by a worker with their ids, and parts into which a length's pieces are dealt for numbering.
-MEMORY_CHUNKS, PARTS = 600_000, 64
+#: White-space separated chunks remembered by a worker with their ids, and pieces of a length numbered in one task, about.
+MEMORY_CHUNKS, PART_ROWS = 1_600_000, 1_000_000
 
 
 class ChunkTokenizer:
@@ -37,19 +39,43 @@ class ChunkTokenizer:
         self.tokenizer.encode_special_tokens = True
         self.known: dict[bytes, bytes] = {}
 
-    def encode(self, text: str) -> bytes:
-        """The ids as little-endian unsigned 32-bit integers."""
-        chunks = text.encode().split()
-        try:
-            return b"".join([self.known[c] for c in chunks])
-        except KeyError:
-            if len(self.known) > MEMORY_CHUNKS:
-                self.known.clear()
-            new = list({c for c in chunks if c not in self.known})
-            for c, e in zip(new, self.tokenizer.encode_batch([c.decode() for c in new], add_special_tokens=False), strict=True):
-                self.known[c] = np.array(e.ids, dtype="<u4").tobytes()
-            return b"".join([self.known[c] for c in chunks])
-
+    def encode(self, texts: list[bytes]) -> Iterator[bytes]:
+        """The ids of each UTF-8 text as little-endian unsigned 32-bit integers."""
+        for at in range(0, len(texts), PORTION):
+            cut = [x.split() for x in texts[at : at + PORTION]]
+            chunks: set[bytes] = set()
+            for x in cut:
+                chunks.update(x)
+            self._learn(chunks)
+            find = self.known.__getitem__
+            for x in cut:
+                yield b"".join(map(find, x))
+
+    def _learn(self, chunks: set[bytes]) -> None:
+        """Remember the ids of chunks. An ASCII chunk is looked up in lower case and, as a letter and a comma or full
+        stop never share a token, without that mark; so fewer distinct ones are tokenised."""
+        known = self.known
+        new = [c for c in chunks if c not in known]
+        if len(known) + len(new) > MEMORY_CHUNKS:
+            known.clear()
+            new = list(chunks)
+        cores = {c: self._core(c) for c in new}
+        ask = list({core for core, _ in cores.values() if core not in known} | {mark for _, mark in cores.values() if mark and mark not in known})
+        for c, e in zip(ask, self.tokenizer.encode_batch_fast([c.decode() for c in ask], add_special_tokens=False), strict=True):
+            known[c] = struct.pack(f"<{len(e)}I", *e.ids)
+        for c, (core, mark) in cores.items():
+            known[c] = known[core] + known[mark] if mark else known[core]
+
+    @staticmethod
+    def _core(chunk: bytes) -> tuple[bytes, bytes]:
+        if not chunk.isascii():
+            return chunk, b""
+        low = chunk.lower()
+        return (low[:-1], low[-1:]) if len(low) > 1 and low[-1] in b".," and 97 <= low[-2] <= 122 else (low, b"")
+
+
+#: Texts cut at once in a worker.
+PORTION = 500
 
 _TOKENIZERS: dict[str, ChunkTokenizer] = {}
 
@@ -67,19 +93,20 @@ def pieces(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 1, id
     """doc_id, piece, start, length, ids_crc32 for each piece of at most ``capacity`` tokens; only longer documents are cut."""
     end = np.array([end_id], dtype="<u4").tobytes()
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for doc, x in zip(batch.doc_id.array, batch.text.array):
-                ids = tokenizer(path).encode(x or "") + end
+            rows: list[tuple] = []
+            texts = [b"" if x is None else x for x in batch.column("text").to_pylist()]
+            for doc, ids in zip(batch.column("doc_id").to_pylist(), tokenizer(path).encode(texts)):
+                ids += end
                 for at in range(0, len(ids), 4 * capacity):
                     part = ids[at : at + 4 * capacity]
                     rows.append((doc, at // (4 * capacity), at // 4, len(part) // 4, zlib.crc32(part)))
-            out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
-            yield out.astype({"doc_id": "Int64"})
+            columns = zip(*rows) if rows else ((),) * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    source = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return source.mapInPandas(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    source = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
+    return source.mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def plan(histogram: dict[int, int], capacity: int) -> list[tuple[list[int], int]]:
@@ -154,9 +181,10 @@ def slots(recipes: list[tuple[list[int], int]]) -> dict[int, np.ndarray]:
 def pack(cut: DataFrame, capacity: int = 4096) -> DataFrame:
     """``cut`` (see ``pieces``; read more than once, so a written table) with sequence_id and offset."""
     spark = cut.sparkSession
-    part = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(PARTS)).cast("int")
-    sizes = cut.groupBy("length", part.alias("part")).agg(F.count("*").alias("n"))
     histogram = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
+    parts = max(4, -(-sum(histogram.values()) // PART_ROWS))  # one length may hold most pieces
+    part = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(parts)).cast("int")
+    sizes = cut.groupBy("length", part.alias("part")).agg(F.count("*").alias("n"))
     told = spark.sparkContext.broadcast(slots(plan(histogram, capacity)))
     before = sizes.select("length", "part", (F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")).alias("before"))
 
@@ -174,7 +202,7 @@ def pack(cut: DataFrame, capacity: int = 4096) -> DataFrame:
     numbered = (
         cut.withColumn("part", part)
         .withColumn("within", F.row_number().over(Window.partitionBy("length", "part").orderBy("doc_id", "piece", "start", "ids_crc32")))
-        .join(F.broadcast(before), ["length", "part"])  # at most capacity * PARTS rows
+        .join(before, ["length", "part"])  # dealt as the window is
         .select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("within") - 1).alias("number"))
     )
     return numbered.mapInPandas(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
