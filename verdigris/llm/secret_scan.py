@@ -1,6 +1,6 @@
 r"""Secret scan: candidates by pattern, false positives removed by a random forest, all in native expressions.
 
-Candidates are runs of key-like characters with a digit, and values assigned to a name like ``password``. A random
+Candidates are runs of key-like characters with a digit, and values after ``=`` or ``:``. A random
 forest decides on a candidate's length, the transitions between its kinds of characters, the share of it that
 dictionary words cover, whether it is part of a path, and the words beside it. The forest is trained by Spark's own
 learner on labelled findings and written out as one CASE expression, so a scan is a projection: no shuffle, no Python,
@@ -27,10 +27,7 @@ DICTIONARY = (
 ).split()
 
 _RUN = "A-Za-z0-9_+/-"
-CANDIDATE = (
-    rf"(?<![{_RUN}])(?=[A-Za-z_+/-]*[0-9])[{_RUN}]{{12,}}={{0,2}}"
-    rf"|(?<=(?:{'|'.join(SECRET_NAMES)})[\"']?\s{{0,2}}[=:]\s{{0,2}}[\"']?)[^\s\"'<>=:]{{8,}}"
-)
+CANDIDATE = rf"(?<![{_RUN}])(?=[A-Za-z_+/-]*+[0-9])[{_RUN}]{{12,}}+={{0,2}}" + r"|(?<=[=:][\s\"']{0,3})[^\s\"'<>=:]{8,}+"
 FEATURES = ("length", "transitions", "coverage", "digits", "in_path", "secret_beside", "harmless_beside", "upper_mix", "variety")
 #: Characters of context on either side that the features see.
 BEFORE, AFTER = 48, 24
@@ -89,6 +86,10 @@ def labelled_findings(spark: SparkSession, rows: int = 6_000) -> DataFrame:
         (name, "concat('example-', element_at(array('password','value','token','key'), 1 + r % 4), '-1')", "' '", 0),
         ("'uuid '", "concat_ws('-', substring(hex, 1, 8), substring(hex, 9, 4), substring(hex, 13, 4), substring(hex, 17, 4), substring(hex, 21, 12))", "' '", 0),
         (other, f"substring({digits}, 1, 12 + r % 12)", "' '", 0),
+        (f"concat({word}, ': ')", f"concat({word}, {word})", "' the'", 0),
+        (f"concat({word}, '=')", f"concat({word}, '_', {word})", "' '", 0),
+        ("'see https:'", f"concat('//www.', {word}, '.example.com/', r)", "' '", 0),
+        ("'Note: '", f"concat({word}, 'ation,')", "' and'", 0),
     ]
 
     def pick(at: int) -> Column:
@@ -120,7 +121,10 @@ def _case(node) -> str:
 def scan(docs: DataFrame, forest: str, text: str = "text", threshold: float = 0.5, out: str = "scan") -> DataFrame:
     """``docs`` with a struct ``scan``: candidates (number), findings array<struct<start, length, value, score>> of accepted
     ones (start counts code points from 1), redacted (the text with each finding replaced by ``[SECRET]``)."""
-    kept = docs.withColumn("__gaps", F.split(F.coalesce(F.col(text), F.lit("")), CANDIDATE, -1)).withColumn("__found", F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(CANDIDATE), F.lit(0)))
+    whole_text = F.coalesce(F.col(text), F.lit(""))
+    found = docs.withColumn("__found", F.regexp_extract_all(whole_text, F.lit(CANDIDATE), F.lit(0)))
+    # few texts have a candidate, so few are cut
+    kept = found.withColumn("__gaps", F.when(F.size("__found") > 0, F.split(whole_text, CANDIDATE, -1)).otherwise(F.array(whole_text)))
 
     def item(value: Column, i: Column) -> Column:
         before, after = F.get("__gaps", i), F.get("__gaps", i + 1)
