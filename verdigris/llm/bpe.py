@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 #: Characters of text handled at once in a worker, pieces per DuckDB query, and pieces remembered by a worker.
-BATCH_CHARS, QUERY_PIECES, MEMORY_PIECES = 4_000_000, 40_000, 700_000
+BATCH_CHARS, QUERY_PIECES, MEMORY_PIECES = 4_000_000, 40_000, 500_000
 #: Bytes above which a piece is contracted by repeated queries over a replaced table: the recursion keeps every
 #: step's rows, which is quadratic in the piece's length.
 LONG_PIECE = 400
