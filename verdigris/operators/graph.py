@@ -61,16 +61,16 @@ def family_roots(df: DataFrame, id: str, parent: str, max_rounds: int = 40) -> D
     known = rows.select(F.col("id").alias("k")).distinct()
     start = rows.join(known, F.col("up") == F.col("k"), "left").select("id", F.coalesce("k", "id").alias("at"), F.col("k").isNotNull().cast("long").alias("depth"))
     current = materialise(start, "roots")
+    ends = current.where("at = id").select(F.col("id").alias("k"))  # the only true roots: on a cycle a pointer can come back to its own row
+    longest = current.count()
+    first = current
     for _ in range(max_rounds):
         ahead = current.select(F.col("id").alias("k"), F.col("at").alias("at2"), F.col("depth").alias("d2"))
         following = materialise(current.join(ahead, F.col("at") == F.col("k")).select("id", F.col("at2").alias("at"), (F.col("depth") + F.col("d2")).alias("depth"), (F.col("at2") != F.col("at")).alias("moved")), "roots")
-        moved = following.where("moved").limit(1).count()
-        discard(current)
-        current = following.select("id", "at", "depth")
-        current._verdigris_path = following._verdigris_path
-        if not moved:
-            return current.select(F.col("id").alias(id), F.col("at").alias("root"), "depth")
-        if following.agg(F.max("depth")).first()[0] > (1 << 40):
+        if current is not first:
+            discard(current)
+        current = following
+        if following.where(f"moved and depth <= {longest}").isEmpty():  # a longer chain than there are rows is a cycle
             break
-    looping = current.join(start.where("at = id").select(F.col("id").alias("k")), F.col("at") == F.col("k"), "left")
-    return looping.select(F.col("id").alias(id), F.col("k").alias("root"), F.when(F.col("k").isNotNull(), F.col("depth")).alias("depth"))
+    out = current.join(ends, F.col("at") == F.col("k"), "left")
+    return out.select(F.col("id").alias(id), F.col("k").alias("root"), F.when(F.col("k").isNotNull(), F.col("depth")).alias("depth"))

@@ -12,7 +12,7 @@ from verdigris.streaming import windows as S
 HOLIDAYS = ["1995-12-25", "1996-01-01", "1996-12-25"]
 
 
-@query("with o as (select *, lead(ts, 1, timestamp '2024-02-01') over (partition by user_id order by ts) n from (select user_id, ts, max(value) v from events group by all)) select user_id, round(sum(v * epoch(n - ts)) / 3600, 4) hours from o group by user_id")
+@query("with o as (select *, lead(ts, 1, timestamp '2024-02-01') over (partition by user_id order by ts) n from (select user_id, ts, max(value) v from events group by all)) select user_id, round(sum(v * epoch(n - ts)) / 3600, 4) as hours from o group by user_id")
 def step_integral(spark, sf_dir):
     rows = table(spark, sf_dir, "events").groupBy("user_id", "ts").agg(F.max("value").alias("value"))
     out = T.step_integral(rows, "user_id", "ts", "value", F.lit("2024-02-01").cast("timestamp"))
