@@ -1,0 +1,235 @@
+"""Encoding, fingerprints, packing, toxicity and secrets against brute force, and on odd rows."""
+
+import base64
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import public_tokenizers as P
+import pytest
+from hypothesis import given, settings, strategies as st
+from pyspark.sql import functions as F
+
+from verdigris.llm import bpe, edit_fingerprint, packing, secret_scan, simhash, toxicity
+
+RANKS = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path("byte_bpe_50k.tiktoken"), "rb"))}
+ODD = ["", None, " ", "\n\n  x", "it's  we've\t'tis", "é" * 500, "a" * 1200, "日本語 текст ñ", "\x1c a\x1cb", "<|endoftext|> x", "tie", "tie", "=-" * 400, "word " * 3000]
+
+
+def odd(spark, ids=None):
+    """Odd texts, repeated rows, a null id, and columns with names that the operators use inside."""
+    rows = [(i if i != 3 else None, t, "k", 1.0, i) for i, t in enumerate(ODD)]
+    return spark.createDataFrame([*rows, rows[0], rows[10]], "doc_id long, text string, fp string, score double, part int")
+
+
+@pytest.fixture(scope="module")
+def encoding():
+    import tiktoken
+
+    return tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=RANKS, special_tokens={})
+
+
+def test_bpe_equals_the_library(spark, encoding):
+    out = bpe.encode_digests(odd(spark), "text", P.path("byte_bpe_50k.tiktoken"), P.PATTERN).select("text", "coded.*").collect()
+    assert len(out) == len(ODD) + 2
+    for r in out:
+        ids = encoding.encode_ordinary(r["text"] or "")
+        assert r["n_tokens"] == len(ids)
+        assert r["ids_sha256"] == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+        assert r["decoded_sha256"] == hashlib.sha256((r["text"] or "").encode()).hexdigest()
+
+
+def test_bpe_round_trip_and_empty(spark, encoding):
+    path = P.path("byte_bpe_50k.tiktoken")
+    coded = bpe.encode_ids(odd(spark), "text", path, P.PATTERN)
+    back = bpe.decode_ids(coded, "ids", path, P.PATTERN).select("text", "ids", "decoded").collect()
+    assert all(bytes(r["decoded"]) == (r["text"] or "").encode() and r["ids"] == encoding.encode_ordinary(r["text"] or "") for r in back)
+    assert bpe.encode_ids(odd(spark).limit(0), "text", path, P.PATTERN).count() == 0
+
+
+def test_long_pieces_are_exact(encoding):
+    rng = random.Random(3)
+    coder = bpe.coder(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    for letters in ("ab", "abcdefgh", "etaoinshrdlu"):
+        x = "".join(rng.choice(letters) for _ in range(1500))
+        assert next(iter(coder.ids([x]))) == encoding.encode_ordinary(x)
+
+
+def brute_fingerprint(text):
+    import xxhash
+
+    low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+    w = [x for x in re.split("[\x20\x09-\x0d]+", low) if x]
+    if not w:
+        return 0
+    shingles = [" ".join(w)] if len(w) < 4 else [" ".join(w[i : i + 4]) for i in range(len(w) - 3)]
+    h = [xxhash.xxh64_intdigest(s.encode(), seed=42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def test_simhash_prints_and_components_of_odd_rows(spark):
+    out = simhash.simhash_components(odd(spark)).collect()
+    assert len(out) == len(ODD) + 2
+    want = {i: f"{brute_fingerprint(t):016x}" for i, t in enumerate(ODD)}
+    assert all(r["doc_id"] is None or r["fingerprint"] == want[r["doc_id"]] for r in out)
+    groups = {r["doc_id"]: r["component_id"] for r in out if r["doc_id"] is not None}
+    assert groups[0] == groups[1] == groups[2] == 0 and groups[11] == groups[10] == 10
+    assert simhash.simhash_components(odd(spark).limit(0)).count() == 0
+
+
+@settings(max_examples=25, deadline=None)
+@given(st.integers(0, 2**32), st.integers(1, 5))
+def test_gray_index_loses_no_link(seed, clusters):
+    rng = np.random.default_rng(seed)
+    centres = rng.integers(0, 2**63, clusters, dtype=np.uint64)
+    codes = np.unique(np.concatenate([c ^ np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, (120, 3)).astype(np.uint64), axis=1) for c in centres]))
+    group = np.sort(rng.integers(0, 3, len(codes)))
+    index = simhash.GrayIndex(codes, group)
+    root = simhash._roots(len(codes), index.links(4))
+    parent = np.arange(len(codes))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(codes)):
+        for j in np.flatnonzero((np.bitwise_count(index.codes[:i] ^ index.codes[i]) <= 4) & (index.group[:i] == index.group[i])):
+            a, b = find(i), find(int(j))
+            parent[max(a, b)] = min(a, b)
+    assert root.tolist() == [find(i) for i in range(len(codes))]
+
+
+def test_near_links_meet_whatever_bits_differ(spark):
+    rng = np.random.default_rng(1)
+    base = rng.integers(0, 2**63, 40, dtype=np.uint64)
+    codes = np.concatenate([base, base ^ np.uint64((1 << 63) | (1 << 20) | (1 << 40) | 1)])
+    df = spark.createDataFrame([(c, i) for i, c in enumerate(codes.view(np.int64).tolist())], "fp long, rep long")
+    got = {tuple(sorted((r["a"], r["b"]))) for r in simhash.near_duplicate_links(df).collect()}
+    assert got == {(i, i + 40) for i in range(40)}
+
+
+def test_edit_fingerprints(spark):
+    docs = spark.createDataFrame([(1, "ab" * 50), (2, None), (5, "x"), (9, "ab" * 50), (7, "Ünï" * 40), (None, "nul")], "doc_id long, text string")
+    out = {r["doc_id"]: r for r in edit_fingerprint.compare_edited(docs, parts=3).collect()}
+    order = [None, 1, 2, 5, 7, 9]
+    texts = {None: "nul", 1: "ab" * 50, 2: "", 5: "x", 7: "Ünï" * 40, 9: "ab" * 50}
+    walk = edit_fingerprint.walker()
+    for i, k in enumerate(order):
+        x, follower = texts[k], texts[order[(i + 1) % len(order)]]
+        edited = x[: len(x) - len(x) // 2] + follower[: len(x) // 2]
+        r = out[k]
+        assert (r["n_chars"], r["edited_sha256"]) == (len(x), hashlib.sha256(edited.encode()).hexdigest())
+        a, b, c = (next(walk.fingerprints([t])) for t in (x, edited, follower))
+        assert r["fingerprint"] == edit_fingerprint.render(*a) and r["edited_fingerprint"] == edit_fingerprint.render(*b)
+        assert r["near_edited"] == pytest.approx(edit_fingerprint.likeness(a, b, walk.steps)) and r["near_next"] == pytest.approx(edit_fingerprint.likeness(a, c, walk.steps))
+    assert out[1]["fingerprint"] == out[9]["fingerprint"]
+    assert edit_fingerprint.compare_edited(docs.limit(0)).count() == 0
+    assert edit_fingerprint.compare_edited(docs.where("doc_id = 5")).first()["near_next"] == 1.0
+
+
+def test_few_edits_stay_close_and_duplicates_join(spark):
+    rng = random.Random(5)
+    base = ["".join(rng.choice("abcdefghij klmnop") for _ in range(800)) for _ in range(6)]
+    rows = [(i, x) for i, x in enumerate(base)] + [(10 + i, x[:700] + "q" + x[701:]) for i, x in enumerate(base)] + [(20, base[0]), (21, base[0])]
+    out = {r["doc_id"]: (r["class_id"], r["links"]) for r in edit_fingerprint.edit_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(out[10 + i][0] == i for i in range(6)) and out[20][0] == out[21][0] == 0 and out[0][1] == 1
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.dictionaries(st.integers(1, 64), st.integers(1, 40), max_size=20))
+def test_plan_uses_every_piece_once(histogram):
+    recipes = packing.plan(histogram, 64)
+    used: dict[int, int] = {}
+    for own, times in recipes:
+        assert sum(own) <= 64 and times > 0
+        for x in own:
+            used[x] = used.get(x, 0) + times
+    assert used == histogram
+
+
+def test_two_that_fit_better_replace_the_smallest():
+    assert packing.plan({10: 1, 4: 1, 3: 2}, 16)[0][0] == [10, 3, 3]
+
+
+def test_packing_of_odd_rows(spark):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    t.encode_special_tokens = True
+    out = packing.pack_documents(odd(spark), P.path("word_bpe_49k.json"), capacity=256).collect()
+    by_doc: dict = {}
+    for r in out:
+        by_doc.setdefault(r["doc_id"], []).append(r)
+    for i, x in enumerate(ODD):
+        if i in (0, 3, 10):
+            continue
+        ids = t.encode(x or "", add_special_tokens=False).ids + [1]
+        got = sorted(by_doc[i], key=lambda r: r["piece"])
+        assert [(r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in got] == [(at // 256, at, len(ids[at : at + 256]), zlib.crc32(np.array(ids[at : at + 256], "<u4").tobytes())) for at in range(0, len(ids), 256)]
+    assert len(by_doc[0]) == 2 and len(by_doc[None]) == 1
+    bins: dict = {}
+    for r in out:
+        bins.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for own in bins.values():
+        at = 0
+        for offset, length in sorted(own):
+            assert offset == at
+            at += length
+        assert at <= 256
+    assert packing.pack_documents(odd(spark).limit(0), P.path("word_bpe_49k.json")).count() == 0
+
+
+def test_toxicity_held_out_and_unseen_spellings(spark):
+    rng = random.Random(2)
+    plain = ["stone", "river", "window", "garden", "letter", "market", "winter", "bridge", "engine", "thread"]
+    bad = ["grobnik", "grobniks", "grobnika", "megrobnik"]
+    text = lambda toxic, words: " ".join([rng.choice(plain) for _ in range(60)] + ([rng.choice(words) for _ in range(3)] if toxic else []))
+    train = [(i, text(i % 4 == 0, bad), int(i % 4 == 0)) for i in range(400)]
+    df = spark.createDataFrame([*train, (900, None, 0), (901, "", None)], "doc_id long, text string, toxic int")
+    model = toxicity.fit(df.drop('toxic'), df.drop('text'), settings=toxicity.Settings(sample_rows=300, buckets=1 << 14))
+    test = [(i, text(i % 2 == 0, ["grobnikov", "GROBNIK", "xgrobnik"]), i % 2 == 0) for i in range(60)]
+    out = toxicity.with_score(spark.createDataFrame([*[(i, x) for i, x, _ in test], (90, None), (91, "")], "doc_id long, text string"), model).collect()
+    score = {r["doc_id"]: r["score"] for r in out}
+    assert np.mean([(score[i] >= 0.5) == y for i, _, y in test]) > 0.95
+    assert score[90] == score[91] and 0 <= score[90] <= 1
+    one = toxicity.fit(df, df.where("toxic = 0"), settings=toxicity.Settings(sample_rows=50, buckets=64))
+    assert all(0 <= r["score"] < 0.5 for r in toxicity.with_score(df.limit(5), one).collect())
+    assert toxicity.with_score(df.limit(0), model).count() == 0
+
+
+@pytest.fixture(scope="module")
+def forest(spark):
+    return secret_scan.train_forest(secret_scan.labelled_findings(spark, 3000))
+
+
+def test_secrets_are_found_and_numbers_are_not(spark, forest):
+    key, hexed, word = "AKIA" + "QZ3XW7RT5PLM2KJH", hashlib.sha1(b"x").hexdigest(), hashlib.md5(b"y").hexdigest()[:18]
+    rows = [
+        (1, f'the token = "{hexed}" here', [hexed]),
+        (2, f"so password={word} and {key} too", [word, key]),
+        (3, "card 4716389051947263 phone +1 555 0100 200, en/12820/stone", []),
+        (4, f"commit {hexed} is fine", []),
+        (5, None, []),
+        (6, "", []),
+        (7, f"{key} {key}\nÜber {key}", [key] * 3),
+        (8, "Wordsthatarelongbutplain: nothingtoseehere of it", []),
+    ]
+    out = secret_scan.scan(spark.createDataFrame([(i, x, 0) for i, x, _ in rows], "doc_id long, text string, scan int").withColumnRenamed("scan", "score"), forest).collect()
+    got = {r["doc_id"]: r for r in out}
+    for i, x, want in rows:
+        s = got[i]["scan"]
+        assert [f["value"] for f in s["findings"]] == want, i
+        assert all(x[f["start"] - 1 : f["start"] - 1 + f["length"]] == f["value"] for f in s["findings"])
+        left = x
+        for w in want:
+            left = left.replace(w, "[SECRET]")
+        assert s["redacted"] == left
+    assert secret_scan.scan(spark.createDataFrame([], "doc_id long, text string"), forest).count() == 0
+
+
+def test_scan_runs_no_python(spark, forest):
+    plan = secret_scan.scan(spark.createDataFrame([(1, "x")], "doc_id long, text string"), forest)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Pandas|Arrow|Exchange", plan)
