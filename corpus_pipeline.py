@@ -16,7 +16,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship_package(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic").where(f"not ({HELD_OUT})")
     texts = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    model = toxicity.fit(texts.join(labels, "doc_id"))
+    model = toxicity.fit(texts, labels)
     scored = toxicity.with_score(docs, model, out="__toxicity")
     return scored.where("__toxicity < 0.5").drop("__toxicity")
 

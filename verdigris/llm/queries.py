@@ -29,7 +29,7 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = _read(spark, sf_dir, "documents", "doc_id", "text")
     labels = _read(spark, sf_dir, "labels", "doc_id", "toxic").where(f"not ({HELD_OUT})")
-    scored = toxicity.with_score(docs, toxicity.fit(docs.join(labels, "doc_id")))
+    scored = toxicity.with_score(docs, toxicity.fit(docs, labels))
     return scored.select("doc_id", F.expr(HELD_OUT).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 

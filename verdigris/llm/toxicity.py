@@ -1,7 +1,7 @@
 """Toxicity by averaged subword embeddings under a linear softmax, trained jointly in numpy.
 
-A word's vector is the mean of the vectors of its character n-grams, with marks at its ends, and of the word itself;
-a document's vector is the mean over its words. So a misspelling that was never seen shares most of its vector with
+A word's vector is the mean of the vectors of its character n-grams, with marks at its ends, so that a short word is
+one of them; a document's vector is the mean over its words. So a misspelling that was never seen shares most of its vector with
 the word that was. Training reads a bounded sample of labelled rows; once trained, the softmax folds into one number
 per subword, and scoring runs over every whole text.
 
@@ -11,20 +11,23 @@ lower-cased letters; anything that is no letter separates words.
 
 from __future__ import annotations
 
+from array import array
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-LOWEST, HIGHEST = 3, 6  # lengths of character n-grams
+from verdigris.storage import materialise
+
+LOWEST, HIGHEST = 3, 5  # lengths of character n-grams
 
 
 @dataclass(frozen=True)
 class Settings:
-    #: Bound of the sample that is fitted: rows, taken by smallest hash of their text so that it is the same on every run.
+    #: Bound of the sample that is fitted, in rows; picked by a hash of their text, so the same on every run.
     sample_rows: int = 16_000
     buckets: int = 1 << 18
     dimensions: int = 4
@@ -49,8 +52,8 @@ _LETTERS = None
 
 
 def subwords(words: list[str], buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """(bucket numbers, end of each word's share): every word's n-grams and the word itself, hashed together in numpy."""
-    marked = [f"<{w[:64]}>" for w in words]
+    """(bucket numbers, end of each word's share): every word's n-grams, end marks included, hashed together in numpy."""
+    marked = [f"<{w}>" for w in words]
     sizes = np.fromiter(map(len, marked), np.int64, len(marked))
     letters = np.frombuffer("".join(marked).encode("utf-32-le"), dtype="<u4").astype(np.uint64)
     owner = np.repeat(np.arange(len(words)), sizes)
@@ -65,34 +68,46 @@ def subwords(words: list[str], buckets: int) -> tuple[np.ndarray, np.ndarray]:
             some = room >= n
             hashed.append(rolling[some] ^ np.uint64(n))
             owners.append(owner[some])
-    place = np.arange(len(letters)) - (ends - sizes)[owner]
-    whole = np.add.reduceat((letters + np.uint64(1)) * (_MULTIPLIER ** place.astype(np.uint64)), ends - sizes) if len(words) else np.zeros(0, np.uint64)
-    hashed.append(whole ^ np.uint64(99))
-    owners.append(np.arange(len(words)))
     codes, of = np.concatenate(hashed), np.concatenate(owners)
     codes = (codes ^ (codes >> np.uint64(31))) * _MIXER
     order = np.argsort(of, kind="stable")
     return ((codes ^ (codes >> np.uint64(29))) % np.uint64(buckets)).astype(np.int64)[order], np.cumsum(np.bincount(of, minlength=len(words)))
 
 
+def grams_in(letters: int) -> int:
+    """How many n-grams a word of so many letters has."""
+    return sum(max(0, letters + 3 - n) for n in range(LOWEST, HIGHEST + 1))
+
+
 _MULTIPLIER, _MIXER = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
 class _Bags:
     """Documents as bags of words, and words as bags of subwords, in flat arrays."""
 
-    def __init__(self, texts: list[str], buckets: int):
+    BLOCK = 20_000  # words hashed at once
+
+    def __init__(self, texts: Iterable[str], buckets: int):
         number: dict[str, int] = {}
-        words, counts, sizes = [], [], []
+        words, counts, sizes = array("i"), array("i"), array("i")
         for x in texts:
             found = Counter(words_of(x))
-            words += [number.setdefault(w, len(number)) for w in found]
-            counts += found.values()
+            words.extend(number.setdefault(w, len(number)) for w in found)
+            counts.extend(found.values())
             sizes.append(len(found))
-        self.word, self.count = np.array(words, dtype=np.int64), np.array(counts, dtype=np.float32)
-        self.doc_at = np.r_[0, np.cumsum(sizes)].astype(np.int64)
-        self.gram, ends = subwords(list(number), buckets)
-        self.gram_at = np.r_[0, ends].astype(np.int64)
+        self.word, self.count = np.frombuffer(words, np.int32), np.frombuffer(counts, np.int32)
+        self.doc_at = np.r_[0, np.cumsum(np.frombuffer(sizes, np.int32), dtype=np.int64)]
+        distinct = list(number)
+        del number
+        distinct.reverse()
+        shares = np.fromiter((grams_in(len(w)) for w in reversed(distinct)), np.int64, len(distinct))
+        self.gram_at = np.r_[0, np.cumsum(shares)]
+        self.gram = np.empty(self.gram_at[-1], np.int32)
+        at = 0
+        while distinct:  # words are let go as they are hashed
+            gram, _ = subwords([distinct.pop() for _ in range(min(self.BLOCK, len(distinct)))], buckets)
+            self.gram[at : at + len(gram)] = gram
+            at += len(gram)
 
 
 def _spans(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -100,8 +115,8 @@ def _spans(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.repeat(starts - np.r_[0, np.cumsum(width)[:-1]], width) + np.arange(width.sum())
 
 
-def train(texts: list[str], labels: np.ndarray, settings: Settings = Settings()) -> tuple[np.ndarray, float]:
-    """(one number per bucket, bias): a document's log-odds are bias + mean over words of the mean over subwords."""
+def train(texts: Iterable[str], labels: np.ndarray | array, settings: Settings = Settings()) -> tuple[np.ndarray, float]:
+    """``labels`` are read after all texts. (One number per bucket, bias): a document's log-odds are bias + mean over words of the mean over subwords."""
     rng = np.random.default_rng(settings.seed)
     bags = _Bags(texts, settings.buckets)
     vectors = rng.normal(0, 0.1, (settings.buckets, settings.dimensions)).astype(np.float32)
@@ -114,8 +129,8 @@ def train(texts: list[str], labels: np.ndarray, settings: Settings = Settings())
     if len(set(labels.tolist())) < 2:
         return np.zeros(settings.buckets, np.float32), float(np.log((share + 1e-6) / (1 - share + 1e-6)))
     large = settings.sample_rows * settings.epochs
-    for _ in range(max(settings.epochs, min(settings.most_epochs, large // max(1, len(texts))))):
-        order = rng.permutation(len(texts))
+    for _ in range(max(settings.epochs, min(settings.most_epochs, large // max(1, len(labels))))):
+        order = rng.permutation(len(labels))
         for at in range(0, len(order), settings.batch):
             rows = order[at : at + settings.batch]
             a, b = bags.doc_at[rows], bags.doc_at[rows + 1]
@@ -178,15 +193,30 @@ class Scorer:
 _SCORERS: dict[str, Scorer] = {}
 
 
-def sample(labelled: DataFrame, text: str, label: str, rows: int) -> tuple[list[str], np.ndarray]:
-    """At most ``rows`` labelled texts, those of smallest text hash; copies of a text with one label count once."""
-    picked = labelled.where(F.col(label).isin(0, 1)).select(F.coalesce(text, F.lit("")).alias("x"), F.col(label).cast("int").alias("y"))
-    found = picked.orderBy(F.xxhash64("x"), "y").limit(rows).collect()
-    return [r["x"] for r in found], np.array([r["y"] for r in found], dtype=np.int64)
+def sample(docs: DataFrame, labels: DataFrame, id: str, text: str, label: str, rows: int) -> DataFrame:
+    """(x, y): about ``rows`` labelled texts, those whose hash is below the share that leaves so many; copies of a text with one
+    label count once. Labels meet hashes, not texts; the texts of the picked ids, a bounded table, are then read where they lie."""
+    hashed = docs.select(F.col(id).alias("id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("h"))
+    told = labels.where(F.col(label).isin(0, 1)).select(F.col(id).alias("id"), F.col(label).cast("int").alias("y"))
+    known = materialise(hashed.join(told, "id").groupBy("h", "y").agg(F.min("id").alias("id")), "labelled")
+    below = min(1 << 31, (rows << 31) // max(1, known.count()))
+    picked = known.where(F.pmod("h", F.lit(1 << 31)) < below)
+    texts = docs.select(F.col(id).alias("id"), F.coalesce(text, F.lit("")).alias("x")).withColumn("h", F.xxhash64("x"))
+    return texts.join(F.broadcast(picked), ["id", "h"]).groupBy("h", "y").agg(F.first("x").alias("x")).select("x", "y")
+
+
+def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "toxic", settings: Settings = Settings()) -> tuple[np.ndarray, float]:
+    """Train on a sample of the labelled rows of ``docs``; rows come to the driver one partition at a time and each text is let go
+    once it is cut into words."""
+    found = array("i")
 
+    def texts() -> Iterator[str]:
+        for r in sample(docs, labels, id, text, label, settings.sample_rows).toLocalIterator():
+            if len(found) < settings.sample_rows + settings.sample_rows // 8:
+                found.append(r["y"])
+                yield r["x"]
 
-def fit(labelled: DataFrame, text: str = "text", label: str = "toxic", settings: Settings = Settings()) -> tuple[np.ndarray, float]:
-    return train(*sample(labelled, text, label, settings.sample_rows), settings)
+    return train(texts(), found, settings)
 
 
 def with_score(df: DataFrame, model: tuple[np.ndarray, float], text: str = "text", out: str = "score") -> DataFrame:
