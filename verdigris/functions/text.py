@@ -16,6 +16,12 @@ def ngrams(words: Column, n: int) -> Column:
     return F.array_distinct(F.transform(at, lambda i: F.array_join(F.slice(words, i, n), " ")))
 
 
+def hashed_ngrams(words: Column, n: int) -> Column:
+    """``ngrams`` as 64-bit hashes: a tenth of the bytes to move, and distinct in linear time, which Spark has for numbers only."""
+    at = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - (n - 1))).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.transform(at, lambda i: F.xxhash64(F.slice(words, i, n))))
+
+
 def state_key(text: Column) -> Column:
     """Digest of the text in lower case with white space collapsed."""
     return F.sha2(F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"\s+", " ")), 256)

@@ -6,16 +6,16 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from verdigris.functions.text import ngrams, tokens
+from verdigris.functions.text import hashed_ngrams, tokens
 
 #: An n-gram in more records than this is too common to say anything; of the pair search only, see ``near_duplicate_pairs``.
 MOST_RECORDS = 200
 
 
 def gram_table(df: DataFrame, id: str, text: str, n: int, *extra: str) -> DataFrame:
-    """(id, units, gram): one row per distinct n-gram of a record; ``units`` is how many the record has."""
+    """(id, units, gram): one row per distinct n-gram of a record, as a hash; ``units`` is how many the record has."""
     words = df.select(F.col(id).alias("id"), *extra, tokens(F.col(text)).alias("words"))  # a projection of its own, so that texts are cut once
-    grams = words.select("id", *extra, ngrams(F.col("words"), n).alias("grams"))
+    grams = words.select("id", *extra, hashed_ngrams(F.col("words"), n).alias("grams"))
     # outer, then filtered: the filter that a plain explode infers would repeat the whole expression at the scan
     return grams.select("id", *extra, F.size("grams").alias("units"), F.explode_outer("grams").alias("gram")).where("gram is not null")
 
@@ -66,10 +66,11 @@ def near_duplicate_pairs(df: DataFrame, n: int = 13, *, id: str, text: str, sour
     N-grams in more than ``most_records`` records are part of the definition's cut: they don't count as shared."""
     grams = gram_table(df, id, text, n, source)
     counted = grams.groupBy("gram").agg(F.count("*").alias("df"), F.min(source).alias("lo"), F.max(source).alias("hi")).where((F.col("df") >= 2) & (F.col("df") <= most_records) & (F.col("lo") != F.col("hi")))
-    kept = grams.join(counted.select("gram"), "gram")
-    a = kept.select("gram", F.col("id").alias("a"), F.col("units").alias("ua"), F.col(source).alias("sa"))
-    b = kept.select("gram", F.col("id").alias("b"), F.col("units").alias("ub"), F.col(source).alias("sb"))
-    pairs = a.join(b, "gram").where((F.col("a") < F.col("b")) & (F.col("sa") != F.col("sb")))
+    # at most `most_records` rows a gram are gathered, and paired where they lie
+    held = grams.join(counted.select("gram"), "gram").groupBy("gram").agg(F.collect_list(F.struct("id", "units", F.col(source).alias("source"))).alias("l"))
+    later = lambda x: F.filter("l", lambda y: (y["id"] > x["id"]) & (y["source"] != x["source"]))
+    met = F.flatten(F.transform("l", lambda x: F.transform(later(x), lambda y: F.struct(x["id"].alias("a"), y["id"].alias("b"), x["units"].alias("ua"), y["units"].alias("ub")))))
+    pairs = held.select(F.explode_outer(met).alias("p")).where("p is not null").select("p.*")
     shared = pairs.groupBy("a", "b").agg(F.count("*").alias("shared"), F.first("ua").alias("ua"), F.first("ub").alias("ub"))
     share = F.greatest(F.col("shared") / F.col("ua"), F.col("shared") / F.col("ub"))
     return shared.select("a", "b", "shared", share.alias("share")).where(F.col("share") > least)

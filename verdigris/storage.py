@@ -25,6 +25,12 @@ def scratch_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_folder(spark)}/verdigris/{tag}-{uuid.uuid4().hex[:12]}"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table of fewer files than half the cores is dealt over all of them; larger ones come as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores // 2 else df
+
+
 def materialise(df: DataFrame, tag: str) -> DataFrame:
     """``df`` written once to the shared folder and read back. ``path_of`` gives its place for ``discard``."""
     spark = df.sparkSession
