@@ -235,3 +235,71 @@ def test_business_days(spark):
 def test_probability_functions(spark):
     r = spark.range(1).select(X.choose(F.lit(52), F.lit(5)), X.hypergeometric(F.lit(10), F.lit(4), F.lit(3), F.lit(2)), X.choose(F.lit(3), F.lit(4)), X.break_even(F.lit(100), F.lit(7.0), F.lit(8.0))).first()
     assert r[0] == pytest.approx(2598960) and r[1] == pytest.approx(6 * 6 / 120) and r[2] == 0.0 and r[3] is None
+
+
+def test_replies(spark):
+    from verdigris.operators import records
+
+    df = spark.createDataFrame([('x {"answer": " Yes ", "confidence": 2} y',), ("{bad",), (None,), ('{"answer": "other"}',), ("{}",)], "t string")
+    got = [tuple(r[0]) for r in df.select(records.parse_reply(F.col("t"), F.array(F.lit("yes"), F.lit("no")))).collect()]
+    assert got == [("ok", "yes", 1.0), ("unparsed", None, None), ("unparsed", None, None), ("out_of_domain", None, None), ("no_answer", None, None)]
+
+
+def test_union_refuses_repeated_ids(spark):
+    from verdigris.operators import records
+
+    a, b = spark.createDataFrame([(1, "x")], "id long, a string"), spark.createDataFrame([(2, 0.5)], "id long, b double")
+    assert records.union_checked([a, b], "id").count() == 2
+    with pytest.raises(Exception, match="repeated id 1"):
+        records.union_checked([a, a], "id").collect()
+
+
+def test_soft_labels_keep_the_last_usable_row(spark):
+    from verdigris.operators import records
+
+    rec = spark.createDataFrame([(1,), (2,), (3,)], "id long")
+    lab = spark.createDataFrame([(1, 1, True, 0.1), (1, 2, True, 0.2), (1, 3, False, 0.9), (2, 1, False, 0.7)], "id long, seq int, ok boolean, p double")
+    got = {r["id"]: r["p"] for r in records.attach_soft_labels(rec, lab, "id", F.col("ok"), "seq", ["p"]).collect()}
+    assert got == {1: 0.2, 2: None, 3: None}
+
+
+def test_donors_are_others(spark):
+    from verdigris.functions.hashing import stable_order
+    from verdigris.operators import records
+
+    df = spark.range(50)
+    got = records.donors(df, "id", stable_order(F.col("id")), ["id"]).collect()
+    assert len(got) == 50 and all(r["donor_id"] != r["id"] for r in got)
+    assert records.donors(spark.range(1), "id", stable_order(F.col("id")), ["id"]).first()["donor_id"] is None
+
+
+def test_slugs_and_numbers(spark):
+    from verdigris.functions import text as X
+
+    df = spark.createDataFrame([(["Yes, please!", "yes please", "—", "ß"],)], "o array<string>")
+    assert df.select(X.unique_slugs(F.col("o"))).first()[0] == ["yes_please", "yes_please_2", "option", "option_2"]
+    r = spark.createDataFrame([("a 1,234.5 then -3 and 12%",)], "t string").select(X.numbers(F.col("t"))).first()[0]
+    assert r == pytest.approx([1234.5, -3.0, 0.12])
+
+
+def test_batches_keep_their_budget(spark):
+    from verdigris.operators import assembly
+
+    df = spark.createDataFrame([(i, 1 + (i * 37) % 90) for i in range(300)] + [(999, 500)], "id long, t long")
+    size = {r["id"]: r["t"] for r in df.collect()}
+    own: dict = {}
+    for r in assembly.batch_plan(df, "id", "t", 200, 64).collect():
+        own.setdefault((r["chunk"], r["batch"]), []).append(size[r["id"]])
+    assert sum(map(len, own.values())) == 301
+    assert all(len(b) == 1 or len(b) * max(b) <= 200 for b in own.values())
+
+
+def test_held_out_groups_are_not_linked_to_kept_ones(spark):
+    from verdigris.operators import assembly
+
+    groups = spark.createDataFrame([(g, 5) for g in "abcdef"], "group string, rows long")
+    links = spark.createDataFrame([("a", "b"), ("c", "d"), ("d", "e")], "a string, b string")
+    state = {r["group"]: r["state"] for r in assembly.resolve_held_out(groups, links, 8).collect()}
+    assert "held_out" in state.values()
+    for a, b in (("a", "b"), ("c", "d"), ("d", "e")):
+        assert {state[a], state[b]} != {"held_out", "kept"}

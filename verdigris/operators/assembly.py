@@ -117,3 +117,45 @@ def batch_plan(df: DataFrame, id: str, tokens: str, budget: int, chunk: int = 40
         return pd.DataFrame({"id": rows.id, "chunk": rows.chunk, "batch": out})
 
     return dealt.groupBy("chunk").applyInPandas(cut, f"id {kind}, chunk int, batch int").withColumnRenamed("id", id)
+
+
+def last_mean(df: DataFrame, key: str, order: str, value: str, n: int = 2) -> DataFrame:
+    """(key, entries, mean) over the last n entries of each key."""
+    last = df.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))).where(f"__n <= {n}")
+    return last.groupBy(key).agg(F.count("*").alias("entries"), F.avg(value).alias("mean"))
+
+
+def teacher_records(df: DataFrame, id: str, rules: list[tuple[str, Column]], near: DataFrame, contaminated: DataFrame) -> DataFrame:
+    """(id, reason): ``kept``, or the first of the given rules, ``near_duplicate`` (in ``near``) and ``contaminated`` that speaks against a record."""
+    from verdigris.operators.quality import first_failing
+
+    flagged = df.join(near.select(id).distinct().withColumn("__near", F.lit(True)), id, "left").join(contaminated.select(id).distinct().withColumn("__hit", F.lit(True)), id, "left")
+    return flagged.select(id, first_failing(*rules, ("near_duplicate", F.col("__near")), ("contaminated", F.col("__hit"))).alias("reason"))
+
+
+def lanes(df: DataFrame, options: str, limits: dict[str, int]) -> DataFrame:
+    """``df`` once for each lane whose limit its largest option count keeps within, as ``lane``."""
+    fits = F.array_compact(F.array(*[F.when(F.col(options) <= n, F.lit(name)) for name, n in sorted(limits.items())]))
+    return df.withColumn("lane", F.explode(fits))
+
+
+def allowed(df: DataFrame, receipts: DataFrame, key: str, licences: list[str]) -> DataFrame:
+    """Rows with a receipt of an allowed licence."""
+    good = receipts.where(F.lower("licence").isin(*[x.lower() for x in licences])).select(key).distinct()
+    return df.join(good, key, "left_semi")
+
+
+def bundle_hits(df: DataFrame, id: str, text: str, benchmark: DataFrame, bench_text: str, least: int = 20) -> DataFrame:
+    """(id, hits): lines whose normalised text has the fingerprint of a benchmark line, of at least ``least`` characters."""
+    def prints(t: DataFrame, column: str, *keep: str) -> DataFrame:
+        line = F.trim(F.regexp_replace(F.lower(F.col("line")), r"\s+", " "))
+        cut = t.select(*keep, F.explode(F.split(F.coalesce(column, F.lit("")), "\n")).alias("line")).select(*keep, line.alias("line"))
+        return cut.where(F.length("line") >= least).select(*keep, F.sha1(F.col("line").cast("binary")).alias("print")).distinct()
+
+    return prints(df, text, id).join(prints(benchmark, bench_text), "print", "left_semi").groupBy(id).agg(F.count("*").alias("hits"))
+
+
+def evaluation_summary(df: DataFrame, model: str, track: str, stratum: str, correct: str) -> DataFrame:
+    """Accuracy per model, model and track, and model, track and stratum in one pass over grouping sets."""
+    g = df.groupingSets([[F.col(model)], [F.col(model), F.col(track)], [F.col(model), F.col(track), F.col(stratum)]], model, track, stratum)
+    return g.agg(F.count("*").alias("n"), F.avg(F.col(correct).cast("double")).alias("accuracy"))

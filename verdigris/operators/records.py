@@ -83,3 +83,65 @@ def expected_files(found: DataFrame, expected: DataFrame) -> DataFrame:
     j = e.join(found.select("path", "bytes", "sha256"), "path", "full_outer")
     s = F.when(F.col("sha256").isNull(), "missing").when(F.col("es").isNull(), "unexpected").when(F.col("eb") != F.col("bytes"), "size").when(F.col("es") != F.col("sha256"), "digest").otherwise("ok")
     return j.select("path", s.alias("status"))
+
+
+def certain_answers(worlds: DataFrame, id: str, answer: str) -> DataFrame:
+    """(id, worlds, answer): the answer that every completion of the withheld facts gives, else null for unknown."""
+    g = worlds.groupBy(id).agg(F.count("*").alias("worlds"), F.count_distinct(answer).alias("__k"), F.count_if(F.col(answer).isNull()).alias("__u"), F.min(answer).alias("__a"))
+    return g.select(id, "worlds", F.when((F.col("__k") == 1) & (F.col("__u") == 0), F.col("__a")).alias("answer"))
+
+
+def attach_with_fallback(df: DataFrame, table: DataFrame, id: str, key: str, value: str) -> DataFrame:
+    """``df`` with ``value`` looked up by id, else by what is before the id's last colon."""
+    whole = table.select(F.col(key).alias(id), F.col(value).alias("__v"))
+    base = table.select(F.col(key).alias("__b"), F.col(value).alias("__w"))
+    cut = df.withColumn("__b", F.regexp_replace(F.col(id), r":[^:]*$", ""))
+    return cut.join(whole, id, "left").join(base, "__b", "left").select(*df.columns, F.coalesce("__v", "__w").alias(value))
+
+
+def walk(edges: DataFrame, starts: DataFrame, hops: list[str]) -> DataFrame:
+    """(start, node): where a chain of named relations leads. ``edges``: (source, relation, target); ``starts``: (node)."""
+    now = starts.select(F.col("node").alias("start"), "node")
+    for h in hops:
+        step = edges.where(F.col("relation") == h).select(F.col("source").alias("node"), "target")
+        now = now.join(step, "node").select("start", F.col("target").alias("node"))
+    return now.distinct()
+
+
+def union_checked(tables: list[DataFrame], id: str) -> DataFrame:
+    """The union by name of tables whose ids must not repeat; a repeated id fails when the rows are read."""
+    from functools import reduce
+
+    out = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
+    twice = out.groupBy(id).agg(F.count("*").alias("__n"))
+    ok = F.when(F.col("__n") > 1, F.raise_error(F.concat(F.lit("repeated id "), F.col(id).cast("string")))).otherwise(F.lit(True))
+    return out.join(twice, id).where(ok).select(*out.columns)
+
+
+def permuted(options: Column, seed: Column) -> Column:
+    """The options in the order of a hash of seed and place."""
+    keyed = F.transform(options, lambda x, i: F.struct(F.sha2(F.concat_ws("\0", seed.cast("string"), i.cast("string")), 256).alias("h"), x.alias("x")))
+    return F.transform(F.array_sort(keyed), lambda s: s["x"])
+
+
+def presentation_mix(df: DataFrame, id: str, variants: list[tuple[str, float]], salt: str) -> DataFrame:
+    """``df`` with ``variant``: a share of the ids by hash for each named variant, the rest ``plain``."""
+    from verdigris.functions.hashing import unit
+
+    u, at, out = unit(salt, F.col(id)), 0.0, F.lit(None).cast("string")
+    for name, share in variants:
+        out = F.coalesce(out, F.when((u >= at) & (u < at + share), name))
+        at += share
+    return df.withColumn("variant", F.coalesce(out, F.lit("plain")))
+
+
+def parse_reply(text: Column, domain: Column) -> Column:
+    """struct<status, answer, confidence> of a reply with a JSON object: ``answer`` read as text in lower case and kept if the
+    domain has it, confidence clipped to [0, 1]."""
+    from verdigris.functions.text import first_json_object
+
+    raw = F.try_parse_json(first_json_object(text))
+    said = F.lower(F.trim(F.try_variant_get(raw, "$.answer", "string")))
+    sure = F.try_variant_get(raw, "$.confidence", "double")
+    status = F.when(raw.isNull(), "unparsed").when(said.isNull(), "no_answer").when(~F.array_contains(domain, said), "out_of_domain").otherwise("ok")
+    return F.struct(status.alias("status"), F.when(status == "ok", said).alias("answer"), F.when(status == "ok", F.greatest(F.lit(0.0), F.least(F.lit(1.0), sure))).alias("confidence"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from verdigris.functions import text as X
+from verdigris.functions import rubrics as B, text as X
 from verdigris.functions.hashing import stable_order
 from verdigris.operators import assembly, records
 from verdigris.plans.evaluation_queries import ABC, predictions, preds_sql
@@ -186,3 +186,116 @@ def held_out_resolution(spark, sf_dir):
 def batch_plan(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").select("doc_id", X.token_estimate(F.col("text")).alias("tokens"))
     return assembly.batch_plan(rows, "doc_id", "tokens", 8192)
+
+
+
+
+@query(
+    """select p_partkey, (case when p_size >= 10 then 2 else 0 end + case when p_retailprice >= 1000 then 1 else 0 end + case when p_brand = 'Brand#11' then 3 else 0 end)::int points,
+((p_size >= 10)::int + (p_size >= 20)::int + (p_size >= 40)::int)::int band, case when p_size >= 5 then case when p_retailprice >= 1000 then case when p_size >= 25 then 3 else 2 end else 1 end else 0 end::int ladder,
+round((p_size * 2 + p_retailprice / 100 * 1) / 3, 6) weighted, case when p_size < 25 then case when p_retailprice < 1000 then 0 else 1 end else case when p_retailprice < 1000 then 1 else 3 end end::int cell from part"""
+)
+def ordinal_rubrics(spark, sf_dir):
+    size, price = F.col("p_size"), F.col("p_retailprice")
+    return table(spark, sf_dir, "part").select(
+        "p_partkey",
+        B.points((size >= 10, 2), (price >= 1000, 1), (F.col("p_brand") == "Brand#11", 3)).alias("points"),
+        B.banded(size, [10, 20, 40]).alias("band"),
+        B.ladder(size >= 5, price >= 1000, size >= 25).alias("ladder"),
+        F.round(B.weighted((size, 2.0), (price / 100, 1.0)), 6).alias("weighted"),
+        B.matrix((size >= 25).cast("int"), (price >= 1000).cast("int"), [[0, 1], [1, 3]]).alias("cell"),
+    )
+
+
+@query("with w as (select user_id, event_type in ('purchase', 'click') a from events where event_id % 50 < 3) select user_id, count(*) worlds, case when count(distinct a) = 1 then min(a) end answer from w group by user_id")
+def certain_answers(spark, sf_dir):
+    """A user's rows stand for completions of what is withheld."""
+    rows = table(spark, sf_dir, "events").where("event_id % 50 < 3").select("user_id", F.col("event_type").isin("purchase", "click").alias("a"))
+    return records.certain_answers(rows, "user_id", "a")
+
+
+@query("with t(k, v) as (values ('conv:1', 'a'), ('conv', 'b')), x as (select distinct 'conv:' || conv_id % 3 id from conversations) select id, coalesce(t.v, case when true then (select v from t where k = 'conv') end) domain from x left join t on t.k = x.id")
+def domain_attach(spark, sf_dir):
+    told = spark.sql("select * from values ('conv:1', 'a'), ('conv', 'b') as t(k, domain)")
+    ids = table(spark, sf_dir, "conversations").select(F.concat(F.lit("conv:"), (F.col("conv_id") % 3).cast("string")).alias("id")).distinct()
+    return records.attach_with_fallback(ids, told, "id", "k", "domain")
+
+
+@query("select distinct r_name \"start\", c_mktsegment node from region join nation on n_regionkey = r_regionkey join customer on c_nationkey = n_nationkey")
+def multihop_walk(spark, sf_dir):
+    n, c, r = (table(spark, sf_dir, t) for t in ("nation", "customer", "region"))
+    edge = lambda df, a, rel, b: df.select(F.col(a).cast("string").alias("source"), F.lit(rel).alias("relation"), F.col(b).cast("string").alias("target"))
+    named = n.join(r, F.col("n_regionkey") == F.col("r_regionkey"))
+    edges = edge(named, "r_name", "has", "n_nationkey").unionAll(edge(c, "c_nationkey", "buys", "c_mktsegment"))
+    return records.walk(edges, r.select(F.col("r_name").alias("node")), ["has", "buys"])
+
+
+@query(
+    "with u as (select doc_id, ('0x' || sha256('mix' || chr(0) || doc_id)[1:12])::bigint / 281474976710656.0 u from documents) select doc_id, case when u < 0.2 then 'object' when u < 0.3 then 'other_option' else 'plain' end variant from u"
+)
+def presentation_mix(spark, sf_dir):
+    return records.presentation_mix(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", [("object", 0.2), ("other_option", 0.1)], "mix")
+
+
+@query(
+    "with o as (select vec_id, unnest(['a', 'b', 'c', 'd']) x, unnest(range(4)) i from embeddings) select vec_id, string_agg(x, '' order by sha256(vec_id || chr(0) || i)) options from o group by vec_id"
+)
+def option_permutation(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.array_join(records.permuted(F.array(*map(F.lit, "abcd")), F.col("vec_id")), "").alias("options"))
+
+
+@query(
+    """with x as (select conv_id, turn, case turn % 4 when 0 then 'yes' when 1 then ' NO ' when 2 then 'maybe' end a, turn % 4 k from conversations)
+select conv_id, turn, case when k = 3 then 'unparsed' when k = 2 then 'out_of_domain' else 'ok' end status, case when k < 2 then lower(trim(a)) end answer, case when k < 2 then 1.0::double end confidence from x"""
+)
+def reply_parse(spark, sf_dir):
+    """Replies with an object amid prose, with odd case and space, outside the domain, and without an object."""
+    k = F.col("turn") % 4
+    said = F.when(k == 0, "yes").when(k == 1, " NO ").otherwise("maybe")
+    text = F.when(k == 3, "no object here {").otherwise(F.concat(F.lit('Well: {"answer": "'), said, F.lit('", "confidence": 1.5} so.')))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", records.parse_reply(text, F.array(F.lit("yes"), F.lit("no"))).alias("r"))
+    return rows.select("conv_id", "turn", "r.status", "r.answer", "r.confidence")
+
+
+@query("with l as (select user_id, value, row_number() over (partition by user_id order by event_id desc) r from events) select user_id, count(*) entries, round(avg(value), 6) \"mean\" from l where r <= 2 group by user_id")
+def last_two_mean(spark, sf_dir):
+    return assembly.last_mean(table(spark, sf_dir, "events"), "user_id", "event_id", "value").withColumn("mean", F.round("mean", 6))
+
+
+@query(
+    "with k as (select doc_id, sha256(coalesce(text, '')) h, lang, n_chars from documents), f as (select h, min(doc_id) m from k group by h) "
+    "select doc_id, case when n_chars < 150 then 'short' when lang not in ('en', 'de') then 'language' when doc_id <> m then 'near_duplicate' when doc_id in (select doc_id from labels where toxic = 1) then 'contaminated' else 'kept' end reason from k join f using (h)"
+)
+def teacher_records(spark, sf_dir):
+    from verdigris.operators.similarity import first_of
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars", F.sha2(F.coalesce("text", F.lit("")), 256).alias("h"))
+    later = docs.join(first_of(docs.select("doc_id", "h"), ["h"], [F.col("doc_id")]), "doc_id", "left_anti")
+    toxic = table(spark, sf_dir, "labels").where("toxic = 1").select("doc_id")
+    return assembly.teacher_records(docs, "doc_id", [("short", F.col("n_chars") < 150), ("language", ~F.col("lang").isin("en", "de"))], later, toxic)
+
+
+@query("select lane, count(*) n from (select unnest(list_filter([case when label + 2 <= 4 then 'narrow' end, case when label + 2 <= 8 then 'wide' end, 'all'], lambda x: x is not null)) lane from embeddings) group by lane")
+def lane_derivation(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings").select((F.col("label") + 2).alias("options"))
+    return assembly.lanes(rows, "options", {"narrow": 4, "wide": 8, "all": 99}).groupBy("lane").agg(F.count("*").alias("n"))
+
+
+@query("select doc_id from documents where source in ('src1', 'src3', 'src5', 'src7', 'src9', 'src11', 'src13', 'src15', 'src17', 'src19')")
+def licence_filter(spark, sf_dir):
+    receipts = spark.sql("select concat('src', id) source, if(id % 2 = 1, 'CC-BY-4.0', 'unknown') licence from range(20)")
+    return assembly.allowed(table(spark, sf_dir, "documents").select("doc_id", "source"), receipts, "source", ["cc-by-4.0", "cc0-1.0"]).select("doc_id")
+
+
+@query(
+    """with d as (select distinct doc_id, trim(regexp_replace(lower(l), '\\s+', ' ', 'g')) l from (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) l from documents)),
+b as (select distinct trim(regexp_replace(lower(l), '\\s+', ' ', 'g')) l from (select unnest(string_split(coalesce(text, ''), chr(10))) l from benchmark)) select doc_id, count(*) hits from d where length(l) >= 20 and l in (select l from b) group by doc_id"""
+)
+def bundle_check(spark, sf_dir):
+    return assembly.bundle_hits(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "benchmark"), "text")
+
+
+@query("with " + preds_sql(0, "a") + "," + preds_sql(10, "b") + ", u as (select 'a' model, track, family, correct from a union all select 'b', track, family, correct from b) select model, track, family, count(*) n, round(avg(correct::int), 6) accuracy from u group by grouping sets ((model), (model, track), (model, track, family))")
+def evaluation_summary(spark, sf_dir):
+    rows = [predictions(spark, sf_dir, at).select(F.lit(m).alias("model"), "track", "family", "correct") for m, at in (("a", 0), ("b", 10))]
+    return assembly.evaluation_summary(rows[0].unionAll(rows[1]), "model", "track", "family", "correct").withColumn("accuracy", F.round("accuracy", 6))
