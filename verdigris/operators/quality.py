@@ -64,3 +64,37 @@ def poststratified(df: DataFrame, task: str, correct: str, full_counts: DataFram
     per = df.groupBy(task).agg(F.count("*").alias("n"), F.sum(F.col(correct).cast("long")).alias("k")).join(F.broadcast(full_counts), task)
     a = F.col("k") / F.col("n")
     return per.agg((F.sum("k") / F.sum("n")).alias("primary"), F.avg(a).alias("macro"), (F.sum(a * F.col(count)) / F.sum(count)).alias("poststratified"))
+
+
+def mixture_statistics(df: DataFrame, source: str, decisions: Column, gold: str) -> DataFrame:
+    """source, rows, decisions, unknown_share."""
+    return df.groupBy(source).agg(F.count("*").alias("rows"), F.sum(decisions).alias("decisions"), F.avg(F.col(gold).isNull().cast("double")).alias("unknown_share"))
+
+
+def unknown_mass(df: DataFrame, keys: list[str], p_unknown: str, gold: str) -> DataFrame:
+    """keys, n, mean mass on unknown where the gold is known and where it isn't, and the share of known rows with most mass on it."""
+    known = F.col(gold).isNotNull()
+    return df.groupBy(*keys).agg(
+        F.count("*").alias("n"), F.avg(F.when(known, F.col(p_unknown))).alias("mass_known"), F.avg(F.when(~known, F.col(p_unknown))).alias("mass_unknown"), F.avg(F.when(known, (F.col(p_unknown) > 0.5).cast("double"))).alias("over_half")
+    )
+
+
+def pilot(df: DataFrame, source: str, status: str, kept: str, cost: str) -> DataFrame:
+    """source, n, parse_error, truncated, keep_rate, cost_per_kept; the cost is null where nothing was kept."""
+    share = lambda v: F.avg((F.col(status) == v).cast("double"))
+    return df.groupBy(source).agg(
+        F.count("*").alias("n"), share("parse_error").alias("parse_error"), share("truncated").alias("truncated"), F.avg(F.col(kept).cast("double")).alias("keep_rate"), F.try_divide(F.sum(cost), F.count_if(F.col(kept))).alias("cost_per_kept")
+    )
+
+
+def reviewer_comparison(df: DataFrame, id: str, reviewer: str, value: str, truth: str, reviewers: list[str]) -> DataFrame:
+    """id, one column a reviewer, all_match: whether every reviewer gave the constructed truth; a missing review doesn't match."""
+    wide = df.groupBy(id).agg(F.max(truth).alias("__t"), *[F.max(F.when(F.col(reviewer) == r, F.col(value))).alias(r) for r in reviewers])
+    return wide.select(id, *reviewers, F.coalesce(F.forall(F.array(*reviewers), lambda x: x.eqNullSafe(F.col("__t"))), F.lit(False)).alias("all_match"))
+
+
+def share_capped(df: DataFrame, id: str, condition: Column, keep_of_100: int, salt: str) -> DataFrame:
+    """Rows that meet a condition are kept only for a share of the ids, by hash; the others all stay."""
+    from verdigris.functions.hashing import percent
+
+    return df.where(~F.coalesce(condition, F.lit(False)) | (percent(salt, F.col(id)) < keep_of_100))

@@ -69,3 +69,22 @@ def working_minutes_due(df: DataFrame, start: str, minutes: int, open_minute: in
     end = days.where("business").select(F.col("number").alias("__e"), F.col("day").alias("__x"))
     rest = F.col("__m") - (F.col("__e") - 1) * span + open_minute
     return joined.join(F.broadcast(end), "__e", "left").withColumn(out, F.timestamp_add("MINUTE", rest.cast("int"), F.col("__x").cast("timestamp"))).drop("__d", "__n", "__b", "__m", "__e", "__x")
+
+
+def shift_hours(start: Column, end: Column, break_minutes: Column, night_from: int = 22, night_to: int = 6, regular: float = 8.0) -> tuple[Column, Column, Column]:
+    """(paid, overtime, night) hours of a shift that may pass midnight once: an end that isn't after the start is on the next day. Night
+    hours are those between ``night_from`` and ``night_to``; breaks come off the paid hours."""
+    s = start.cast("timestamp").cast("double")
+    e = F.when(end.cast("timestamp").cast("double") > s, end.cast("timestamp").cast("double")).otherwise(end.cast("timestamp").cast("double") + 86_400)
+    paid = F.greatest(F.lit(0.0), (e - s) / 3600 - break_minutes / 60)
+    day = F.date_trunc("day", start.cast("timestamp")).cast("double")
+    night = F.lit(0.0)
+    for d in (-1, 0, 1):  # the nights that begin on the day before, the day itself, and the next
+        low, high = day + d * 86_400 + night_from * 3600, day + (d + 1) * 86_400 + night_to * 3600
+        night = night + F.greatest(F.lit(0.0), F.least(e, high) - F.greatest(s, low)) / 3600
+    return paid, F.greatest(F.lit(0.0), paid - regular), night
+
+
+def in_zone(moment: Column, zone: str) -> Column:
+    """A UTC moment as local wall time."""
+    return F.from_utc_timestamp(moment.cast("timestamp"), zone)

@@ -194,3 +194,45 @@ def dataset_digest(spark, sf_dir):
 def strided_scan(spark, sf_dir):
     """Every seventh row in order of id. Rows are numbered in two levels: within ranges of the id, and over the ranges."""
     return inventory.strided(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", 7)
+
+
+def _labelled(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+
+
+@query("select source, count(*) \"rows\", sum(1 + doc_id % 3)::bigint decisions, round(avg((quality is null)::int), 6) unknown_share from documents left join labels using (doc_id) group by source")
+def mixture_statistics(spark, sf_dir):
+    return quality.mixture_statistics(_labelled(spark, sf_dir), "source", 1 + F.col("doc_id") % 3, "quality").withColumn("unknown_share", F.round("unknown_share", 6))
+
+
+@query(
+    """with x as (select lang, quality g, (doc_id % 10) / 10.0 u from documents left join labels using (doc_id))
+select lang, count(*) n, round(avg(u) filter (g is not null), 6) mass_known, round(avg(u) filter (g is null), 6) mass_unknown, round(avg((u > 0.5)::int) filter (g is not null), 6) over_half from x group by lang"""
+)
+def unknown_mass_audit(spark, sf_dir):
+    rows = _labelled(spark, sf_dir).withColumn("u", (F.col("doc_id") % 10) / 10)
+    return quality.unknown_mass(rows, ["lang"], "u", "quality").withColumns({c: F.round(c, 6) for c in ("mass_known", "mass_unknown", "over_half")})
+
+
+@query(
+    """with x as (select source, case doc_id % 10 when 0 then 'parse_error' when 1 then 'truncated' else 'ok' end s, coalesce(quality = 1, false) k, n_chars * 0.001 c from documents left join labels using (doc_id))
+select source, count(*) n, round(avg((s = 'parse_error')::int), 6) parse_error, round(avg((s = 'truncated')::int), 6) truncated, round(avg(k::int), 6) keep_rate, round(sum(c) / nullif(count_if(k), 0), 6) cost_per_kept from x group by source"""
+)
+def pilot_metrics(spark, sf_dir):
+    status = F.when(F.col("doc_id") % 10 == 0, "parse_error").when(F.col("doc_id") % 10 == 1, "truncated").otherwise("ok")
+    rows = _labelled(spark, sf_dir).withColumns({"s": status, "k": F.coalesce(F.col("quality") == 1, F.lit(False)), "c": F.col("n_chars") * 0.001})
+    return quality.pilot(rows, "source", "s", "k", "c").withColumns({c: F.round(c, 6) for c in ("parse_error", "truncated", "keep_rate", "cost_per_kept")})
+
+
+@query("select doc_id, quality a, case when doc_id % 7 <> 0 then quality end b, coalesce(doc_id % 7 <> 0 and quality is not null and doc_id % 2 = quality, false) all_match from labels")
+def reviewer_comparison(spark, sf_dir):
+    """Two reviewers, of whom the second skips a seventh, against a truth read from the id."""
+    rows = table(spark, sf_dir, "labels").select("doc_id", "quality", (F.col("doc_id") % 2).cast("int").alias("truth"))
+    long = rows.withColumn("reviewer", F.lit("a")).unionAll(rows.where("doc_id % 7 <> 0").withColumn("reviewer", F.lit("b")))
+    return quality.reviewer_comparison(long, "doc_id", "reviewer", "quality", "truth", ["a", "b"])
+
+
+@query("select doc_id from documents where not (source = 'src0') or ('0x' || sha256('cap' || chr(0) || doc_id)[1:8])::bigint % 100 < 30")
+def share_cap(spark, sf_dir):
+    """Only three tenths of the largest source, by hash of the id."""
+    return quality.share_capped(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id", F.col("source") == "src0", 30, "cap").select("doc_id")

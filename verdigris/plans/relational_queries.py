@@ -125,3 +125,16 @@ def pricing_summary(spark, sf_dir):
     return rows.groupBy("l_returnflag", "l_linestatus").agg(
         F.round(F.sum("l_quantity"), 2).alias("sum_qty"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"), F.round(F.avg("l_discount"), 6).alias("avg_disc"), F.count("*").alias("n")
     )
+
+
+@query(
+    """with s as (select event_id, epoch(ts) s, epoch(date_trunc('day', ts)) d, epoch(date_trunc('day', ts)) + (event_id * 37 % 1440) * 60 e0, event_id % 45 b from events),
+e as (select *, case when e0 > s then e0 else e0 + 86400 end e from s), p as (select *, greatest(0, (e - s) / 3600 - b / 60) paid from e)
+select event_id, round(paid, 6) paid, round(greatest(0, paid - 8), 6) overtime,
+round((greatest(0, least(e, d - 86400 + 86400 + 21600) - greatest(s, d - 86400 + 79200)) + greatest(0, least(e, d + 86400 + 21600) - greatest(s, d + 79200)) + greatest(0, least(e, d + 172800 + 21600) - greatest(s, d + 86400 + 79200))) / 3600, 6) night from p"""
+)
+def shift_pay(spark, sf_dir):
+    """Shifts from an event's time to a minute of the day, breaks off, with overtime and night hours."""
+    end = F.timestamp_add("MINUTE", (F.col("event_id") * 37 % 1440).cast("int"), F.date_trunc("day", F.col("ts").cast("timestamp")))
+    paid, overtime, night = T.shift_hours(F.col("ts"), end, F.col("event_id") % 45)
+    return table(spark, sf_dir, "events").select("event_id", F.round(paid, 6).alias("paid"), F.round(overtime, 6).alias("overtime"), F.round(night, 6).alias("night"))
