@@ -19,6 +19,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from verdigris.llm.workers import claim
+
 #: Characters of text handled at once in a worker, pieces per DuckDB query, and pieces remembered by a worker.
 BATCH_CHARS, QUERY_PIECES, MEMORY_PIECES = 4_000_000, 40_000, 500_000
 #: Bytes above which a piece is contracted by repeated queries over a replaced table: the recursion keeps every
@@ -191,6 +193,7 @@ _CODERS: dict[tuple[str, str], BytePairCoder] = {}
 
 def coder(path: str, pattern: str) -> BytePairCoder:
     """The worker's coder of a vocabulary; workers are reused from task to task."""
+    claim("bpe", _CODERS.clear)
     if (path, pattern) not in _CODERS:
         _CODERS[path, pattern] = BytePairCoder(path, pattern)
     return _CODERS[path, pattern]

@@ -22,6 +22,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from verdigris.llm.workers import claim
 from verdigris.operators.graph import connected_components
 from verdigris.storage import materialise
 
@@ -118,6 +119,7 @@ _WALKER: list[Walker] = []
 
 
 def walker() -> Walker:
+    claim("edit", _WALKER.clear)
     if not _WALKER:
         _WALKER.append(Walker())
     return _WALKER[0]
@@ -176,8 +178,10 @@ def _parse(fingerprint: str) -> tuple[int, np.ndarray]:
 
 def edit_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", least: float = 0.8, bands: int = 24, width: int = 6) -> DataFrame:
     """(doc_id, class_id, links): documents joined where a band of bit-sampled fingerprint bytes agrees and the whole
-    fingerprints' likeness is at least ``least``. Equal fingerprints form one class first; a band's bucket is compared
-    along its order and against its first member, so a bucket of any size costs in proportion to its size."""
+    fingerprints' likeness is at least ``least``. Equal fingerprints form one class first. In a band's bucket a row is measured against
+    each group of joined rows until one of its members is like it, so no join within a bucket is lost, and a bucket of rows that
+    are all alike costs in proportion to its size. A bucket's distinct fingerprints, some 500 bytes each, are held by one task.
+    ``links`` counts the links that were used to join."""
     prints = materialise(with_fingerprint(docs.select(F.col(id).alias("doc_id"), F.col(text).alias("text"))).select("doc_id", "fingerprint"), "edit-prints")
     classes = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("rep"))
 
@@ -195,18 +199,21 @@ def edit_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", lea
             yield pd.DataFrame(rows, columns=["band", "key", "rep", "fingerprint"])
 
     def verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last = first = None
+        bucket, joined = None, []
         for batch in batches:
             rows = []
             for band, key, rep, fp in zip(batch.band.array, batch.key.array, batch.rep.array, batch.fingerprint.array):
-                now = (band, key, int(rep), _parse(fp))
-                if first is None or first[:2] != now[:2]:
-                    first = now
-                else:
-                    for other in {first[2]: first, last[2]: last}.values():
-                        if likeness(now[3], other[3], walker().steps) >= least:
-                            rows.append((now[2], other[2]))
-                last = now
+                if (band, key) != bucket:
+                    bucket, joined = (band, key), []
+                own, before, apart = (int(rep), _parse(fp)), [], []
+                for group in joined:
+                    met = next((m for m in group if likeness(own[1], m[1], walker().steps) >= least), None)
+                    if met:
+                        rows.append((int(rep), met[0]))
+                        before = before + group
+                    else:
+                        apart.append(group)
+                joined = [*apart, [*before, own]]
             yield pd.DataFrame(rows, columns=["a", "b"])
 
     keyed = classes.where("rep is not null").mapInPandas(banded, "band int, key string, rep long, fingerprint string")

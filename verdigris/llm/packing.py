@@ -22,6 +22,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, Window
 
+from verdigris.llm.workers import claim
 from verdigris.storage import materialise
 
 #: White-space separated chunks remembered by a worker with their ids, and pieces of a length numbered in one task, about.
@@ -84,6 +85,7 @@ def tokenizer(path: str) -> ChunkTokenizer:
     import os
 
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    claim("packing", _TOKENIZERS.clear)
     if path not in _TOKENIZERS:
         _TOKENIZERS[path] = ChunkTokenizer(path)
     return _TOKENIZERS[path]

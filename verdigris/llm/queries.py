@@ -6,14 +6,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from verdigris.session import ship_package
-from verdigris.storage import materialise, scratch_path
+from verdigris.storage import materialise, scratch_path, spread
 
 HELD_OUT = "pmod(crc32(cast(cast(doc_id as string) as binary)), 5) = 0"
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFrame:
     ship_package(spark)
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet").select(*columns)
+    return spread(spark.read.parquet(f"{sf_dir}/{table}.parquet").select(*columns))
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

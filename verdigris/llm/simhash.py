@@ -22,6 +22,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from verdigris.llm.workers import claim
 from verdigris.operators.graph import connected_components
 from verdigris.storage import materialise
 
@@ -54,6 +55,7 @@ def with_fingerprint(df: DataFrame, text: str, words: int = 4, out: str = "fp")
 
     @F.pandas_udf("long")
     def fingerprint(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        claim("simhash")
         for column in batches:
             yield pd.Series(np.array([fingerprint_text(x, words) for x in column.array], dtype=np.uint64).view(np.int64))
 

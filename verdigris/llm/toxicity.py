@@ -20,6 +20,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from verdigris.llm.workers import claim
 from verdigris.storage import materialise
 
 LOWEST, HIGHEST = 3, 5  # lengths of character n-grams
@@ -167,7 +168,7 @@ SHARPNESS = 60.0
 class Scorer:
     """Scores in a worker; remembers the numbers of words."""
 
-    MEMORY = 400_000
+    MEMORY = 300_000
 
     def __init__(self, folded: np.ndarray, bias: float):
         self.folded, self.bias, self.known = folded, bias, {}
@@ -226,6 +227,7 @@ def with_score(df: DataFrame, model: tuple[np.ndarray, float], text: str = "text
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        claim("toxicity", _SCORERS.clear)
         if key not in _SCORERS:
             _SCORERS.clear()
             _SCORERS[key] = Scorer(*told.value)
