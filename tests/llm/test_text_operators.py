@@ -198,6 +198,8 @@ def test_toxicity_held_out_and_unseen_spellings(spark):
     one = toxicity.fit(df, df.where("toxic = 0"), settings=toxicity.Settings(sample_rows=50, buckets=64))
     assert all(0 <= r["score"] < 0.5 for r in toxicity.with_score(df.limit(5), one).collect())
     assert toxicity.with_score(df.limit(0), model).count() == 0
+    none = toxicity.fit(df, df.limit(0), settings=toxicity.Settings(sample_rows=50, buckets=64))
+    assert all(0 <= r["score"] < 0.5 for r in toxicity.with_score(df.limit(3), none).collect())
 
 
 @pytest.fixture(scope="module")

@@ -5,7 +5,8 @@ one of them; a document's vector is the mean over its words. So a misspelling th
 the word that was. Training reads a bounded sample of labelled rows; once trained, the softmax folds into one number
 per subword, and scoring runs over every whole text.
 
-Null and empty texts have no words and get the score of the bias alone. A word's marks and n-grams are over
+Null and empty texts have no words and get the score of the bias alone. Labels of one kind only, or none, give every text
+the same score, below one half unless they are all 1. A word's marks and n-grams are over
 lower-cased letters; anything that is no letter separates words.
 """
 
@@ -128,7 +129,8 @@ def train(texts: Iterable[str], labels: np.ndarray | array, settings: Settings =
     share = max(1, (labels == 1).sum()) / max(1, len(labels))
     weight = np.where(labels == 1, 0.5 / share, 0.5 / max(1e-6, 1 - share)).astype(np.float32) ** 0.75
     if len(set(labels.tolist())) < 2:
-        return np.zeros(settings.buckets, np.float32), float(np.log((share + 1e-6) / (1 - share + 1e-6)))
+        prior = ((labels == 1).sum() + 0.5) / (len(labels) + 2)  # below one half where there is no label at all
+        return np.zeros(settings.buckets, np.float32), float(np.log(prior / (1 - prior)))
     large = settings.sample_rows * settings.epochs
     for _ in range(max(settings.epochs, min(settings.most_epochs, large // max(1, len(labels))))):
         order = rng.permutation(len(labels))
@@ -207,17 +209,27 @@ def sample(docs: DataFrame, labels: DataFrame, id: str, text: str, label: str, r
 
 
 def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "toxic", settings: Settings = Settings()) -> tuple[np.ndarray, float]:
-    """Train on a sample of the labelled rows of ``docs``; rows come to the driver one partition at a time and each text is let go
-    once it is cut into words."""
-    found = array("i")
-
-    def texts() -> Iterator[str]:
-        for r in sample(docs, labels, id, text, label, settings.sample_rows).toLocalIterator():
-            if len(found) < settings.sample_rows + settings.sample_rows // 8:
-                found.append(r["y"])
-                yield r["x"]
-
-    return train(texts(), found, settings)
+    """Train on a sample of the labelled rows of ``docs``. The sample is bounded, so one task takes it: the texts and the words they
+    are cut into stay out of the driver, and a lost executor costs that task. The driver gets the folded model."""
+
+    def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        claim("toxicity-fit")
+        found = array("i")
+
+        def texts() -> Iterator[str]:
+            for batch in batches:
+                for x, y in zip(batch.x.array, batch.y.array):
+                    found.append(int(y))
+                    yield x
+
+        folded, bias = train(texts(), found, settings)
+        yield pd.DataFrame({"folded": [folded.astype("<f4").tobytes()], "bias": [bias]})
+
+    picked = sample(docs, labels, id, text, label, settings.sample_rows).repartition(1).sortWithinPartitions(F.xxhash64("x"), "y")
+    model = picked.mapInPandas(learn, "folded binary, bias double").collect()
+    if not model:  # the plan was known to be empty, and no task ran
+        return train([], array("i"), settings)
+    return np.frombuffer(bytes(model[0]["folded"]), "<f4").astype(np.float32), model[0]["bias"]
 
 
 def with_score(df: DataFrame, model: tuple[np.ndarray, float], text: str = "text", out: str = "score") -> DataFrame:
