@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from verdigris.llm import packing, secret_scan, simhash, toxicity
+from verdigris.llm import packing, secret_scan, shingle_sets, toxicity
 from verdigris.llm.queries import HELD_OUT
 from verdigris.session import ship_package
 from verdigris.storage import materialise
@@ -22,9 +22,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents whose fingerprints are joined, the one with the smallest id stays; documents without an id stay."""
+    """Documents join where their sets of five-word shingles have a Jaccard similarity of 0.8 or more. Of each group the one with the
+    smallest id stays; documents without an id stay."""
     ship_package(spark)
-    groups = simhash.simhash_components(docs)
+    groups = shingle_sets.shingle_components(docs, words=5, least=0.8)
     others = groups.where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
 

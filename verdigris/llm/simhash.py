@@ -30,26 +30,35 @@ from verdigris.storage import materialise
 FANOUT, CHUNK = 8, 400_000
 
 
-def fingerprint_text(text: str | None, words: int = 4) -> int:
-    """The 64-bit fingerprint of one text, as an unsigned integer."""
+def shingle_hashes(text: str | None, words: int) -> np.ndarray:
+    """XXH64 of each shingle of a text, in order; none where it has no word."""
     import xxhash
 
     tokens = (text or "").encode().lower().split()
     if not tokens:
-        return 0
+        return np.zeros(0, dtype=np.uint64)
     joined, n = b" ".join(tokens), len(tokens)
-    ends = (np.cumsum(np.fromiter(map(len, tokens), np.int64, n)) + np.arange(n)).tolist()
-    starts = [0, *(e + 1 for e in ends[:-1])]
     digest = xxhash.xxh64_intdigest
     if n <= words:
-        return digest(joined, 42)
-    hashes = np.array([digest(joined[a:b], 42) for a, b in zip(starts, ends[words - 1 :])], dtype=np.uint64)
+        return np.array([digest(joined, 42)], dtype=np.uint64)
+    ends = (np.cumsum(np.fromiter(map(len, tokens), np.int64, n)) + np.arange(n)).tolist()
+    starts = [0, *(e + 1 for e in ends[:-1])]
+    return np.array([digest(joined[a:b], 42) for a, b in zip(starts, ends[words - 1 :])], dtype=np.uint64)
+
+
+def vote(hashes: np.ndarray) -> int:
+    """The bits that more than half of the hashes have; 0 of none."""
     votes = np.zeros(64, dtype=np.int64)
     for at in range(0, len(hashes), 65_536):
         votes += np.unpackbits(hashes[at : at + 65_536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(votes * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
+def fingerprint_text(text: str | None, words: int = 4) -> int:
+    """The 64-bit fingerprint of one text, as an unsigned integer."""
+    return vote(shingle_hashes(text, words))
+
+
 def with_fingerprint(df: DataFrame, text: str, words: int = 4, out: str = "fp") -> DataFrame:
     """``df`` with the fingerprint as a signed long with the same bits."""
 
