@@ -1,0 +1,19 @@
+"""Operators against the whole of their job, where a shorter way once lost rows."""
+
+import pytest
+
+from verdigris.operators import calibration
+
+
+def test_temperature_fit_reads_all_rows_of_a_large_key(spark):
+    """60,000 rows of one key, of which a third are equal."""
+    import numpy as np
+    import pandas as pd
+
+    rng = np.random.default_rng(3)
+    z = rng.normal(0, 4, (60_000, 3))
+    y = np.array([rng.choice(3, p=np.exp(v / 2) / np.exp(v / 2).sum()) for v in z])
+    z[:20_000], y[:20_000] = [3.0, 0.0, -1.0], 1
+    df = spark.createDataFrame(pd.DataFrame({"k": "k", "z": z.tolist(), "y": y}), "k string, z array<double>, y int")
+    fitted = calibration.fit_temperatures(df, "k", "z", "y").first()
+    assert fitted["n"] == 60_000 and fitted["temperature"] == pytest.approx(calibration.golden_section(z, y), rel=1e-6)
