@@ -1,8 +1,9 @@
 """Operators against the whole of their job, where a shorter way once lost rows."""
 
 import pytest
+from pyspark.sql import functions as F
 
-from verdigris.operators import calibration
+from verdigris.operators import calibration, similarity
 
 
 def test_temperature_fit_reads_all_rows_of_a_large_key(spark):
@@ -17,3 +18,12 @@ def test_temperature_fit_reads_all_rows_of_a_large_key(spark):
     df = spark.createDataFrame(pd.DataFrame({"k": "k", "z": z.tolist(), "y": y}), "k string, z array<double>, y int")
     fitted = calibration.fit_temperatures(df, "k", "z", "y").first()
     assert fitted["n"] == 60_000 and fitted["temperature"] == pytest.approx(calibration.golden_section(z, y), rel=1e-6)
+
+
+def test_survivors_of_a_long_chain(spark):
+    """Each record wins over the next, in rank order, so every other one goes; two pairs are settled a round."""
+    n = 106
+    rec = spark.createDataFrame([(i, n - i) for i in range(n)], "doc_id long, score long")
+    pairs = spark.createDataFrame([(i, i + 1, 0.99 - i / 1000) for i in range(n - 1)], "a long, b long, share double").coalesce(1)
+    left = similarity.survivors(rec.coalesce(1), pairs, "doc_id", F.col("score")).collect()
+    assert sorted(r["doc_id"] for r in left) == list(range(0, n, 2))

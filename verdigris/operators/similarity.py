@@ -76,10 +76,10 @@ def near_duplicate_pairs(df: DataFrame, n: int = 13, *, id: str, text: str, sour
     return shared.select("a", "b", "shared", share.alias("share")).where(F.col("share") > least)
 
 
-def survivors(records: DataFrame, pairs: DataFrame, id: str, score: Column, rounds: int = 50) -> DataFrame:
+def survivors(records: DataFrame, pairs: DataFrame, id: str, score: Column) -> DataFrame:
     """``records`` without the losers of their pairs. Pairs are settled by descending share; the record of smaller score loses, unless
     the winner has lost before (a loser cannot eliminate). Solved in rounds: a pair is settled once no undecided pair that ranks before it
-    touches its winner, so each round settles many pairs; the pair table is written between rounds."""
+    touches its winner, so each round settles the first pair at least; the pair table is written between rounds, until none is left."""
     from verdigris.storage import discard, materialise
 
     scored = records.select(F.col(id).alias("x"), score.alias("s"))
@@ -87,16 +87,18 @@ def survivors(records: DataFrame, pairs: DataFrame, id: str, score: Column, roun
     a_wins = (F.col("s_a") > F.col("s_b")) | ((F.col("s_a") == F.col("s_b")) & (F.col("a") < F.col("b")))
     w, loser = F.when(a_wins, F.col("a")).otherwise(F.col("b")), F.when(a_wins, F.col("b")).otherwise(F.col("a"))
     left = materialise(p.select(w.alias("w"), loser.alias("l"), F.struct((-F.col("share")).alias("r"), F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).alias("rank")), "pairs")
-    lost = None
-    for _ in range(rounds):
+    lost, parts = None, 0
+    while not left.isEmpty():
         # the first undecided pair in which a record would lose: its winner's fate is open before that
         threat = left.groupBy("l").agg(F.min("rank").alias("first"))
         marked = left.join(threat.select(F.col("l").alias("w"), "first"), "w", "left")
         settled = marked.where(F.col("first").isNull() | (F.col("first") > F.col("rank")))
         out = materialise(settled.select("l").distinct(), "lost")
         if out.isEmpty():
-            break
-        lost = out if lost is None else lost.unionAll(out)
+            raise ValueError("no open pair can be settled: a record is paired with itself, or a share is null")
+        lost, parts = out if lost is None else lost.unionAll(out), parts + 1
+        if parts % 20 == 0:  # a plan of few tables, however long the chain
+            lost = materialise(lost, "lost")
         # pairs whose loser is lost are settled; those whose winner was lost by an earlier pair can't eliminate
         gone = out.select("l")
         following = left.join(gone, "l", "left_anti").join(gone.select(F.col("l").alias("w")), "w", "left_anti")
