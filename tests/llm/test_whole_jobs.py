@@ -2,7 +2,7 @@
 
 import random
 
-from verdigris.llm import shingle_sets
+from verdigris.llm import edit_fingerprint, shingle_sets
 
 
 def test_near_duplicate_stage_finds_all_copies_of_similarity_0_8(spark):
@@ -31,3 +31,23 @@ def test_near_duplicate_stage_finds_all_copies_of_similarity_0_8(spark):
     left = corpus_pipeline.drop_near_duplicates(spark, docs, "").select("doc_id").collect()
     assert sorted(r[0] for r in left) == sorted(set(root))
     assert shingle_sets.shingle_components(docs.limit(0)).count() == 0
+
+
+def test_edit_duplicates_join_texts_of_other_lengths(spark):
+    """Copies with text appended, inserted or deleted: walks of other lengths, up to either side of a power of two."""
+    rng = random.Random(12)
+    letters = lambda n: "".join(rng.choice("abcdefghij klmnop") for _ in range(n))
+    rows, want = [], {}
+    for i in range(60):
+        x = letters(rng.choice([400, 680, 1360, 3000]))
+        n = len(x)
+        y = [x + letters(n // 100), x + letters(n // 20), x + letters(n // 10), x[: n // 2] + "q" + x[n // 2 :], x[: n // 2] + x[n // 2 + 2 :]][i % 5]
+        a, b = edit_fingerprint.walker().fingerprints([x, y])
+        rows += [(i, x), (100 + i, y)]
+        if edit_fingerprint.likeness(a, b, edit_fingerprint.walker().steps) >= 0.8:
+            want[100 + i] = i
+    got = {r["doc_id"]: r["class_id"] for r in edit_fingerprint.edit_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    found = sum(got[k] == v for k, v in want.items())
+    print("alike", len(want), "found", found)
+    assert len(want) >= 40 and found == len(want)
+    assert all(c in (d, d - 100) for d, c in got.items())

@@ -28,6 +28,8 @@ from verdigris.storage import materialise
 
 #: Sampled steps, characters hashed at each, kinds of characters that stay differently long, and the period of the shared bits.
 SAMPLES, SPAN, KINDS, PERIOD = 256, 4, 16, 1 << 14
+#: Steps of lowest rank within a power of two that bands choose from; walks of up to four times the power sample nearly all of them.
+POOL = 48
 #: Code points walked together in a worker.
 PORTION = 4_000_000
 
@@ -186,16 +188,28 @@ def edit_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", lea
     classes = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("rep"))
 
     def banded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        picks = np.random.Generator(np.random.PCG64(11)).integers(0, SAMPLES, (bands, width))
+        draw = np.random.Generator(np.random.PCG64(11))
+        # each band looks at other steps of the pool
+        picks = np.array([draw.permutation(POOL)[:width] for _ in range(bands)])
+        pools: dict[int, np.ndarray] = {}
         for batch in batches:
             rows = []
             for rep, fp in zip(batch.rep.array, batch.fingerprint.array):
                 steps, own = _parse(fp)
                 sampled = walker().steps(steps)
-                by_rank = own[np.argsort(_rank(sampled.astype(np.uint64)), kind="stable")] if steps else own
-                for band in range(bands):
-                    at = picks[band] % max(1, len(by_rank))
-                    rows.append((band, by_rank[at].tobytes().hex() if len(by_rank) else "", rep, fp))
+                if not steps:
+                    rows.append((0, "", rep, fp))
+                # walks of up to twice the length share the lower of their classes, and in it the steps looked at
+                longest = steps.bit_length() - 1
+                for size in range(max(0, longest - 1), longest + 1) if steps else ():
+                    if size not in pools:
+                        near = walker().steps(1 << size)
+                        pools[size] = near[np.argsort(_rank(near.astype(np.uint64)), kind="stable")][:POOL]
+                    pool = pools[size]
+                    at = np.minimum(np.searchsorted(sampled, pool), len(sampled) - 1)
+                    seen = np.where(sampled[at] == pool, own[at], 0).astype(np.uint8)
+                    for band in range(bands):
+                        rows.append((band, f"{size:02x}{seen[picks[band] % len(pool)].tobytes().hex()}", rep, fp))
             yield pd.DataFrame(rows, columns=["band", "key", "rep", "fingerprint"])
 
     def verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
