@@ -111,7 +111,7 @@ def survivors(records: DataFrame, pairs: DataFrame, id: str, score: Column) -> D
 def earlier_duplicates(df: DataFrame, n: int = 8, least: int = 5, *, id: str, text: str) -> DataFrame:
     """(id, earlier, shared): each record with every earlier one (smaller id) with which it shares at least ``least`` n-grams.
 
-    The smallest id of a gram's holders stands for exact copies: records are first reduced to distinct gram sets."""
+    All pairs of a gram's holders meet, exact copies too."""
     grams = gram_table(df, id, text, n)
     many = grams.groupBy("gram").agg(F.count("*").alias("m")).where("m > 1").select("gram")
     kept = grams.join(many, "gram").select("gram", "id")
