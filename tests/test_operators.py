@@ -168,10 +168,15 @@ def test_family_roots_stop_at_cycles(spark):
 def test_hamming_pairs(spark):
     codes = [0, 1, 0b111, -1, -2, 1 << 63 - 1]
     df = spark.createDataFrame(list(enumerate(codes)), "id long, c long")
-    want = sorted((i, j, d) for i in range(len(codes)) for j in range(i + 1, len(codes)) if (d := bin((codes[i] ^ codes[j]) & (2**64 - 1)).count("1")) <= 3)
+    want = sorted((i, j, d, 1, 1) for i in range(len(codes)) for j in range(i + 1, len(codes)) if (d := bin((codes[i] ^ codes[j]) & (2**64 - 1)).count("1")) <= 3)
     assert rows(similarity.hamming_pairs(df, "id", "c", 3)) == want
 
 
+def test_hamming_classes(spark):
+    df = spark.createDataFrame([(1, 7), (2, 7), (3, 7), (4, 6), (5, None)], "id long, c long")
+    assert rows(similarity.hamming_pairs(df, "id", "c", 6)) == [(1, 1, 0, 3, 3), (1, 4, 1, 3, 1)]
+
+
 def test_temperature_fit_lowers_the_loss(spark):
     import numpy as np
 

@@ -27,3 +27,72 @@ def test_survivors_of_a_long_chain(spark):
     pairs = spark.createDataFrame([(i, i + 1, 0.99 - i / 1000) for i in range(n - 1)], "a long, b long, share double").coalesce(1)
     left = similarity.survivors(rec.coalesce(1), pairs, "doc_id", F.col("score")).collect()
     assert sorted(r["doc_id"] for r in left) == list(range(0, n, 2))
+
+
+def test_copies_of_two_sources_are_told_by_class(spark):
+    """More holders of an n-gram than any cap would let through: 210 copies over two sources, and one near copy."""
+    words = [f"w{i}" for i in range(40)]
+    data = [(i, " ".join(words), f"s{i % 2}") for i in range(210)] + [(500, " ".join([*words[:39], "x"]), "s0"), (501, "too short", "s1"), (502, None, "s1")]
+    df = spark.createDataFrame(data, "doc_id long, text string, source string")
+    pairs, members = similarity.near_duplicate_pairs(df, id="doc_id", text="text", source="source")
+    assert sorted((r["a"], r["b"], r["links"]) for r in pairs.collect()) == [(0, 0, 105 * 105), (0, 500, 105)]
+    assert members.count() == 211
+    kept = similarity.near_duplicate_survivors(df, id="doc_id", text="text", source="source", score=F.lit(1))
+    assert sorted(r["doc_id"] for r in kept.collect()) == [*range(0, 210, 2), 500, 501, 502]
+
+
+def _brute_survivors(data, n=3):
+    grams = {}
+    for i, text, *_ in data:
+        w = text.split()
+        grams[i] = {tuple(w[k : k + n]) for k in range(len(w) - n + 1)}
+    pairs = []
+    for i, _, s, score, g in data:
+        for j, _, t, other, h in data:
+            if i < j and s != t and g != h and grams[i] & grams[j]:
+                share = len(grams[i] & grams[j]) / min(len(grams[i]), len(grams[j]))
+                if share > 0.5:
+                    w, l = ((i, score), (j, other)) if score >= other else ((j, other), (i, score))
+                    pairs.append((-share, -w[1], w[0], -l[1], l[0]))
+    lost = set()
+    for *_, w, _, l in sorted((p[0], p[1], p[2], p[3], p[4]) for p in pairs):
+        if w not in lost and l not in lost:
+            lost.add(l)
+    return sorted(i for i, *_ in data if i not in lost)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_survivors_of_classes_are_those_of_records(spark, seed):
+    import random
+
+    rng = random.Random(seed)
+    bases = [[rng.choice("abcdefgh") for _ in range(9)] for _ in range(4)]
+    data = []
+    for i in range(40):
+        w = list(rng.choice(bases))
+        if rng.random() < 0.5:
+            w[rng.randrange(9)] = rng.choice("abcdefgh")
+        data.append((i, " ".join(w[: rng.choice((6, 9, 9))]), rng.choice("xyz"), rng.randrange(4), rng.choice("pqrst")))
+    df = spark.createDataFrame(data, "doc_id long, text string, source string, score int, grp string")
+    kept = similarity.near_duplicate_survivors(df, 3, id="doc_id", text="text", source="source", score=F.col("score"), group="grp")
+    assert sorted(r["doc_id"] for r in kept.collect()) == _brute_survivors(data)
+
+
+def test_first_earlier_duplicate_of_a_hot_passage(spark):
+    import random
+
+    rng = random.Random(1)
+    passage = " ".join(f"p{i}" for i in range(20))
+    phrase = [" ".join(f"{c}{i}" for i in range(10)) for c in "qrst"]
+    data = [(i, " ".join([rng.choice(phrase), f"a{i} b{i} c{i}", passage if i % 3 else rng.choice(phrase), f"d{i}"])) for i in range(60)]
+    df = spark.createDataFrame([*data, (60, data[7][1]), (61, "")], "doc_id long, text string")
+    texts = dict([*data, (60, data[7][1]), (61, "")])
+    grams = {i: {tuple(t.split()[k : k + 8]) for k in range(len(t.split()) - 7)} for i, t in texts.items()}
+    want = {}
+    for i in grams:
+        for j in range(i):
+            if len(grams[i] & grams[j]) >= 5:
+                want[i] = (j, len(grams[i] & grams[j]))
+                break
+    got = {r["doc_id"]: (r["earlier"], r["shared"]) for r in similarity.earlier_duplicates(df, id="doc_id", text="text").collect()}
+    assert got == want

@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from verdigris.functions.text import hashed_ngrams, tokens
-
-#: An n-gram in more records than this is too common to say anything; of the pair search only, see ``near_duplicate_pairs``.
-MOST_RECORDS = 200
+from verdigris.storage import bounded, materialise
 
 
 def gram_table(df: DataFrame, id: str, text: str, n: int, *extra: str) -> DataFrame:
@@ -20,12 +19,16 @@ def gram_table(df: DataFrame, id: str, text: str, n: int, *extra: str) -> DataFr
     return grams.select("id", *extra, F.size("grams").alias("units"), F.explode_outer("grams").alias("gram")).where("gram is not null")
 
 
+def _shares(records: DataFrame, items: DataFrame) -> DataFrame:
+    """(id, bench, shared, share) from two gram tables, the second of which is broadcast if it is small."""
+    pairs = records.join(bounded(items.select(F.col("id").alias("bench"), F.col("units").alias("bench_units"), "gram")), "gram")
+    counted = pairs.groupBy("id", "bench").agg(F.count("*").alias("shared"), F.first("units").alias("u"), F.first("bench_units").alias("v"))
+    return counted.select("id", "bench", "shared", F.greatest(F.col("shared") / F.col("u"), F.col("shared") / F.col("v")).alias("share"))
+
+
 def containment(records: DataFrame, benchmark: DataFrame, n: int = 13, *, id: str, text: str, bench_id: str, bench_text: str) -> DataFrame:
     """(id, bench_id, shared, share) of every pair with a common n-gram; share is the larger of both containments."""
-    r, b = gram_table(records, id, text, n), gram_table(benchmark, bench_id, bench_text, n)
-    pairs = r.join(b.select(F.col("id").alias("bench"), F.col("units").alias("bench_units"), "gram"), "gram")
-    counted = pairs.groupBy("id", "bench").agg(F.count("*").alias("shared"), F.first("units").alias("u"), F.first("bench_units").alias("v"))
-    return counted.select(F.col("id").alias(id), F.col("bench").alias(bench_id), "shared", F.greatest(F.col("shared") / F.col("u"), F.col("shared") / F.col("v")).alias("share"))
+    return _shares(gram_table(records, id, text, n), gram_table(benchmark, bench_id, bench_text, n)).withColumnsRenamed({"id": id, "bench": bench_id})
 
 
 def sequence_match(records: DataFrame, benchmark: DataFrame, least: int, *, id: str, text: str, bench_id: str, bench_text: str) -> DataFrame:
@@ -33,7 +36,7 @@ def sequence_match(records: DataFrame, benchmark: DataFrame, least: int, *, id:
     def key(df: DataFrame, name: str, column: str) -> DataFrame:
         return df.select(F.col(name), tokens(F.col(column)).alias("w")).where(F.size("w") >= least).select(name, F.sha2(F.array_join("w", " "), 256).alias("key"))
 
-    return key(records, id, text).join(key(benchmark, bench_id, bench_text), "key").select(id, bench_id)
+    return key(records, id, text).join(bounded(key(benchmark, bench_id, bench_text)), "key").select(id, bench_id)
 
 
 def line_match(records: DataFrame, benchmark: DataFrame, least: int = 6, template_rows: int = 50, *, id: str, text: str, bench_id: str, bench_text: str) -> DataFrame:
@@ -45,63 +48,181 @@ def line_match(records: DataFrame, benchmark: DataFrame, least: int = 6, templat
 
     items = lines(benchmark, bench_id, bench_text)
     often = items.groupBy("key").agg((F.count("*") >= template_rows).alias("template"))
-    return lines(records, id, text).join(items.join(often, "key"), "key").groupBy(id, bench_id).agg(F.bool_and("template").alias("template"))
+    return lines(records, id, text).join(bounded(items.join(often, "key")), "key").groupBy(id, bench_id).agg(F.bool_and("template").alias("template"))
 
 
-def decontaminate(records: DataFrame, benchmark: DataFrame, n: int = 13, *, id: str, text: str, bench_id: str, bench_text: str) -> DataFrame:
-    """(id, verdict, reasons): ``drop`` where a near-duplicate, an exact line that is no template or an exact text is found,
-    ``flag`` for any other shared n-gram or template, else ``keep``."""
-    names = {"id": id, "text": text, "bench_id": bench_id, "bench_text": bench_text}
-    grams = containment(records, benchmark, n, **names).select(id, F.when(F.col("share") > 0.5, "near_dup").otherwise("shared_gram").alias("reason"))
-    lines = line_match(records, benchmark, **names).select(id, F.when(F.col("template"), "template").otherwise("field").alias("reason"))
-    whole = sequence_match(records, benchmark, 3, **names).select(id, F.lit("state").alias("reason"))
-    found = grams.unionAll(lines).unionAll(whole).groupBy(id).agg(F.sort_array(F.collect_set("reason")).alias("reasons"))
-    verdict = F.when(F.col("reasons").isNull(), "keep").when(F.arrays_overlap("reasons", F.array(F.lit("near_dup"), F.lit("field"), F.lit("state"))), "drop").otherwise("flag")
-    return records.select(id).join(found, id, "left").select(id, verdict.alias("verdict"), F.coalesce(F.array_join("reasons", ","), F.lit("")).alias("reasons"))
+#: Kinds of keys that a record and an item can have in common.
+GRAM, LINE, WHOLE, UPSTREAM = range(4)
+
+
+def _keys(df: DataFrame, id: str, text: str, n: int, line_least: int, whole_least: int, upstream: str | None) -> DataFrame:
+    """(id, units, kind, key): the distinct n-grams, lines and whole token sequence of each text, and its upstream item. Texts are cut once,
+    line by line: no token spans a line's end."""
+    cut = df.select(F.col(id).alias("id"), F.col(upstream).alias("upstream") if upstream else F.lit(None).cast("string").alias("upstream"), F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), tokens).alias("lines"))
+    words = cut.select("id", "upstream", F.array_distinct(F.transform(F.filter("lines", lambda w: F.size(w) >= line_least), lambda w: F.xxhash64(w))).alias("lines"), F.flatten("lines").alias("words"))
+    hashed = words.select("id", "upstream", "lines", hashed_ngrams(F.col("words"), n).alias("grams"), F.when(F.size("words") >= whole_least, F.xxhash64("words")).alias("whole"))
 
+    def named(kind: int, keys: Column) -> Column:
+        return F.transform(keys, lambda k: F.struct(F.lit(kind).alias("kind"), k.alias("key")))
 
-def near_duplicate_pairs(df: DataFrame, n: int = 13, *, id: str, text: str, source: str, least: float = 0.5, most_records: int = MOST_RECORDS) -> DataFrame:
-    """(a, b, shared, share), a < b, of records of different sources that share more than ``least`` of the distinct n-grams of either.
+    alone = lambda c: F.array_compact(F.array(c))
+    every = F.concat(named(GRAM, F.col("grams")), named(LINE, F.col("lines")), named(WHOLE, alone(F.col("whole"))), named(UPSTREAM, alone(F.when(F.col("upstream").isNotNull(), F.xxhash64("upstream")))))
+    return hashed.select("id", F.size("grams").alias("units"), F.explode_outer(every).alias("k")).where("k is not null").select("id", "units", "k.kind", "k.key")
 
-    N-grams in more than ``most_records`` records are part of the definition's cut: they don't count as shared."""
-    grams = gram_table(df, id, text, n, source)
-    counted = grams.groupBy("gram").agg(F.count("*").alias("df"), F.min(source).alias("lo"), F.max(source).alias("hi")).where((F.col("df") >= 2) & (F.col("df") <= most_records) & (F.col("lo") != F.col("hi")))
-    # at most `most_records` rows a gram are gathered, and paired where they lie
-    held = grams.join(counted.select("gram"), "gram").groupBy("gram").agg(F.collect_list(F.struct("id", "units", F.col(source).alias("source"))).alias("l"))
-    later = lambda x: F.filter("l", lambda y: (y["id"] > x["id"]) & (y["source"] != x["source"]))
-    met = F.flatten(F.transform("l", lambda x: F.transform(later(x), lambda y: F.struct(x["id"].alias("a"), y["id"].alias("b"), x["units"].alias("ua"), y["units"].alias("ub")))))
-    pairs = held.select(F.explode_outer(met).alias("p")).where("p is not null").select("p.*")
-    shared = pairs.groupBy("a", "b").agg(F.count("*").alias("shared"), F.first("ua").alias("ua"), F.first("ub").alias("ub"))
-    share = F.greatest(F.col("shared") / F.col("ua"), F.col("shared") / F.col("ub"))
-    return shared.select("a", "b", "shared", share.alias("share")).where(F.col("share") > least)
+
+def benchmark_links(records: DataFrame, benchmark: DataFrame, n: int = 13, line_least: int = 6, whole_least: int = 3, template_rows: int = 50, *, id: str, text: str, bench_id: str, bench_text: str, upstream: str | None = None) -> DataFrame:
+    """(id, bench_id, shared, share, reason): one row for each way in which a record and an item are linked. Reasons: ``near_dup`` (more than
+    half of either's n-grams), ``shared_gram``, ``field`` (a whole line), ``template`` (one that ``template_rows`` items hold), ``state`` (the whole
+    sequence) and, where ``upstream`` names a column of both, ``upstream``. Records are read and cut once; the items' keys are broadcast
+    if they are few, else both sides meet by key."""
+    items = _keys(benchmark, bench_id, bench_text, n, line_least, whole_least, upstream)
+    often = items.where(f"kind = {LINE}").groupBy("kind", "key").agg((F.count("*") >= template_rows).alias("template"))
+    told = items.join(often, ["kind", "key"], "left").select("kind", "key", F.col("id").alias("bench"), F.col("units").alias("bench_units"), F.coalesce("template", F.lit(False)).alias("template"))
+    met = _keys(records, id, text, n, line_least, whole_least, upstream).join(bounded(told), ["kind", "key"])
+    counted = met.groupBy("id", "bench", "kind").agg(F.count("*").alias("shared"), F.first("units").alias("u"), F.first("bench_units").alias("v"), F.bool_and("template").alias("template"))
+    share = F.when(F.col("kind") == GRAM, F.greatest(F.col("shared") / F.col("u"), F.col("shared") / F.col("v")))
+    reason = F.when(F.col("kind") == GRAM, F.when(share > 0.5, "near_dup").otherwise("shared_gram")).when(F.col("kind") == LINE, F.when(F.col("template"), "template").otherwise("field")).when(F.col("kind") == WHOLE, "state").otherwise("upstream")
+    return counted.select(F.col("id").alias(id), F.col("bench").alias(bench_id), "shared", share.alias("share"), reason.alias("reason"))
+
+
+DROPS = ("near_dup", "field", "state", "upstream")
+
+
+def decontaminate(records: DataFrame, benchmark: DataFrame, n: int = 13, **names: str) -> DataFrame:
+    """(id, verdict, reasons): ``drop`` where a near-duplicate, an exact line that is no template, an exact text or the same upstream item is
+    found, ``flag`` for any other shared n-gram or template, else ``keep``. ``names`` as in ``benchmark_links``."""
+    id = names["id"]
+    found = benchmark_links(records, benchmark, n, **names).groupBy(id).agg(F.sort_array(F.collect_set("reason")).alias("reasons"))
+    verdict = F.when(F.col("reasons").isNull(), "keep").when(F.arrays_overlap("reasons", F.array(*[F.lit(x) for x in DROPS])), "drop").otherwise("flag")
+    return records.select(id).join(found, id, "left").select(id, verdict.alias("verdict"), F.coalesce(F.array_join("reasons", ","), F.lit("")).alias("reasons"))
+
+
+def leakage(train: DataFrame, held: DataFrame, family: str, n: int = 13, *, id: str, text: str, upstream: str | None = None) -> DataFrame:
+    """(id, held_id, reason) of every link between training and held-out rows: ``same_id``, ``family`` (the same root), or one of the dropping
+    reasons of ``benchmark_links``. A gate passes where there is none."""
+    by_id = train.select(F.col(id).alias("a")).join(held.select(F.col(id).alias("b")), F.col("a") == F.col("b")).select("a", "b", F.lit("same_id").alias("reason"))
+    roots = held.where(F.col(family).isNotNull()).groupBy(F.col(family).alias("root")).agg(F.min(id).alias("b"))
+    by_family = train.select(F.col(id).alias("a"), F.col(family).alias("root")).join(roots, "root").select("a", "b", F.lit("family").alias("reason"))
+    other = held.select(F.col(id).alias("__held"), F.col(text).alias("__text"), *([upstream] if upstream else []))
+    texts = benchmark_links(train, other, n, id=id, text=text, bench_id="__held", bench_text="__text", upstream=upstream)
+    by_text = texts.where(F.col("reason").isin(*DROPS)).select(F.col(id).alias("a"), F.col("__held").alias("b"), "reason")
+    return by_id.unionAll(by_family).unionAll(by_text).distinct().select(F.col("a").alias(id), F.col("b").alias("held_id"), "reason")
+
+
+def gram_classes(df: DataFrame, n: int, *, id: str, text: str, keep: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """(members, classes). Records of equal sets of n-grams are one class, named by its smallest id: members (id, *keep, rep) and classes
+    (rep, units, grams). Records without an n-gram are in no class. A class is as large as its copies are many, but its grams are held once."""
+    words = df.select(F.col(id).alias("id"), *keep, tokens(F.col(text)).alias("words"))
+    grams = words.select("id", *keep, F.sort_array(hashed_ngrams(F.col("words"), n)).alias("grams"))
+    held = materialise(grams.select("*", F.xxhash64(F.lit(1), "grams").alias("h"), F.xxhash64(F.lit(2), "grams").alias("i"), F.size("grams").alias("units")), "gram-sets")
+    held = held.where("units > 0")  # of the written table: at the scan the filter would repeat the whole expression
+    reps = held.groupBy("h", "i", "units").agg(F.min("id").alias("rep"))
+    members = held.select("id", *keep, "h", "i", "units").join(reps, ["h", "i", "units"]).select("id", *keep, "rep")
+    classes = held.join(reps.select(F.col("rep").alias("id"), "h", "i", "units"), ["id", "h", "i", "units"], "left_semi").dropDuplicates(["id"]).select(F.col("id").alias("rep"), "units", "grams")
+    return materialise(members, "gram-members"), materialise(classes, "gram-classes")
+
+
+def _differing(pairs: DataFrame, members: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """``pairs`` (a, b of classes) with links: how many pairs of records lie between them that differ in every key. Counted from the
+    members' counts by inclusion and exclusion, so no pair of records is made."""
+    total = None
+    for size in range(len(keys) + 1):
+        for same in combinations(keys, size):
+            counts = members.groupBy("rep", *same).agg(F.count("*").alias("c"))
+            x, y = counts.withColumnsRenamed({"rep": "a", "c": "ca"}), counts.withColumnsRenamed({"rep": "b", "c": "cb"})
+            met = pairs.select("a", "b").join(x, "a").join(y, ["b", *same])
+            part = met.select("a", "b", ((-1) ** size * F.col("ca") * F.col("cb")).alias("m"))
+            total = part if total is None else total.unionAll(part)
+    links = total.groupBy("a", "b").agg(F.sum("m").alias("m"))
+    return pairs.join(links, ["a", "b"]).withColumn("links", F.when(F.col("a") == F.col("b"), F.col("m") / 2).otherwise(F.col("m")).cast("long")).drop("m").where("links > 0")
+
+
+def near_duplicate_pairs(df: DataFrame, n: int = 13, *, id: str, text: str, source: str, least: float = 0.5, group: str | None = None, alike: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(pairs, members): records of different sources that share more than ``least`` of the distinct n-grams of either.
+
+    ``members`` (id, source, rep) gives each record the smallest record with the same n-grams; ``pairs`` (a, b, shared, share, links),
+    a <= b, are between these, and ``links`` counts the pairs of records between both classes, so copies are never written out as pairs. With ``group``,
+    records of one group make no pair either; with ``alike`` (such as a modality), only records of one value do.
+
+    Exact for any frequency of an n-gram. The record with fewer n-grams must share one of its rarest ``units - floor(least * units)``
+    with the other, so only these look for partners; what meets is verified on the whole sets. An n-gram that many records hold is
+    therefore looked up only by those to which it is among their rarer half."""
+    keys = (source, *([group] if group else []))
+    members, classes = gram_classes(df, n, id=id, text=text, keep=(*keys, *([alike] if alike else [])))
+    if alike:  # a class for each value
+        own = members.groupBy("rep", alike).agg(F.min("id").alias("own"))
+        members = members.join(own, ["rep", alike])
+        classes = own.join(classes, "rep").select(F.col("own").alias("rep"), "units", "grams", F.col(alike).alias("like"))
+        members = members.select("id", *keys, F.col("own").alias("rep"))
+    else:
+        classes = classes.withColumn("like", F.lit(0))
+    spread = members.groupBy("rep").agg(F.min(source).alias("lo"), F.max(source).alias("hi"))
+    rows = materialise(classes.join(spread, "rep"), "gram-spread")
+    held = rows.select("rep", "units", "like", "lo", "hi", F.explode_outer("grams").alias("gram"))
+    several = held.groupBy("gram", "like").agg(F.count("*").alias("df"), F.min("lo").alias("l"), F.max("hi").alias("h")).where("df > 1 and l <> h").select("gram", "like", "df")
+    kept = materialise(held.join(several, ["gram", "like"]), "gram-postings")
+    own = Window.partitionBy("rep")
+    # n-grams that no other source has come first and need no look
+    place = F.row_number().over(own.orderBy("df", "gram")) + F.col("units") - F.count("*").over(own)
+    rare = kept.withColumn("place", place).where(F.col("place") <= F.col("units") - F.floor(F.col("units") * least)).select("gram", "like", F.col("rep").alias("x"), F.col("units").alias("u"), F.col("lo").alias("lo_x"), F.col("hi").alias("hi_x"))
+    met = rare.join(kept.select("gram", "like", F.col("rep").alias("y"), F.col("units").alias("v"), "lo", "hi"), ["gram", "like"]).where("(u < v or (u = v and x < y)) and least(lo, lo_x) <> greatest(hi, hi_x)").select("x", "y").distinct()
+    sides = rows.select("rep", "units", "grams")
+    both = met.join(sides.select(F.col("rep").alias("x"), F.col("grams").alias("gx"), F.col("units").alias("u")), "x").join(sides.select(F.col("rep").alias("y"), F.col("grams").alias("gy")), "y")
+    # u is the smaller set
+    shared = both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.size(F.array_intersect("gx", "gy")).cast("long").alias("shared"), "u").withColumn("share", F.col("shared") / F.col("u"))
+    within = rows.where("lo <> hi").select(F.col("rep").alias("a"), F.col("rep").alias("b"), F.col("units").cast("long").alias("shared"), F.lit(1.0).alias("share"))
+    found = shared.where(F.col("share") > least).drop("u").unionByName(within)
+    return _differing(materialise(found, "gram-pairs"), members, keys), members
+
+
+def near_duplicate_survivors(df: DataFrame, n: int = 13, *, id: str, text: str, source: str, score: Column, least: float = 0.5, group: str | None = None, alike: str | None = None) -> DataFrame:
+    """``df`` without the losers of its ``near_duplicate_pairs``, see ``survivors``; records without n-grams stay.
+
+    Records of equal n-grams, source and group have the same partners at the same shares, and the best of them is settled first, so all share its
+    fate: the rounds run over these nodes, of which a class has one a source (and group), however many copies it holds."""
+    pairs, members = near_duplicate_pairs(df, n, id=id, text=text, source=source, least=least, group=group, alike=alike)
+    keys = (source, *([group] if group else []))
+    scored = materialise(members.join(df.select(F.col(id).alias("id"), score.alias("s")), "id"), "scored")
+    nodes = scored.groupBy("rep", *keys).agg(F.max_by(F.struct("id", "s"), F.struct("s", -F.col("id"))).alias("best")).select("rep", *keys, F.col("best.id").alias("node"), F.col("best.s").alias("s"))
+    nodes = materialise(nodes, "nodes")
+    x = nodes.select(F.col("rep").alias("a"), F.col("node").alias("x"), *[F.col(k).alias(f"{k}_x") for k in keys])
+    y = nodes.select(F.col("rep").alias("b"), F.col("node").alias("y"), *[F.col(k).alias(f"{k}_y") for k in keys])
+    apart = reduce(lambda p, k: p & (F.col(f"{k}_x") != F.col(f"{k}_y")), keys, F.lit(True))
+    between = pairs.select("a", "b", "share").join(x, "a").join(y, "b").where(apart & ((F.col("a") != F.col("b")) | (F.col("x") < F.col("y"))))
+    stay = survivors(nodes, between.select(F.col("x").alias("a"), F.col("y").alias("b"), "share"), "node", F.col("s"))
+    lost = nodes.join(stay.select("node"), "node", "left_anti").select("rep", *keys)
+    gone = members.join(lost, ["rep", *keys], "left_semi").select(F.col("id").alias(id)).distinct()
+    return df.join(gone, id, "left_anti")
 
 
 def survivors(records: DataFrame, pairs: DataFrame, id: str, score: Column) -> DataFrame:
-    """``records`` without the losers of their pairs. Pairs are settled by descending share; the record of smaller score loses, unless
-    the winner has lost before (a loser cannot eliminate). Solved in rounds: a pair is settled once no undecided pair that ranks before it
-    touches its winner, so each round settles the first pair at least; the pair table is written between rounds, until none is left."""
-    from verdigris.storage import discard, materialise
+    """``records`` without the losers of their pairs. Pairs are settled by descending share, then by their winner and their loser, the better
+    first; the record of smaller score, then of larger id, loses, unless the winner has lost before (a loser cannot eliminate). Solved in rounds: a
+    pair is settled once no undecided pair that ranks before it can take its winner, so each round settles the first pair at least; the pair
+    table is written between rounds, until none is left. A pair of a record with itself, or without a share, is refused."""
+    from verdigris.storage import discard
 
     scored = records.select(F.col(id).alias("x"), score.alias("s"))
     p = pairs.join(scored.withColumnsRenamed({"x": "a", "s": "s_a"}), "a").join(scored.withColumnsRenamed({"x": "b", "s": "s_b"}), "b")
     a_wins = (F.col("s_a") > F.col("s_b")) | ((F.col("s_a") == F.col("s_b")) & (F.col("a") < F.col("b")))
     w, loser = F.when(a_wins, F.col("a")).otherwise(F.col("b")), F.when(a_wins, F.col("b")).otherwise(F.col("a"))
-    left = materialise(p.select(w.alias("w"), loser.alias("l"), F.struct((-F.col("share")).alias("r"), F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).alias("rank")), "pairs")
+    rank = F.struct((-F.col("share")).alias("r"), (-F.greatest("s_a", "s_b")).alias("s"), w.alias("x"), (-F.least("s_a", "s_b")).alias("t"), loser.alias("y"))
+    left = materialise(p.select(w.alias("w"), loser.alias("l"), rank.alias("rank")), "pairs")
     lost, parts = None, 0
     while not left.isEmpty():
         # the first undecided pair in which a record would lose: its winner's fate is open before that
         threat = left.groupBy("l").agg(F.min("rank").alias("first"))
         marked = left.join(threat.select(F.col("l").alias("w"), "first"), "w", "left")
         settled = marked.where(F.col("first").isNull() | (F.col("first") > F.col("rank")))
-        out = materialise(settled.select("l").distinct(), "lost")
+        out = materialise(settled.groupBy("l").agg(F.min("rank").alias("at")), "lost")
         if out.isEmpty():
             raise ValueError("no open pair can be settled: a record is paired with itself, or a share is null")
-        lost, parts = out if lost is None else lost.unionAll(out), parts + 1
+        lost, parts = out.select("l") if lost is None else lost.unionAll(out.select("l")), parts + 1
         if parts % 20 == 0:  # a plan of few tables, however long the chain
             lost = materialise(lost, "lost")
-        # pairs whose loser is lost are settled; those whose winner was lost by an earlier pair can't eliminate
-        gone = out.select("l")
-        following = left.join(gone, "l", "left_anti").join(gone.select(F.col("l").alias("w")), "w", "left_anti")
+        # a loser can't eliminate from its loss on, nor lose again; its pairs of lower rank stay open
+        known = left.join(out, "l", "left").where("at is null or rank < at").select("w", "l", "rank")
+        following = known.join(out.withColumnsRenamed({"l": "w"}), "w", "left").where("at is null or rank < at")
         following = materialise(following.select("w", "l", "rank"), "pairs")
         discard(left)
         left = following
@@ -109,29 +230,110 @@ def survivors(records: DataFrame, pairs: DataFrame, id: str, score: Column) -> D
 
 
 def earlier_duplicates(df: DataFrame, n: int = 8, least: int = 5, *, id: str, text: str) -> DataFrame:
-    """(id, earlier, shared): each record with every earlier one (smaller id) with which it shares at least ``least`` n-grams.
-
-    All pairs of a gram's holders meet, exact copies too."""
-    grams = gram_table(df, id, text, n)
-    many = grams.groupBy("gram").agg(F.count("*").alias("m")).where("m > 1").select("gram")
-    kept = grams.join(many, "gram").select("gram", "id")
-    pairs = kept.join(kept.select("gram", F.col("id").alias("earlier")), "gram").where("earlier < id")
-    return pairs.groupBy(F.col("id").alias(id), "earlier").agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
-
-
-def hamming_pairs(df: DataFrame, id: str, code: str, bits: int = 6, blocks: int = 8) -> DataFrame:
-    """(a, b, distance), a < b, of 64-bit codes that differ in at most ``bits`` bits. With more blocks than differing bits, a pair
-    agrees on one whole block; rows meet by (block, value), and a pair is kept at its first such block only."""
-    if bits >= blocks:
-        raise ValueError("needs more blocks than differing bits")
-    width = 64 // blocks
-    at = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.shiftrightunsigned(F.col(code), i * width).bitwiseAND((1 << width) - 1).alias("v")) for i in range(blocks)]))
-    dealt = df.select(F.col(id).alias("id"), F.col(code).alias("c"), at.alias("k")).select("id", "c", "k.i", "k.v")
-    other = dealt.select(F.col("id").alias("b"), F.col("c").alias("cb"), "i", "v")
-    met = dealt.withColumnsRenamed({"id": "a", "c": "ca"}).join(other, ["i", "v"]).where("a < b")
+    """(id, earlier, shared): each record that shares at least ``least`` n-grams with an earlier one (smaller id), with the first such record.
+
+    Only one record of each set of n-grams takes part; its copies have the first of them, or an earlier one that it found. N-grams with the same holders
+    are one bundle of that weight. Holders of a bundle as heavy as ``least`` are linked to its first holder, without meeting each other, however
+    many there are. Of lighter bundles a record looks up its rarest, so many that those left out weigh less than ``least`` together; what meets
+    is verified on the whole sets, unless the record has an earlier link already."""
+    members, classes = gram_classes(df, n, id=id, text=text)
+    held = classes.select("rep", F.explode_outer("grams").alias("gram"))
+    holders = held.groupBy("gram").agg(F.count("*").alias("m"), F.min("rep").alias("first"), F.bit_xor(F.xxhash64("rep")).alias("h"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("i")).where("m > 1")
+    bundles = holders.groupBy("m", "first", "h", "i").agg(F.count("*").alias("weight"), F.min("gram").alias("gram"))
+    laid = materialise(held.join(bundles.select("gram", "weight", "m", "first"), "gram"), "bundles")
+    heavy = laid.where((F.col("weight") >= least) & (F.col("rep") > F.col("first"))).groupBy("rep").agg(F.min("first").alias("known"))
+    light = laid.where(F.col("weight") < least)
+    rest = F.sum("weight").over(Window.partitionBy("rep").orderBy("m", "gram").rowsBetween(0, Window.unboundedFollowing))
+    asking = light.withColumn("rest", rest).where(F.col("rest") >= least).select("gram", F.col("rep").alias("x")).join(heavy.withColumnRenamed("rep", "x"), "x", "left")
+    met = asking.join(light.select("gram", F.col("rep").alias("y")), "gram").where("y < x and (known is null or y < known)").select("x", "y").distinct()
+    sides = classes.select("rep", "grams")
+    common = lambda p: p.join(sides.select(F.col("rep").alias("x"), F.col("grams").alias("gx")), "x").join(sides.select(F.col("rep").alias("y"), F.col("grams").alias("gy")), "y").select("x", "y", F.size(F.array_intersect("gx", "gy")).cast("long").alias("shared"))
+    lit = common(met).where(F.col("shared") >= least)
+    known = common(heavy.select(F.col("rep").alias("x"), F.col("known").alias("y")))
+    found = lit.unionAll(known).groupBy("x").agg(F.min(F.struct("y", "shared")).alias("best"))
+    told = members.join(classes.select("rep", "units"), "rep").join(found.withColumnRenamed("x", "rep"), "rep", "left")
+    own = F.when((F.col("id") > F.col("rep")) & (F.col("units") >= least), F.struct(F.col("rep").alias("y"), F.col("units").cast("long").alias("shared")))
+    return told.select(F.col("id").alias(id), F.coalesce("best", own).alias("e")).where("e is not null").select(id, F.col("e.y").alias("earlier"), "e.shared")
+
+
+def bit_codes(df: DataFrame, id: str, text: str, n: int = 3, bits: int = 60) -> DataFrame:
+    """(id, code): a similarity-preserving code of each whole text: a bit is set where it is set in the digests of more than half of the
+    n-grams of words, repeats included. Sums of bits are partial before they move; a text of fewer words has code 0."""
+    words = df.select(F.col(id).alias("id"), tokens(F.col(text)).alias("words"))
+    at = F.when(F.size("words") >= n, F.sequence(F.lit(1), F.size("words") - (n - 1))).otherwise(F.array().cast("array<int>"))
+    grams = words.select("id", F.transform(at, lambda i: F.array_join(F.slice("words", i, n), " ")).alias("grams"))
+    # outer: short texts keep a row
+    hashed = grams.select("id", F.explode_outer("grams").alias("g")).select("id", F.conv(F.substring(F.sha2("g", 256), 1, bits // 4), 16, 10).cast("long").alias("h"))
+    sums = [F.sum(F.shiftright("h", b).bitwiseAND(1)).alias(f"b{b}") for b in range(bits)]
+    summed = hashed.groupBy("id").agg(F.count("h").alias("n"), *sums)
+    code = reduce(lambda c, b: c.bitwiseOR(F.when(F.col(f"b{b}") * 2 > F.col("n"), F.lit(1 << b)).otherwise(F.lit(0)).cast("long")), range(bits), F.lit(0).cast("long"))
+    return summed.select(F.col("id").alias(id), code.alias("code"))
+
+
+def hamming_pairs(df: DataFrame, id: str, code: str, bits: int = 6, agree: int = 3, width: int = 64) -> DataFrame:
+    """(a, b, distance, copies_a, copies_b): distinct codes that differ in at most ``bits`` bits, each named by its smallest id, a < b, with the
+    number of records that have it. A code of several records is a row with itself (distance 0), so every near pair of records is told and
+    no copies are paired.
+
+    A code is cut into ``bits + agree`` blocks; a near pair agrees on ``agree`` whole blocks at least, so codes meet by these together (at 6 bits:
+    84 keys of some 21 bits each), and a pair is kept at the first blocks it agrees on only."""
+    blocks = bits + agree
+    cuts = [width * i // blocks for i in range(blocks + 1)]
+    masks = [((1 << cuts[i + 1]) - (1 << cuts[i])) & ((1 << 64) - 1) for i in range(blocks)]
+    signed = lambda m: m - (1 << 64) if m >> 63 else m
+    codes = materialise(df.where(F.col(code).isNotNull()).groupBy(F.col(code).cast("long").alias("c")).agg(F.min(id).alias("id"), F.count("*").alias("n")), "codes")
+    chosen = list(combinations(range(blocks), agree))
+    keys = F.array(*[F.struct(F.lit(k).alias("k"), F.col("c").bitwiseAND(F.lit(signed(sum(masks[i] for i in own))).cast("long")).alias("v")) for k, own in enumerate(chosen)])
+    dealt = codes.select("id", "c", "n", F.explode(keys).alias("key")).select("id", "c", "n", "key.k", "key.v")
+    # keys that one code alone has meet nothing
+    several = dealt.groupBy("k", "v").agg(F.count("*").alias("m")).where("m > 1").select("k", "v")
+    dealt = dealt.join(several, ["k", "v"], "left_semi")
+    met = dealt.withColumnsRenamed({"id": "a", "c": "ca", "n": "copies_a"}).join(dealt.withColumnsRenamed({"id": "b", "c": "cb", "n": "copies_b"}), ["k", "v"]).where("a < b")
     x = F.col("ca").bitwiseXOR(F.col("cb"))
-    first = reduce(lambda acc, i: F.when(F.shiftrightunsigned(x, i * width).bitwiseAND((1 << width) - 1) == 0, F.lit(i)).otherwise(acc), range(blocks - 1, -1, -1), F.lit(-1))
-    return met.where((F.bit_count(x) <= bits) & (first == F.col("i"))).select("a", "b", F.bit_count(x).alias("distance"))
+    near = met.withColumn("x", x).where(F.bit_count("x") <= bits)
+    same = F.array_compact(F.array(*[F.when(F.col("x").bitwiseAND(F.lit(signed(m)).cast("long")) == 0, F.lit(i)) for i, m in enumerate(masks)]))
+    first = F.array_position(F.array(*[F.array(*[F.lit(i) for i in own]) for own in chosen]), F.slice(same, 1, agree)) - 1
+    kept = near.where(first == F.col("k")).select("a", "b", F.bit_count("x").alias("distance"), "copies_a", "copies_b")
+    return kept.unionAll(codes.where("n > 1").select("id", "id", F.lit(0), "n", "n"))
+
+
+def jaccard_pairs(records: DataFrame, benchmark: DataFrame, least: float, *, id: str, text: str, bench_id: str, bench_text: str) -> DataFrame:
+    """(id, bench_id, jaccard) of the pairs whose sets of words have a Jaccard similarity of at least ``least``, above 0. A record's
+    rarest words alone look for partners: a pair as alike as that shares one of the first ``units - ceil(least * units) + 1``."""
+    def words(df: DataFrame, name: str, column: str) -> DataFrame:
+        cut = df.select(F.col(name).alias("id"), F.array_distinct(tokens(F.col(column))).alias("w"))
+        return cut.select("id", F.size("w").alias("units"), F.transform("w", lambda x: F.xxhash64(x)).alias("w"))
+
+    held, items = materialise(words(records, id, text), "record-words").where("units > 0"), materialise(words(benchmark, bench_id, bench_text), "item-words").where("units > 0")
+    counts = items.select(F.explode("w").alias("t")).groupBy("t").agg(F.count("*").alias("df"))
+    place = F.row_number().over(Window.partitionBy("id").orderBy("df", "t"))
+    rare = items.select("id", "units", F.explode("w").alias("t")).join(counts, "t").withColumn("place", place).where(F.col("place") <= F.col("units") - F.ceil(F.col("units") * least) + 1)
+    looked = held.select("id", "units", F.explode_outer("w").alias("t")).join(bounded(rare.select(F.col("id").alias("item"), F.col("units").alias("v"), "t")), "t")
+    met = looked.where(F.least("units", "v") >= least * F.greatest("units", "v")).select("id", "item").distinct()
+    both = met.join(held, "id").join(bounded(items.select(F.col("id").alias("item"), F.col("units").alias("v"), F.col("w").alias("x"))), "item")
+    shared = both.select("id", "item", "units", "v", F.size(F.array_intersect("w", "x")).alias("s"))
+    alike = shared.select(F.col("id").alias(id), F.col("item").alias(bench_id), (F.col("s") / (F.col("units") + F.col("v") - F.col("s"))).alias("jaccard"))
+    return alike.where(F.col("jaccard") >= least)
+
+
+def contamination(records: DataFrame, benchmark: DataFrame, task: list[str], n: int = 13, lint: int = 8, *, id: str, text: str, bench_id: str, bench_text: str) -> DataFrame:
+    """By ``task``: records, and how many of them have any n-gram of an item, are a near-duplicate, have two or more shared grams of ``lint``
+    words, an exact line or text, or a short line (3 to 5 words) of an item."""
+    names = {"id": id, "text": text, "bench_id": bench_id, "bench_text": bench_text}
+    links = benchmark_links(records, benchmark, n, **names)
+    told = links.groupBy(id).agg(F.bool_or(F.col("reason").isin("near_dup", "shared_gram")).alias("any_gram"), F.bool_or(F.col("reason") == "near_dup").alias("near_dup"), F.bool_or(F.col("reason").isin("field", "template", "state")).alias("exact"))
+    known = gram_table(benchmark, bench_id, bench_text, lint).select("gram").distinct()
+    eights = gram_table(records, id, text, lint).join(bounded(known), "gram", "left_semi").groupBy(F.col("id").alias(id)).agg((F.count("*") >= 2).alias("two_8grams"))
+
+    def short(df: DataFrame, name: str, column: str) -> DataFrame:
+        cut = df.select(F.col(name), F.transform(F.split(F.coalesce(F.col(column), F.lit("")), "\n"), tokens).alias("l"))
+        keys = F.array_distinct(F.transform(F.filter("l", lambda w: F.size(w).between(3, 5)), lambda w: F.xxhash64(w)))
+        return cut.select(name, F.explode_outer(keys).alias("key")).where("key is not null")
+
+    lines = short(records, id, text).join(bounded(short(benchmark, bench_id, bench_text).select("key").distinct()), "key", "left_semi").select(id, F.lit(True).alias("short_line")).distinct()
+    joined = records.select(id, *task).join(told, id, "left").join(eights, id, "left").join(lines, id, "left")
+    flags = ("any_gram", "near_dup", "two_8grams", "exact", "short_line")
+    return joined.groupBy(*task).agg(F.count("*").alias("records"), *[F.count_if(F.coalesce(F.col(x), F.lit(False))).alias(x) for x in flags])
 
 
 def partition_priority(df: DataFrame, key: Column, priority: Column) -> DataFrame:

@@ -64,45 +64,102 @@ def ngram8_lint(spark, sf_dir):
 
 @query(
     grams_sql(13)
-    + """ select lang, count(*) records, count(distinct p.doc_id) any_gram, count(distinct case when share > 0.5 then p.doc_id end) near_dup
-from (select doc_id, lang from documents) x left join pairs p using (doc_id) group by lang""".replace("count(*) records", "count(distinct x.doc_id) records")
+    + f""", {LINES}, l8 as (select doc_id, count(distinct gram) n from ({grams_sql(8)} select doc_id, gram from d where gram in (select gram from b)) group by doc_id),
+short as (select distinct doc_id, item_id from (select doc_id, {TOKENS.format(x='l')} w from (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) l from documents)) x
+  join (select item_id, {TOKENS.format(x='l')} w from (select item_id, unnest(string_split(coalesce(text, ''), chr(10))) l from benchmark)) y using (w) where len(w) between 3 and 5)
+select lang, source, count(*) records, count(a.doc_id) any_gram, count(a.doc_id) filter (a.share > 0.5) near_dup, count(l8.doc_id) filter (l8.n >= 2) two_8grams, count(e.doc_id) exact, count(f.doc_id) short_line
+from documents left join (select doc_id, max(share) share from pairs group by doc_id) a using (doc_id) left join l8 using (doc_id)
+left join (select distinct doc_id from (select doc_id from lm union all select doc_id from sm)) e using (doc_id) left join (select distinct doc_id from short) f using (doc_id) group by lang, source"""
 )
 def contamination_by_task(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    best = similarity.containment(docs, table(spark, sf_dir, "benchmark"), 13, **DB).groupBy("doc_id").agg(F.max("share").alias("share"))
-    joined = docs.select("doc_id", "lang").join(best, "doc_id", "left")
-    return joined.groupBy("lang").agg(F.count("*").alias("records"), F.count("share").alias("any_gram"), F.count_if(F.col("share") > 0.5).alias("near_dup"))
+    """By language and source: any shared 13-gram, near-duplicates, two or more shared 8-grams, exact lines or texts, and lines of 3 to 5 words."""
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return similarity.contamination(docs, items, ["lang", "source"], **DB)
 
 
-PAIRS = grams_sql(13) + """, c as (select gram from d group by gram having count(*) between 2 and 200 and count(distinct source) > 1), k as (select d.* from d join c using (gram)),
-pp as (select x.doc_id a, y.doc_id b, count(*) shared, greatest(count(*) / any_value(x.u), count(*) / any_value(y.u)) share from k x join k y on x.gram = y.gram and x.doc_id < y.doc_id and x.source <> y.source group by all)"""
+CLASSES = f"""with w as (select doc_id, source, n_chars, {TOKENS.format(x='text')} w from documents),
+g as (select doc_id, source, n_chars, list_sort({GRAMS.format(n=13)}) g from w), r as (select min(doc_id) rep, g from g where len(g) > 0 group by g),
+m as (select doc_id, source, n_chars, rep from g join r using (g)), d as (select rep, len(g) u, unnest(g) gram from r),
+p as (select x.rep a, y.rep b, count(*) shared, greatest(count(*) / any_value(x.u), count(*) / any_value(y.u)) share from d x join d y on x.gram = y.gram and x.rep < y.rep group by all having share > 0.5
+  union all select rep, rep, len(g), 1.0 from r)"""
 
 
-@query(PAIRS + " select a, b, shared, round(share, 6) share from pp where share > 0.5")
+@query(
+    CLASSES
+    + """ select a, b, shared, round(share, 6) share, count(*) links from p join m x on x.rep = a join m y on y.rep = b and x.source <> y.source and (a <> b or x.doc_id < y.doc_id) group by all"""
+)
 def cross_source_near_dup_pairs(spark, sf_dir):
-    return similarity.near_duplicate_pairs(table(spark, sf_dir, "documents"), **D, source="source").withColumn("share", F.round("share", 6))
+    """Pairs of the smallest records with their n-grams; ``first_with_grams`` has what each stands for."""
+    pairs, _ = similarity.near_duplicate_pairs(table(spark, sf_dir, "documents"), **D, source="source")
+    return pairs.withColumn("share", F.round("share", 6))
+
+
+@query(CLASSES + " select doc_id, rep from m")
+def first_with_grams(spark, sf_dir):
+    members, _ = similarity.gram_classes(table(spark, sf_dir, "documents"), 13, **D)
+    return members.withColumnRenamed("id", "doc_id")
 
 
-@query()
+@query(
+    CLASSES.replace("with w as", "with recursive w as")
+    + """, l as (select x.doc_id i, y.doc_id j, share, x.n_chars > y.n_chars or (x.n_chars = y.n_chars and x.doc_id < y.doc_id) first, x.n_chars cx, y.n_chars cy
+  from p join m x on x.rep = a join m y on y.rep = b and x.source <> y.source and (a <> b or x.doc_id < y.doc_id)),
+o as (select row_number() over (order by share desc, greatest(cx, cy) desc, w, least(cx, cy) desc, l) k, w, l from (select *, case when first then i else j end w, case when first then j else i end l from l)),
+run(k, lost) as (select 0::bigint, []::bigint[] union all select o.k, case when list_contains(run.lost, o.w) or list_contains(run.lost, o.l) then run.lost else list_append(run.lost, o.l) end from run join o on o.k = run.k + 1)
+select doc_id, source, lang, n_chars from documents where doc_id not in (select unnest(lost) from run where k = (select max(k) from run))"""
+)
 def cross_source_dedup_survivors(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    pairs = similarity.near_duplicate_pairs(docs, **D, source="source")
-    return similarity.survivors(docs.select("doc_id", "source", "lang", "n_chars"), pairs, "doc_id", F.col("n_chars"))
+    kept = similarity.near_duplicate_survivors(docs, **D, source="source", score=F.col("n_chars"))
+    return kept.select("doc_id", "source", "lang", "n_chars")
 
 
-@query(grams_sql(8) + " select x.doc_id, y.doc_id earlier, count(*) shared from d x join d y on x.gram = y.gram and y.doc_id < x.doc_id group by all having count(*) >= 5")
+@query(
+    grams_sql(8)
+    + """, e as (select x.doc_id, y.doc_id earlier, count(*) shared from d x join d y on x.gram = y.gram and y.doc_id < x.doc_id group by all having count(*) >= 5)
+select doc_id, min(earlier) earlier, arg_min(shared, earlier) shared from e group by doc_id"""
+)
 def earlier_doc_8gram_dups(spark, sf_dir):
     return similarity.earlier_duplicates(table(spark, sf_dir, "documents"), 8, 5, **D)
 
 
-CODE_SQL = "('0x' || sha256(left(text, 40))[1:15])::bigint"
+CODE_SQL = f"""with v as (select doc_id, {TOKENS.format(x='text')} w from documents), t as (select doc_id, unnest(list_transform(range(1, greatest(len(w) - 1, 1)), lambda i: array_to_string(w[i:i+2], ' '))) w from v), h as (select doc_id, ('0x' || sha256(w)[1:15])::bigint h from t),
+s as (select doc_id, {' + '.join(f'case when 2 * count_if((h >> {b}) & 1 = 1) > count(*) then {1 << b} else 0 end' for b in range(60))} code from h group by doc_id),
+c as (select doc_id, coalesce(code, 0)::bigint code from documents left join s using (doc_id)), k as (select code, min(doc_id) id, count(*) n from c group by code)"""
 
 
-@query(f"with c as (select doc_id, {CODE_SQL} code from documents) select x.doc_id a, y.doc_id b, bit_count(xor(x.code, y.code))::int distance from c x join c y on x.doc_id < y.doc_id and bit_count(xor(x.code, y.code)) <= 6")
+@query(CODE_SQL + " select x.id a, y.id b, bit_count(xor(x.code, y.code))::int distance, x.n copies_a, y.n copies_b from k x join k y on (x.id < y.id and bit_count(xor(x.code, y.code)) <= 6) or (x.id = y.id and x.n > 1)")
 def hamming_pairs(spark, sf_dir):
-    """Codes are 60 bits of a digest of the text's beginning, in place of an image's difference hash."""
-    code = F.conv(F.substring(F.sha2(F.substring("text", 1, 40), 256), 1, 15), 16, 10).cast("bigint")
-    return similarity.hamming_pairs(table(spark, sf_dir, "documents").select("doc_id", code.alias("code")), "doc_id", "code", 6)
+    """60-bit codes of whole texts, in place of an image's difference hash."""
+    return similarity.hamming_pairs(similarity.bit_codes(table(spark, sf_dir, "documents"), **D), "doc_id", "code", 6, width=60)
+
+
+LEAK_SQL = f"""with t as (select doc_id, {TOKENS.format(x='text')} w, text, lang || ':' || (doc_id % 97) family, doc_id % 5 = 0 held from documents),
+g as (select doc_id, held, {GRAMS.format(n=13)} g from t), u as (select doc_id, held, len(g) u, unnest(g) gram from g),
+near as (select x.doc_id, y.doc_id held_id, 'near_dup' reason from u x join u y on x.gram = y.gram and not x.held and y.held group by x.doc_id, y.doc_id having greatest(count(*) / any_value(x.u), count(*) / any_value(y.u)) > 0.5),
+k as (select distinct doc_id, held, {TOKENS.format(x='l')} w from (select doc_id, held, unnest(string_split(coalesce(text, ''), chr(10))) l from t)), ln as (select * from k where len(w) >= 6),
+often as (select w, count(*) >= 50 template from ln where held group by w),
+field as (select x.doc_id, y.doc_id held_id, 'field' reason from ln x join ln y on x.w = y.w and not x.held and y.held join often on often.w = x.w group by all having not bool_and(template)),
+state as (select x.doc_id, y.doc_id held_id, 'state' reason from t x join t y on x.w = y.w and not x.held and y.held and len(x.w) >= 3),
+fam as (select t.doc_id, f.held_id, 'family' reason from t join (select family, min(doc_id) held_id from t where held group by family) f using (family) where not held)
+select * from near union select * from field union select * from state union select * from fam"""
+
+
+@query(LEAK_SQL)
+def leakage_gate(spark, sf_dir):
+    """Every fifth document is held out; families are made of languages and ids."""
+    docs = table(spark, sf_dir, "documents").withColumn("family", F.concat_ws(":", "lang", (F.col("doc_id") % 97).cast("string")))
+    return similarity.leakage(docs.where("doc_id % 5 <> 0"), docs.where("doc_id % 5 = 0"), "family", **D)
+
+
+@query(
+    f"""with w as (select doc_id, source, list_distinct({TOKENS.format(x='text')}) w from documents), b as (select item_id, list_distinct({TOKENS.format(x='text')}) w from benchmark),
+d as (select doc_id, len(w) u, unnest(w) t from w), i as (select item_id, len(w) v, unnest(w) t from b)
+select doc_id, item_id, round(count(*) / (any_value(u) + any_value(v) - count(*)), 6) jaccard from d join i using (t) group by all having count(*) / (any_value(u) + any_value(v) - count(*)) >= 0.3"""
+)
+def jaccard_with_items(spark, sf_dir):
+    """Documents and items whose sets of words are alike to 0.3 or more."""
+    return similarity.jaccard_pairs(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 0.3, **DB).withColumn("jaccard", F.round("jaccard", 6))
 
 
 KEY = "sha256(trim(regexp_replace(lower(coalesce(text, '')), '\\s+', ' ', 'g')))"

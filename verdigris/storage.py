@@ -2,7 +2,7 @@
 
 Iterative operators cut their lineage by writing a table and reading it back, so that the loss of an executor
 costs a task and not the history of the loop. The folder is ``spark.checkpoint.dir`` of the session; only where
-that is unset (tests, a laptop) does a temporary folder take its place.
+that is unset in a local session (tests, a laptop) does a temporary folder take its place; on a cluster that is an error.
 """
 
 from __future__ import annotations
@@ -10,12 +10,14 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir is not set: on a cluster it must name a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="verdigris-shared-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -31,6 +33,16 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if len(df.inputFiles()) < cores // 2 else df
 
 
+#: Tables of at most so many rows are broadcast by ``bounded``.
+BROADCAST_ROWS = 500_000
+
+
+def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df``, written once, with a broadcast hint if it was counted and is small; larger tables are left to the optimiser."""
+    held = materialise(df, "bounded")
+    return F.broadcast(held) if held.count() <= rows else held
+
+
 def materialise(df: DataFrame, tag: str) -> DataFrame:
     """``df`` written once to the shared folder and read back. ``path_of`` gives its place for ``discard``."""
     spark = df.sparkSession
