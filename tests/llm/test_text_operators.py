@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from verdigris.llm import bpe, edit_fingerprint, packing, secret_scan, simhash, toxicity
 
 RANKS = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path("byte_bpe_50k.tiktoken"), "rb"))}
-ODD = ["", None, " ", "\n\n  x", "it's  we've\t'tis", "é" * 500, "a" * 1200, "日本語 текст ñ", "\x1c a\x1cb", "<|endoftext|> x", "tie", "tie", "=-" * 400, "word " * 3000]
+ODD = ["", None, " ", "\n\n  x", "it's  we've\t'tis", "é" * 500, "a" * 1200, "日本語 текст ñ", "\x1c a\x1cb", "<|endoftext|> x<|endoftext|>, <|EndOfText|>. |<|startoftext|>|", "tie", "tie", "=-" * 400, "word " * 3000]
 
 
 def odd(spark, ids=None):
@@ -150,6 +150,47 @@ def test_plan_uses_every_piece_once(histogram):
     assert used == histogram
 
 
+def test_other_tokenizers_get_whole_texts():
+    from tokenizers import Tokenizer
+
+    path = P.path("byte_bpe_50k.json")
+    texts = ["two  spaces\n\nand <|endoftext|>", "", "é ü"]
+    assert packing.ChunkTokenizer(P.path("word_bpe_49k.json")).by_chunk and not packing.ChunkTokenizer(path).by_chunk
+    own = Tokenizer.from_file(path)
+    assert [np.frombuffer(x, "<u4").tolist() for x in packing.ChunkTokenizer(path).encode([x.encode() for x in texts])] == [own.encode(x, add_special_tokens=False).ids for x in texts]
+
+
+def _bin_by_bin(histogram, capacity):
+    """The plan, a bin at a time over a plain list of pieces."""
+    left = sorted((x for x, n in histogram.items() for _ in range(n)), reverse=True)
+    bins = []
+    while left:
+        own, gap = [], capacity
+        for x in list(left):
+            if x <= gap:
+                own.append(x)
+                left.remove(x)
+                gap -= x
+        if gap and len(own) > 1:
+            room = gap + own[-1]
+            pairs = [(x + y, max(x, y), x, y) for i, x in enumerate(left) for y in left[i + 1 :] if x + y <= room]
+            if pairs and max(pairs)[0] > own[-1]:
+                _, _, x, y = max(pairs)
+                left = sorted([*left, own.pop()], reverse=True)
+                left.remove(x)
+                left.remove(y)
+                own += sorted((x, y), reverse=True)
+        bins.append(own)
+    return bins
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.dictionaries(st.integers(1, 40), st.integers(1, 5), max_size=9))
+def test_repeated_recipes_are_the_bins_one_by_one(histogram):
+    plan = packing.plan(histogram, 40)
+    assert sorted(tuple(own) for own, times in plan for _ in range(times)) == sorted(map(tuple, _bin_by_bin(histogram, 40)))
+
+
 def test_two_that_fit_better_replace_the_smallest():
     assert packing.plan({10: 1, 4: 1, 3: 2}, 16)[0][0] == [10, 3, 3]
 
@@ -158,7 +199,6 @@ def test_packing_of_odd_rows(spark):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(P.path("word_bpe_49k.json"))
-    t.encode_special_tokens = True
     out = packing.pack_documents(odd(spark), P.path("word_bpe_49k.json"), capacity=256).collect()
     by_doc: dict = {}
     for r in out:

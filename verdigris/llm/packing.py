@@ -29,20 +29,37 @@ from verdigris.storage import materialise
 MEMORY_CHUNKS, PART_ROWS = 1_600_000, 1_000_000
 
 
+#: The normalisers and the cut of tokenizers that work chunk by chunk, as their files state them.
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+CUT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+
+
 class ChunkTokenizer:
-    """Ids of whole texts by a tokenizer that drops white space and never looks across it, so that a text's ids are
-    those of its ASCII-white-space separated chunks."""
+    """Ids of whole texts. A tokenizer that drops white space and never looks across it gives a text the ids of its
+    ASCII-white-space separated chunks; whether the file at hand states such rules (NORMALIZERS, CUT) is looked at when it is loaded, and any
+    other tokenizer gets whole texts. Special tokens in a text are what the library makes of them: ids of their own."""
 
     def __init__(self, path: str):
+        import json
+
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        with open(path, encoding="utf-8") as f:
+            rules = json.load(f)
+        first, *_ = (rules.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+        self.special = [x["content"].lower().encode() for x in rules.get("added_tokens", [])]
+        plain = all(x["content"].isascii() and not x["normalized"] and not x["lstrip"] and not x["rstrip"] and len(x["content"].split()) == 1 for x in rules.get("added_tokens", []))
+        self.by_chunk = plain and (rules.get("normalizer") or {}).get("normalizers") == NORMALIZERS and (first.get("type"), first.get("pattern"), first.get("behavior"), first.get("invert")) == ("Split", {"Regex": CUT}, "Removed", True)
         self.known: dict[bytes, bytes] = {}
 
     def encode(self, texts: list[bytes]) -> Iterator[bytes]:
         """The ids of each UTF-8 text as little-endian unsigned 32-bit integers."""
         for at in range(0, len(texts), PORTION):
+            if not self.by_chunk:
+                for e in self.tokenizer.encode_batch_fast([x.decode() for x in texts[at : at + PORTION]], add_special_tokens=False):
+                    yield struct.pack(f"<{len(e)}I", *e.ids)
+                continue
             cut = [x.split() for x in texts[at : at + PORTION]]
             chunks: set[bytes] = set()
             for x in cut:
@@ -67,11 +84,10 @@ class ChunkTokenizer:
         for c, (core, mark) in cores.items():
             known[c] = known[core] + known[mark] if mark else known[core]
 
-    @staticmethod
-    def _core(chunk: bytes) -> tuple[bytes, bytes]:
-        if not chunk.isascii():
-            return chunk, b""
+    def _core(self, chunk: bytes) -> tuple[bytes, bytes]:
         low = chunk.lower()
+        if not chunk.isascii() or any(x in low for x in self.special):
+            return chunk, b""  # a special token is one in its own case only
         return (low[:-1], low[-1:]) if len(low) > 1 and low[-1] in b".," and 97 <= low[-2] <= 122 else (low, b"")
 
 
