@@ -145,11 +145,49 @@ def test_ledger(spark, tmp_path):
     assert total() == [("a", "en", "v1", 2, 16), ("b", "", "v1", 1, 7)]
     assert ledger.apply("3", deletes=spark.createDataFrame([(3, "v1"), (1, "v1"), (55, "v1")], "doc_id long, version string"), inserts=spark.createDataFrame([(9, "a", "en", "v2", 1)], first.schema))
     assert total() == [("a", "en", "v1", 1, 6), ("a", "en", "v2", 1, 1)]
-    (tmp_path / "ledger/changes/batch=4").mkdir(parents=True)  # a batch that broke off before its commit
+    (tmp_path / "ledger/heads/000000000004-4").mkdir(parents=True)  # a batch that broke off before its commit
+    ledger.vacuum()
     assert ledger.apply("4", deletes=spark.createDataFrame([(9, "v2")], "doc_id long, version string"))
     assert total() == [("a", "en", "v1", 1, 6)]
 
 
+def test_ledger_in_any_order_with_repeats_equals_a_dictionary(spark, tmp_path):
+    """Random batches of inserts, deletes and revisions, some sent again, against a dictionary of what is held."""
+    import random
+
+    rng = random.Random(5)
+    ledger, held, sent = TokenLedger(spark, f"file://{tmp_path}/random", buckets=4), {}, []
+    for n in range(7):
+        if sent and rng.random() < 0.3:
+            name, parts = rng.choice(sent)
+            assert not ledger.apply(name, **{k: spark.createDataFrame(v, s) for k, (v, s) in parts.items()})
+            continue
+        version = lambda: rng.choice(["v1", "v2", None])
+        key = lambda: (rng.randrange(12), version())
+        new = [(k[0], rng.choice(["a", None]), rng.choice(["en", "de"]), k[1], rng.randrange(50)) for k in (key() for _ in range(10))]
+        gone, counts = [key() for _ in range(4)], [(*key(), rng.randrange(50)) for _ in range(5)]
+        parts = {"inserts": (new, "doc_id long, source string, lang string, version string, tokens long"), "deletes": (gone, "doc_id long, version string"), "revised": (counts, "doc_id long, version string, tokens long")}
+        parts = {k: parts[k] for k in rng.sample(sorted(parts), rng.choice((1, 2, 3)))}
+        assert ledger.apply(f"b-{n}", **{k: spark.createDataFrame(v, s) for k, (v, s) in parts.items()})
+        sent.append((f"b-{n}", parts))
+        for k in gone if "deletes" in parts else ():
+            held.pop(k, None)
+        best: dict = {}
+        for d, s, lang, v, t in new if "inserts" in parts else ():
+            best[d, v] = max(best.get((d, v), (-1, "", "")), (t, s or "", lang))
+        held.update({k: (s or None, lang, t) for k, (t, s, lang) in best.items()})
+        most: dict = {}
+        for d, v, t in counts if "revised" in parts else ():
+            most[d, v] = max(most.get((d, v), -1), t)
+        held.update({k: (*held[k][:2], t) for k, t in most.items() if k in held})
+        want: dict = {}
+        for (_, v), (s, lang, t) in held.items():
+            m, x = want.get((s, lang, v), (0, 0))
+            want[s, lang, v] = (m + 1, x + t)
+        assert {(r["source"], r["lang"], r["version"]): (r["documents"], r["tokens"]) for r in ledger.totals().collect()} == want
+        assert ledger.rows().count() == len(held)
+
+
 def test_ledger_query_equals_direct_counts(spark):
     import tiktoken
 
