@@ -123,13 +123,82 @@ def test_edit_fingerprints(spark):
         r = out[k]
         assert (r["n_chars"], r["edited_sha256"]) == (len(x), hashlib.sha256(edited.encode()).hexdigest())
         a, b, c = (next(walk.fingerprints([t])) for t in (x, edited, follower))
-        assert r["fingerprint"] == edit_fingerprint.render(*a) and r["edited_fingerprint"] == edit_fingerprint.render(*b)
+        assert r["fingerprint"] == edit_fingerprint.render(a) and r["edited_fingerprint"] == edit_fingerprint.render(b)
         assert r["near_edited"] == pytest.approx(edit_fingerprint.likeness(a, b, walk.steps)) and r["near_next"] == pytest.approx(edit_fingerprint.likeness(a, c, walk.steps))
     assert out[1]["fingerprint"] == out[9]["fingerprint"]
     assert edit_fingerprint.compare_edited(docs.limit(0)).count() == 0
     assert edit_fingerprint.compare_edited(docs.where("doc_id = 5")).first()["near_next"] == 1.0
 
 
+def brute_print(text):
+    """The fingerprint by its definition: a step at a time, a walk at a time, all ranks sorted."""
+    out = []
+    codes = [ord(c) for c in text]
+    for w in range(edit_fingerprint.WALKS):
+        bits, place = edit_fingerprint.shared_bits(w), []
+        for k, c in enumerate(codes):
+            number, within = divmod(k, edit_fingerprint.SEGMENT)
+            if not within:
+                place += [k] * (number * edit_fingerprint.STRIDE - len(place))
+            kind = int(edit_fingerprint.kind_of(np.array([c]))[0])
+            while True:
+                step = len(place)
+                place.append(k)
+                if bits[kind, step % edit_fingerprint.PERIOD]:
+                    break
+        steps = np.arange(len(place), dtype=np.uint64)
+        lowest = sorted(np.argsort(edit_fingerprint._rank(steps, w), kind="stable")[: edit_fingerprint.SAMPLES].tolist())
+        own = bytearray()
+        for step in lowest:
+            part = codes[place[step] : place[step] + edit_fingerprint.SPAN]
+            if len(part) < edit_fingerprint.SPAN:
+                own += hashlib.blake2b(np.array(part, "<u4").tobytes(), digest_size=1).digest()
+                continue
+            h = 0
+            for c in part:
+                h = (h * 0x01000193 + c + 1) & 0xFFFFFFFF
+            own.append((((h ^ (h >> 15)) * 0x2C1B3C6D) & 0xFFFFFFFF) >> 24)
+        out.append(f"{len(place):08x}{own.hex()}")
+    return ".".join(out)
+
+
+def test_walks_are_those_of_the_definition():
+    rng = random.Random(4)
+    texts = ["", "x", "ab", "Ünï日", "".join(rng.choice("abcde fgh") for _ in range(700)), "".join(rng.choice("abc 日") for _ in range(9000))]
+    assert [edit_fingerprint.render(f) for f in edit_fingerprint.walker().fingerprints(texts)] == [brute_print(x) for x in texts]
+
+
+@pytest.mark.parametrize("edits, least", [(1, 1.0), (3, 1.0), (10, 0.95)])
+def test_light_edits_keep_texts_alike(edits, least):
+    """Documents of some 1,700 characters with planted substitutions, insertions and deletions; others stay unlike."""
+    import pandas as pd
+
+    rng = random.Random(edits)
+    texts = [x for x in pd.read_parquet("/root/testdata/sf0.1/documents.parquet").text.dropna() if 1200 < len(x) < 2400][:200]
+    edited = []
+    for x in texts:
+        own = list(x)
+        for _ in range(edits):
+            i = rng.randrange(len(own))
+            own[i : i + rng.randrange(2)] = rng.choice(["", "q", own[i] + "z"])
+        edited.append("".join(own))
+    walk = edit_fingerprint.walker()
+    a, b = list(walk.fingerprints(texts)), list(walk.fingerprints(edited))
+    assert np.mean([edit_fingerprint.likeness(p, q, walk.steps) >= 0.8 for p, q in zip(a, b)]) >= least
+    assert max(edit_fingerprint.likeness(p, q, walk.steps) for p, q, x, y in zip(a, a[1:], texts, texts[1:]) if x[:50] != y[:50]) < 0.5
+
+
+def test_ids_of_many_rows_are_dealt_to_several_ranges(spark):
+    rows = [(None, f"n{i}") for i in range(40)] + [(7, f"s{i} text") for i in range(60)] + [(i, f"u{i}") for i in range(10)]
+    out = edit_fingerprint.compare_edited(spark.createDataFrame(rows, "doc_id long, text string"), parts=8).collect()
+    from collections import Counter
+
+    assert Counter(r["doc_id"] for r in out) == Counter(i for i, _ in rows)
+    order = [x for _, x in sorted(rows, key=lambda r: -1 if r[0] is None else r[0])]
+    halves = {hashlib.sha256((x[: len(x) - len(x) // 2] + y[: len(x) // 2]).encode()).hexdigest() for x in order for y in order}
+    assert all(r["edited_sha256"] in halves for r in out)
+
+
 def test_few_edits_stay_close_and_duplicates_join(spark):
     rng = random.Random(5)
     base = ["".join(rng.choice("abcdefghij klmnop") for _ in range(800)) for _ in range(6)]

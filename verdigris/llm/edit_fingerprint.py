@@ -2,44 +2,55 @@
 
 A walk reads a text's code points one by one and stays on each for a number of steps that shared random bits give for
 (step, character). Two texts walk together until they differ; after an edit their walks meet again soon, so few edits
-change few steps: edit distance becomes Hamming distance between the strings of visited characters. The fingerprint
-keeps a sample of the steps, those whose shared random rank is lowest among the steps the walk took: so a text of
-another length samples mostly the same steps. Per sampled step it holds a byte of the characters from there on.
+change few steps: edit distance becomes Hamming distance between the strings of visited characters. As an unlucky edit can
+keep a walk apart for long, there are several walks with random bits of their own, and a long text is walked in segments,
+each of which starts at a step of its own. Per walk the fingerprint keeps a sample of the steps, those whose shared random rank is
+lowest among the steps the walk took: so a text of another length samples mostly the same steps. Per sampled step it holds a byte
+of the characters from there on.
 
-``likeness`` compares two fingerprints over the lowest ranks of both and corrects for bytes that agree by chance.
-Equal texts have equal fingerprints. Empty and null texts take no step and have the empty sample; two of these have
-likeness 1, and one with any other text 0.
+``likeness`` compares two fingerprints walk by walk, over the lowest ranks of both, corrects for bytes that agree by chance, and
+takes the walk that agrees most. Equal texts have equal fingerprints. Empty and null texts take no step and have the empty sample; two of
+these have likeness 1, and one with any other text 0.
 
-Walks of many texts advance together in numpy; texts of any length are walked whole.
+Segments of many texts advance together in numpy; texts of any length are walked whole.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from verdigris.llm.workers import claim
 from verdigris.operators.graph import connected_components
 from verdigris.storage import materialise
 
-#: Sampled steps, characters hashed at each, kinds of characters that stay differently long, and the period of the shared bits.
-SAMPLES, SPAN, KINDS, PERIOD = 256, 4, 16, 1 << 14
+#: Walks, sampled steps of each, characters hashed at each, kinds of characters that stay differently long, and the period of the shared bits.
+WALKS, SAMPLES, SPAN, KINDS, PERIOD = 4, 64, 4, 16, 1 << 14
+#: Characters of a segment, and steps from one segment's start to the next one's: a character takes two on average.
+SEGMENT, STRIDE = 4096, 8832
 #: Steps of lowest rank within a power of two that bands choose from; walks of up to four times the power sample nearly all of them.
-POOL = 48
+POOL = 12
 #: Code points walked together in a worker.
 PORTION = 4_000_000
 
 
-def _shared(seed: int = 20) -> np.ndarray:
-    """stay[kind * PERIOD + step % PERIOD]: steps until the walk moves on from a character of this kind."""
-    bits = np.random.Generator(np.random.PCG64(seed)).integers(0, 2, (KINDS, PERIOD), dtype=np.uint8)
+def shared_bits(walk: int) -> np.ndarray:
+    """bits[kind, step % PERIOD]: whether this walk moves on after this step on a character of this kind."""
+    bits = np.random.Generator(np.random.PCG64(20 + walk)).integers(0, 2, (KINDS, PERIOD), dtype=np.uint8)
     bits[:, 0] = 1
+    return bits
+
+
+def _stays(walk: int) -> np.ndarray:
+    """stay[kind * PERIOD + step % PERIOD]: steps until the walk moves on."""
+    bits = shared_bits(walk)
     twice = np.concatenate([bits, bits], axis=1)
-    ahead = np.zeros((KINDS, 2 * PERIOD), dtype=np.int32)
+    ahead = np.zeros((KINDS, 2 * PERIOD), dtype=np.uint16)
     at = np.full(KINDS, 2 * PERIOD)
     for step in range(2 * PERIOD - 1, -1, -1):
         at = np.where(twice[:, step] == 1, step, at)
@@ -47,71 +58,98 @@ def _shared(seed: int = 20) -> np.ndarray:
     return ahead[:, :PERIOD].ravel().copy()
 
 
+def kind_of(codes: np.ndarray) -> np.ndarray:
+    """The kind of each code point."""
+    return ((codes.astype(np.uint32) * np.uint32(0x9E3779B1)) >> np.uint32(28)).astype(np.int32)
+
+
+#: (steps, sampled bytes) of each walk.
+Fingerprint = list[tuple[int, np.ndarray]]
+
+
 class Walker:
     """Walks batches of texts. One per worker."""
 
     def __init__(self) -> None:
-        self.stay = _shared()
-        self.prefixes: dict[int, np.ndarray] = {}
+        self.stays = [_stays(w) for w in range(WALKS)]
+        self.prefixes: dict[tuple[int, int], np.ndarray] = {}
+        self.sampled: dict[tuple[int, int], np.ndarray] = {}
 
-    def steps(self, steps: int) -> np.ndarray:
+    def steps(self, steps: int, walk: int) -> np.ndarray:
         """The sampled steps of a walk of this many steps, ascending. Ranks are a fixed mix of the step's number, and
         lowest ranks are taken among power-of-two prefixes first, so no more than a few samples' worth is ranked."""
         if steps <= SAMPLES:
             return np.arange(steps)
+        known = self.sampled.get((steps, walk))
+        if known is not None:
+            return known
         size = 1 << (int(steps) - 1).bit_length()
-        if size not in self.prefixes:
-            ranks = _rank(np.arange(size, dtype=np.uint64))
-            low = np.argpartition(ranks, min(size - 1, 8 * SAMPLES))[: 8 * SAMPLES + 1]
-            self.prefixes[size] = low[np.argsort(ranks[low], kind="stable")]
-        near = self.prefixes[size]
-        near = near[near < steps][:SAMPLES]
-        return np.sort(near)
-
-    def walk(self, codes: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """The step at which each code point is left; texts lie one after another in ``codes``."""
-        kinds = (((codes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)) % np.uint64(KINDS)).astype(np.int32) * PERIOD
-        left = np.empty(len(codes), dtype=np.int32)
-        order = np.argsort(-sizes, kind="stable")
-        place, size = starts[order].copy(), sizes[order]
-        now = np.zeros(len(order), dtype=np.int32)
+        if (size, walk) not in self.prefixes:
+            ranks = _rank(np.arange(size, dtype=np.uint64), walk)
+            low = np.argpartition(ranks, min(size - 1, 12 * SAMPLES))[: 12 * SAMPLES + 1]
+            self.prefixes[size, walk] = low[np.argsort(ranks[low], kind="stable")]
+        near = self.prefixes[size, walk]
+        if len(self.sampled) > 100_000:
+            self.sampled.clear()
+        self.sampled[steps, walk] = found = np.sort(near[near < steps][:SAMPLES])
+        return found
+
+    def walk(self, codes: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
+        """For each walk the step at which each code point is left; texts lie one after another in ``codes``."""
+        parts = -(-sizes // SEGMENT)
+        text = np.repeat(np.arange(len(sizes)), parts)
+        number = np.arange(len(text)) - np.repeat(np.cumsum(parts) - parts, parts)
+        begin, size = starts[text] + number * SEGMENT, np.minimum(sizes[text] - number * SEGMENT, SEGMENT)
+        order = np.argsort(-size, kind="stable")
+        begin, size, number = begin[order], size[order], number[order]
+        # laid by turn: the k-th characters of all segments that have one lie side by side
         alive = np.searchsorted(-size, -np.arange(int(size[0]) if len(size) else 0), side="left")
-        for n in alive.tolist():
-            at = place[:n]
-            step = now[:n]
-            step += self.stay[kinds[at] + (step & (PERIOD - 1))]
-            left[at] = step
-            at += 1
-        return left
-
-    def fingerprints(self, texts: list[str]) -> Iterator[tuple[int, np.ndarray]]:
-        """(steps of the walk, sampled bytes) of each text."""
+        turns = np.r_[0, np.cumsum(alive)]
+        lane = np.repeat(np.arange(len(size)), size)
+        turn = np.arange(len(codes)) - np.repeat(np.cumsum(size) - size, size)
+        source, laid = begin[lane] + turn, turns[turn] + lane
+        kinds = np.empty(len(codes), np.int32)
+        kinds[laid] = kind_of(codes)[source] * PERIOD
+        first = (number * STRIDE % PERIOD).astype(np.int32)
+        out = []
+        for stay in self.stays:
+            now, left, seat = first.copy(), np.empty(len(codes), np.int32), np.empty(len(size), np.int32)
+            for at, n in zip(turns.tolist(), alive.tolist()):
+                step, look = now[:n], seat[:n]
+                np.bitwise_and(step, PERIOD - 1, out=look)
+                look += kinds[at : at + n]
+                step += stay[look]
+                left[at : at + n] = step
+            own = np.empty(len(codes), np.int64)
+            own[source] = np.minimum(left[laid] - first[lane], STRIDE - 1) + number[lane].astype(np.int64) * STRIDE
+            out.append(own)
+        return out
+
+    def fingerprints(self, texts: list[str]) -> Iterator[Fingerprint]:
         raw = [x.encode("utf-32-le", "surrogatepass") for x in texts]
         sizes = np.array([len(x) // 4 for x in raw], dtype=np.int64)
         codes = np.frombuffer(b"".join(raw), dtype="<u4")
         starts = np.cumsum(sizes) - sizes
-        left = self.walk(codes, starts, sizes)
+        walks = self.walk(codes, starts, sizes)
         hashed = np.zeros(len(codes), dtype=np.uint32)
         for k in range(SPAN):
             hashed = hashed * np.uint32(0x01000193) + np.r_[codes[k:], np.zeros(min(k, len(codes)), codes.dtype)].astype(np.uint32) + np.uint32(1)
         hashed = ((hashed ^ (hashed >> np.uint32(15))) * np.uint32(0x2C1B3C6D) >> np.uint32(24)).astype(np.uint8)
+        # at a text's end the hash would read into the next text
         ends = starts + sizes
-        for i in range(len(texts)):
-            a, b = int(starts[i]), int(ends[i])
-            if a == b:
-                yield 0, np.zeros(0, np.uint8)
-                continue
-            steps = int(left[b - 1])
-            at = a + np.searchsorted(left[a:b], self.steps(steps), side="right")
-            own = hashed[at].copy()
-            tail = at > b - SPAN  # the hash would read into the next text
-            for j in np.flatnonzero(tail):
-                own[j] = hashlib.blake2b(codes[at[j] : b].tobytes(), digest_size=1).digest()[0]
-            yield steps, own
-
-
-def _rank(step: np.ndarray) -> np.ndarray:
-    x = (step + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+        for i in np.flatnonzero(sizes).tolist():
+            for j in range(max(int(starts[i]), int(ends[i]) - SPAN + 1), int(ends[i])):
+                hashed[j] = hashlib.blake2b(codes[j : ends[i]].tobytes(), digest_size=1).digest()[0]
+        for a, b in zip(starts.tolist(), ends.tolist()):
+            own = []
+            for w, left in enumerate(walks):
+                steps = int(left[b - 1]) if b > a else 0
+                own.append((steps, hashed[a + np.searchsorted(left[a:b], self.steps(steps, w), side="right")]))
+            yield own
+
+
+def _rank(step: np.ndarray, walk: int) -> np.ndarray:
+    x = (step * np.uint64(WALKS) + np.uint64(walk + 1)) * np.uint64(0x9E3779B97F4A7C15)
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
@@ -127,26 +165,31 @@ def walker() -> Walker:
     return _WALKER[0]
 
 
-def render(steps: int, sampled: np.ndarray) -> str:
-    """A fingerprint as text: steps in 8 hex digits, then two for each sampled step."""
-    return f"{steps:08x}{sampled.tobytes().hex()}"
+def render(own: Fingerprint) -> str:
+    """A fingerprint as text: for each walk its steps in 8 hex digits, then two for each sampled step; a full stop between walks."""
+    return ".".join(f"{steps:08x}{sampled.tobytes().hex()}" for steps, sampled in own)
+
 
+def _parse(fingerprint: str) -> Fingerprint:
+    return [(int(x[:8], 16), np.frombuffer(bytes.fromhex(x[8:]), np.uint8)) for x in fingerprint.split(".")]
 
-def likeness(a: tuple[int, np.ndarray], b: tuple[int, np.ndarray], steps_of) -> float:
-    """0 to 1: share of equal bytes over the steps that either sample holds with a rank below both samples' bounds."""
-    if not a[0] or not b[0]:
-        return float(a[0] == b[0])
+
+def _agreement(a: tuple[int, np.ndarray], b: tuple[int, np.ndarray], x: np.ndarray, y: np.ndarray) -> float:
+    """Share of equal bytes over the steps that either sample holds with a rank below both samples' bounds; x and y are the samples' steps."""
     if a[0] == b[0]:
-        same, total = int((a[1] == b[1]).sum()), len(a[1])
-    else:
-        if a[0] > b[0]:
-            a, b = b, a
-        # the longer walk's sample within the shorter walk is part of the shorter walk's sample
-        x, y = steps_of(a[0]), steps_of(b[0])
-        inside = y < a[0]
-        same = int((a[1][np.searchsorted(x, y[inside])] == b[1][inside]).sum())
-        total = len(y)
-    share = same / total
+        return float((a[1] == b[1]).sum()) / len(a[1])
+    if a[0] > b[0]:
+        a, b, x, y = b, a, y, x
+    # the longer walk's sample within the shorter walk is part of the shorter walk's sample
+    inside = y < a[0]
+    return float((a[1][np.searchsorted(x, y[inside])] == b[1][inside]).sum()) / len(y)
+
+
+def likeness(a: Fingerprint, b: Fingerprint, steps_of) -> float:
+    """0 to 1: the agreement of the walk that agrees most, without what agrees by chance."""
+    if not a[0][0] or not b[0][0]:
+        return float(a[0][0] == b[0][0])
+    share = max(_agreement(p, q, steps_of(p[0], w), steps_of(q[0], w)) for w, (p, q) in enumerate(zip(a, b)))
     return max(0.0, min(1.0, (share - 1 / 256) / (1 - 1 / 256)))
 
 
@@ -168,17 +211,13 @@ def with_fingerprint(df: DataFrame, text: str = "text", out: str = "fingerprint"
         for column in batches:
             found: list[str] = []
             for part in _portions((("" if x is None else x,) for x in column.array), lambda r: len(r[0])):
-                found += [render(*f) for f in walker().fingerprints([x for (x,) in part])]
+                found += [render(f) for f in walker().fingerprints([x for (x,) in part])]
             yield pd.Series(found, dtype=object)
 
     return df.withColumn(out, fingerprint(F.col(text)))
 
 
-def _parse(fingerprint: str) -> tuple[int, np.ndarray]:
-    return int(fingerprint[:8], 16), np.frombuffer(bytes.fromhex(fingerprint[8:]), np.uint8)
-
-
-def edit_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", least: float = 0.8, bands: int = 24, width: int = 6) -> DataFrame:
+def edit_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", least: float = 0.8, bands: int = 24, width: int = 5) -> DataFrame:
     """(doc_id, class_id, links): documents joined where a band of bit-sampled fingerprint bytes agrees and the whole
     fingerprints' likeness is at least ``least``. Equal fingerprints form one class first. In a band's bucket a row is measured against
     each group of joined rows until one of its members is like it, so no join within a bucket is lost, and a bucket of rows that
@@ -189,27 +228,28 @@ def edit_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", lea
 
     def banded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         draw = np.random.Generator(np.random.PCG64(11))
-        # each band looks at other steps of the pool
+        # each band looks at other steps of a walk's pool
         picks = np.array([draw.permutation(POOL)[:width] for _ in range(bands)])
-        pools: dict[int, np.ndarray] = {}
+        pools: dict[tuple[int, int], np.ndarray] = {}
         for batch in batches:
             rows = []
             for rep, fp in zip(batch.rep.array, batch.fingerprint.array):
-                steps, own = _parse(fp)
-                sampled = walker().steps(steps)
-                if not steps:
-                    rows.append((0, "", rep, fp))
-                # walks of up to twice the length share the lower of their classes, and in it the steps looked at
-                longest = steps.bit_length() - 1
-                for size in range(max(0, longest - 1), longest + 1) if steps else ():
-                    if size not in pools:
-                        near = walker().steps(1 << size)
-                        pools[size] = near[np.argsort(_rank(near.astype(np.uint64)), kind="stable")][:POOL]
-                    pool = pools[size]
-                    at = np.minimum(np.searchsorted(sampled, pool), len(sampled) - 1)
-                    seen = np.where(sampled[at] == pool, own[at], 0).astype(np.uint8)
-                    for band in range(bands):
-                        rows.append((band, f"{size:02x}{seen[picks[band] % len(pool)].tobytes().hex()}", rep, fp))
+                for w, (steps, own) in enumerate(_parse(fp)):
+                    if not steps:
+                        rows.append((w, "", rep, fp))
+                        break
+                    sampled = walker().steps(steps, w)
+                    # walks of up to twice the length share the lower of their classes, and in it the steps looked at
+                    longest = steps.bit_length() - 1
+                    for size in range(max(0, longest - 1), longest + 1):
+                        if (size, w) not in pools:
+                            near = walker().steps(1 << size, w)
+                            pools[size, w] = near[np.argsort(_rank(near.astype(np.uint64), w), kind="stable")][:POOL]
+                        pool = pools[size, w]
+                        at = np.minimum(np.searchsorted(sampled, pool), len(sampled) - 1)
+                        seen = np.where(sampled[at] == pool, own[at], 0).astype(np.uint8)
+                        for band in range(w, bands, WALKS):
+                            rows.append((band, f"{size:02x}{seen[picks[band] % len(pool)].tobytes().hex()}", rep, fp))
             yield pd.DataFrame(rows, columns=["band", "key", "rep", "fingerprint"])
 
     def verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -239,34 +279,50 @@ def edit_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", lea
     return prints.join(named, "fingerprint").select("doc_id", "class_id", "links")
 
 
+def _ranges(source: DataFrame, parts: int) -> tuple[Column, Column, list[int]]:
+    """(bucket, place within it) for (doc_id, tie): ranges of ids with about as many rows each. An id that spans several ranges is dealt to
+    as many by its tie. Cuts lie in blocks, so that a row looks at the square root of their number."""
+    cuts = sorted(int(x) for x in source.approxQuantile("known", [i / parts for i in range(1, parts)], 0.2 / parts))
+    block = max(1, math.isqrt(len(cuts)))
+    low, every = F.from_json(F.lit(str(cuts[::block])), "array<bigint>"), F.from_json(F.lit(str(cuts)), "array<bigint>")
+
+    def count(below) -> Column:
+        whole = F.greatest(F.size(F.filter(low, below)) - 1, F.lit(0)) * block
+        return whole + F.size(F.filter(F.slice(every, whole + 1, block), below))
+
+    under, upto = count(lambda c: c < F.col("known")), count(lambda c: c <= F.col("known"))
+    tie = F.pmod(F.col("tie"), F.lit(1 << 31)) / float(1 << 31)
+    own = F.when(upto - under <= 1, upto).otherwise(under + 1 + F.floor(tie * (upto - under)).cast("int"))
+    return (own if cuts else F.lit(0)).cast("int").alias("bucket"), F.pmod(F.col("tie"), F.lit(1 << 31)).alias("tie"), cuts
+
+
 def compare_edited(docs: DataFrame, id: str = "doc_id", text: str = "text", parts: int | None = None) -> DataFrame:
     """Each document beside its edited text and its successor.
 
     Documents are dealt to ranges of their id, once and with their text; the first document of each range also goes to
     the range before it, so that every row meets its successor. The last document's successor is the first one. Null
-    ids come first and ties are ordered by text; repeated rows are each other's successors. Columns: doc_id, n_chars,
-    edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
+    ids come first, and rows of one id are ordered by a hash of their text, so that a frequent id is dealt to several ranges; repeated rows are
+    each other's successors. Columns: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
     """
     spark = docs.sparkSession
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     source = docs.select(F.col(id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    cuts = sorted({int(x) for x in source.where("doc_id is not null").approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.2 / parts)})
-    lowest = -(1 << 63)
-    cut_list = F.from_json(F.lit(str(cuts)), "array<bigint>")
-    bucket = F.coalesce(F.size(F.filter(cut_list, lambda c: c <= F.col("doc_id"))), F.lit(0))
-    # the first id of every range that has one: at most `parts` rows
-    firsts = source.groupBy(bucket.alias("bucket")).agg(F.min(F.coalesce("doc_id", F.lit(lowest))).alias("first")).orderBy("bucket").collect()
+    keyed = source.withColumns({"known": F.coalesce("doc_id", F.lit(-(1 << 63))), "tie": F.xxhash64("text")})
+    bucket, tie, cuts = _ranges(keyed, parts)
+    placed = keyed.select("doc_id", "text", "known", bucket, tie)
+    # the first row of every range that has one: at most `parts` rows
+    firsts = placed.groupBy("bucket").agg(F.min(F.struct("known", "tie")).alias("first")).orderBy("bucket").collect()
     if not firsts:
         return spark.createDataFrame([], OUT)
-    to = {r["first"]: firsts[i - 1]["bucket"] for i, r in enumerate(firsts)}
-    starts = F.from_json(F.lit(str([r["first"] for r in firsts])), "array<bigint>")
-    befores = F.from_json(F.lit(str([to[r["first"]] for r in firsts])), "array<int>")
-    known = F.coalesce("doc_id", F.lit(lowest))
-    at = F.array_position(starts, known)
-    homes = F.when(at > 0, F.array(F.struct(bucket.alias("bucket"), F.lit(0).alias("guest")), F.struct(F.get(befores, (at - 1).cast("int")).alias("bucket"), F.lit(1).alias("guest")))).otherwise(F.array(F.struct(bucket.alias("bucket"), F.lit(0).alias("guest"))))
-    dealt = source.select("doc_id", "text", F.explode(homes).alias("home")).select("doc_id", "text", "home.bucket", "home.guest")
-    laid = dealt.repartition(parts, "bucket").sortWithinPartitions("bucket", "guest", F.col("doc_id").asc_nulls_first(), "text")
-    return laid.mapInPandas(_compare, OUT)
+    before = {r["bucket"]: (r["first"]["known"], r["first"]["tie"], firsts[i - 1]["bucket"]) for i, r in enumerate(firsts)}
+    told = F.from_json(F.lit(str([list(before.get(b, (0, -1, 0))) for b in range(len(cuts) + 1)])), "array<array<bigint>>")
+    own = F.get(told, F.col("bucket"))
+    leads = (F.get(own, F.lit(0)) == F.col("known")) & (F.get(own, F.lit(1)) == F.col("tie"))
+    home = lambda b, guest: F.struct(b.cast("int").alias("bucket"), F.lit(guest).alias("guest"))
+    homes = F.when(leads, F.array(home(F.col("bucket"), 0), home(F.get(own, F.lit(2)), 1))).otherwise(F.array(home(F.col("bucket"), 0)))
+    dealt = placed.select("doc_id", "text", "tie", F.explode(homes).alias("home")).select("doc_id", "text", "tie", "home.bucket", "home.guest")
+    laid = dealt.repartitionById(len(cuts) + 1, F.col("bucket")).sortWithinPartitions("bucket", "guest", F.col("doc_id").asc_nulls_first(), "tie", "text")
+    return laid.select("doc_id", "text", "bucket", "guest").mapInPandas(_compare, OUT)
 
 
 OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -299,8 +355,8 @@ def _compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 "doc_id": pd.array([None if d is None or d != d else int(d) for d, _, _ in part], dtype="Int64"),
                 "n_chars": [len(x) for x in texts],
                 "edited_sha256": [hashlib.sha256(x.encode()).hexdigest() for x in edited],
-                "fingerprint": [render(*f) for f in own],
-                "edited_fingerprint": [render(*f) for f in other],
+                "fingerprint": [render(f) for f in own],
+                "edited_fingerprint": [render(f) for f in other],
                 "near_edited": [likeness(a, b, walker().steps) for a, b in zip(own, other)],
                 "near_next": [likeness(a, b, walker().steps) for a, b in zip(own, after)],
             }
