@@ -51,3 +51,37 @@ def test_edit_duplicates_join_texts_of_other_lengths(spark):
     print("alike", len(want), "found", found)
     assert len(want) >= 40 and found == len(want)
     assert all(c in (d, d - 100) for d, c in got.items())
+
+
+def test_toxicity_of_held_out_rows_of_the_table(spark):
+    """sf0.1: of the held-out toxic texts with a word that only toxic learning texts have, several times, nine tenths are caught."""
+    from verdigris.llm import queries, toxicity
+
+    sf = "/root/testdata/sf0.1"
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
+    labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    out = {r["doc_id"]: r for r in queries.op2_toxicity(spark, sf).collect()}
+    seen: dict = {}
+    for i, y in labels.items():
+        if not out[i]["held_out"]:
+            for w in set(toxicity.words_of(texts[i])):
+                n = seen.setdefault(w, [0, 0])
+                n[y] += 1
+    marks = {w for w, (clean, toxic) in seen.items() if toxic >= 20 and not clean}
+    held = [i for i in labels if out[i]["held_out"]]
+    told = [out[i]["predicted"] for i in held if labels[i] == 1 and marks & set(toxicity.words_of(texts[i]))]
+    accused = [out[i]["predicted"] for i in held if labels[i] == 0]
+    assert len(told) > 40 and sum(told) >= 0.9 * len(told)
+    assert sum(accused) <= 0.04 * len(accused)
+    assert all(r["predicted"] == (r["score"] >= 0.5) and 0 <= r["score"] <= 1 for r in out.values())
+
+
+def test_toxicity_of_odd_rows(spark):
+    from verdigris.llm import toxicity
+
+    model = toxicity.train([f"good words {i}" for i in range(40)] + [f"grobnik words {i}" for i in range(40)], [0] * 40 + [1] * 40, toxicity.Settings(steps=200, buckets=1 << 12))
+    rows = [(None, "grobnik"), (1, None), (1, None), (2, ""), (3, "123 ..."), (4, "word " * 200_000), (5, "grobnik words"), (5, "grobnik words")]
+    out = toxicity.with_score(spark.createDataFrame([(*r, "mine") for r in rows], "doc_id long, text string, score string"), model).collect()
+    assert len(out) == len(rows) and all(0 <= r["score"] <= 1 for r in out)
+    by = {(r["doc_id"], (r["text"] or "")[:9]): r["score"] for r in out}
+    assert by[1, ""] == by[2, ""] == by[3, "123 ..."] and by[5, "grobnik w"] > 0.5

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from verdigris.session import ship_package
 from verdigris.storage import materialise, scratch_path, spread
 
-HELD_OUT = "pmod(crc32(cast(cast(doc_id as string) as binary)), 5) = 0"
+#: Whether a document's labels are kept from learning; a null id has no remainder and is not held out.
+HELD_OUT = "coalesce(pmod(crc32(cast(cast(doc_id as string) as binary)), 5) = 0, false)"
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFrame:

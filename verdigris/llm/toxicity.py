@@ -5,7 +5,8 @@ one of them; a document's vector is the mean over its words. So a misspelling th
 the word that was. Training reads a bounded sample of labelled rows; once trained, the softmax folds into one number
 per subword, and scoring runs over every whole text.
 
-Null and empty texts have no words and get the score of the bias alone. Labels of one kind only, or none, give every text
+Null and empty texts have no words and get the score of the bias alone; texts of any length are scored whole, repeated rows
+each by themselves, and a column of the result's name is replaced. Labels of one kind only, or none, give every text
 the same score, below one half unless they are all 1. A word's marks and n-grams are over
 lower-cased letters; anything that is no letter separates words.
 """
@@ -33,10 +34,15 @@ class Settings:
     sample_rows: int = 16_000
     buckets: int = 1 << 18
     dimensions: int = 4
-    epochs: int = 5
-    #: Small samples are gone through more often, up to this many times, to take as many steps as large ones.
-    most_epochs: int = 60
+    #: Steps of ``batch`` rows, the same for any sample: small ones are gone through more often.
+    steps: int = 2_000
     batch: int = 32
+    #: A subword in fewer (document, word) places of the sample has no vector, and vectors shrink by ``decay``: what one document alone
+    #: says is not learned by heart.
+    least_seen: int = 5
+    decay: float = 1e-3
+    #: Power of the weights that would make both labels equally heavy.
+    balance: float = 0.5
     rate: float = 0.05
     seed: int = 7
 
@@ -127,38 +133,45 @@ def train(texts: Iterable[str], labels: np.ndarray | array, settings: Settings =
     seen_v, seen_s, seen_b = np.full(vectors.shape, 1e-8, np.float32), np.full(soft.shape, 1e-8, np.float32), np.full(2, 1e-8, np.float32)
     labels = np.asarray(labels, dtype=np.int64)
     share = max(1, (labels == 1).sum()) / max(1, len(labels))
-    weight = np.where(labels == 1, 0.5 / share, 0.5 / max(1e-6, 1 - share)).astype(np.float32) ** 0.75
+    weight = np.where(labels == 1, 0.5 / share, 0.5 / max(1e-6, 1 - share)).astype(np.float32) ** settings.balance
+    holders = np.bincount(bags.word, minlength=len(bags.gram_at) - 1)
+    seen_in = np.bincount(bags.gram, np.repeat(holders, np.diff(bags.gram_at)), settings.buckets)
+    learned = seen_in >= settings.least_seen
+    vectors[~learned] = 0
     if len(set(labels.tolist())) < 2:
         prior = ((labels == 1).sum() + 0.5) / (len(labels) + 2)  # below one half where there is no label at all
         return np.zeros(settings.buckets, np.float32), float(np.log(prior / (1 - prior)))
-    large = settings.sample_rows * settings.epochs
-    for _ in range(max(settings.epochs, min(settings.most_epochs, large // max(1, len(labels))))):
-        order = rng.permutation(len(labels))
-        for at in range(0, len(order), settings.batch):
-            rows = order[at : at + settings.batch]
-            a, b = bags.doc_at[rows], bags.doc_at[rows + 1]
-            entry, owner = _spans(a, b), np.repeat(np.arange(len(rows)), b - a)
-            if not len(entry):
-                continue
-            word, back = np.unique(bags.word[entry], return_inverse=True)
-            g0, g1 = bags.gram_at[word], bags.gram_at[word + 1]
-            gram, of_word = bags.gram[_spans(g0, g1)], np.repeat(np.arange(len(word)), g1 - g0)
-            per_word = np.add.reduceat(vectors[gram], np.r_[0, np.cumsum(g1 - g0)[:-1]], axis=0) / (g1 - g0)[:, None]
-            total = np.bincount(owner, bags.count[entry], len(rows))
-            share_of = (bags.count[entry] / total[owner]).astype(np.float32)
-            hidden = np.stack([np.bincount(owner, share_of * per_word[back, d], len(rows)) for d in range(settings.dimensions)], axis=1).astype(np.float32)
-            logits = hidden @ soft * SHARPNESS + bias
-            p = np.exp(logits - logits.max(axis=1, keepdims=True))
-            p /= p.sum(axis=1, keepdims=True)
-            p[np.arange(len(rows)), labels[rows]] -= 1
-            p *= weight[rows][:, None] / len(rows)
-            g_soft, g_bias, g_hidden = SHARPNESS * (hidden.T @ p), p.sum(axis=0), SHARPNESS * (p @ soft.T)
-            g_word = np.stack([np.bincount(back, share_of * g_hidden[owner, d], len(word)) for d in range(settings.dimensions)], axis=1) / (g1 - g0)[:, None]
-            bucket, spot = np.unique(gram, return_inverse=True)
-            g_vector = np.stack([np.bincount(spot, g_word[of_word, d], len(bucket)) for d in range(settings.dimensions)], axis=1).astype(np.float32)
-            for value, grad, seen, where in ((soft, g_soft, seen_s, ...), (bias, g_bias, seen_b, ...), (vectors, g_vector, seen_v, bucket)):
-                seen[where] += grad * grad
-                value[where] -= settings.rate * grad / np.sqrt(seen[where])
+    order = np.zeros(0, np.int64)
+    for _ in range(settings.steps):
+        while len(order) < settings.batch:
+            order = np.r_[order, rng.permutation(len(labels))]
+        rows, order = order[: settings.batch], order[settings.batch :]
+        a, b = bags.doc_at[rows], bags.doc_at[rows + 1]
+        entry, owner = _spans(a, b), np.repeat(np.arange(len(rows)), b - a)
+        if not len(entry):
+            continue
+        word, back = np.unique(bags.word[entry], return_inverse=True)
+        g0, g1 = bags.gram_at[word], bags.gram_at[word + 1]
+        gram, of_word = bags.gram[_spans(g0, g1)], np.repeat(np.arange(len(word)), g1 - g0)
+        per_word = np.add.reduceat(vectors[gram], np.r_[0, np.cumsum(g1 - g0)[:-1]], axis=0) / (g1 - g0)[:, None]
+        total = np.bincount(owner, bags.count[entry], len(rows))
+        share_of = (bags.count[entry] / total[owner]).astype(np.float32)
+        hidden = np.stack([np.bincount(owner, share_of * per_word[back, d], len(rows)) for d in range(settings.dimensions)], axis=1).astype(np.float32)
+        logits = hidden @ soft * SHARPNESS + bias
+        p = np.exp(logits - logits.max(axis=1, keepdims=True))
+        p /= p.sum(axis=1, keepdims=True)
+        p[np.arange(len(rows)), labels[rows]] -= 1
+        p *= weight[rows][:, None] / len(rows)
+        g_soft, g_bias, g_hidden = SHARPNESS * (hidden.T @ p) + settings.decay * soft, p.sum(axis=0), SHARPNESS * (p @ soft.T)
+        g_word = np.stack([np.bincount(back, share_of * g_hidden[owner, d], len(word)) for d in range(settings.dimensions)], axis=1) / (g1 - g0)[:, None]
+        bucket, spot = np.unique(gram, return_inverse=True)
+        g_vector = np.stack([np.bincount(spot, g_word[of_word, d], len(bucket)) for d in range(settings.dimensions)], axis=1).astype(np.float32)
+        some = learned[bucket]
+        bucket, g_vector = bucket[some], g_vector[some]
+        g_vector += settings.decay * vectors[bucket]
+        for value, grad, seen, where in ((soft, g_soft, seen_s, ...), (bias, g_bias, seen_b, ...), (vectors, g_vector, seen_v, bucket)):
+            seen[where] += grad * grad
+            value[where] -= settings.rate * grad / np.sqrt(seen[where])
     folded = (vectors @ (soft[:, 1] - soft[:, 0]) * SHARPNESS).astype(np.float32)
     return folded, float(bias[1] - bias[0])
 
