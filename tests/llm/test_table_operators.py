@@ -133,6 +133,36 @@ def test_recall(spark):
     assert np.mean(hits) >= 0.9
 
 
+def test_queries_take_the_dimension_of_the_table(spark):
+    """Most queries have another dimension than most rows of the table."""
+    df = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(9)] + [(i, [1.0, 2.0, float(i)]) for i in range(20, 24)], "vec_id long, embedding array<double>")
+    got = ann.search(df, df.where("vec_id in (3, 20, 21, 22)"), k=2).orderBy("rank").collect()
+    assert [(r["query_id"], r["vec_id"], r["score"]) for r in got] == [(3, 2, 1.0), (3, 4, 1.0)]
+
+
+def test_recall_over_several_full_shards_and_blocks(spark):
+    """Random directions, the hardest case: four shards, three blocks, a vector that many rows hold, data off the origin."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(4_000, 64))
+    x = x / np.linalg.norm(x, axis=1, keepdims=True) + 5.0
+    x[2_000:2_400] = x[2_000]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    # the fixed number of strings in the proportion of full shards
+    out = ann.search(df, df.where("vec_id % 20 = 0"), shard=1_000, block=80, wanted=ann.WANTED * 1_000 // ann.SHARD).collect()
+    got: dict = {}
+    for r in sorted(out, key=lambda r: r["rank"]):
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    hits = []
+    for q in range(0, 4_000, 20):
+        d = np.sqrt(((x - x[q]) ** 2).sum(axis=1))
+        d[q] = np.inf
+        assert len(got[q]) == 10 and all(s == d[v] for v, s in got[q])
+        hits.append(len({v for v, _ in got[q]} & set(np.lexsort((np.arange(4_000), d))[:10].tolist())) / 10)
+    print("recall", np.mean(hits))
+    assert np.mean(hits) >= 0.9
+    assert [v for v, _ in got[2_000]] == list(range(2_001, 2_011))
+
+
 def test_ledger(spark, tmp_path):
     ledger = TokenLedger(spark, f"file://{tmp_path}/ledger")
     assert ledger.totals().count() == 0
