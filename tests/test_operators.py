@@ -183,7 +183,7 @@ def test_temperature_fit_lowers_the_loss(spark):
     rng = np.random.default_rng(0)
     z = rng.normal(0, 4, (400, 3))
     y = [int(rng.choice(3, p=np.exp(v / 3) / np.exp(v / 3).sum())) for v in z]
-    t = calibration.golden_section(z, np.array(y))
+    t = calibration.best_temperature(z, np.array(y))
     assert 2 < t < 4.5
     df = spark.createDataFrame([("k", v.tolist(), g) for v, g in zip(z, y)], "k string, z array<double>, y int")
     fitted = calibration.fit_temperatures(df, "k", "z", "y").first()
@@ -302,9 +302,37 @@ def test_batches_keep_their_budget(spark):
 def test_held_out_groups_are_not_linked_to_kept_ones(spark):
     from verdigris.operators import assembly
 
-    groups = spark.createDataFrame([(g, 5) for g in "abcdef"], "group string, rows long")
-    links = spark.createDataFrame([("a", "b"), ("c", "d"), ("d", "e")], "a string, b string")
-    state = {r["group"]: r["state"] for r in assembly.resolve_held_out(groups, links, 8).collect()}
-    assert "held_out" in state.values()
-    for a, b in (("a", "b"), ("c", "d"), ("d", "e")):
+    data = [(g, "f" if g < "e" else "g", 5) for g in "abcdefgh"]
+    groups = spark.createDataFrame(data, "group string, family string, rows long")
+    links = spark.createDataFrame([("a", "b"), ("c", "d"), ("d", "e"), ("f", "a"), ("f", "b"), ("f", "c")], "a string, b string")
+    state = {r["group"]: r["state"] for r in assembly.resolve_held_out(groups, links, {"f": 8, "g": 5, "none": 3}, 10).collect()}
+    held = {g for g, s in state.items() if s == "held_out"}
+    assert "f" not in held and len(held & set("abcd")) == 2 and len(held & set("efgh")) == 1
+    for a, b in (("a", "b"), ("c", "d"), ("d", "e"), ("f", "a")):
         assert {state[a], state[b]} != {"held_out", "kept"}
+    none = assembly.resolve_held_out(groups, links, {}, 10).collect()
+    assert {r["state"] for r in none} == {"kept"}
+
+
+def test_manifest_refuses_held_out_ids(spark):
+    from verdigris.operators import assembly
+
+    new, old, held = spark.range(10), spark.range(5, 60), spark.range(100, 110)
+    out = assembly.replay_manifest(new, old, held, "id", 0.5, "s").collect()
+    assert sorted(r["id"] for r in out if r["origin"] == "new") == list(range(10)) and sum(r["origin"] == "replay" for r in out) == 5
+    with pytest.raises(Exception, match="held-out id 3"):
+        assembly.replay_manifest(new, old, spark.range(3, 4), "id", 0.5, "s").collect()
+    kept, gone = assembly.extract_flagged(spark.range(20).withColumn("b", F.col("id") % 2), "id", F.col("id") < 10, "b", 2, "s")
+    assert kept.count() == 4 and gone.count() == 10
+
+
+def test_fit_by_type_pools_small_types(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    z = rng.normal(0, 3, (120, 3))
+    y = [int(rng.choice(3, p=np.exp(v / 2) / np.exp(v / 2).sum())) for v in z]
+    df = spark.createDataFrame([("big" if i < 100 else "small", v.tolist(), g) for i, (v, g) in enumerate(zip(z, y))], "k string, z array<double>, y int")
+    got = {r["k"]: r for r in calibration.fit_by_type(df, "k", "z", "y").collect()}
+    assert got["small"]["pooled"] and got["small"]["temperature"] == pytest.approx(max(1.0, calibration.best_temperature(z, np.array(y))), rel=1e-6)
+    assert not got["big"]["pooled"] and got["big"]["temperature"] == pytest.approx(max(1.0, calibration.best_temperature(z[:100], np.array(y[:100]))), rel=1e-6)

@@ -17,7 +17,7 @@ def test_temperature_fit_reads_all_rows_of_a_large_key(spark):
     z[:20_000], y[:20_000] = [3.0, 0.0, -1.0], 1
     df = spark.createDataFrame(pd.DataFrame({"k": "k", "z": z.tolist(), "y": y}), "k string, z array<double>, y int")
     fitted = calibration.fit_temperatures(df, "k", "z", "y").first()
-    assert fitted["n"] == 60_000 and fitted["temperature"] == pytest.approx(calibration.golden_section(z, y), rel=1e-6)
+    assert fitted["n"] == 60_000 and fitted["temperature"] == pytest.approx(calibration.best_temperature(z, y), rel=1e-6)
 
 
 def test_survivors_of_a_long_chain(spark):

@@ -9,16 +9,20 @@ def total(x: Column) -> Column:
     return F.aggregate(x, F.lit(0.0), lambda a, v: a + v)
 
 
+def bound(x: Column, use) -> Column:
+    """``use(x)`` with x worked out once a row, not once for every element of the arrays that ``use`` goes through."""
+    return F.get(F.transform(F.array(x), use), F.lit(0))
+
+
 def softmax(z: Column, temperature: Column | float = 1.0) -> Column:
     t = F.lit(temperature) if isinstance(temperature, (int, float)) else temperature
-    e = F.transform(z, lambda v: F.exp((v - F.array_max(z)) / t))
-    return F.transform(e, lambda v: v / total(e))
+    powers = bound(F.array_max(z), lambda m: F.transform(z, lambda v: F.exp((v - m) / t)))
+    return bound(powers, lambda e: bound(total(e), lambda s: F.transform(e, lambda v: v / s)))
 
 
 def normalised(weights: Column) -> Column:
     """Shares of the sum; uniform where the sum is 0."""
-    s = total(weights)
-    return F.transform(weights, lambda v: F.when(s > 0, v / s).otherwise(F.lit(1.0) / F.size(weights)))
+    return bound(weights, lambda w: bound(total(w), lambda s: F.transform(w, lambda v: F.when(s > 0, v / s).otherwise(F.lit(1.0) / F.size(w)))))
 
 
 def retempered(p: Column, temperature: float) -> Column:

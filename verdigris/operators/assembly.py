@@ -7,39 +7,56 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from verdigris.functions.hashing import stable_order
 from verdigris.operators.sampling import take_per_stratum
-from verdigris.storage import discard, materialise
+from verdigris.storage import materialise
 
 
-def resolve_held_out(groups: DataFrame, links: DataFrame, wanted: int, rounds: int = 8) -> DataFrame:
-    """Groups to hold out: those that cost least, where a group's cost is the rows of other groups linked to it and held out
-    rows must not stay linked to kept ones. ``groups``: (group, rows); ``links``: (a, b).
+def resolve_held_out(groups: DataFrame, links: DataFrame, targets: dict[str, int], max_links: int, salt: str = "held-out") -> DataFrame:
+    """(group, state): whole groups to hold out, by family. ``groups``: (group, family, rows), one row a group; ``links``: (a, b), either way round.
 
-    Each round holds out the cheapest groups up to ``wanted`` rows and then moves kept groups that are linked to them out of the
-    data, until nothing changes. Returns (group, state): held_out, dropped or kept."""
+    A group costs the rows of the other groups that are linked to it. Per family, groups go in order of (cost, salted hash) until the family's
+    target of rows is met, so a family is beyond it by less than its last group; groups that cost more than ``max_links`` are never
+    held out, and families without a target hold nothing out. Groups linked to a held-out one are ``removed`` unless they are held out themselves; the rest is
+    ``kept``, without a link to any held-out group: one pass settles it, as a held-out group is never given up."""
     both = links.select("a", "b").unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
-    cost = both.join(groups.withColumnsRenamed({"group": "b"}), "b").groupBy(F.col("a").alias("group")).agg(F.sum("rows").alias("cost"))
-    priced = groups.join(cost, "group", "left").withColumn("cost", F.coalesce("cost", F.lit(0)))
-    # cheap groups first; only as many candidates as there are rows wanted can matter
-    order = [F.col("cost"), stable_order(F.col("group"))]
-    first = priced.orderBy(*order).limit(wanted)
-    total = F.sum("rows").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))  # at most `wanted` rows
-    held = materialise(first.withColumn("t", total).where(F.col("t") - F.col("rows") < wanted).select("group"), "held")
-    for _ in range(rounds):
-        # of two linked held-out groups neither is in the other's way; kept groups linked to one are dropped
-        touched = both.join(held.select(F.col("group").alias("a")), "a", "left_semi").select(F.col("b").alias("group")).distinct()
-        dropped = materialise(touched.join(held, "group", "left_anti"), "dropped")
-        # a group whose links are all dropped or held costs nothing any more and may join
-        free = dropped.join(both.join(held.select(F.col("group").alias("b")), "b", "left_anti").select(F.col("a").alias("group")).distinct(), "group", "left_anti")
-        if free.isEmpty():
-            break
-        following = materialise(held.unionByName(free.select("group")), "held")
-        discard(dropped)
-        held = following
-    state = F.when(F.col("h").isNotNull(), "held_out").when(F.col("d").isNotNull(), "dropped").otherwise("kept")
-    joined = groups.join(held.withColumn("h", F.lit(1)), "group", "left").join(dropped.withColumn("d", F.lit(1)), "group", "left")
+    cost = both.join(groups.select(F.col("group").alias("b"), "rows"), "b").groupBy(F.col("a").alias("group")).agg(F.sum("rows").alias("cost"))
+    wanted = F.create_map(*[F.lit(x) for pair in targets.items() for x in pair]) if targets else F.create_map().cast("map<string,int>")
+    priced = groups.join(cost, "group", "left").select("group", "family", "rows", F.coalesce("cost", F.lit(0)).alias("cost"), F.coalesce(F.try_element_at(wanted, F.col("family")), F.lit(0)).alias("want")).where(F.col("cost") <= max_links)
+    order = [F.col("cost"), stable_order(F.lit(salt), F.col("group"))]
+    # a group has a row at least, so no more groups than rows are wanted can matter; the limit is applied before the exchange
+    first = priced.withColumn("at", F.row_number().over(Window.partitionBy("family").orderBy(*order))).where(F.col("at") <= max([1, *targets.values()]))
+    before = F.coalesce(F.sum("rows").over(Window.partitionBy("family").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    held = materialise(first.withColumn("before", before).where("before < want").select("group"), "held")
+    touched = both.join(held.select(F.col("group").alias("a")), "a", "left_semi").select(F.col("b").alias("group")).distinct()
+    state = F.when(F.col("h").isNotNull(), "held_out").when(F.col("r").isNotNull(), "removed").otherwise("kept")
+    joined = groups.join(held.withColumn("h", F.lit(1)), "group", "left").join(touched.withColumn("r", F.lit(1)), "group", "left")
     return joined.select("group", state.alias("state"))
 
 
+def take_by_cost(df: DataFrame, stratum: str, n: str, cost: list[Column]) -> DataFrame:
+    """The first rows of each stratum in order of cost, as many as its column ``n`` says (the same in all rows of a stratum)."""
+    most = df.agg(F.max(n)).first()[0] or 0
+    ranked = df.withColumn("__at", F.row_number().over(Window.partitionBy(stratum).orderBy(*cost))).where(F.col("__at") <= int(most))
+    return ranked.where(F.col("__at") <= F.col(n)).drop("__at")
+
+
+def extract_flagged(df: DataFrame, id: str, flagged: Column, bucket: str, most: int, salt: str) -> tuple[DataFrame, DataFrame]:
+    """(extracted, exclusions): of the flagged rows, the first ``most`` of each bucket by salted hash, and the ids that training must leave out: all flagged ones."""
+    rows = df.where(F.coalesce(flagged, F.lit(False)))
+    kept = rows.withColumn("__at", F.row_number().over(Window.partitionBy(bucket).orderBy(stable_order(F.lit(salt), F.col(id))))).where(F.col("__at") <= most)
+    return kept.drop("__at"), rows.select(id).distinct()
+
+
+def replay_manifest(new: DataFrame, old: DataFrame, held: DataFrame, id: str, replay: float, salt: str) -> DataFrame:
+    """(id, origin): all new rows and a share ``replay`` of as many old ones, by salted hash. Ids of ``held`` fail the job; old rows that are new ones again are not replayed."""
+    rows = new.select(id, F.lit("new").alias("origin"))
+    supply = old.select(id).join(new.select(id), id, "left_anti").distinct()
+    n = int(new.count() * replay + 0.5)
+    again = supply.orderBy(stable_order(F.lit(salt), F.col(id))).limit(n).select(id, F.lit("replay").alias("origin"))
+    told = rows.unionAll(again).join(held.select(id).distinct().withColumn("__h", F.lit(True)), id, "left")
+    bad = F.raise_error(F.concat(F.lit("held-out id "), F.col(id).cast("string"))).cast("string")
+    return told.select(id, F.when(F.col("__h"), bad).otherwise(F.col("origin")).alias("origin"))
+
+
 def repair_partitions(df: DataFrame, id: str, group: str, partition: str) -> DataFrame:
     """(id, partition, action): groups in train and dev move to train; groups in test and anything else are dropped."""
     seen = df.groupBy(group).agg(F.collect_set(partition).alias("__s"))
@@ -103,7 +120,7 @@ def batch_plan(df: DataFrame, id: str, tokens: str, budget: int, chunk: int = 40
     """(id, chunk, batch): rows dealt to chunks by hash, sorted by length within each, and cut into batches whose padded size
     (rows times the longest) stays within a budget; a row over the budget is a batch of its own. Greedy, so folded in Python, a chunk at a time."""
     n = max(1, -(-df.count() // chunk))
-    dealt = df.select(F.col(id).alias("id"), F.col(tokens).cast("long").alias("tokens"), F.pmod(F.xxhash64(F.col(id)), F.lit(n)).cast("int").alias("chunk"))
+    dealt = df.select(F.col(id).alias("id"), F.col(tokens).cast("long").alias("tokens"), F.pmod(F.conv(F.substring(F.sha2(F.col(id).cast("string"), 256), 1, 15), 16, 10).cast("long"), F.lit(n)).cast("int").alias("chunk"))
     kind = dealt.schema["id"].dataType.simpleString()
 
     def cut(rows: pd.DataFrame) -> pd.DataFrame:

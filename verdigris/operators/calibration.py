@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from verdigris.functions.distributions import argmax, nll, softmax, with_unknown_offset
 
-LOW, HIGH, STEPS, FLOOR = math.log(0.01), math.log(100.0), 96, 1e-300
+#: The range of log-temperatures and the least probability whose logarithm is taken.
+LOW, HIGH, FLOOR = math.log(0.01), math.log(100.0), 1e-300
 
 
 def _losses(z: np.ndarray, target: np.ndarray, log_t: float) -> np.ndarray:
@@ -22,27 +23,23 @@ def _losses(z: np.ndarray, target: np.ndarray, log_t: float) -> np.ndarray:
     return -np.log(np.maximum(p, FLOOR))
 
 
-def _loss(z: np.ndarray, target: np.ndarray, log_t: float) -> float:
-    return float(_losses(z, target, log_t).mean())
+def best_temperature(z: np.ndarray, target: np.ndarray, tolerance: float = 1e-9) -> float:
+    """The temperature of least mean loss of one table in memory, within the range of ``fit_temperatures``.
 
+    The loss is convex in the inverse temperature b: its slope is the mean of the expected logit under softmax(b z) less the target's logit. So
+    the range of log b is halved by the sign of the slope until it is narrower than ``tolerance``. 1 is kept where nothing is better."""
+    own = z[np.arange(len(z)), target]
 
-def golden_section(z: np.ndarray, target: np.ndarray) -> float:
-    """The temperature of least mean loss; 1 is kept where the search finds nothing better."""
-    ratio = (math.sqrt(5) - 1) / 2
-    a, b = LOW, HIGH
-    c, d = b - ratio * (b - a), a + ratio * (b - a)
-    fc, fd = _loss(z, target, c), _loss(z, target, d)
-    for _ in range(STEPS):
-        if fc <= fd:
-            b, d, fd = d, c, fc
-            c = b - ratio * (b - a)
-            fc = _loss(z, target, c)
-        else:
-            a, c, fc = c, d, fd
-            d = a + ratio * (b - a)
-            fd = _loss(z, target, d)
-    best = min((0.0, c, d), key=lambda t: _loss(z, target, t))
-    return math.exp(best)
+    def slope(b: float) -> float:
+        p = np.exp(b * (z - z.max(axis=1, keepdims=True)))
+        return float(((p * z).sum(axis=1) / p.sum(axis=1) - own).mean())
+
+    below, above = -HIGH, -LOW
+    while above - below > tolerance:
+        mid = (below + above) / 2
+        below, above = (below, mid) if slope(math.exp(mid)) > 0 else (mid, above)
+    found = -(below + above) / 2
+    return math.exp(found) if _losses(z, target, found).mean() < _losses(z, target, 0.0).mean() else 1.0
 
 
 def fit_temperatures(df: DataFrame, key: str, logits: str, target: str, points: int = 32, rounds: int = 7) -> DataFrame:
@@ -79,6 +76,15 @@ def fit_temperatures(df: DataFrame, key: str, logits: str, target: str, points:
     return counted.join(bounds, "key").select(F.col("key").alias(key), "n", F.exp("t").alias("temperature"))
 
 
+def fit_by_type(df: DataFrame, key: str, logits: str, target: str, least: int = 50, lowest: float = 1.0) -> DataFrame:
+    """key, n, pooled, temperature: each key's own fit where it has ``least`` labelled rows, else that of all rows together; never below ``lowest``."""
+    own = fit_temperatures(df, key, logits, target)
+    whole = fit_temperatures(df.withColumn("__all", F.lit("all")), "__all", logits, target).select(F.col("temperature").alias("__t"))
+    pooled = F.col("n") < least
+    joined = own.join(F.broadcast(whole), F.lit(True))  # one row
+    return joined.select(key, "n", pooled.alias("pooled"), F.greatest(F.lit(lowest), F.when(pooled, F.col("__t")).otherwise(F.col("temperature"))).alias("temperature"))
+
+
 def grid_temperatures(df: DataFrame, key: str, logits: str, target: str, grid: list[float], offsets: list[float] | None = None) -> DataFrame:
     """key, temperature, unknown_offset, loss: the grid point of least mean loss, native. A row is read once; the grid is an array per row that
     explodes to sums by (key, point), which are partial before they move. A later offset must win by 1e-9."""

@@ -145,3 +145,11 @@ def parse_reply(text: Column, domain: Column) -> Column:
     sure = F.try_variant_get(raw, "$.confidence", "double")
     status = F.when(raw.isNull(), "unparsed").when(said.isNull(), "no_answer").when(~F.array_contains(domain, said), "out_of_domain").otherwise("ok")
     return F.struct(status.alias("status"), F.when(status == "ok", said).alias("answer"), F.when(status == "ok", F.greatest(F.lit(0.0), F.least(F.lit(1.0), sure))).alias("confidence"))
+
+
+def natural(a: DataFrame, b: DataFrame, how: str = "inner") -> DataFrame:
+    """Joined by all names that both sides have; without one, an error instead of a cross join."""
+    both = [c for c in a.columns if c in b.columns]
+    if not both:
+        raise ValueError("no column in common")
+    return a.join(b, both, how)

@@ -125,7 +125,10 @@ def tiered_take(spark, sf_dir):
     return sampling.tiered_take(table(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("n")), "lang", "n", 300)
 
 
-@query()
+@query(
+    """with c as (select lang, count(*) n from documents group by lang), g as (select least(400, sum(n)) goal from c), l as (select max(lv) lv from range(401) t(lv), g where (select sum(least(n, lv)) from c) <= goal),
+r as (select goal - (select sum(least(n, lv)) from c, l) rest from g) select lang, n, (least(n, lv) + (n > lv and row_number() over (partition by n > lv order by n desc, lang) <= rest)::int)::bigint take from c, l, r"""
+)
 def equal_alloc(spark, sf_dir):
     """Equal shares of 400 documents among languages, water-filled over the count table."""
     sizes = {r["lang"]: r["n"] for r in table(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row a language
@@ -138,7 +141,12 @@ def family_cap(spark, sf_dir):
     return sampling.family_cap(table(spark, sf_dir, "documents").select("doc_id", "source"), "source", [H.stable_order(F.col("doc_id"))], 10)
 
 
-@query()
+@query(
+    """with recursive c as (select lang, source, count(*) m from documents group by lang, source), g as (select *, row_number() over (partition by lang order by sha256('cap' || chr(0) || source)) k from c),
+f(lang, source, k, total, taken) as (select lang, source, k, m, true from g where k = 1 union all
+  select g.lang, g.source, g.k, case when f.total + g.m <= 100 then f.total + g.m else f.total end, f.total + g.m <= 100 from f join g on g.lang = f.lang and g.k = f.k + 1)
+select doc_id, lang, source from documents semi join (select lang, source from f where taken) using (lang, source)"""
+)
 def group_running_cap(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source")
     return sampling.running_cap(docs, "lang", "source", 100, "cap")
@@ -236,3 +244,45 @@ def reviewer_comparison(spark, sf_dir):
 def share_cap(spark, sf_dir):
     """Only three tenths of the largest source, by hash of the id."""
     return quality.share_capped(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id", F.col("source") == "src0", 30, "cap").select("doc_id")
+
+
+@query(
+    """select event_id, event_type, rank() over w "rank", dense_rank() over w "dense", percent_rank() over w share, ntile(4) over (partition by event_type order by value desc, event_id) fourth,
+round(avg(value) over (partition by event_type order by value desc, event_id rows between 2 preceding and current row), 6) last_three, lag(event_id) over (partition by event_type order by value desc, event_id) previous
+from events window w as (partition by event_type order by floor(value / 10) desc)"""
+)
+def ranking_windows(spark, sf_dir):
+    """Ranks with ties, quarters, a frame of rows and the row before, by type."""
+    from pyspark.sql import Window
+
+    ties = Window.partitionBy("event_type").orderBy(F.desc(F.floor(F.col("value") / 10)))
+    order = Window.partitionBy("event_type").orderBy(F.desc("value"), "event_id")
+    return table(spark, sf_dir, "events").select(
+        "event_id", "event_type", F.rank().over(ties).alias("rank"), F.dense_rank().over(ties).alias("dense"), F.percent_rank().over(ties).alias("share"), F.ntile(4).over(order).alias("fourth"),
+        F.round(F.avg("value").over(order.rowsBetween(-2, 0)), 6).alias("last_three"), F.lag("event_id").over(order).alias("previous"),
+    )
+
+
+@query("select coalesce(r_name, 'none') region, coalesce(c_mktsegment, 'none') segment, count(distinct n_nationkey) nations, count(c_custkey) customers from region full join nation on n_regionkey = r_regionkey and n_nationkey % 5 <> 0 full join customer on c_nationkey = n_nationkey group by all")
+def full_outer_counts(spark, sf_dir):
+    """Regions, nations and customers by full outer joins: sides without a partner stay."""
+    r, n, c = (table(spark, sf_dir, t) for t in ("region", "nation", "customer"))
+    joined = r.join(n, (F.col("n_regionkey") == F.col("r_regionkey")) & (F.col("n_nationkey") % 5 != 0), "full").join(c, F.col("c_nationkey") == F.col("n_nationkey"), "full")
+    return joined.groupBy(F.coalesce("r_name", F.lit("none")).alias("region"), F.coalesce("c_mktsegment", F.lit("none")).alias("segment")).agg(F.countDistinct("n_nationkey").alias("nations"), F.count("c_custkey").alias("customers"))
+
+
+@query("select conv_id, turn, l.doc_id, quality from (select conv_id, turn, conv_id doc_id from conversations) c natural join (select doc_id, quality from labels) l")
+def natural_join(spark, sf_dir):
+    """Joined by the names both sides have."""
+    from verdigris.operators.records import natural
+
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("conv_id").alias("doc_id"))
+    return natural(c, table(spark, sf_dir, "labels").select("doc_id", "quality"))
+
+
+@query("with s as (select source, count(*) n from documents group by source), k as (select sum(sqrt(n)) w, count(*) c, least(300, sum(n)) t from s) select source, n, round(sqrt(n) / w, 6) share from s, k")
+def root_shares(spark, sf_dir):
+    """Shares of sources in proportion to the root of their size."""
+    sizes = table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("n"))
+    whole = sizes.agg(F.sum(F.sqrt("n")).alias("w"))  # one row
+    return sizes.join(F.broadcast(whole), F.lit(True)).select("source", "n", F.round(F.sqrt("n") / F.col("w"), 6).alias("share"))

@@ -12,11 +12,11 @@ from verdigris.plans.registry import query, table
 
 
 @query(
-    """with s as (select doc_id, trim(regexp_replace(lower(left(text, 60)), '[^a-z0-9]+', '_', 'g'), '_') s from documents), c as (select doc_id, rtrim(left(s, 24), '_') c from s)
+    """with s as (select doc_id, trim(regexp_replace(lower(text), '[^a-z0-9]+', '_', 'g'), '_') s from documents), c as (select doc_id, rtrim(left(s, 24), '_') c from s)
 select doc_id, case when c = '' then 'option' else c end slug from c"""
 )
 def option_slugs(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", X.slug(F.substring("text", 1, 60), 24).alias("slug"))
+    return table(spark, sf_dir, "documents").select("doc_id", X.slug(F.col("text"), 24).alias("slug"))
 
 
 @query("select conv_id, turn, coalesce(regexp_matches(lower(text), '\\b(?:cannot|can''t|could not|not (?:enough|sufficient|clear|stated|given|shown|specified)|unclear|unknown|insufficient|impossible to (?:tell|say|know)|no way to)\\b'), false) hedged, ceil(length(coalesce(text, '')) / 3.2)::int tokens from conversations")
@@ -24,24 +24,24 @@ def hedges_and_estimates(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", X.hedged(F.col("text")).alias("hedged"), X.token_estimate(F.col("text")).alias("tokens"))
 
 
-@query("select event_type, sha256(json_object('event_type', event_type, 'user', user_id)::varchar) digest, count(*) n from events where user_id < 20 group by all")
+@query("select event_type, sha256(json_object('event_type', event_type, 'user', user_id)::varchar) digest, count(*) n from events group by all")
 def canonical_digests(spark, sf_dir):
     """Digest of JSON text with its keys sorted, whatever order they come in."""
     raw = F.concat(F.lit('{"user": '), F.col("user_id").cast("string"), F.lit(', "event_type": "'), F.col("event_type"), F.lit('"}'))
-    rows = table(spark, sf_dir, "events").where("user_id < 20").select("event_type", X.canonical_digest(raw).alias("digest"))
+    rows = table(spark, sf_dir, "events").select("event_type", X.canonical_digest(raw).alias("digest"))
     return rows.groupBy("event_type", "digest").agg(F.count("*").alias("n"))
 
 
 @query(
-    "with m as (select event_id, event_type, user_id, value, unnest(range(3)) k, unnest(['low', 'mid', 'high']) l from events where event_id % 4 = 0) select event_id, 'band' \"name\", k::int as \"at\", l \"label\", 'boolean' \"type\" from m "
-    "union all select event_id, 'kind', 0, null, 'choice' from events where event_id % 4 = 0 union all select event_id, 'level', 0, null, 'ordinal' from events where event_id % 4 = 0"
+    "with m as (select event_id, event_type, user_id, value, unnest(range(3)) k, unnest(['low', 'mid', 'high']) l from events) select event_id, 'band' \"name\", k::int as \"at\", l \"label\", 'boolean' \"type\" from m "
+    "union all select event_id, 'kind', 0, null, 'choice' from events union all select event_id, 'level', 0, null, 'ordinal' from events"
 )
 def request_compile(spark, sf_dir):
     """Three questions a request: a multi question that fans out to a field a criterion, a choice and a score."""
     q = lambda kind, criteria="cast(null as array<string>)": f"struct('{kind}' as kind, 'which?' as question, {criteria} as criteria)"
     bands = q("multi", "array('low', 'mid', 'high')")
     asked = F.expr(f"map('band', {bands}, 'kind', {q('choice')}, 'level', {q('score')})")
-    rows = table(spark, sf_dir, "events").where("event_id % 4 = 0").select("event_id", asked.alias("questions"))
+    rows = table(spark, sf_dir, "events").select("event_id", asked.alias("questions"))
     return records.compile_request(rows, "event_id", "questions").select("event_id", "name", "at", "label", "type")
 
 
@@ -172,17 +172,30 @@ def mixture_build(spark, sf_dir):
     return assembly.mixture(table(spark, sf_dir, "documents").select("doc_id", "lang", "source"), "lang", {"en": 0.7, "de": 0.3}, F.col("source") == "src0", "mix").select("doc_id", "lang")
 
 
-@query()
+@query(
+    """with d as (select source || ':' || (doc_id % 40) g, lang, sha256(text) k from documents), gr as (select g, min(lang) family, count(*) n from d group by g), h as (select distinct g, k from d),
+l as (select distinct x.g a, y.g b from h x join h y on x.k = y.k and x.g <> y.g), c as (select a g, sum(n) cost from l join gr on gr.g = l.b group by a),
+p as (select gr.*, coalesce(cost, 0) cost, case family when 'en' then 60 when 'de' then 40 else 0 end want from gr left join c using (g) where coalesce(cost, 0) <= 60),
+o as (select *, coalesce(sum(n) over (partition by family order by cost, sha256('held-out' || chr(0) || g) rows between unbounded preceding and 1 preceding), 0) before from p),
+held as (select g from o where before < want)
+select g "group", case when g in (select g from held) then 'held_out' when g in (select b from l join held on held.g = l.a) then 'removed' else 'kept' end state from gr"""
+)
 def held_out_resolution(spark, sf_dir):
-    """Sources as groups, linked where they share a text; about a tenth of the documents is held out."""
-    docs = table(spark, sf_dir, "documents").select("source", F.sha2("text", 256).alias("k"))
-    groups = docs.groupBy(F.col("source").alias("group")).agg(F.count("*").alias("rows"))
-    holders = docs.distinct()
-    links = holders.join(holders.withColumnRenamed("source", "b"), "k").where("source < b").select(F.col("source").alias("a"), "b").distinct()
-    return assembly.resolve_held_out(groups, links, 100)
+    """Parts of sources as groups, linked where they share a text; 60 English and 40 German documents are held out, about."""
+    docs = table(spark, sf_dir, "documents").select(F.concat_ws(":", "source", (F.col("doc_id") % 40).cast("string")).alias("group"), "lang", F.sha2("text", 256).alias("k"))
+    groups = docs.groupBy("group").agg(F.min("lang").alias("family"), F.count("*").alias("rows"))
+    holders = docs.select("group", "k").distinct()
+    links = holders.join(holders.withColumnRenamed("group", "b"), "k").where("group < b").select(F.col("group").alias("a"), "b").distinct()
+    return assembly.resolve_held_out(groups, links, {"en": 60, "de": 40}, 60)
 
 
-@query()
+@query(
+    """with recursive r as (select doc_id, ceil(length(coalesce(text, '')) / 3.2)::int tokens from documents), n as (select greatest(1, ceil(count(*) / 4096.0))::bigint n from r),
+d as (select doc_id, tokens, (('0x' || sha256(doc_id::varchar)[1:15])::bigint % n)::int chunk from r, n), o as (select *, row_number() over (partition by chunk order by tokens, doc_id) k from d),
+b(chunk, k, doc_id, batch, size) as (select chunk, k, doc_id, 0, 1 from o where k = 1 union all
+  select o.chunk, o.k, o.doc_id, case when (b.size + 1) * o.tokens > 8192 then b.batch + 1 else b.batch end, case when (b.size + 1) * o.tokens > 8192 then 1 else b.size + 1 end from b join o on o.chunk = b.chunk and o.k = b.k + 1)
+select doc_id, chunk, batch from b"""
+)
 def batch_plan(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").select("doc_id", X.token_estimate(F.col("text")).alias("tokens"))
     return assembly.batch_plan(rows, "doc_id", "tokens", 8192)
@@ -207,10 +220,10 @@ def ordinal_rubrics(spark, sf_dir):
     )
 
 
-@query("with w as (select user_id, event_type in ('purchase', 'click') a from events where event_id % 50 < 3) select user_id, count(*) worlds, case when count(distinct a) = 1 then min(a) end answer from w group by user_id")
+@query("with w as (select user_id, event_type in ('purchase', 'click') a from events) select user_id, count(*) worlds, case when count(distinct a) = 1 then min(a) end answer from w group by user_id")
 def certain_answers(spark, sf_dir):
     """A user's rows stand for completions of what is withheld."""
-    rows = table(spark, sf_dir, "events").where("event_id % 50 < 3").select("user_id", F.col("event_type").isin("purchase", "click").alias("a"))
+    rows = table(spark, sf_dir, "events").select("user_id", F.col("event_type").isin("purchase", "click").alias("a"))
     return records.certain_answers(rows, "user_id", "a")
 
 

@@ -11,10 +11,15 @@ from pyspark.sql.types import StructType
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: StructType | str, strict: bool = True) -> DataFrame:
-    """JSON lines of a given schema. Strict: a line that is no object, or has NaN or infinity, fails the read. Otherwise such
-    lines come out with their text in ``_corrupt_record``. Blank lines are skipped."""
+    """JSON lines of a given schema. Strict: a blank line, a line that is no object (a list of objects too), or one with NaN or infinity
+    fails the read. Otherwise such lines come out with their text in ``_corrupt_record``, and blank lines are skipped."""
     if strict:
-        return spark.read.schema(schema).option("mode", "FAILFAST").option("allowNonNumericNumbers", "false").json(path)
+        kind = schema if isinstance(schema, str) else schema.simpleString()
+        lines = spark.read.text(path)
+        bad = F.raise_error(F.concat(F.lit("no JSON object: "), F.substring("value", 1, 80))).cast("string")
+        whole = F.when(F.trim("value").startswith("{"), F.col("value")).otherwise(bad)
+        parsed = F.from_json(whole, kind if kind.startswith("struct<") else spark.createDataFrame([], kind).schema.simpleString(), {"mode": "FAILFAST", "allowNonNumericNumbers": "false"})
+        return lines.select(parsed.alias("r")).select("r.*")
     kind = schema if isinstance(schema, StructType) else spark.createDataFrame([], schema).schema
     if "_corrupt_record" not in kind.names:
         kind = StructType([*kind.fields]).add("_corrupt_record", "string")
