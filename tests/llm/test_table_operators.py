@@ -54,6 +54,34 @@ def test_url_rules_are_filed_under_their_rarest_literal(spark):
     assert [e["token"] for b in filed for e in b] == ["rare"] and len(filed) == buckets
 
 
+def test_thousands_of_rules_equal_running_them_all(spark):
+    """Wildcards with several literals over hosts and paths, against every rule on every address."""
+    import random
+    import re
+
+    rng = random.Random(6)
+    word = lambda: rng.choice("alpha beta gamma delta ads7 click track banner login wp admin php img v2".split())
+    rules = [url_filter.host_rule(f"{word()}.{word()}/{word()}/", rng.choice(["block", "allow"])) for _ in range(40)]
+    for i in range(3_000):
+        text = rng.choice([f"*.{word()}-{word()}.*/{word()}/*", f"*/{word()}/*.{word()}", f"{word()}{i}.*/*{word()}*/{word()}/*", f"*/{word()}-{word()}{i % 50}/*"])
+        rules.append(url_filter.wildcard_rule(text, rng.choice(["block", "allow"])))
+    urls = [f"http://{word()}.{word()}-{word()}.{word()}/{word()}/{word()}-{word()}{rng.randrange(60)}/{word()}.{word()}?q" for _ in range(300)]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in url_filter.judge_urls(df, rules).collect()}
+    for i, u in enumerate(urls):
+        text = u.partition("://")[2].partition("?")[0]
+        fit = sorted((not r.listed, -len(r.name), r.name, r.verdict) for r in rules if re.search(r.pattern, text))
+        assert got[i] == ((fit[0][2] if not fit[0][0] else None, fit[0][3]) if fit else (None, "allow")), u
+
+
+def test_url_columns_of_any_name_stay(spark):
+    df = spark.createDataFrame([(1, "http://a.net/x" + "y" * 100_000, "h", "u", "r")], "page_id long, url string, Host string, __url string, Rule string")
+    out = url_filter.judge_urls(df, queries.URL_RULES())
+    assert out.columns == ["page_id", "url", "__url", "host", "path", "rule", "verdict"]
+    r = out.first()
+    assert (r["__url"], r["host"], r["rule"], len(r["path"])) == ("u", "a.net", "net/", 100_002)
+
+
 def test_archives_round_trip(spark):
     pages = spark.createDataFrame(
         [(5, "same"), (3, "same"), (9, "same"), (4, None), (6, ""), (1, "Ünï <p>\r\n\r\n</p>"), (3, "same"), (None, "same"), (None, "alone"), (8, "x" * 300_000)], "page_id long, html string"
@@ -80,7 +108,7 @@ def test_archive_has_a_dictionary_frame_first_and_a_frame_a_record():
     magic, size = struct.unpack("<II", raw[:8])
     assert magic == 0x184D2A5D and size > 256 and raw[8 + size : 12 + size] == warc.FRAME
     got = list(warc.read_archive(io.BytesIO(raw)))
-    assert [int(h["X-Page-ID"]) for h, _ in got] == list(range(200)) and [b for _, b in got] == [r[3] for r in rows]
+    assert [int(h["x-page-id"]) for h, _ in got] == list(range(200)) and [b for _, b in got] == [r[3] for r in rows]
 
 
 def test_broken_archives_are_refused():
@@ -96,6 +124,23 @@ def test_broken_archives_are_refused():
             list(warc.read_archive(io.BytesIO(broken)))
 
 
+def test_archives_of_others_are_read(spark, tmp_path):
+    """No dictionary frame, header names in other cases, a warcinfo record, digests of another kind, no page ids."""
+    import zstandard
+
+    record = lambda lines, block: ("\r\n".join(["WARC/1.0", *lines, f"content-length: {len(block)}"]) + "\r\n\r\n").encode() + block + b"\r\n\r\n"
+    head = ["WARC-RECORD-ID: <urn:uuid:1>", "warc-date: 2024-01-01T00:00:00Z"]
+    records = [record(["warc-type: warcinfo", *head], b"software: x"), record(["Warc-Type: response", *head, "WARC-Block-Digest: md5:00"], b"abc"), record(["WARC-Type: revisit", *head, "WARC-Refers-To: <urn:uuid:1>"], b"")]
+    raw = b"".join(zstandard.ZstdCompressor().compress(r) for r in records)
+    assert [h["warc-type"] for h, _ in warc.read_archive(io.BytesIO(raw))] == ["warcinfo", "response", "revisit"]
+    (tmp_path / "other.warc.zst").write_bytes(raw)
+    listed = spark.createDataFrame([(f"file://{tmp_path}/other.warc.zst",)], "path string")
+    got = sorted((r["record_type"], r["page_id"], r["payload_bytes"], r["refers_to"]) for r in warc.read_archives(listed).collect())
+    assert got == [("response", None, 3, None), ("revisit", None, None, None)]
+    with pytest.raises(warc.WarcError):
+        warc.parse(record(["warc-type: x", *head], b"").replace(b"content-length: 0", "content-length: ٣".encode()))
+
+
 def brute(vectors, queries_, k):
     out = []
     for q in queries_:

@@ -55,7 +55,8 @@ c as (select *, case
   when ('.' || host) like '%.org' and path like '/fr/%' then 'org/fr/'
   when ('.' || host) like '%.net' and path like '/%' then 'net/' end rule from b)
 select page_id, host, path, rule, case when rule in ('example.net/en/', 'org/fr/') then 'allow' when rule is not null then 'block'
-  when regexp_matches(host, '(^|[.-])(adult|bets|betting|casino|escort|jackpot|phishing|pills|poker|porn|sex|spam|torrent|viagra|warez|xxx)([.-]|$)') then 'block' else 'allow' end verdict
+  when regexp_matches(host, '(^|[.-])(adult|bets|betting|casino|escort|jackpot|phishing|pills|poker|porn|sex|spam|torrent|viagra|warez|xxx)([.-]|$)') then 'block'
+  when regexp_matches(host || path, '^.*/wp-admin/.*\.php$|^.*/track/click/.*$|^ads\..*/banner/.*$') then 'block' else 'allow' end verdict
 from c
 """
 

@@ -8,7 +8,8 @@ is no shuffle but the count of the rules' own literals, which is partial before
 
 Addresses: the host runs from after the first ``://`` to ``/``, ``?``, ``#`` or the end, A-Z lower-cased; the path from
 there to ``?``, ``#`` or the end. A null address, and one without ``://``, has an empty host and path, no rule and the
-default verdict. Rows come out as they went in, repeats included.
+default verdict. Rows come out as they went in, repeats and very long addresses included; columns named host, path, rule or verdict, in any
+case, are replaced, and all others stay. Of rules of one rank the longer name wins, then the smaller. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -51,14 +52,25 @@ def _quote(text: str) -> str:
     return re.sub(r"([^A-Za-z0-9/_-])", r"\\\1", text)
 
 
+def wildcard_rule(text: str, verdict: str = "block") -> UrlRule:
+    """A rule over the whole of host and path in which ``*`` stands for anything; its literals are the runs of letters and digits that no ``*``
+    touches. A text without such a run is refused, as nothing would find it."""
+    runs = re.findall(r"(?<![a-z0-9*])[a-z0-9]+(?![a-z0-9*])", text.lower())
+    if not runs:
+        raise ValueError(f"no literal in {text!r}")
+    return UrlRule(text, verdict, "^" + ".*".join(_quote(x) for x in text.split("*")) + "$", tuple(dict.fromkeys(runs)))
+
+
 #: Pattern rules of the default filter: words that whole labels of unwanted hosts are made of.
 WORDS = ("adult", "bets", "betting", "casino", "escort", "jackpot", "phishing", "pills", "poker", "porn", "sex", "spam", "torrent", "viagra", "warez", "xxx")
-PATTERN_RULES = tuple(word_rule(w) for w in WORDS)
+#: And addresses of logins, click counters and banners, whatever the host.
+WILDCARDS = ("*/wp-admin/*.php", "*/track/click/*", "ads.*/banner/*")
+PATTERN_RULES = (*(word_rule(w) for w in WORDS), *(wildcard_rule(w) for w in WILDCARDS))
 
 
 def address(url: Column) -> tuple[Column, Column]:
     """(host, path)."""
-    rest = F.when(F.instr(url, "://") > 0, F.expr("substring(__url, instr(__url, '://') + 3)")).otherwise(F.lit(""))
+    rest = F.when(F.instr(url, "://") > 0, F.substring(url, F.instr(url, F.lit("://")) + 3, F.length(url))).otherwise(F.lit(""))
     return (
         F.translate(F.regexp_extract(rest, r"^[^/?#]*", 0), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"),
         F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1),
@@ -91,15 +103,17 @@ def judge_urls(pages: DataFrame, rules: Sequence[UrlRule], url: str = "url", def
     """``pages`` with host, path, rule (the listed rule that decided, else null) and verdict."""
     if len(rules) > MOST_RULES:
         raise ValueError(f"{len(rules)} rules; at most {MOST_RULES} can be part of a plan")
-    host, path = address(F.col("__url"))
-    split = pages.withColumn("__url", F.col(url)).withColumns({"__host": host, "__path": path})
-    counts = literal_counts(split.select(F.col("__host").alias("host"), F.col("__path").alias("path")), [t for r in rules for t in r.literals])
+    # what came in is one struct, so that no name in it can clash
+    rows = pages.select(F.struct(*[F.col(f"`{c}`") for c in pages.columns]).alias("row"), F.col(url).alias("url"))
+    host, path = address(F.col("url"))
+    split = rows.select("row", host.alias("host"), path.alias("path"))
+    counts = literal_counts(split, [t for r in rules for t in r.literals])
     index, buckets = rule_index(rules, counts)
-    split = split.withColumn("__tokens", _tokens(F.concat("__host", "__path")))
-    fetched = F.flatten(F.transform("__tokens", lambda t: F.filter(F.get(index, F.pmod(F.crc32(t.cast("binary")), F.lit(buckets)).cast("int")), lambda r: r["token"] == t)))
-    fits = F.filter(fetched, lambda r: F.rlike(F.concat("__host", "__path"), r["pattern"]))
+    split = split.withColumn("tokens", _tokens(F.concat("host", "path")))
+    fetched = F.flatten(F.transform("tokens", lambda t: F.filter(F.get(index, F.pmod(F.crc32(t.cast("binary")), F.lit(buckets)).cast("int")), lambda r: r["token"] == t)))
+    fits = F.filter(fetched, lambda r: F.rlike(F.concat("host", "path"), r["pattern"]))
     # the first of these: listed before patterns, long before short, then by name; of patterns, allow before block
     ranked = F.array_sort(F.transform(fits, lambda r: F.struct((~r["listed"]).alias("late"), (-r["size"]).alias("less"), r["name"].alias("name"), r["verdict"].alias("verdict"), r["listed"].alias("listed"))))
-    best = split.withColumn("__best", F.get(ranked, F.lit(0)))
-    keep = [F.col(f"`{c}`") for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
-    return best.select(*keep, F.col("__host").alias("host"), F.col("__path").alias("path"), F.when(F.col("__best.listed"), F.col("__best.name")).alias("rule"), F.coalesce("__best.verdict", F.lit(default)).alias("verdict"))
+    best = split.withColumn("best", F.get(ranked, F.lit(0)))
+    keep = [F.col(f"row.`{c}`") for c in pages.columns if c.lower() not in ("host", "path", "rule", "verdict")]
+    return best.select(*keep, "host", "path", F.when(F.col("best.listed"), F.col("best.name")).alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))

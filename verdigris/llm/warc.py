@@ -5,10 +5,13 @@ is one frame, compressed with that dictionary. The reader loads the dictionary f
 frame, and checks of every record its version line, its required headers, Content-Length against the block, the
 end mark, and the block and payload digests. A record is all that is held in memory at once.
 
-Each task writes one archive under a name of its own, then renames it into place; a task that is run again writes the
-same records under another temporary name, so a lost executor leaves no half archive behind. Payloads that are equal
+Each attempt of a task writes one archive under a name of its own and returns the name; only what the tasks that Spark counts
+returned is listed, so a lost executor leaves at most a file that nothing reads. Payloads that are equal
 are stored once: the row of smallest id is the response, others are revisits that point to it.
 
+The reader takes archives of others too: header names in any case, no block digest, digests of other kinds (left unchecked), records of other types
+(returned by ``read_archive``, passed over by ``read_archives``), and archives without a dictionary frame.
+
 Null payloads count as empty. Rows that repeat an id and its payload are the same capture: each is a response if its
 id is the smallest. A null id is never referred to: where all ids of a payload are null, all its rows are responses.
 An empty table gives no archive and an empty result.
@@ -25,12 +28,12 @@ from typing import BinaryIO
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from verdigris.storage import materialise, scratch_path
+from verdigris.storage import bounded, materialise, scratch_path
 
 SKIPPABLE, FRAME = 0x184D2A5D, b"\x28\xb5\x2f\xfd"
 #: Bytes of a dictionary, of payload it is trained on (the head of the archive's rows: a matter of size only), and read at once.
 DICTIONARY_BYTES, TRAIN_BYTES, READ_BYTES = 32_768, 2_000_000, 1 << 16
-REQUIRED = ("WARC-Type", "WARC-Record-ID", "WARC-Date", "Content-Length")
+REQUIRED = ("warc-type", "warc-record-id", "warc-date", "content-length")
 LONGEST_HEADER = 1 << 16
 
 
@@ -64,7 +67,7 @@ def render(kind: str, page: int | None, refers: int | None, payload: bytes, date
 
 
 def parse(record: bytes) -> tuple[dict[str, str], bytes]:
-    """(headers, block) of one decoded record, or WarcError."""
+    """(headers by lower-case name, block) of one decoded record, or WarcError."""
     end = record.find(b"\r\n\r\n", 0, LONGEST_HEADER)
     if end < 0:
         raise WarcError("no end of the headers")
@@ -76,21 +79,32 @@ def parse(record: bytes) -> tuple[dict[str, str], bytes]:
         name, colon, value = line.partition(":")
         if not colon or not name.strip():
             raise WarcError(f"header line {line[:40]!r}")
-        headers[name.strip()] = value.strip()
+        headers[name.strip().lower()] = value.strip()
     missing = [x for x in REQUIRED if x not in headers]
     if missing:
         raise WarcError(f"no {', '.join(missing)}")
-    if not headers["Content-Length"].isdigit():
-        raise WarcError(f"Content-Length {headers['Content-Length'][:40]!r}")
-    length = int(headers["Content-Length"])
+    length = _number(headers, "content-length")
     block, mark = record[end + 4 : end + 4 + length], record[end + 4 + length :]
     if len(block) != length or mark != b"\r\n\r\n":
         raise WarcError(f"Content-Length is {length}; the frame holds {len(record) - end - 8} bytes of block")
-    if (said := headers.get("WARC-Block-Digest")) and said != f"sha1:{digest(block)}":
+    if not _agrees(headers.get("warc-block-digest"), block):
         raise WarcError("the block's digest differs")
     return headers, block
 
 
+def _number(headers: dict[str, str], name: str) -> int:
+    said = headers[name]
+    if not said.isascii() or not said.isdigit():
+        raise WarcError(f"{name} {said[:40]!r}")
+    return int(said)
+
+
+def _agrees(said: str | None, data: bytes) -> bool:
+    """Whether a labelled digest is that of the data; without one, or of another kind than SHA-1 in base 32, nothing speaks against it."""
+    kind, _, value = (said or "").partition(":")
+    return kind.lower() != "sha1" or len(value) != 32 or value.upper() == digest(data)
+
+
 def write_archive(out: BinaryIO, records: Iterator[tuple[str, int | None, int | None, bytes]], level: int = 3) -> int:
     """Write (type, page, refers to, payload) rows; the number of records."""
     import zstandard
@@ -120,19 +134,20 @@ def read_archive(source: BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
     """(headers, block) of each record, one frame decoded at a time."""
     import zstandard
 
-    start = source.read(8)
+    start, table = source.read(8), b""
     if len(start) < 8:
         raise WarcError("no leading frame")
     magic, size = struct.unpack("<II", start)
-    if magic != SKIPPABLE:
+    if magic == SKIPPABLE:
+        start, table = b"", source.read(size)
+        if len(table) != size:
+            raise WarcError("the dictionary is cut short")
+    elif start[:4] != FRAME:
         raise WarcError(f"the leading frame's magic is {magic:#x}")
-    table = source.read(size)
-    if len(table) != size:
-        raise WarcError("the dictionary is cut short")
     if table[:4] == FRAME:  # it may be compressed itself
         table = zstandard.ZstdDecompressor().decompress(table, max_output_size=1 << 26)
     unpacker = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(table) if table else None)
-    held = b""
+    held = start
     while True:
         if not held:
             held = source.read(READ_BYTES)
@@ -162,14 +177,17 @@ def _filesystem(uri: str):
 def payload_table(pages: DataFrame, id: str = "page_id", payload: str = "html", least: int = 0) -> DataFrame:
     """page_id, payload (binary), record_type, refers_to.
 
-    The smallest id of each payload is a partial aggregate over digests; only payloads that occur under several ids
-    come back to the rows, by a join that the optimiser may split where one digest is frequent.
+    The smallest id of each payload is a partial aggregate over digests. The rows that revisit another are told by (id, digest), which no
+    frequent payload makes hot; few of them are broadcast after a count, so that payloads stay where they are, and many meet the rows by that key.
     """
     rows = pages.select(F.col(id).cast("long").alias("page_id"), F.coalesce(F.col(payload).cast("binary"), F.lit(b"")).alias("payload"))
-    rows = rows.withColumn("sha", F.unhex(F.sha1("payload")))
-    groups = rows.where(F.length("payload") >= least).groupBy("sha").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").select("sha", "first")
-    revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
-    return rows.join(groups, "sha", "left").select("page_id", "payload", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("first")).alias("refers_to"))
+    keys = rows.select("page_id", F.unhex(F.sha1("payload")).alias("sha")).where(F.length("payload") >= least)
+    groups = keys.groupBy("sha").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").select("sha", "first")
+    # a payload's ids are counted once each before they meet its first
+    again = keys.groupBy("page_id", "sha").agg(F.count("*").alias("n")).join(groups, "sha").where("not (page_id <=> first)")
+    told = bounded(again.select(F.col("page_id").alias("again_id"), F.col("sha").alias("again_sha"), "first"))
+    joined = rows.join(told, F.col("page_id").eqNullSafe(F.col("again_id")) & (F.unhex(F.sha1("payload")) == F.col("again_sha")), "left")
+    return joined.select("page_id", "payload", F.when(F.col("first").isNotNull(), "revisit").otherwise("response").alias("record_type"), F.col("first").alias("refers_to"))
 
 
 def write_archives(captures: DataFrame, folder: str) -> DataFrame:
@@ -178,8 +196,6 @@ def write_archives(captures: DataFrame, folder: str) -> DataFrame:
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import uuid
 
-        from pyspark import TaskContext
-
         def rows() -> Iterator[tuple]:
             for b in batches:
                 for page, payload, kind, refers in zip(b.page_id.array, b.payload.array, b.record_type.array, b.refers_to.array):
@@ -187,13 +203,11 @@ def write_archives(captures: DataFrame, folder: str) -> DataFrame:
 
         files, root = _filesystem(folder)
         files.create_dir(root, recursive=True)
-        final, part = f"{root}/part-{TaskContext.get().partitionId():06d}.warc.zst", f"{root}/.{uuid.uuid4().hex}"
-        with files.open_output_stream(part, compression=None) as out:
+        name = f"{uuid.uuid4().hex}.warc.zst"
+        with files.open_output_stream(f"{root}/{name}", compression=None) as out:
             n = write_archive(out, rows())
-        size = files.get_file_info(part).size
-        files.move(part, final)
         if n:
-            yield pd.DataFrame({"path": [f"{folder}/{final.rpartition('/')[2]}"], "records": [n], "bytes": [size]})
+            yield pd.DataFrame({"path": [f"{folder}/{name}"], "records": [n], "bytes": [files.get_file_info(f"{root}/{name}").size]})
 
     return captures.mapInPandas(write, "path string, records long, bytes long")
 
@@ -209,7 +223,8 @@ def read_archives(archives: DataFrame, path: str = "path") -> DataFrame:
                 rows = []
                 with files.open_input_stream(at, compression=None) as source:
                     for headers, block in read_archive(source):
-                        rows.append(_row(headers, block))
+                        if headers["warc-type"] in ("response", "resource", "revisit"):
+                            rows.append(_row(headers, block))
                         if len(rows) == 5_000:
                             yield _frame(rows)
                             rows = []
@@ -219,18 +234,21 @@ def read_archives(archives: DataFrame, path: str = "path") -> DataFrame:
 
 
 def _row(headers: dict[str, str], block: bytes) -> tuple:
-    page = int(headers["X-Page-ID"]) if "X-Page-ID" in headers else None
-    said = headers["WARC-Payload-Digest"].removeprefix("sha1:")
-    if headers["WARC-Type"] == "revisit":
-        return page, int(headers["X-Payload-Length"]), said, "revisit", int(headers["WARC-Refers-To"].split(":")[2])
-    if digest(block) != said:
+    """Ids of pages are those of this module's archives: records of others have none, and a revisit's target is null then."""
+    page, kind = int(headers["x-page-id"]) if "x-page-id" in headers else None, headers["warc-type"]
+    said = headers.get("warc-payload-digest")
+    if kind == "revisit":
+        target = headers.get("warc-refers-to", "").strip("<>").split(":")
+        own = int(target[2]) if target[:2] == ["urn", "page"] and target[2].lstrip("-").isdigit() else None
+        return page, _number(headers, "x-payload-length") if "x-payload-length" in headers else None, said.partition(":")[2] if said else None, kind, own
+    if page is not None and not _agrees(said, block):
         raise WarcError("the payload's digest differs")
-    return page, len(block), said, "response", None
+    return page, len(block), digest(block), kind, None
 
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:
     out = pd.DataFrame(rows, columns=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
-    return out.astype({"page_id": "Int64", "refers_to": "Int64"})
+    return out.astype({"page_id": "Int64", "refers_to": "Int64", "payload_bytes": "Int64"})
 
 
 def archive_and_read(pages: DataFrame, id: str = "page_id", payload: str = "html", least: int = 0) -> DataFrame:
