@@ -327,6 +327,8 @@ def test_secrets_are_found_and_numbers_are_not(spark, forest):
         (6, "", []),
         (7, f"{key} {key}\nÜber {key}", [key] * 3),
         (8, "Wordsthatarelongbutplain: nothingtoseehere of it", []),
+        (9, 'OAUTH2_CLIENT_SECRET="' + hexed + '" set', [hexed]),
+        (10, "use sk_live_" + "QwErTyUiOpAsDfGhJkLz now", ["sk_live_" + "QwErTyUiOpAsDfGhJkLz"]),
     ]
     out = secret_scan.scan(spark.createDataFrame([(i, x, 0) for i, x, _ in rows], "doc_id long, text string, scan int").withColumnRenamed("scan", "score"), forest).collect()
     got = {r["doc_id"]: r for r in out}
@@ -341,6 +343,40 @@ def test_secrets_are_found_and_numbers_are_not(spark, forest):
     assert secret_scan.scan(spark.createDataFrame([], "doc_id long, text string"), forest).count() == 0
 
 
+def test_forest_on_findings_it_has_not_seen(spark, forest):
+    """Labelled findings of other digests: recall and false positives."""
+    held = secret_scan.labelled_findings(spark, 4000, salt="held out")
+    f = F.array(*[c.cast("double") for c in secret_scan.features(F.col("before"), F.col("value"), F.col("after"))])
+    told = held.select("label", f.alias("f")).selectExpr("label", f"{forest} >= 0.5 as hit").groupBy("label").agg(F.avg(F.col("hit").cast("double")).alias("share")).collect()
+    share = {r["label"]: r["share"] for r in told}
+    print(share)
+    assert share[1] >= 0.97 and share[0] <= 0.03
+
+
+def test_planted_secrets_of_the_table(spark):
+    """sf0.1: every planted key is found, and nothing is that has no such form."""
+    from verdigris.llm import queries
+
+    sf = "/root/testdata/sf0.1"
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
+    planted = {i: {m.group(0) for m in re.finditer(r'AKIA[0-9A-Z]{16}|(?<=token = ")[0-9a-f]{40}', x)} for i, x in texts.items()}
+    out = {r["doc_id"]: r["spans"] for r in queries.op10_secret_scan(spark, sf).collect()}
+    got = {i: {texts[i][s["start"] - 1 : s["start"] - 1 + s["length"]] for s in spans} for i, spans in out.items()}
+    assert sum(map(len, planted.values())) > 100
+    assert all(planted[i] <= got[i] for i in texts)
+    assert sum(len(got[i] - planted[i]) for i in texts) <= 0.02 * sum(map(len, planted.values()))
+
+
+def test_scan_of_odd_rows(spark, forest):
+    rows = [(None, "AKIA" + "QZ3XW7RT5PLM2KJH"), (1, None), (2, ""), (2, ""), (3, "word " * 100_000 + 'token = "' + "ab12" * 10 + '"')]
+    df = spark.createDataFrame([(*r, "a", "b") for r in rows], "doc_id long, text string, found string, __gaps string")
+    out = secret_scan.scan(df, forest, out="found").collect()
+    assert len(out) == 5 and [sorted(r.asDict()) for r in out][0] == ["__gaps", "doc_id", "found", "text"]
+    by = {r["doc_id"]: r["found"] for r in out}
+    assert len(by[None]["findings"]) == len(by[3]["findings"]) == 1 and by[3]["findings"][0]["start"] == 500_010
+    assert by[1]["redacted"] is None and by[2]["redacted"] == "" and by[2]["candidates"] == 0
+
+
 def test_scan_runs_no_python(spark, forest):
     plan = secret_scan.scan(spark.createDataFrame([(1, "x")], "doc_id long, text string"), forest)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow|Exchange", plan)

@@ -1,13 +1,14 @@
 r"""Secret scan: candidates by pattern, false positives removed by a random forest, all in native expressions.
 
-Candidates are runs of key-like characters with a digit, and values after ``=`` or ``:``. A random
+Candidates are runs of key-like characters with a digit or an issuer's beginning, and values after ``=`` or ``:``. A random
 forest decides on a candidate's length, the transitions between its kinds of characters, the share of it that
 dictionary words cover, whether it is part of a path, and the words beside it. The forest is trained by Spark's own
 learner on labelled findings and written out as one CASE expression, so a scan is a projection: no shuffle, no Python,
 and any text is taken whole.
 
 The findings come from a generator of forms (``labelled_findings``) or from the caller's own table of (before, value,
-after, label). Null texts have no candidates; redaction leaves them null.
+after, label). Null texts have no candidates; redaction leaves them null. Empty texts, repeated rows, texts of any length and empty tables
+come out as they are; a column of the result's name is replaced, and others of any name stay.
 """
 
 from __future__ import annotations
@@ -27,8 +28,10 @@ DICTIONARY = (
 ).split()
 
 _RUN = "A-Za-z0-9_+/-"
-CANDIDATE = rf"(?<![{_RUN}])(?=[A-Za-z_+/-]*+[0-9])[{_RUN}]{{12,}}+={{0,2}}" + r"|(?<=[=:][\s\"']{0,3})[^\s\"'<>=:]{8,}+"
-FEATURES = ("length", "transitions", "coverage", "digits", "in_path", "secret_beside", "harmless_beside", "upper_mix", "variety")
+#: Beginnings of keys by their issuers' formats (fixed values): what follows one is a candidate without a digit too.
+ISSUED = "AKIA|ASIA|AIza|gh[pousr]_|[prs]k_(?:live|test)_|xox[abprs]-"
+CANDIDATE = rf"(?<![{_RUN}])(?=[A-Za-z_+/-]*+[0-9]|{ISSUED})[{_RUN}]{{12,}}+={{0,2}}" + r"|(?<=[=:][\s\"']{0,3})[^\s\"'<>=:]{8,}+"
+FEATURES = ("length", "transitions", "coverage", "digits", "in_path", "secret_beside", "harmless_beside", "upper_mix", "variety", "issued")
 #: Characters of context on either side that the features see.
 BEFORE, AFTER = 48, 24
 
@@ -52,12 +55,13 @@ def features(before: Column, value: Column, after: Column) -> list[Column]:
         near.rlike(rf"\b(?:{'|'.join(HARMLESS_NAMES)})\b").cast("double"),
         (value.rlike("[A-Z]").cast("double") + value.rlike("[a-z]").cast("double") + value.rlike("[0-9]").cast("double")),
         F.size(F.array_distinct(F.split(value, ""))) / F.least(size, F.lit(40.0)),
+        value.rlike(rf"^(?:{ISSUED})[A-Za-z0-9_-]{{12,}}$").cast("double"),
     ]
 
 
-def labelled_findings(spark: SparkSession, rows: int = 6_000) -> DataFrame:
+def labelled_findings(spark: SparkSession, rows: int = 6_000, salt: str = "finding") -> DataFrame:
     """(before, value, after, label): forms of secrets (1) and of what only looks like one (0), made from digests of row numbers."""
-    hexed = F.sha2(F.concat(F.lit("finding:"), F.col("id").cast("string")), 512)
+    hexed = F.sha2(F.concat(F.lit(f"{salt}:"), F.col("id").cast("string")), 512)
     base = spark.range(rows).select("id", hexed.alias("hex"), F.base64(F.unhex(hexed)).alias("b64"))
     base = base.select("id", "hex", F.regexp_replace("b64", "[+/=]", "x").alias("mix"), F.conv(F.substring("hex", 1, 6), 16, 10).cast("int").alias("r"), F.translate(F.upper(F.substring("hex", 20, 60)), "0189", "GKQX").alias("upper"))
     digits = "translate(substring(hex, 40, 60), 'abcdef', '123456')"
@@ -71,6 +75,8 @@ def labelled_findings(spark: SparkSession, rows: int = 6_000) -> DataFrame:
         (name, "substring(hex, 1, 40)", "'\" the'", 1),
         (name, "substring(mix, 1, 16 + r % 28)", "'\"'", 1),
         (other, "concat('ghp_', substring(mix, 1, 36))", "' '", 1),
+        (other, "concat('sk_live_', translate(substring(mix, 1, 24), '0123456789', 'abcdefghij'))", "' '", 1),
+        (other, "concat('AKIA', translate(substring(upper, 1, 16), '0123456789', 'ABCDEFGHIJ'))", "' '", 1),
         (other, "substring(mix, 1, 32 + r % 12)", "' of'", 1),
         (name, "concat(substring(mix, 1, 6), element_at(array('moon','Tiger','blue'), 1 + r % 3), substring(hex, 9, 3))", "' '", 1),
         (harmless, "substring(hex, 1, 40)", "' the'", 0),
@@ -121,29 +127,28 @@ def _case(node) -> str:
 def scan(docs: DataFrame, forest: str, text: str = "text", threshold: float = 0.5, out: str = "scan") -> DataFrame:
     """``docs`` with a struct ``scan``: candidates (number), findings array<struct<start, length, value, score>> of accepted
     ones (start counts code points from 1), redacted (the text with each finding replaced by ``[SECRET]``)."""
-    whole_text = F.coalesce(F.col(text), F.lit(""))
-    found = docs.withColumn("__found", F.regexp_extract_all(whole_text, F.lit(CANDIDATE), F.lit(0)))
+    # what came in is one struct, so that no name in it can clash
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col(text), F.lit("")).alias("x"))
+    found = rows.withColumn("found", F.regexp_extract_all("x", F.lit(CANDIDATE), F.lit(0)))
     # few texts have a candidate, so few are cut
-    kept = found.withColumn("__gaps", F.when(F.size("__found") > 0, F.split(whole_text, CANDIDATE, -1)).otherwise(F.array(whole_text)))
+    kept = found.withColumn("gaps", F.when(F.size("found") > 0, F.split("x", CANDIDATE, -1)).otherwise(F.array("x")))
 
     def item(value: Column, i: Column) -> Column:
-        before, after = F.get("__gaps", i), F.get("__gaps", i + 1)
-        before = F.right(before, F.lit(BEFORE))
-        return F.struct(value.alias("value"), F.array(*[c.cast("double") for c in features(before, value, F.left(after, F.lit(AFTER)))]).alias("f"))
-
-    kept = kept.withColumn("__items", F.transform("__found", item))
-    scored = kept.withColumn("__scored", F.expr(f"transform(__items, x -> struct(x.value as value, {forest.replace('f[', 'x.f[')} as score))"))
-    placed = scored.withColumn(
-        "__placed",
-        F.expr(
-            "aggregate(__scored, struct(cast(1 as int) as at, cast(0 as int) as i, cast(array() as array<struct<start:int,length:int,value:string,score:double>>) as done), "
-            "(a, x) -> struct(a.at + length(get(__gaps, a.i)) + length(x.value) as at, a.i + 1 as i, "
-            "array_append(a.done, struct(a.at + length(get(__gaps, a.i)) as start, length(x.value) as length, x.value as value, x.score as score)) as done)).done"
-        ),
+        # a name before the value may be a candidate itself, so the text is read on over the neighbours
+        before = F.right(F.concat(F.right(F.coalesce(F.get("found", i - 1), F.lit("")), F.lit(BEFORE)), F.right(F.get("gaps", i), F.lit(BEFORE))), F.lit(BEFORE))
+        after = F.left(F.concat(F.left(F.get("gaps", i + 1), F.lit(AFTER)), F.left(F.coalesce(F.get("found", i + 1), F.lit("")), F.lit(AFTER))), F.lit(AFTER))
+        return F.struct(value.alias("value"), F.array(*[c.cast("double") for c in features(before, value, after)]).alias("f"))
+
+    kept = kept.withColumn("items", F.transform("found", item))
+    scored = kept.withColumn("scored", F.expr(f"transform(items, x -> struct(x.value as value, {forest.replace('f[', 'x.f[')} as score))"))
+    taken = scored.withColumn("parts", F.expr(f"transform(gaps, (g, i) -> struct(g as gap, get(scored, i).value as value, get(scored, i).score as score, coalesce(get(scored, i).score >= {threshold}D, false) as secret))"))
+    # only accepted findings are placed: each one's start is the length of what lies before it, summed once along the text
+    placed = F.expr(
+        "aggregate(parts, struct(1 as at, cast(array() as array<struct<start:int,length:int,value:string,score:double>>) as done), "
+        "(a, p) -> struct(a.at + length(p.gap) + coalesce(length(p.value), 0) as at, "
+        "if(p.secret, array_append(a.done, struct(a.at + length(p.gap) as start, length(p.value) as length, p.value as value, p.score as score)), a.done) as done)).done"
     )
-    redacted = F.expr(
-        f"case when {'`' + text + '`'} is null then null else array_join(transform(__gaps, (g, i) -> concat(g, "
-        f"case when i >= size(__scored) then '' when get(__scored, i).score >= {threshold}D then '[SECRET]' else get(__scored, i).value end)), '') end"
-    )
-    whole = F.struct(F.size("__found").alias("candidates"), F.filter("__placed", lambda x: x["score"] >= threshold).alias("findings"), redacted.alias("redacted"))
-    return placed.withColumn(out, whole).drop("__gaps", "__found", "__items", "__scored", "__placed")
+    redacted = F.when(F.col(f"row.`{text}`").isNotNull(), F.array_join(F.transform("parts", lambda p: F.concat(p["gap"], F.when(p["secret"], "[SECRET]").otherwise(F.coalesce(p["value"], F.lit(""))))), ""))
+    whole = F.struct(F.size("found").alias("candidates"), placed.alias("findings"), redacted.alias("redacted"))
+    keep = [F.col(f"row.`{c}`") for c in docs.columns if c.lower() != out.lower()]
+    return taken.select(*keep, whole.alias(out))
