@@ -85,3 +85,33 @@ def test_toxicity_of_odd_rows(spark):
     assert len(out) == len(rows) and all(0 <= r["score"] <= 1 for r in out)
     by = {(r["doc_id"], (r["text"] or "")[:9]): r["score"] for r in out}
     assert by[1, ""] == by[2, ""] == by[3, "123 ..."] and by[5, "grobnik w"] > 0.5
+
+
+def _odd_documents(spark):
+    """Null and empty texts, a null id, a repeated row, a repeated id, a very long text, and columns with names that stages use inside."""
+    rows = [(1, "one plain text of a few words that goes on", "en", "a"), (1, "one plain text of a few words that goes on", "en", "a"), (2, None, None, None), (3, "", "en", "a"), (None, "a text without an id of its own at all", "en", "a"), (4, "word " * 60_000, "en", "a"), (4, "another text under the id of four, not alike", "en", "a"), (5, 'and the token = "' + "0a1b2c3d4e" * 4 + '" is here', "en", "b")]
+    return spark.createDataFrame([(*r, len(r[1] or ""), "mine", "mine") for r in rows], "doc_id long, text string, lang string, source string, n_chars long, __toxicity string, __scan string")
+
+
+def test_each_stage_on_odd_rows_and_no_rows(spark):
+    import corpus_pipeline
+    from tests.conftest import SF
+
+    docs = _odd_documents(spark)
+    size = {"toxicity": None, "near_duplicates": 7, "secrets": 8}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SF)
+        rows = out.collect()
+        if name == "packing":
+            assert {r["doc_id"] for r in rows} == {1, 2, 3, 4, 5, None}
+        else:
+            assert out.columns == docs.columns and all(r["__toxicity"] == r["__scan"] == "mine" for r in rows), name
+            assert size[name] is None or len(rows) == size[name], name
+        if name == "near_duplicates":
+            # empty and null texts are copies of each other; a repeated row stays as often as it occurs
+            assert sorted((r["doc_id"] for r in rows if r["doc_id"]), key=int) == [1, 1, 2, 4, 4, 5]
+        if name == "secrets":
+            told = next(r for r in rows if r["doc_id"] == 5)
+            assert told["text"] == 'and the token = "[SECRET]" is here' and told["n_chars"] == len(told["text"])
+            assert next(r for r in rows if r["doc_id"] == 2)["text"] is None
+        assert stage(spark, docs.limit(0), SF).count() == 0, name

@@ -107,6 +107,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     # copies are told by the ids that are nobody's copy, so that no text's hash meets its rows again
     first = exact.groupBy("sha").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
     ledger.apply("003-copies", deletes=exact.join(first, "doc_id", "left_anti").select("doc_id", "version"))
+    ledger.vacuum()
     return ledger.totals()
 
 
