@@ -1,4 +1,9 @@
-"""From documents to packed sequences: toxicity, near-duplicates, secrets, packing."""
+"""From documents to packed sequences: toxicity, near-duplicates, secrets, packing.
+
+Every stage keeps the columns it was given, of whatever name, and takes null and empty texts, null ids, repeated rows, texts of any length and
+empty tables: a null text scores like an empty one, null and empty texts are copies of each other, a null text has no secret and stays null, and
+packs as its end mark alone. Rows that repeat an id stay or go together; a repeated row that stays does so as often as it occurs.
+"""
 
 from __future__ import annotations
 
@@ -8,7 +13,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from verdigris.llm import packing, secret_scan, shingle_sets, toxicity
 from verdigris.llm.queries import HELD_OUT
 from verdigris.session import ship_package
-from verdigris.storage import materialise
+from verdigris.storage import discard, materialise
+
+
+def _unused(docs: DataFrame, name: str) -> str:
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -17,8 +29,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic").where(f"not ({HELD_OUT})")
     texts = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     model = toxicity.fit(texts, labels)
-    scored = toxicity.with_score(docs, model, out="__toxicity")
-    return scored.where("__toxicity < 0.5").drop("__toxicity")
+    name = _unused(docs, "toxicity")
+    scored = toxicity.with_score(docs, model, out=name)
+    return scored.where(F.col(name) < 0.5).drop(name)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,8 +47,9 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Secrets are replaced in the texts; all documents stay, with n_chars of what they are now."""
     ship_package(spark)
     forest = secret_scan.train_forest(secret_scan.labelled_findings(spark))
-    scanned = secret_scan.scan(docs, forest, out="__scan")
-    return scanned.withColumn("text", F.col("__scan.redacted")).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    name = _unused(docs, "scan")
+    scanned = secret_scan.scan(docs, forest, out=name)
+    return scanned.withColumn("text", F.col(f"{name}.redacted")).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,5 +73,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each stage's result is written to the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+        before, docs = docs, materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+        discard(before)  # nothing but the documents themselves is read again
     return STAGES[-1][1](spark, docs, sf_dir)
