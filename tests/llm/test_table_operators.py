@@ -279,9 +279,12 @@ def test_ledger_query_equals_direct_counts(spark):
     assert got == want
 
 
-def test_pipeline(spark):
+def test_pipeline(spark, monkeypatch):
     import corpus_pipeline
+    from verdigris.llm import toxicity
 
+    fitted, fit = [], toxicity.fit
+    monkeypatch.setattr(toxicity, "fit", lambda *a, **k: fitted[0] if fitted else fitted.append(fit(*a, **k)) or fitted[0])
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     for name, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, docs, SF)

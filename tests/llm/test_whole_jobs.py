@@ -93,10 +93,13 @@ def _odd_documents(spark):
     return spark.createDataFrame([(*r, len(r[1] or ""), "mine", "mine") for r in rows], "doc_id long, text string, lang string, source string, n_chars long, __toxicity string, __scan string")
 
 
-def test_each_stage_on_odd_rows_and_no_rows(spark):
+def test_each_stage_on_odd_rows_and_no_rows(spark, monkeypatch):
     import corpus_pipeline
     from tests.conftest import SF
+    from verdigris.llm import toxicity
 
+    small = toxicity.train(["good words"] * 20 + ["grobnik words"] * 20, [0] * 20 + [1] * 20, toxicity.Settings(steps=100, buckets=1 << 12))
+    monkeypatch.setattr(toxicity, "fit", lambda *a, **k: small)  # fits are tested by themselves
     docs = _odd_documents(spark)
     size = {"toxicity": None, "near_duplicates": 7, "secrets": 8}
     for name, stage in corpus_pipeline.STAGES:
