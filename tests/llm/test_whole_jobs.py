@@ -33,6 +33,32 @@ def test_near_duplicate_stage_finds_all_copies_of_similarity_0_8(spark):
     assert shingle_sets.shingle_components(docs.limit(0)).count() == 0
 
 
+def test_one_bucket_of_many_texts_that_are_not_all_alike(spark, monkeypatch):
+    """Copies of one text of which only some pairs reach 0.8: leaders alone don't join them, later batches must."""
+    monkeypatch.setattr(shingle_sets, "BATCH", 4)
+    monkeypatch.setattr(shingle_sets, "FOLLOWERS", 10)
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(200)]
+    rows = [base]
+    for _ in range(90):
+        k = rng.randrange(len(rows))
+        copy = list(rows[k])
+        for _ in range(rng.choice([1, 3, 5, 8])):
+            copy[rng.randrange(200)] = f"x{rng.randrange(10**6)}"
+        rows.append(copy)
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in rows]
+    root = list(range(len(rows)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if len(a & b) / len(a | b) >= 0.8:
+                x, y = sorted((root[i], root[j]))
+                root = [x if r == y else r for r in root]
+    assert 10 < len(set(root)) < 80
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in shingle_sets.shingle_components(docs).collect()}
+    assert got == dict(enumerate(root))
+
+
 def test_edit_duplicates_join_texts_of_other_lengths(spark):
     """Copies with text appended, inserted or deleted: walks of other lengths, up to either side of a power of two."""
     rng = random.Random(12)

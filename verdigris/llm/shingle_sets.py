@@ -3,9 +3,12 @@
 Words are those of ``simhash``. Texts of equal shingle sets are one class. Candidates are classes whose SimHash fingerprints
 differ in few bits, and classes that agree on one of ``BANDS`` bands of ``ROWS`` minimums each; a band is missed with
 probability 1 - s ** ROWS at similarity s, all of them in 6 of 10,000 pairs at 0.8 and 3 of a million at 0.85. Candidates only
-decide which texts meet in a task: there the sets themselves are compared, and only pairs of at least the asked
-similarity join. A task holds the sets of one group of linked candidates; a row is compared with a group of joined rows
-until one of them is similar, so a large group of copies costs in proportion to its size.
+say which pairs are compared; the sets themselves decide, and only pairs of at least the asked similarity join.
+
+No bucket of candidates is gathered in one task. Each class first meets one leader of its buckets, then the leader of each,
+then growing batches of further leaders, and only pairs that aren't joined yet are compared. So a group of copies costs in
+proportion to its size, every pair of a bucket is either compared or joined already at the end, and the number of rounds is the
+logarithm of the largest bucket that is still open.
 """
 
 from __future__ import annotations
@@ -19,11 +22,15 @@ from pyspark.sql import DataFrame, functions as F
 from verdigris.llm.simhash import near_duplicate_links, shingle_hashes, vote
 from verdigris.llm.workers import claim
 from verdigris.operators.graph import connected_components
-from verdigris.storage import materialise
+from verdigris.storage import bounded, discard, materialise
 
 BANDS, ROWS = 40, 8
 #: Shingles whose minimums are taken at once.
 AT_ONCE = 1024
+#: Leaders of a bucket in the first batch, and the factor by which batches grow.
+BATCH = 32
+#: Rows that meet one copy of a leader's set; a leader of more is copied.
+FOLLOWERS = 500
 
 
 def _mixers() -> tuple[np.ndarray, np.ndarray]:
@@ -51,28 +58,61 @@ def _digest(shingles: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(shingles.tobytes(), 7)).view(np.int64))
 
 
-def jaccard(a: np.ndarray, b: np.ndarray) -> float:
-    """Of two sorted arrays without repetitions."""
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
-
-
-def joined(sets: list[np.ndarray], bands: np.ndarray, prints: np.ndarray, least: float, bits: int) -> np.ndarray:
-    """The smallest position that each set is joined with, over all candidate pairs of similarity ``least`` or more."""
-    root, sizes = np.arange(len(sets)), np.array([len(x) for x in sets])
-    for i in range(1, len(sets)):
-        shared = (bands[:i] == bands[i]).sum(axis=1)
-        met = (shared > 0) | (np.bitwise_count(prints[:i] ^ prints[i]) <= bits)
-        met &= np.minimum(sizes[:i], sizes[i]) >= least * np.maximum(sizes[:i], sizes[i]) - 1e-6
-        near = np.flatnonzero(met)
-        near = near[np.argsort(-shared[near], kind="stable")]
-        while len(near):
-            j, near = near[0], near[1:]
-            if jaccard(sets[i], sets[j]) >= least:
-                x, y = sorted((root[i], root[j]))
-                root[root == y] = x
-                near = near[root[near] != x]
-    return root
+def similar_pairs(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The rows of ``pairs`` (a, b, ...) whose sets, of ``sets`` (digest, shingles), have a Jaccard similarity of ``least`` or more.
+
+    A ``b`` of many rows is copied, so that its rows are compared in several tasks."""
+    counted = pairs.groupBy("b").agg(F.ceil(F.count("*") / FOLLOWERS).cast("int").alias("copies")).where("copies > 1")
+    many = bounded(counted)
+    copies = F.coalesce("copies", F.lit(1))
+    left = pairs.join(many, "b", "left").withColumn("part", F.pmod(F.xxhash64("a"), copies).cast("int")).drop("copies")
+    led = sets.select(F.col("digest").alias("b"), F.col("shingles").alias("y")).join(pairs.select("b").distinct(), "b", "left_semi")
+    right = led.join(many, "b", "left").select("b", "y", F.explode(F.sequence(F.lit(0), copies - 1)).alias("part"))
+    met = left.join(sets.select(F.col("digest").alias("a"), F.col("shingles").alias("x")), "a").join(right, ["b", "part"])
+    compared = met.withColumn("both", F.size(F.array_intersect("x", "y")))
+    return compared.where(F.col("both") / (F.size("x") + F.size("y") - F.col("both")) >= least).select(*pairs.columns)
+
+
+def _joined(members: DataFrame, sets: DataFrame, least: float, bits: int) -> DataFrame:
+    """(digest, component) of the members of buckets, over all candidate pairs of similarity ``least`` or more."""
+
+    def merge(components: DataFrame, pairs: DataFrame) -> DataFrame:
+        """Components after the similar ones of ``pairs`` (a, b and their components) are joined."""
+        pairs = materialise(pairs, "pairs")
+        links = materialise(similar_pairs(pairs, sets, least).select("ca", "cb").distinct(), "links")
+        if links.isEmpty():
+            return components
+        found = connected_components(links, "ca", "cb").select(F.col("node").alias("component"), F.col("component").alias("smallest"))
+        after = materialise(components.join(found, "component", "left").select("digest", F.coalesce("smallest", "component").alias("component")), "joined")
+        for used in (pairs, links, components):
+            discard(used)
+        return after
+
+    size = F.least("n", "n2") >= least * F.greatest("n", "n2") - 1e-6
+    alone = materialise(members.select("digest", F.col("digest").alias("component")).distinct(), "joined")
+    first = members.where("digest <> leader").groupBy(F.col("digest").alias("a")).agg(F.min("leader").alias("b"))
+    components = merge(alone, first.select("a", "b", F.col("a").alias("ca"), F.col("b").alias("cb")))
+    low, high = -1, 0
+    while True:
+        now = members.join(components, "digest")
+        led = F.max(F.when(F.col("digest") == F.col("leader"), F.col("component")))
+        apart = now.groupBy("key", "loose").agg(F.min("component").alias("one"), F.max("component").alias("other"), led.alias("cb")).where("one < other").drop("one", "other")
+        still = materialise(now.join(apart, ["key", "loose"]), "open")
+        largest = still.agg(F.max("m")).first()[0]
+        if largest is None or low >= largest:
+            discard(still)
+            return components
+        if low < 0:
+            pairs = still.where("component <> cb").select(F.col("digest").alias("a"), F.col("leader").alias("b"), F.col("component").alias("ca"), "cb")
+        else:
+            leaders = still.where(F.col("at").between(low, high - 1)).select("key", "loose", F.col("digest").alias("b"), F.col("component").alias("c2"), F.col("n").alias("n2"), F.col("fp").alias("fp2"), F.col("at").alias("at2"))
+            later = (F.col("at") > F.col("at2")) | ((F.col("at") == F.col("at2")) & (F.col("digest") > F.col("b")))
+            near = ~F.col("loose") | (F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2"))) <= bits)
+            met = still.drop("cb").join(leaders, ["key", "loose"]).where(F.col("component") != F.col("c2")).where(later & near & size)
+            pairs = met.select(F.col("digest").alias("a"), "b", F.col("component").alias("ca"), F.col("c2").alias("cb"))
+        components = merge(components, pairs.distinct())
+        discard(still)
+        low, high = max(high, 0), max(high, 1) * BATCH
 
 
 def shingle_components(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int = 5, least: float = 0.8, bits: int = 4) -> DataFrame:
@@ -86,42 +126,47 @@ def shingle_components(docs: DataFrame, id: str = "doc_id", text: str = "text",
         claim("shingles")
         mixers = _mixers()
         for batch in batches:
-            digests, prints, bands = [], [], []
+            digests, prints, bands, sizes = [], [], [], []
             for x in batch.text.array:
                 hashes = shingle_hashes(x, words)
                 distinct = np.unique(hashes)
                 digests.append(_digest(distinct))
                 prints.append(vote(hashes))
                 bands.append(band_keys(distinct, mixers))
-            yield pd.DataFrame({"doc_id": batch.doc_id, "digest": digests, "fp": np.array(prints, dtype=np.uint64).view(np.int64), "bands": bands})
+                sizes.append(len(distinct))
+            yield pd.DataFrame({"doc_id": batch.doc_id, "digest": digests, "n": sizes, "fp": np.array(prints, dtype=np.uint64).view(np.int64), "bands": bands})
 
     kind = source.schema["doc_id"].dataType.simpleString()
-    sketches = materialise(source.mapInPandas(sketched, f"doc_id {kind}, digest long, fp long, bands array<long>"), "sketches")
+    sketches = materialise(source.mapInPandas(sketched, f"doc_id {kind}, digest long, n long, fp long, bands array<long>"), "sketches")
     known = sketches.where("doc_id is not null")
-    classes = materialise(known.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("fp").alias("fp"), F.first("bands").alias("bands")), "classes")
+    firsts_of = [F.first(c).alias(c) for c in ("n", "fp", "bands")]
+    classes = materialise(known.groupBy("digest").agg(F.min("doc_id").alias("rep"), *firsts_of), "classes")
 
-    keyed = classes.select("digest", F.explode("bands").alias("key"))
-    met = keyed.groupBy("key").agg(F.min("digest").alias("b"), F.max("digest").alias("last")).where("b < last").drop("last")
-    banded = keyed.join(met, "key").where("digest <> b").select(F.col("digest").alias("a"), "b").distinct()
-    # fingerprints may agree where sets don't, so each fingerprint's classes are tied to the first of them
+    # the buckets: a band's key, and the fingerprints that are linked to each other
     firsts = classes.groupBy("fp").agg(F.min("digest").alias("rep"))
-    tied = classes.join(firsts.withColumnRenamed("rep", "b"), "fp").where("digest <> b").select(F.col("digest").alias("a"), "b")
-    links = banded.unionAll(tied).unionAll(near_duplicate_links(firsts, bits))
-    groups = connected_components(materialise(links, "candidates")).withColumnsRenamed({"node": "digest", "component": "candidate"})
-
-    members = classes.join(groups, "digest").withColumnRenamed("rep", "doc_id").join(source, "doc_id")
-
-    def compared(group: pd.DataFrame) -> pd.DataFrame:
+    linked = connected_components(near_duplicate_links(firsts, bits)).withColumnsRenamed({"node": "rep"})
+    by_print = firsts.join(linked, "rep", "left").select("fp", F.coalesce("component", "rep").alias("key"))
+    banded = classes.select("digest", "n", "fp", F.explode("bands").alias("key"), F.lit(False).alias("loose"))
+    keyed = banded.unionByName(classes.join(by_print, "fp").select("digest", "n", "fp", "key", F.lit(True).alias("loose")))
+    shared = keyed.groupBy("key", "loose").agg(F.count("*").alias("m"), F.min("digest").alias("leader")).where("m > 1")
+    at = (F.pmod(F.xxhash64("digest", "key"), F.lit(1 << 31)) / float(1 << 31) * F.col("m")).cast("long")
+    members = materialise(keyed.join(shared, ["key", "loose"]).withColumn("at", at), "members")
+
+    def gathered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         claim("shingles")
-        sets = [np.unique(shingle_hashes(x, words)) for x in group.text.array]
-        # an id that was given twice brings a text of another class along
-        own = [i for i, (s, d) in enumerate(zip(sets, group.digest.array)) if _digest(s) == d]
-        rows = group.iloc[own].drop_duplicates("digest").sort_values("doc_id", kind="stable")
-        sets = dict(zip(group.digest.iloc[own], (sets[i] for i in own)))
-        root = joined([sets[d] for d in rows.digest], np.stack(rows.bands.to_numpy()), rows.fp.to_numpy().view(np.uint64), least, bits)
-        ids = rows.doc_id.to_numpy()
-        return pd.DataFrame({"digest": rows.digest.to_numpy(), "joined": ids[root]})
-
-    found = members.groupBy("candidate").applyInPandas(compared, f"digest long, joined {kind}")
-    named = materialise(classes.select("digest", "rep").join(found, "digest", "left").select("digest", F.coalesce("joined", "rep").alias("component_id")), "components")
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(x, words)) for x in batch.text.array]
+            # an id that was given twice brings a text of another class along
+            own = [i for i, (s, d) in enumerate(zip(sets, batch.digest.array)) if _digest(s) == d]
+            yield pd.DataFrame({"digest": batch.digest.iloc[own].to_numpy(), "shingles": [sets[i].view(np.int64) for i in own]})
+
+    wanted = classes.join(members.select("digest").distinct(), "digest").select("digest", F.col("rep").alias("doc_id"))
+    texts = source.join(wanted, "doc_id").select("digest", "text")
+    sets = materialise(texts.mapInPandas(gathered, "digest long, shingles array<long>").dropDuplicates(["digest"]), "sets")
+    found = _joined(members, sets, least, bits)
+    least_id = found.join(classes.select("digest", "rep"), "digest").groupBy("component").agg(F.min("rep").alias("smallest"))
+    ends = found.join(least_id, "component").select("digest", "smallest")
+    named = materialise(classes.select("digest", "rep").join(ends, "digest", "left").select("digest", F.coalesce("smallest", "rep").alias("component_id")), "components")
+    for used in (members, sets, classes, found):
+        discard(used)
     return sketches.select("doc_id", "digest").join(named, "digest", "left").select("doc_id", "component_id")
