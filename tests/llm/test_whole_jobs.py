@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+
 from verdigris.llm import edit_fingerprint, shingle_sets
 
 
@@ -34,8 +36,8 @@ def test_near_duplicate_stage_finds_all_copies_of_similarity_0_8(spark):
 
 
 def test_one_bucket_of_many_texts_that_are_not_all_alike(spark, monkeypatch):
-    """Copies of one text of which only some pairs reach 0.8: leaders alone don't join them, later batches must."""
-    monkeypatch.setattr(shingle_sets, "BATCH", 4)
+    """Copies of one text of which only some pairs reach 0.8: leaders alone don't join them, blocks of several chunks must."""
+    monkeypatch.setattr(shingle_sets, "CHUNK_ROWS", 16)
     monkeypatch.setattr(shingle_sets, "FOLLOWERS", 10)
     rng = random.Random(3)
     base = [f"w{i}" for i in range(200)]
@@ -59,6 +61,17 @@ def test_one_bucket_of_many_texts_that_are_not_all_alike(spark, monkeypatch):
     assert got == dict(enumerate(root))
 
 
+def test_intersections_of_common_and_rare_elements(monkeypatch):
+    monkeypatch.setattr(shingle_sets, "COLUMNS", 7)
+    monkeypatch.setattr(shingle_sets, "MEETINGS", 50)
+    draw = np.random.default_rng(5)
+    for _ in range(40):
+        # a few elements that nearly all sets hold, many that few do, and empty sets
+        sides = [[np.unique(np.r_[draw.integers(0, 20, draw.integers(0, 30)), draw.integers(100, 2000, draw.integers(0, 60))]).astype(np.int64) for _ in range(draw.integers(1, 40))] for _ in range(2)]
+        want = [[len(set(a) & set(b)) for b in sides[1]] for a in sides[0]]
+        assert (shingle_sets.intersections(*sides) == want).all()
+
+
 def test_edit_duplicates_join_texts_of_other_lengths(spark):
     """Copies with text appended, inserted or deleted: walks of other lengths, up to either side of a power of two."""
     rng = random.Random(12)

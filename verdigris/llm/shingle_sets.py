@@ -5,10 +5,12 @@ differ in few bits, and classes that agree on one of ``BANDS`` bands of ``ROWS``
 probability 1 - s ** ROWS at similarity s, all of them in 6 of 10,000 pairs at 0.8 and 3 of a million at 0.85. Candidates only
 say which pairs are compared; the sets themselves decide, and only pairs of at least the asked similarity join.
 
-No bucket of candidates is gathered in one task. Each class first meets one leader of its buckets, then the leader of each,
-then growing batches of further leaders, and only pairs that aren't joined yet are compared. So a group of copies costs in
-proportion to its size, every pair of a bucket is either compared or joined already at the end, and the number of rounds is the
-logarithm of the largest bucket that is still open.
+Each class first meets one leader of its buckets, then, where a bucket is still open, the leaders of all of them; so a group of
+copies that are all alike costs in proportion to its size. What is still open then is compared in blocks: the members of a bucket
+are dealt to chunks of bounded size, each pair of chunks is a block of its own, and a task works out all intersections of a block
+at once, as products of 0/1 matrices over the shingles that both chunks have. No row stands for a pair: a block emits a spanning
+forest of the components it joins. The work is the square of a bucket that never closes, the rows that are moved its size times
+its number of chunks. Buckets of equal members are compared once.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from verdigris.llm.simhash import near_duplicate_links, shingle_hashes, vote
+from verdigris.llm.simhash import _roots, near_duplicate_links, shingle_hashes, vote
 from verdigris.llm.workers import claim
 from verdigris.operators.graph import connected_components
 from verdigris.storage import bounded, discard, materialise
@@ -27,8 +29,8 @@ from verdigris.storage import bounded, discard, materialise
 BANDS, ROWS = 40, 8
 #: Shingles whose minimums are taken at once.
 AT_ONCE = 1024
-#: Leaders of a bucket in the first batch, and the factor by which batches grow.
-BATCH = 32
+#: Members and shingles of a chunk of a bucket, about; columns of a matrix of 0 and 1, and meetings of rare shingles, handled at once.
+CHUNK_ROWS, CHUNK_SHINGLES, COLUMNS, MEETINGS = 2048, 1 << 20, 2048, 2_000_000
 #: Rows that meet one copy of a leader's set; a leader of more is copied.
 FOLLOWERS = 500
 
@@ -73,46 +75,127 @@ def similar_pairs(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return compared.where(F.col("both") / (F.size("x") + F.size("y") - F.col("both")) >= least).select(*pairs.columns)
 
 
-def _joined(members: DataFrame, sets: DataFrame, least: float, bits: int) -> DataFrame:
+def intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """The number of elements that each set of ``left`` shares with each of ``right``; a set's elements are distinct.
+
+    Elements that many sets hold are columns of matrices that are multiplied; each meeting of the rarer ones is counted."""
+    a, b = np.concatenate(left), np.concatenate(right)
+    rows, cols = (np.repeat(np.arange(len(x)), [len(s) for s in x]) for x in (left, right))
+    held, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    in_a, in_b = at[: len(a)], at[len(a) :]
+    often_a, often_b = np.bincount(in_a, minlength=len(held)), np.bincount(in_b, minlength=len(held))
+    both = np.zeros((len(left), len(right)))
+    dense = np.flatnonzero(often_a * often_b * 16 > both.size)
+    column = np.full(len(held), -1)
+    column[dense] = np.arange(len(dense))
+    for start in range(0, len(dense), COLUMNS):
+        sides = []
+        for n, of, places in ((len(left), rows, column[in_a]), (len(right), cols, column[in_b])):
+            some = (places >= start) & (places < start + COLUMNS)
+            side = np.zeros((n, min(COLUMNS, len(dense) - start)), dtype=np.float32)
+            side[of[some], places[some] - start] = 1
+            sides.append(side)
+        both += sides[0] @ sides[1].T
+    rare = np.where(column < 0, often_b, 0)
+    own, other = rare[in_a] > 0, rare[in_b] > 0
+    rows, in_a = rows[own], in_a[own]
+    cols = cols[other][np.argsort(in_b[other], kind="stable")]
+    first, width = (np.cumsum(rare) - rare)[in_a], rare[in_a]
+    meetings = np.cumsum(width)
+    low = 0
+    while low < len(rows):
+        high = max(low + 1, int(np.searchsorted(meetings, meetings[low] - width[low] + MEETINGS, "right")))
+        w = width[low:high]
+        met = np.repeat(first[low:high] - (np.cumsum(w) - w), w) + np.arange(w.sum())
+        both += np.bincount(np.repeat(rows[low:high], w) * len(right) + cols[met], minlength=both.size).reshape(both.shape)
+        low = high
+    return both
+
+
+def _block_links(frame: pd.DataFrame, least: float) -> Iterator[pd.DataFrame]:
+    """A spanning forest (ca, cb) of the components that similar sets of each block join. ``frame`` is sorted by block; side 0 is
+    compared with side 1, and side 2 with itself."""
+    blocks, parts, sides, sets = (frame[c].to_numpy() for c in ("block", "component", "side", "shingles"))
+    cuts = np.r_[0, np.flatnonzero(blocks[1:] != blocks[:-1]) + 1, len(blocks)]
+    for low, high in zip(cuts, cuts[1:]):
+        left, right = low + np.flatnonzero(sides[low:high] != 1), low + np.flatnonzero(sides[low:high] != 0)
+        if not len(left) or not len(right) or (parts[low:high] == parts[low]).all():
+            continue
+        both = intersections([sets[i] for i in left], [sets[i] for i in right])
+        sizes = [np.array([len(sets[i]) for i in side]) for side in (left, right)]
+        i, j = np.nonzero(both / np.maximum(sizes[0][:, None] + sizes[1] - both, 1) >= least)
+        known, place = np.unique(parts[low:high], return_inverse=True)
+        root = _roots(len(known), iter([(place[left[i] - low], place[right[j] - low])]))
+        some = np.flatnonzero(root != np.arange(len(known)))
+        if len(some):
+            yield pd.DataFrame({"ca": known[some], "cb": known[root[some]]})
+
+
+def block_links(open_members: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """(ca, cb): links between the components of ``open_members`` (key, loose, digest, component, parts), whose closure is that of
+    all pairs of a bucket with a Jaccard similarity of ``least`` or more."""
+
+    def compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        claim("shingles")
+        rest = None
+        for batch in batches:
+            if not len(batch):
+                continue
+            held = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
+            ended = int(np.searchsorted(held.block.to_numpy(), held.block.iloc[-1]))
+            yield from _block_links(held.iloc[:ended], least)
+            rest = held.iloc[ended:]
+        if rest is not None:
+            yield from _block_links(rest, least)
+
+    chunk = F.pmod(F.xxhash64("digest"), F.col("parts")).cast("int")
+    dealt = open_members.withColumn("chunk", chunk).withColumn("with", F.explode(F.expr("sequence(0, parts - 1)")))
+    side = F.when(F.col("chunk") == F.col("with"), 2).when(F.col("chunk") < F.col("with"), 0).otherwise(1)
+    block = F.xxhash64("key", "loose", F.least("chunk", "with"), F.greatest("chunk", "with"))
+    met = dealt.select("digest", "component", side.alias("side"), block.alias("block")).join(sets, "digest")
+    sorted_blocks = met.select("block", "side", "component", "shingles").repartition("block").sortWithinPartitions("block")
+    return sorted_blocks.mapInPandas(compared, "ca long, cb long")
+
+
+def _joined(members: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """(digest, component) of the members of buckets, over all candidate pairs of similarity ``least`` or more."""
 
-    def merge(components: DataFrame, pairs: DataFrame) -> DataFrame:
-        """Components after the similar ones of ``pairs`` (a, b and their components) are joined."""
-        pairs = materialise(pairs, "pairs")
-        links = materialise(similar_pairs(pairs, sets, least).select("ca", "cb").distinct(), "links")
+    def merge(components: DataFrame, links: DataFrame) -> DataFrame:
+        """Components after those that ``links`` (ca, cb) names are joined."""
+        links = materialise(links, "links")
         if links.isEmpty():
             return components
         found = connected_components(links, "ca", "cb").select(F.col("node").alias("component"), F.col("component").alias("smallest"))
         after = materialise(components.join(found, "component", "left").select("digest", F.coalesce("smallest", "component").alias("component")), "joined")
-        for used in (pairs, links, components):
+        for used in (links, components):
             discard(used)
         return after
 
-    size = F.least("n", "n2") >= least * F.greatest("n", "n2") - 1e-6
-    alone = materialise(members.select("digest", F.col("digest").alias("component")).distinct(), "joined")
-    first = members.where("digest <> leader").groupBy(F.col("digest").alias("a")).agg(F.min("leader").alias("b"))
-    components = merge(alone, first.select("a", "b", F.col("a").alias("ca"), F.col("b").alias("cb")))
-    low, high = -1, 0
-    while True:
+    def met(components: DataFrame, pairs: DataFrame) -> DataFrame:
+        pairs = materialise(pairs, "pairs")
+        after = merge(components, similar_pairs(pairs, sets, least).select("ca", "cb").distinct())
+        discard(pairs)
+        return after
+
+    def still_open(components: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Members of the buckets that hold several components, with those, and a row of each such bucket."""
         now = members.join(components, "digest")
-        led = F.max(F.when(F.col("digest") == F.col("leader"), F.col("component")))
-        apart = now.groupBy("key", "loose").agg(F.min("component").alias("one"), F.max("component").alias("other"), led.alias("cb")).where("one < other").drop("one", "other")
-        still = materialise(now.join(apart, ["key", "loose"]), "open")
-        largest = still.agg(F.max("m")).first()[0]
-        if largest is None or low >= largest:
-            discard(still)
-            return components
-        if low < 0:
-            pairs = still.where("component <> cb").select(F.col("digest").alias("a"), F.col("leader").alias("b"), F.col("component").alias("ca"), "cb")
-        else:
-            leaders = still.where(F.col("at").between(low, high - 1)).select("key", "loose", F.col("digest").alias("b"), F.col("component").alias("c2"), F.col("n").alias("n2"), F.col("fp").alias("fp2"), F.col("at").alias("at2"))
-            later = (F.col("at") > F.col("at2")) | ((F.col("at") == F.col("at2")) & (F.col("digest") > F.col("b")))
-            near = ~F.col("loose") | (F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2"))) <= bits)
-            met = still.drop("cb").join(leaders, ["key", "loose"]).where(F.col("component") != F.col("c2")).where(later & near & size)
-            pairs = met.select(F.col("digest").alias("a"), "b", F.col("component").alias("ca"), F.col("c2").alias("cb"))
-        components = merge(components, pairs.distinct())
-        discard(still)
-        low, high = max(high, 0), max(high, 1) * BATCH
+        told = [F.count("*").alias("m"), F.sum("n").alias("total"), F.bit_xor("digest").alias("x"), F.sum(F.pmod(F.xxhash64("digest"), F.lit(1 << 40))).alias("s")]
+        led = F.max(F.when(F.col("digest") == F.col("leader"), F.col("component"))).alias("cb")
+        return now, now.groupBy("key", "loose").agg(F.min("component").alias("one"), F.max("component").alias("other"), led, *told).where("one < other")
+
+    components = materialise(members.select("digest", F.col("digest").alias("component")).distinct(), "joined")
+    first = members.where("digest <> leader").groupBy(F.col("digest").alias("a")).agg(F.min("leader").alias("b"))
+    components = met(components, first.select("a", "b", F.col("a").alias("ca"), F.col("b").alias("cb")))
+    now, apart = still_open(components)
+    led = now.join(bounded(apart.select("key", "loose", "cb")), ["key", "loose"]).where("component <> cb")
+    components = met(components, led.select(F.col("digest").alias("a"), F.col("leader").alias("b"), F.col("component").alias("ca"), "cb").distinct())
+    now, apart = still_open(components)
+    # buckets of equal members are one
+    once = apart.groupBy("m", "total", "x", "s").agg(F.min(F.struct("key", "loose")).alias("of"))
+    parts = F.greatest(F.ceil(F.col("m") / CHUNK_ROWS), F.ceil(F.col("total") / CHUNK_SHINGLES)).cast("int")
+    blocks = bounded(once.select("of.key", "of.loose", parts.alias("parts")))
+    return merge(components, block_links(now.join(blocks, ["key", "loose"]), sets, least).distinct())
 
 
 def shingle_components(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int = 5, least: float = 0.8, bits: int = 4) -> DataFrame:
@@ -146,11 +229,10 @@ def shingle_components(docs: DataFrame, id: str = "doc_id", text: str = "text",
     firsts = classes.groupBy("fp").agg(F.min("digest").alias("rep"))
     linked = connected_components(near_duplicate_links(firsts, bits)).withColumnsRenamed({"node": "rep"})
     by_print = firsts.join(linked, "rep", "left").select("fp", F.coalesce("component", "rep").alias("key"))
-    banded = classes.select("digest", "n", "fp", F.explode("bands").alias("key"), F.lit(False).alias("loose"))
-    keyed = banded.unionByName(classes.join(by_print, "fp").select("digest", "n", "fp", "key", F.lit(True).alias("loose")))
-    shared = keyed.groupBy("key", "loose").agg(F.count("*").alias("m"), F.min("digest").alias("leader")).where("m > 1")
-    at = (F.pmod(F.xxhash64("digest", "key"), F.lit(1 << 31)) / float(1 << 31) * F.col("m")).cast("long")
-    members = materialise(keyed.join(shared, ["key", "loose"]).withColumn("at", at), "members")
+    banded = classes.select("digest", "n", F.explode("bands").alias("key"), F.lit(False).alias("loose"))
+    keyed = banded.unionByName(classes.join(by_print, "fp").select("digest", "n", "key", F.lit(True).alias("loose")))
+    shared = keyed.groupBy("key", "loose").agg(F.count("*").alias("m"), F.min("digest").alias("leader")).where("m > 1").drop("m")
+    members = materialise(keyed.join(shared, ["key", "loose"]), "members")
 
     def gathered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         claim("shingles")
@@ -163,7 +245,7 @@ def shingle_components(docs: DataFrame, id: str = "doc_id", text: str = "text",
     wanted = classes.join(members.select("digest").distinct(), "digest").select("digest", F.col("rep").alias("doc_id"))
     texts = source.join(wanted, "doc_id").select("digest", "text")
     sets = materialise(texts.mapInPandas(gathered, "digest long, shingles array<long>").dropDuplicates(["digest"]), "sets")
-    found = _joined(members, sets, least, bits)
+    found = _joined(members, sets, least)
     least_id = found.join(classes.select("digest", "rep"), "digest").groupBy("component").agg(F.min("rep").alias("smallest"))
     ends = found.join(least_id, "component").select("digest", "smallest")
     named = materialise(classes.select("digest", "rep").join(ends, "digest", "left").select("digest", F.coalesce("smallest", "rep").alias("component_id")), "components")
