@@ -119,6 +119,46 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "scan.candidates", F.size("scan.findings").alias("secrets"), F.transform("scan.findings", lambda x: F.struct(x["start"].alias("start"), x["length"].alias("length"))).alias("spans"), F.sha2("scan.redacted", 256).alias("redacted_sha256"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from verdigris.llm import token_alignment
+
+    docs = _read(spark, sf_dir, "documents", "doc_id", "text")
+    return token_alignment.align_corpus(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op12_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from verdigris.llm import embedding_dedup
+
+    return embedding_dedup.near_duplicate_vectors(_read(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from verdigris.llm import source_divergence
+
+    return source_divergence.divergence(_read(spark, sf_dir, "documents", "text", "lang", "source"))
+
+
+DIVERGENCE_SQL = r"""
+with d as (select row_number() over () id, coalesce(text, '') text, coalesce(lang, '') lang, coalesce(source, '') source from documents),
+w as (select id, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) term from d),
+kept as (select lang, term from w group by lang, term having count(distinct id) >= 30),
+g as (select distinct lang, source from d),
+v as (select lang, count(*) v from kept group by lang),
+c as (select lang, source, term, count(*) n from w group by all),
+cells as (select g.lang, g.source, k.term, coalesce(c.n, 0)::hugeint n, v.v from g join kept k using (lang) join v using (lang) left join c using (lang, source, term)),
+p as (select *, 1 + (1000000000 * (n + 5)) // (sum(n) over (partition by lang, source) + 5 * v)::hugeint p from cells),
+l as (select lang, term, sum(n)::hugeint n, any_value(v) v from cells group by lang, term),
+q as (select lang, term, 1 + (1000000000 * (n + 5)) // (sum(n) over (partition by lang) + 5 * v)::hugeint q from l),
+pairs as (select a.lang, a.source, b.source item, sum(abs(a.p - b.p)) f from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all),
+found as (
+  select a.lang, a.source, 'pair' part, b.source item, coalesce(f, 0) f from g a join g b on a.lang = b.lang and a.source <> b.source
+  left join pairs x on x.lang = a.lang and x.source = a.source and x.item = b.source
+  union all select p.lang, p.source, 'term', p.term, p.p - q.q from p join q using (lang, term) where p.n > 0 and p.p > q.q)
+select lang, source, part, item, f::bigint "value", (row_number() over (partition by lang, source, part order by f desc, item))::int rank from found
+qualify part = 'pair' or rank <= 50
+"""
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -132,6 +172,9 @@ QUERIES = {
         op8_best_two_fit,
         op9_token_counts,
         op10_secret_scan,
+        op11_token_alignment,
+        op12_embedding_dedup,
+        op13_source_divergence,
     )
 }
-SQL: dict[str, str] = {"op3_url_filter": URL_SQL}
+SQL: dict[str, str] = {"op3_url_filter": URL_SQL, "op13_source_divergence": DIVERGENCE_SQL}
