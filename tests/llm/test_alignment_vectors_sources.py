@@ -151,8 +151,7 @@ def test_divergence_of_odd_rows(spark):
     rows += [(1, None, "xx", "only", 0), (2, "12", "yy", "p", 0), (3, "", "yy", "q", 0)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n int").repartition(3)
     db = duckdb.connect()
-    documents = docs.toPandas()  # noqa: F841
-    db.execute("create view documents as select text, lang, source from documents")
+    db.register("documents", docs.select("text", "lang", "source").toArrow())
     got = source_divergence.divergence(docs)
     found = db.execute(queries.DIVERGENCE_SQL)
     assert rows_of(got.columns, got.collect()) == rows_of([d[0] for d in found.description], found.fetchall())
