@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
@@ -336,3 +337,76 @@ def test_fit_by_type_pools_small_types(spark):
     got = {r["k"]: r for r in calibration.fit_by_type(df, "k", "z", "y").collect()}
     assert got["small"]["pooled"] and got["small"]["temperature"] == pytest.approx(max(1.0, calibration.best_temperature(z, np.array(y))), rel=1e-6)
     assert not got["big"]["pooled"] and got["big"]["temperature"] == pytest.approx(max(1.0, calibration.best_temperature(z[:100], np.array(y[:100]))), rel=1e-6)
+
+
+def test_fits_take_logits_of_several_lengths_and_skip_what_has_none(spark):
+    rng = np.random.default_rng(8)
+    rows = []
+    for i in range(900):
+        m = (2, 3, 5)[i % 3]
+        z = (rng.normal(size=m) * 4).tolist()
+        p = np.exp(np.array(z) / 2.5)
+        rows.append((("a", "b", None)[i % 2 + (i % 7 == 0)], z, int(rng.choice(m, p=p / p.sum()))))
+    odd = [("a", None, 1), ("a", [1.0, None], 0), ("a", [1.0, float("nan")], 0), ("a", [1.0, 2.0], 5), ("a", [1.0, 2.0], None), ("none", None, None)]
+    df = spark.createDataFrame(rows + odd, "k string, z array<double>, y int")
+    got = {r["k"]: r for r in calibration.fit_temperatures(df, "k", "z", "y").collect()}
+    assert set(got) == {"a", "b", None}
+    for k, r in got.items():
+        own = [(z, y) for key, z, y in rows if key == k]
+        loss = lambda t: np.mean([np.log(np.exp((np.array(z) - max(z)) / t).sum()) - (z[y] - max(z)) / t for z, y in own])  # noqa: B023, E731
+        assert r["n"] == len(own) and loss(r["temperature"]) <= min(loss(t) for t in np.exp(np.linspace(-1, 3, 400))) + 1e-9
+    one = calibration.fit_by_type(df, "k", "z", "y", least=10_000).collect()
+    assert len({r["temperature"] for r in one}) == 1 and all(r["pooled"] for r in one)
+
+
+def test_which_calibration_ships(spark):
+    df = spark.createDataFrame([("a", [2.0, 0.0], i % 2) for i in range(40)], "k string, z array<double>, y int")
+    fits = spark.createDataFrame([("a", 50.0)], "k string, temperature double")
+    bad = spark.createDataFrame([("a", 0.5)], "k string, temperature double")
+    ask = lambda per, authored: tuple(calibration.choose_calibration(df, per, authored, "k", "z", "y").first())[1:3]
+    assert ask(fits, 2.0) == (50.0, "per_type") and ask(bad, 2.0) == (2.0, "authored") and ask(bad, None) == (0.5, "per_type")
+    assert ask(None, 2.0) == (2.0, "authored") and ask(None, None) == (1.0, "none")
+
+
+def test_bootstraps_over_families_and_pairs(spark):
+    rng = np.random.default_rng(3)
+    fam = [f"f{i}" for i in rng.integers(0, 400, 4000)]
+    base = rng.normal(size=400)
+    ok = lambda lift: [bool(rng.random() < 1 / (1 + np.exp(-base[int(f[1:])] - lift))) for f in fam]
+    left = spark.createDataFrame([(i, f, o) for i, (f, o) in enumerate(zip(fam, ok(0.0)))], "id int, fam string, ok boolean")
+    right = spark.createDataFrame([(i, f, o) for i, (f, o) in enumerate(zip(fam, ok(0.5)))], "id int, fam string, ok boolean")
+    r = stats.paired_family_bootstrap(left, right, "id", "fam", "ok", 2000).first()
+    per = {}
+    for a, b in zip(left.collect(), right.collect()):
+        n, d = per.get(a["fam"], (0, 0))
+        per[a["fam"]] = (n + 1, d + b["ok"] - a["ok"])
+    units = np.array(list(per.values()))
+    drawn = [(lambda u: u[:, 1].sum() / u[:, 0].sum())(units[rng.integers(0, len(units), len(units))]) for _ in range(2000)]
+    assert r["delta"] == pytest.approx(units[:, 1].sum() / 4000) and r["families"] == len(per)
+    assert r["low"] == pytest.approx(np.quantile(drawn, 0.025), abs=0.006) and r["high"] == pytest.approx(np.quantile(drawn, 0.975), abs=0.006)
+    for wrong, words in ((right.where("id > 0"), "same ids"), (right.unionAll(right.limit(1)), "same ids"), (right.withColumn("fam", F.when(F.col("id") == 5, "f999").otherwise(F.col("fam"))), "matching families")):
+        with pytest.raises(Exception, match=words):
+            stats.paired_family_bootstrap(left, wrong, "id", "fam", "ok", 10).collect()
+
+    pairs = [(f"{v}{i}", f"p{i}", v, bool(rng.random() < q), "test") for i in range(300) for v, q in (("text_only", 0.8), ("irrelevant_image", 0.7))]
+    schema = "id string, pair string, variant string, ok boolean, part string"
+    df = spark.createDataFrame(pairs, schema)
+    r = stats.paired_irrelevance_delta(df, "id", "pair", "variant", "ok", "part", 500).first()
+    mean = lambda v: np.mean([o for _, _, x, o, _ in pairs if x == v])
+    assert r["irrelevant_image_delta"] == pytest.approx(mean("irrelevant_image") - mean("text_only")) and r["low"] < r["irrelevant_image_delta"] < r["high"] and r["pairs"] == 300
+    for extra, words in ((("x", "p0", "text_only", True, "test"), "text_only and one"), (("x", "p999", "text_only", True, "test"), "text_only and one"), (("x", None, "text_only", True, "test"), "text_only and one"), (("text_only1", "p1", "text_only", True, "test"), "text_only and one")):
+        with pytest.raises(Exception, match=words):
+            stats.paired_irrelevance_delta(spark.createDataFrame([*pairs, extra], schema), "id", "pair", "variant", "ok", "part", 10).collect()
+    for wrong in (df.withColumn("part", F.when(F.col("pair") != "p3", "test").otherwise("dev")), df.withColumn("ok", F.when(F.col("pair") != "p3", F.col("ok")))):
+        with pytest.raises(Exception, match="partition test"):
+            stats.paired_irrelevance_delta(wrong, "id", "pair", "variant", "ok", "part", 10).collect()
+    few = spark.createDataFrame([(i, i % 3, i % 2 == 0, i % 5 == 0) for i in range(30)], "i int, c int, a boolean, b boolean")
+    r = stats.paired_comparison(few, "c", "a", "b").first()
+    assert r["low"] is None and r["records"] == 30 and r["a_only_correct"] == 12 and r["b_only_correct"] == 3
+
+
+def test_weights_of_units_are_poisson(spark):
+    units = spark.range(3000).select(F.col("id").cast("string").alias("u"), F.lit(1).alias("n"), F.col("id").alias("v"))
+    got = stats.resampled(units, "u", ["n", "v"], 200, "x").toPandas()
+    assert len(got) == 200 and set(got.replicate) == set(range(1, 201)) and abs(got.n.mean() - 3000) < 12 and 40 < got.n.std() < 70
+    assert abs(stats.PASSES[0] / stats.MODULUS - np.exp(-1)) < 1e-9

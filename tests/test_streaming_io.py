@@ -44,6 +44,18 @@ def test_admission_quota_cap_waiting_and_restart(spark, tmp_path):
     assert len(queued(state)) == 6 and state.waiting().count() == 2
 
 
+@pytest.mark.parametrize("line", ['{"a": 1}{"a": 2}', '{"a": 1} junk', '{"a": 1}, {"a": 2}', '{"a": 1}], [{"a": 2}', '{"a": 1}} junk', '{"a": 1}, "y": {}', "[1]", "", "1", '{"a": NaN}', '{"a": 1'])
+def test_strict_lines_hold_one_object(spark, tmp_path, line):
+    (tmp_path / "x.jsonl").write_text('\t{"a": 1, "b": "}] {"} \r\n' + line + "\n" + '{"a": 3}\n')
+    with pytest.raises(Exception):
+        readers.read_jsonl(spark, f"{tmp_path}/x.jsonl", "a int, b string").collect()
+
+
+def test_strict_lines_with_white_space_around(spark, tmp_path):
+    (tmp_path / "x.jsonl").write_text('\t{"a": 1, "b": "}] {"} \r\n  {"a": 2, "c": [1]}\n')
+    assert [tuple(r) for r in readers.read_jsonl(spark, f"{tmp_path}/x.jsonl", "a int, b string").collect()] == [(1, "}] {"), (2, None)]
+
+
 def test_done_marks(spark, tmp_path):
     (tmp_path / "s1.done").write_text("")
     assert not all_done(spark, f"file://{tmp_path}", ["s1", "s2"])

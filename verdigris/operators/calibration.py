@@ -46,38 +46,44 @@ def fit_temperatures(df: DataFrame, key: str, logits: str, target: str, points:
     """key, n, temperature of least mean loss over all rows of each key; 1 is kept where the search finds nothing better.
 
     Each round sums the losses at evenly spaced log-temperatures and goes on between the neighbours of the best, which narrows a key's
-    range to 2 / ``points``. Equal rows are counted once with their weight; sums are partial before they move."""
+    range to 2 / ``points``. Equal rows are counted once with their weight; sums are partial before they move. A key's rows may have
+    logits of any number. Rows without logits, with a null or non-finite one, or whose target is null or no place among them take no
+    part; a null key is a key; a key without usable rows has none in the result."""
+    from verdigris.session import ship_package
     from verdigris.storage import discard, materialise
 
-    labelled = df.select(F.col(key).alias("key"), F.col(logits).alias("z"), F.col(target).cast("int").alias("y")).where("y is not null")
-    rows = materialise(labelled.groupBy("key", "z", "y").agg(F.count("*").alias("w")), "weighted")
-    counted = rows.groupBy("key").agg(F.sum("w").alias("n"))
-    kind = df.schema[key].dataType.simpleString()
+    ship_package(df.sparkSession)
+    z, y = F.transform(F.col(logits), lambda x: x.cast("double")), F.col(target).cast("int")
+    usable = (y >= 0) & (y < F.size(z)) & F.forall(z, lambda x: F.coalesce(x * 0 == 0, F.lit(False)))
+    labelled = df.where(usable).select(F.col(key).alias("key"), F.to_json(F.struct(F.col(key).alias("k"))).alias("at"), z.alias("z"), y.alias("y"))
+    rows = materialise(labelled.groupBy("key", "at", "z", "y").agg(F.count("*").alias("w")), "weighted")
+    counted = rows.groupBy("at").agg(F.first("key").alias("key"), F.sum("w").alias("n"))
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             sums = []
-            for k, group in batch.groupby("key", sort=False):
+            for (k, _), group in batch.groupby(["at", batch.z.map(len)], sort=False):
                 z, y, w = np.array(group.z.tolist(), dtype=np.float64), group.y.to_numpy(), group.w.to_numpy()
                 a, b = group.a.iloc[0], group.b.iloc[0]
                 # -1 is temperature 1, which wins ties
                 for i in range(-1, points + 1):
                     sums.append((k, i, _losses(z, y, a + (b - a) * i / points if i >= 0 else 0.0) @ w))
-            yield pd.DataFrame(sums, columns=["key", "i", "total"])
+            yield pd.DataFrame(sums, columns=["at", "i", "total"])
 
     at = lambda i: F.col("a") + (F.col("b") - F.col("a")) * i / points
-    bounds = counted.select("key", F.lit(LOW).alias("a"), F.lit(HIGH).alias("b"))
+    bounds = counted.select("at", F.lit(LOW).alias("a"), F.lit(HIGH).alias("b"))
     for _ in range(rounds):
-        losses = rows.join(bounds, "key").mapInPandas(partial, f"key {kind}, i int, total double").groupBy("key", "i").agg(F.sum("total").alias("total"))
-        best = losses.groupBy("key").agg(F.min_by("i", F.struct(F.when(F.col("i") >= 0, F.col("total")).otherwise(float("inf")), "i")).alias("i"), F.min_by("i", F.struct("total", "i")).alias("any"))
-        following = materialise(bounds.join(best, "key").select("key", at(F.greatest(F.col("i") - 1, F.lit(0))).alias("a"), at(F.least(F.col("i") + 1, F.lit(points))).alias("b"), F.when(F.col("any") < 0, 0.0).otherwise(at(F.col("i"))).alias("t")), "bounds")
+        losses = rows.select("at", "z", "y", "w").join(bounds.select("at", "a", "b"), "at").mapInPandas(partial, "at string, i int, total double").groupBy("at", "i").agg(F.sum("total").alias("total"))
+        best = losses.groupBy("at").agg(F.min_by("i", F.struct(F.when(F.col("i") >= 0, F.col("total")).otherwise(float("inf")), "i")).alias("i"), F.min_by("i", F.struct("total", "i")).alias("any"))
+        following = materialise(bounds.join(best, "at").select("at", at(F.greatest(F.col("i") - 1, F.lit(0))).alias("a"), at(F.least(F.col("i") + 1, F.lit(points))).alias("b"), F.when(F.col("any") < 0, 0.0).otherwise(at(F.col("i"))).alias("t")), "bounds")
         discard(bounds)
         bounds = following
-    return counted.join(bounds, "key").select(F.col("key").alias(key), "n", F.exp("t").alias("temperature"))
+    return counted.join(bounds, "at").select(F.col("key").alias(key), "n", F.exp("t").alias("temperature"))
 
 
 def fit_by_type(df: DataFrame, key: str, logits: str, target: str, least: int = 50, lowest: float = 1.0) -> DataFrame:
-    """key, n, pooled, temperature: each key's own fit where it has ``least`` labelled rows, else that of all rows together; never below ``lowest``."""
+    """key, n, pooled, temperature: each key's own fit where it has ``least`` usable rows, else that of all rows together, whose
+    logits may differ in number; never below ``lowest``."""
     own = fit_temperatures(df, key, logits, target)
     whole = fit_temperatures(df.withColumn("__all", F.lit("all")), "__all", logits, target).select(F.col("temperature").alias("__t"))
     pooled = F.col("n") < least
@@ -107,6 +113,23 @@ def apply_temperatures(df: DataFrame, table: DataFrame, key: str, logits: str) -
     return joined.withColumn("p", p).withColumn("pred", F.when(offset == 0, argmax(F.col(logits))).otherwise(argmax(F.col("p")))).drop("__t", "__o")
 
 
+def choose_calibration(public: DataFrame, per_type: DataFrame | None, authored: float | None, key: str, logits: str, target: str, rule: str = "closed_right_10", most_ece: float = 0.03) -> DataFrame:
+    """key, temperature, source, pooled_ece: which of two fits ships. ``per_type`` (key, temperature) does if, applied to the public rows, it
+    leaves their pooled ECE at ``most_ece`` or below; else the one temperature of the authored rows does, for every key; without
+    that, ``per_type`` again. The sources are ``per_type``, ``authored`` and ``none``: with neither fit, the public rows' keys at temperature 1."""
+    from verdigris.operators.metrics import expected_calibration_error
+
+    if per_type is None:
+        keys = public.select(key).distinct()
+        source, t = ("none", 1.0) if authored is None else ("authored", authored)
+        return keys.select(key, F.lit(t).cast("double").alias("temperature"), F.lit(source).alias("source"), F.lit(None).cast("double").alias("pooled_ece"))
+    shown = apply_temperatures(public, per_type, key, logits)
+    judged = expected_calibration_error(shown.select(F.array_max("p").alias("conf"), (F.col("pred") == F.col(target)).alias("correct")), [], "conf", "correct", rule)
+    kept = F.lit(True) if authored is None else F.coalesce(F.col("ece") <= most_ece, F.lit(False))
+    told = per_type.select(key, "temperature").join(F.broadcast(judged.select("ece")))  # one row
+    return told.select(key, F.when(kept, F.col("temperature")).otherwise(F.lit(authored)).alias("temperature"), F.when(kept, "per_type").otherwise("authored").alias("source"), F.col("ece").alias("pooled_ece"))
+
+
 def average_orders(df: DataFrame, id: str, log_probabilities: Column, realign: Column) -> DataFrame:
     """id, p: mean log-probability of each candidate over the rows of an id, each read back to candidate order, then softmax."""
     at = df.select(id, F.posexplode(F.transform(realign, lambda i: F.get(log_probabilities, i))).alias("candidate", "lp"))

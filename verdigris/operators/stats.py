@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from statistics import NormalDist
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 FEWEST_CLUSTERS = 10
@@ -19,32 +22,115 @@ def cluster_accuracy(df: DataFrame, cluster: str, correct: str) -> DataFrame:
     return c.agg(F.count("*").alias("clusters"), F.sum("n").alias("n"), (F.sum("k") / F.sum("n")).alias("accuracy"))
 
 
-def _numbered(clusters: DataFrame) -> DataFrame:
-    """Clusters numbered from 0 in the order of a hash, in two levels: hashed ranges, then rows of a range."""
-    h = clusters.withColumn("h", F.sha2(F.col("cluster").cast("string"), 256)).withColumn("r", F.substring("h", 1, 2))
-    sizes = h.groupBy("r").agg(F.count("*").alias("m"))
-    before = sizes.select("r", F.coalesce(F.sum("m").over(Window.orderBy("r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("b"))  # 256 rows
-    return h.join(F.broadcast(before), "r").withColumn("i", F.col("b") + F.row_number().over(Window.partitionBy("r").orderBy("h", "cluster")) - 1).drop("h", "r", "b")
+#: The modulus of the hash from which a unit's weights come, and where a Poisson variable of mean 1 passes 1, 2, 3, ...
+#: when that hash, uniform below the modulus, is read as a probability. Beyond 12 lies less than one step of the hash.
+MODULUS = 2**31 - 1
+PASSES = [math.ceil(MODULUS * math.exp(-1) * sum(1 / math.factorial(j) for j in range(k))) for k in range(1, 13)]
+#: Units whose weights are drawn at once in a task.
+UNIT_ROWS = 256
 
 
-def draw(replicate: Column, at: Column, seed: str, n: Column) -> Column:
-    """A cluster number below n for a draw of a replicate, from SHA-256."""
-    return F.pmod(F.conv(F.substring(F.sha2(F.concat_ws(":", F.lit(seed), replicate.cast("string"), at.cast("string")), 256), 1, 12), 16, 10).cast("bigint"), n)
+def resampled(units: DataFrame, unit: str, sums: list[str], replicates: int, seed: str) -> DataFrame:
+    """replicate (from 1) and, by name, the weighted sums of ``units``, a table of one row a unit with columns to be summed.
+
+    A unit's weight in a replicate is a Poisson variable of mean 1, so that units are drawn independently of each other and of
+    where they lie. It is read off ``(a * replicate + b) mod MODULUS``, with a and b from the unit's SHA-256: the weights
+    of two units are independent, those of two replicates pairwise. A task adds up one array of all replicates for each sum and sends
+    nothing else, so neither rows nor the shuffle grow with units times replicates. Null sums count as 0; a null unit is a unit."""
+    digest = F.sha2(F.concat_ws(":", F.lit(seed), F.coalesce(F.col(unit).cast("string"), F.lit(""))), 256)
+    part = lambda i: F.conv(F.substring("__h", i, 8), 16, 10).cast("long") % F.lit(MODULUS)
+    hashed = units.withColumn("__h", digest).select(part(1).alias("a"), part(9).alias("b"), *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(f"s{i}") for i, c in enumerate(sums)])
+
+    def weighed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, at = np.zeros((len(sums), replicates)), np.arange(1, replicates + 1)
+        for batch in batches:
+            a, b, *values = (c.to_numpy() for c in batch.columns)
+            for i in range(0, len(a), UNIT_ROWS):
+                own = slice(i, i + UNIT_ROWS)
+                weight = np.searchsorted(PASSES, (a[own, None] * at + b[own, None]) % MODULUS, side="right")
+                total += np.array([v[own] for v in values]) @ weight
+        yield pa.RecordBatch.from_arrays([pa.array([x]) for x in total], [f"s{i}" for i in range(len(sums))])
+
+    arrays = hashed.mapInArrow(weighed, ", ".join(f"s{i} array<double>" for i in range(len(sums))))
+    zipped = arrays.select(F.posexplode(F.arrays_zip(*arrays.columns)).alias("i", "x"))
+    return zipped.groupBy((F.col("i") + 1).alias("replicate")).agg(*[F.sum(f"x.s{i}").alias(c) for i, c in enumerate(sums)])
 
 
 def cluster_bootstrap(df: DataFrame, cluster: str, correct: str, replicates: int = 4000, seed: str = "bootstrap") -> DataFrame:
-    """clusters, accuracy, low, high: percentile interval of the accuracy over as many clusters as there are, drawn with
-    replacement. Fewer than ten clusters give no interval. Draws come from hashes, so every run has the same."""
-    clusters = _numbered(cluster_sums(df, cluster, correct)).select("i", "n", "k")
+    """clusters, accuracy, low, high: percentile interval of the accuracy over resampled clusters. Fewer than ten clusters
+    give no interval. Draws come from hashes, so every run has the same."""
+    clusters = cluster_sums(df, cluster, correct)
     size = clusters.agg(F.count("*").alias("clusters"), (F.sum("k") / F.sum("n")).alias("accuracy"))
-    draws = clusters.select(F.col("i").alias("at")).join(F.broadcast(size.select("clusters"))).select("at", "clusters", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
-    drawn = draws.select("replicate", draw(F.col("replicate"), F.col("at"), seed, F.col("clusters")).alias("i")).groupBy("replicate", "i").agg(F.count("*").alias("times"))
-    means = drawn.join(clusters, "i").groupBy("replicate").agg((F.sum(F.col("k") * F.col("times")) / F.sum(F.col("n") * F.col("times"))).alias("mean"))
+    means = resampled(clusters, "cluster", ["n", "k"], replicates, seed).select(F.try_divide("k", "n").alias("mean"))
     bounds = means.agg(F.percentile("mean", 0.025).alias("low"), F.percentile("mean", 0.975).alias("high"))
     enough = F.col("clusters") >= FEWEST_CLUSTERS
     return size.join(F.broadcast(bounds)).select("clusters", "accuracy", F.when(enough, F.col("low")).alias("low"), F.when(enough, F.col("high")).alias("high"))
 
 
+def _refused(out: Column, *cases: tuple[Column, str]) -> Column:
+    """``out``, unless one of the conditions holds, which then fails the query with its words."""
+    for condition, words in cases:
+        out = F.when(condition, F.raise_error(F.lit(words)).cast("double")).otherwise(out)
+    return out
+
+
+def _interval(means: DataFrame, column: str) -> DataFrame:
+    """low, high: the replicates at 2.5 and 97.5 % of their order, the lower of two neighbours."""
+    ordered = F.sort_array(F.collect_list(column))  # a number a replicate
+    at = lambda q: F.get(ordered, F.least(F.size(ordered) - 1, F.floor(F.lit(q) * F.size(ordered))).cast("int"))
+    return means.agg(at(0.025).alias("low"), at(0.975).alias("high"))
+
+
+def paired_family_bootstrap(left: DataFrame, right: DataFrame, id: str, family: str, correct: str, replicates: int = 10_000, seed: str = "families") -> DataFrame:
+    """delta (accuracy of ``right`` less that of ``left``), low, high, families: the interval resamples whole families.
+
+    Both must hold the same ids once each, and an id the same family in both; anything else fails the query when it runs."""
+    side = lambda df, n: df.select(F.col(id).alias("id"), F.col(family).cast("string").alias(f"f{n}"), F.col(correct).cast("double").alias(f"c{n}"), F.lit(1).alias(f"there{n}"))
+    both = side(left, 0).join(side(right, 1), "id", "full")
+    per = both.groupBy("f0").agg(
+        F.count("*").alias("n"), F.sum(F.col("c1") - F.col("c0")).alias("d"), F.count_distinct("id").alias("ids"),
+        F.count_if(F.col("there0").isNull() | F.col("there1").isNull()).alias("alone"), F.count_if(~F.col("f0").eqNullSafe(F.col("f1"))).alias("moved"),
+    )
+    told = per.agg((F.sum("d") / F.sum("n")).alias("delta"), F.count("*").alias("families"), F.sum("alone").alias("alone"), F.sum("moved").alias("moved"), F.sum(F.col("n") - F.col("ids")).alias("twice"))
+    bounds = _interval(resampled(per, "f0", ["n", "d"], replicates, seed).select(F.try_divide("d", "n").alias("m")), "m")
+    checked = _refused(F.col("delta"), (F.col("moved") > 0, "paired rows must have matching families"), ((F.col("alone") > 0) | (F.col("twice") > 0), "a paired bootstrap needs the same ids once each on both sides"))
+    return told.join(F.broadcast(bounds)).select(checked.alias("delta"), "low", "high", "families")
+
+
+def paired_irrelevance_delta(df: DataFrame, id: str, pair: str, variant: str, correct: str, partition: str, replicates: int = 10_000, seed: str = "pairs") -> DataFrame:
+    """irrelevant_image_delta, low, high, pairs, text_only_accuracy, irrelevant_image_accuracy over complete pairs of controls.
+
+    Each pair has one row of variant ``text_only`` and one of ``irrelevant_image``, all ids differ, all rows are of partition ``test`` and
+    say whether they are correct; anything else fails the query when it runs."""
+    is_ = lambda v: F.col(variant) == v
+    right = F.col(correct).cast("double")
+    per = df.groupBy(F.col(pair).alias("pair")).agg(
+        F.count("*").alias("rows"), F.count_if(is_("text_only")).alias("t"), F.count_if(is_("irrelevant_image")).alias("i"), F.count_if(F.col(correct).isNull() | (~F.col(partition).eqNullSafe(F.lit("test")))).alias("bad"),
+        F.sum(F.when(is_("text_only"), right)).alias("text"), F.sum(F.when(is_("irrelevant_image"), right)).alias("image"),
+    ).withColumns({"n": F.lit(1), "d": F.col("image") - F.col("text")})
+    told = per.agg(
+        F.avg("d").alias("delta"), F.count("*").alias("pairs"), F.avg("text").alias("text"), F.avg("image").alias("image"), F.sum("bad").alias("bad"),
+        F.count_if((F.col("t") != 1) | (F.col("i") != 1) | (F.col("rows") != 2) | F.coalesce(F.col("pair").cast("string") == "", F.lit(True))).alias("odd"),
+    )
+    ids = df.groupBy(id).agg(F.count("*").alias("m")).agg(F.coalesce(F.max("m"), F.lit(0)).alias("most"))
+    bounds = _interval(resampled(per, "pair", ["n", "d"], replicates, seed).select(F.try_divide("d", "n").alias("m")), "m")
+    checked = _refused(F.col("delta"), (F.col("bad") > 0, "every control row is of partition test and says whether it is correct"), (F.col("odd") > 0, "every pair needs one text_only and one irrelevant_image row"), (F.col("most") > 1, "control ids must differ"))
+    return told.join(F.broadcast(bounds)).join(F.broadcast(ids)).select(checked.alias("irrelevant_image_delta"), "low", "high", "pairs", F.col("text").alias("text_only_accuracy"), F.col("image").alias("irrelevant_image_accuracy"))
+
+
+def paired_comparison(df: DataFrame, cluster: str, a: str, b: str, exact_most: int = 16, samples: int = 10_000, replicates: int = 4000, seed: str = "paired") -> DataFrame:
+    """difference (accuracy of a less b), records, clusters, discordant_clusters, a_only_correct, b_only_correct, p_value, low, high:
+    ``paired_signflip`` with the counts of one-sided rows and an interval over resampled clusters, null below ten of them."""
+    x, y = F.col(a).cast("boolean"), F.col(b).cast("boolean")
+    per = df.groupBy(F.col(cluster).alias("cluster")).agg(F.count("*").alias("n"), F.sum(x.cast("int") - y.cast("int")).alias("d"), F.count_if(x & ~y).alias("a"), F.count_if(~x & y).alias("b"))
+    counts = per.agg(F.sum("n").alias("records"), F.sum("a").alias("a_only_correct"), F.sum("b").alias("b_only_correct"))
+    bounds = resampled(per, "cluster", ["n", "d"], replicates, seed).select(F.try_divide("d", "n").alias("m")).agg(F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"))
+    test = paired_signflip(df, cluster, a, b, exact_most, samples)
+    enough = F.col("clusters") >= FEWEST_CLUSTERS
+    joined = test.join(F.broadcast(counts)).join(F.broadcast(bounds))
+    return joined.select("difference", "records", "clusters", F.col("discordant").alias("discordant_clusters"), "a_only_correct", "b_only_correct", "p_value", F.when(enough, F.col("low")).alias("low"), F.when(enough, F.col("high")).alias("high"))
+
+
 def paired_signflip(df: DataFrame, cluster: str, a: str, b: str, exact_most: int = 16, samples: int = 10_000, seed: str = "signflip") -> DataFrame:
     """clusters, discordant, difference, p_value of the paired test that flips the sign of each cluster's difference.
 

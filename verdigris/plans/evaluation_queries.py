@@ -37,6 +37,14 @@ def preds_sql(at: int = 0, name: str = "preds") -> str:
   (vec_id % 3)::int track, (vec_id % 50)::int "cluster" from {name}_p)"""
 
 
+def weights_sql(units: str, unit: str, seed: str, replicates: int = 1000, name: str = "w") -> str:
+    """``units`` with r and w, the weight of a unit in each replicate."""
+    passes = " + ".join(f"(u >= {x})::int" for x in stats.PASSES)
+    return f"""{name}_h as (select *, sha256('{seed}:' || {unit}) h from {units}),
+{name}_u as (select *, (('0x' || h[1:8])::bigint % {stats.MODULUS} * r + ('0x' || h[9:16])::bigint % {stats.MODULUS}) % {stats.MODULUS} u from {name}_h, range(1, {replicates + 1}) x(r)),
+{name} as (select *, {passes} w from {name}_u)"""
+
+
 P = "with " + preds_sql()
 AB = "with " + preds_sql(0, "a") + "," + preds_sql(10, "b")
 
@@ -176,9 +184,60 @@ def temperature_grid(spark, sf_dir):
     return r6(calibration.grid_temperatures(predictions(spark, sf_dir), "track", "z", "gold", GRID, OFFSETS), "loss")
 
 
-@query()
+def fit_sql(rows: str, name: str, key: str = "key", rounds: int = 7, points: int = 32) -> str:
+    """CTEs that end in ``name`` (key, n, temperature): the rounds of ``fit_temperatures`` over ``rows`` (key, z, y)."""
+    out = f"{name}_0 as (select {key} k, {calibration.LOW} a, {calibration.HIGH} b, 0.0::double t from {rows} group by 1)"
+    for r in range(1, rounds + 1):
+        at = lambda i: f"(a + (b - a) * {i} / {points})"
+        out += f""",
+{name}_p{r} as (select k, a, b, i, exp(case when i < 0 then 0 else {at("i")} end) e, z, y from {rows} join {name}_{r - 1} on k = {key}, range(-1, {points + 1}) g(i)),
+{name}_l{r} as (select k, a, b, i, sum(-ln(greatest(exp((z[y + 1] - list_max(z)) / e) / list_sum(list_transform(z, lambda v: exp((v - list_max(z)) / e))), 1e-300))) s from {name}_p{r} group by all),
+{name}_m{r} as (select k, a, b, arg_min(i, (case when i < 0 then 'inf'::double else s end, i)) i, arg_min(i, (s, i)) o from {name}_l{r} group by all),
+{name}_{r} as (select k, {at("greatest(i - 1, 0)")} a, {at(f"least(i + 1, {points})")} b, case when o < 0 then 0 else {at("i")} end t from {name}_m{r})"""
+    return out + f",\n{name} as (select k, count(*) n, exp(any_value(t)) temperature from {rows} join {name}_{rounds} on k = {key} group by k)"
+
+
+def r4(df: DataFrame) -> DataFrame:
+    return df.withColumn("temperature", F.round("temperature", 4))
+
+
+@query(P + ", rows_ as (select track \"key\", z, gold y from preds), " + fit_sql("rows_", "f") + " select k track, n, round(temperature, 4) temperature from f")
 def temperature_golden(spark, sf_dir):
-    return r6(calibration.fit_temperatures(predictions(spark, sf_dir), "track", "z", "gold"), "temperature")
+    return r4(calibration.fit_temperatures(predictions(spark, sf_dir), "track", "z", "gold"))
+
+
+#: Decisions of 3, 5 and 10 outcomes; a rare kind takes every 97th.
+KIND_SQL = """, typed as (select *, case when vec_id % 97 = 0 then 'rare' else ['noul', 'choice', 'score'][vec_id % 3 + 1] end kind, [3, 5, 10][vec_id % 3 + 1] m from preds),
+rows_ as (select vec_id, kind "key", list_transform(z[1:m], lambda v: v * 0.6) z, (case when vec_id % 4 < 2 then list_position(z[1:m], list_max(z[1:m])) - 1 else gold % m end)::int y from typed),
+all_ as (select 'all' "key", z, y from rows_), """
+BY_TYPE_SQL = P + KIND_SQL + fit_sql("rows_", "f") + ", " + fit_sql("all_", "w") + ", fits as (select f.k kind, f.n, f.n < 50 pooled, greatest(1.0, case when f.n < 50 then w.temperature else f.temperature end) temperature from f, w)"
+
+
+def typed_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """vec_id, kind, z, y: decisions whose number of outcomes depends on their kind."""
+    kind = F.when(F.col("vec_id") % 97 == 0, "rare").otherwise(F.get(F.array(*map(F.lit, ("noul", "choice", "score"))), (F.col("vec_id") % 3).cast("int")))
+    m = F.get(F.array(*map(F.lit, (3, 5, 10))), (F.col("vec_id") % 3).cast("int"))
+    z = F.transform(F.slice("z", F.lit(1), m), lambda v: v * 0.6)
+    y = F.when(F.col("vec_id") % 4 < 2, D.argmax(z)).otherwise(F.col("gold") % m).cast("int")
+    return predictions(spark, sf_dir).select("vec_id", kind.alias("kind"), z.alias("z"), y.alias("y"))
+
+
+@query(BY_TYPE_SQL + " select kind, n, pooled, round(temperature, 4) temperature from fits")
+def temperature_by_type(spark, sf_dir):
+    return r4(calibration.fit_by_type(typed_decisions(spark, sf_dir), "kind", "z", "y"))
+
+
+@query(
+    BY_TYPE_SQL
+    + """, e as (select z, y, list_transform(z, lambda v: exp((v - list_max(z)) / temperature)) x from rows_ join fits on kind = "key" where vec_id % 2 = 1),
+c as (select 1 / list_sum(x) conf, list_position(z, list_max(z)) - 1 = y as correct from e),
+b as (select greatest(ceil(conf * 10) - 1, 0) b, count(*) m, avg(correct::int) a, avg(conf) c from c group by 1), g as (select sum(m * abs(a - c)) / sum(m) ece from b)
+select kind, round(case when ece <= 0.03 then temperature else 1.5 end, 4) temperature, case when ece <= 0.03 then 'per_type' else 'authored' end source, round(ece, 4) pooled_ece from fits, g"""
+)
+def calibration_choice(spark, sf_dir):
+    rows = typed_decisions(spark, sf_dir)
+    fits = calibration.fit_by_type(rows, "kind", "z", "y")
+    return r4(calibration.choose_calibration(rows.where("vec_id % 2 = 1"), fits, 1.5, "kind", "z", "y")).withColumn("pooled_ece", F.round("pooled_ece", 4))
 
 
 @query(
@@ -206,10 +265,9 @@ def cluster_accuracy(spark, sf_dir):
 
 @query(
     P
-    + """, c as (select "cluster", count(*) n, sum(correct::int) k from preds group by 1),
-i as (select n, k, row_number() over (order by sha256("cluster"::varchar), "cluster") - 1 i from c), t as (select count(*) m, sum(k) / sum(n) a from c),
-d as (select r, ('0x' || sha256('bootstrap:' || r || ':' || i)[1:12])::bigint % m i from i, t, range(1000) x(r)),
-b as (select r, sum(k) / sum(n) v from d join i using (i) group by r)
+    + """, c as (select "cluster", count(*) n, sum(correct::int) k from preds group by 1), t as (select count(*) m, sum(k) / sum(n) a from c), """
+    + weights_sql("c", '"cluster"', "bootstrap")
+    + """, b as (select r, sum(k * w) / sum(n * w) v from w group by r)
 select m clusters, round(a, 6) accuracy, round(quantile_cont(v, 0.025), 6) low, round(quantile_cont(v, 0.975), 6) high from t, b group by all"""
 )
 def cluster_bootstrap(spark, sf_dir):
@@ -229,6 +287,50 @@ def paired_signflip_exact(spark, sf_dir):
     return r6(stats.paired_signflip(both, "c", "a", "b"), "difference", "p_value")
 
 
+@query(
+    AB
+    + """, c as (select a."cluster"::varchar f, count(*) n, sum(b.correct::int - a.correct::int) d from a join b using (vec_id) group by 1), """
+    + weights_sql("c", "f", "families")
+    + """, m as (select list_sort(list(v)) l from (select sum(d * w) / sum(n * w) v from w group by r))
+select round((select sum(d) / sum(n) from c), 6) delta, round(l[1 + floor(0.025 * len(l))::int], 6) low, round(l[1 + floor(0.975 * len(l))::int], 6) high, (select count(*) from c) families from m"""
+)
+def paired_family_bootstrap(spark, sf_dir):
+    left, right = predictions(spark, sf_dir), predictions(spark, sf_dir, 10)
+    return r6(stats.paired_family_bootstrap(left, right, "vec_id", "cluster", "correct", 1000), "delta", "low", "high")
+
+
+@query(
+    P
+    + """, c as (select 'p' || (vec_id // 2) pair, 1 n, sum(case when vec_id % 2 = 1 then correct::int else -correct::int end) d, sum(case when vec_id % 2 = 0 then correct::int end) t,
+  sum(case when vec_id % 2 = 1 then correct::int end) i from preds group by 1 having count(*) = 2), """
+    + weights_sql("c", "pair", "pairs", 200)
+    + """, m as (select list_sort(list(v)) l from (select sum(d * w) / sum(n * w) v from w group by r))
+select round((select avg(d) from c), 6) irrelevant_image_delta, round(l[1 + floor(0.025 * len(l))::int], 6) low, round(l[1 + floor(0.975 * len(l))::int], 6) high, (select count(*) from c) pairs,
+  round((select avg(t) from c), 6) text_only_accuracy, round((select avg(i) from c), 6) irrelevant_image_accuracy from m"""
+)
+def paired_irrelevance_delta(spark, sf_dir):
+    rows = predictions(spark, sf_dir).select("vec_id", "correct", F.expr("concat('p', vec_id div 2)").alias("pair"), F.expr("if(vec_id % 2 = 0, 'text_only', 'irrelevant_image')").alias("variant"), F.lit("test").alias("partition"))
+    whole = rows.join(rows.groupBy("pair").agg(F.count("*").alias("m")).where("m = 2").select("pair"), "pair", "left_semi")
+    return r6(stats.paired_irrelevance_delta(whole, "vec_id", "pair", "variant", "correct", "partition", 200), "irrelevant_image_delta", "low", "high", "text_only_accuracy", "irrelevant_image_accuracy")
+
+
+@query(
+    AB
+    + """, d as (select a.vec_id % 14 c, count(*) n, sum(a.correct::int - b.correct::int) d, count(*) filter (a.correct and not b.correct) x, count(*) filter (b.correct and not a.correct) y from a join b using (vec_id) group by 1),
+m as (select d, row_number() over (order by c) - 1 bit from d where d <> 0), o as (select abs(sum(d)) obs from d),
+f as (select s, abs(sum(case when (s >> bit) & 1 = 1 then -d else d end)) t from m, range(1 << (select count(*) from m)) r(s) group by s), """
+    + weights_sql("d", "c", "paired")
+    + """, b2 as (select r, sum(d * w) / sum(n * w) v from w group by r)
+select (select round(sum(d) / sum(n), 6) from d) difference, (select sum(n)::bigint from d) records, (select count(*) from d) clusters, (select count(*) from m) discordant_clusters,
+  (select sum(x)::bigint from d) a_only_correct, (select sum(y)::bigint from d) b_only_correct, coalesce((select round(avg((t >= obs - 1e-12)::int), 6) from f, o), 1.0) p_value,
+  round(quantile_cont(v, 0.025), 6) low, round(quantile_cont(v, 0.975), 6) high from b2"""
+)
+def paired_comparison(spark, sf_dir):
+    b = predictions(spark, sf_dir, 10).select("vec_id", F.col("correct").alias("b"))
+    both = predictions(spark, sf_dir).select("vec_id", F.col("correct").alias("a"), (F.col("vec_id") % 14).alias("c")).join(b, "vec_id")
+    return r6(stats.paired_comparison(both, "c", "a", "b", replicates=1000), "difference", "p_value", "low", "high")
+
+
 @query(
     P
     + """, c as (select "cluster", count(*) n, sum(correct::int) s, sum(correct::int) q from preds group by 1),

@@ -11,15 +11,18 @@ from pyspark.sql.types import StructType
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: StructType | str, strict: bool = True) -> DataFrame:
-    """JSON lines of a given schema. Strict: a blank line, a line that is no object (a list of objects too), or one with NaN or infinity
-    fails the read. Otherwise such lines come out with their text in ``_corrupt_record``, and blank lines are skipped."""
+    """JSON lines of a given schema. Strict: a blank line, a line that is no object (a list of objects too), one with more than an
+    object, or one with NaN or infinity fails the read; white space around the object is fine. Otherwise such lines come out with their text in ``_corrupt_record``, and blank lines are skipped."""
     if strict:
-        kind = schema if isinstance(schema, str) else schema.simpleString()
+        fields = schema if isinstance(schema, StructType) else spark.createDataFrame([], schema).schema
         lines = spark.read.text(path)
-        bad = F.raise_error(F.concat(F.lit("no JSON object: "), F.substring("value", 1, 80))).cast("string")
-        whole = F.when(F.trim("value").startswith("{"), F.col("value")).otherwise(bad)
-        parsed = F.from_json(whole, kind if kind.startswith("struct<") else spark.createDataFrame([], kind).schema.simpleString(), {"mode": "FAILFAST", "allowNonNumericNumbers": "false"})
-        return lines.select(parsed.alias("r")).select("r.*")
+        refused = F.raise_error(F.concat(F.lit("no JSON object: "), F.substring("value", 1, 80)))
+        options = {"mode": "FAILFAST", "allowNonNumericNumbers": "false"}
+        # the line as the only element of a list and as the only value of an object: whatever follows its object breaks one of them
+        listed = F.from_json(F.concat(F.lit("["), "value", F.lit("]")), f"array<{fields.simpleString()}>", options)
+        only = F.from_json(F.concat(F.lit('{"x":'), "value", F.lit("}")), "struct<x:string>", options)["x"].isNotNull()
+        whole = F.when(F.col("value").rlike(r"^[ \t\r]*\{") & only & (F.size(listed) == 1), F.get(listed, F.lit(0))).otherwise(refused.cast(fields))
+        return lines.select(whole.alias("r")).select("r.*")
     kind = schema if isinstance(schema, StructType) else spark.createDataFrame([], schema).schema
     if "_corrupt_record" not in kind.names:
         kind = StructType([*kind.fields]).add("_corrupt_record", "string")
