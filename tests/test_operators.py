@@ -394,7 +394,7 @@ def test_bootstraps_over_families_and_pairs(spark):
     r = stats.paired_irrelevance_delta(df, "id", "pair", "variant", "ok", "part", 500).first()
     mean = lambda v: np.mean([o for _, _, x, o, _ in pairs if x == v])
     assert r["irrelevant_image_delta"] == pytest.approx(mean("irrelevant_image") - mean("text_only")) and r["low"] < r["irrelevant_image_delta"] < r["high"] and r["pairs"] == 300
-    for extra, words in ((("x", "p0", "text_only", True, "test"), "text_only and one"), (("x", "p999", "text_only", True, "test"), "text_only and one"), (("x", None, "text_only", True, "test"), "text_only and one"), (("text_only1", "p1", "text_only", True, "test"), "text_only and one")):
+    for extra, words in ((("x", "p0", "text_only", True, "test"), "text_only and one"), (("x", "p999", "text_only", True, "test"), "text_only and one"), (("x", None, "text_only", True, "test"), "text_only and one"), (("text_only1", "p1", "text_only", True, "test"), "ids must differ")):
         with pytest.raises(Exception, match=words):
             stats.paired_irrelevance_delta(spark.createDataFrame([*pairs, extra], schema), "id", "pair", "variant", "ok", "part", 10).collect()
     for wrong in (df.withColumn("part", F.when(F.col("pair") != "p3", "test").otherwise("dev")), df.withColumn("ok", F.when(F.col("pair") != "p3", F.col("ok")))):
