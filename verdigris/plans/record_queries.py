@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from verdigris.functions import rubrics as B, text as X
+from verdigris.functions import lenient, rubrics as B, text as X
 from verdigris.functions.hashing import stable_order
 from verdigris.operators import assembly, records
 from verdigris.plans.evaluation_queries import ABC, predictions, preds_sql
@@ -312,3 +312,28 @@ def bundle_check(spark, sf_dir):
 def evaluation_summary(spark, sf_dir):
     rows = [predictions(spark, sf_dir, at).select(F.lit(m).alias("model"), "track", "family", "correct") for m, at in (("a", 0), ("b", 10))]
     return assembly.evaluation_summary(rows[0].unionAll(rows[1]), "model", "track", "family", "correct").withColumn("accuracy", F.round("accuracy", 6))
+
+
+LENIENT_SQL = """with s as (select p_partkey, p_name n, p_brand b, p_size z, p_partkey % 5 k from part)
+select p_partkey, case k when 1 then 'noul' when 2 then 'choice' else 'score' end kind,
+  case k when 0 then n || '=' || n || ';' || b || '=' || b when 1 then 'a=' || n || ';b=' || b when 2 then n || '=' || b || ';' || b || '=' || b when 3 then z || '=' || z || ';true=true' end options,
+  case k when 0 then '1=level 1;' || z || '=level ' || z when 1 then '3=low;7=high' when 2 then '4=' || b || ';1=t' when 3 then '2=level 2;3=level 3' end levels,
+  case k when 0 then z::varchar when 1 then 'true' when 2 then n when 3 then 'soon' end intended, case k when 0 then 'see document' when 1 then b || ' 2' else n end justification from s"""
+
+
+@query(LENIENT_SQL)
+def lenient_shapes(spark, sf_dir):
+    part = table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("n"), F.col("p_brand").alias("b"), F.col("p_size").cast("string").alias("z"))
+    shapes = [
+        '{"type": "score", "options": ["{n}", " {b} "], "levels": [1, "{z}", true, null], "intended": " {z} "}',
+        '{"type": "noul", "options": {"b": "{b}", "a": "{n}"}, "levels": {"7": "high", "3": "low"}, "intended": "Yes", "justification": ["{b}", 2]}',
+        '{"type": "choice", "options": [{"label": "{n}", "meaning": "{b}"}, {"text": "", "name": "{b}"}], "levels": [{"score": "4", "label": "{b}"}, {"value": "x", "text": "t"}], "intended": {"option": "{n}"}, "justification": "{n}"}',
+        '{"type": "score", "options": [{z}, true], "levels": [false, "2", 3.7, "high"], "intended": "soon", "justification": "{n}"}',
+        '{"type": "score", "options": 3, "justification": "{n}"}',
+    ]
+    shaped = F.get(F.array(*map(F.lit, shapes)), (F.col("p_partkey") % 5).cast("int"))
+    for c in "nbz":
+        shaped = F.replace(shaped, F.lit("{" + c + "}"), F.col(c))
+    told = lenient.with_questions(part.select("p_partkey", F.concat(F.lit('{"questions": ['), shaped, F.lit("]}")).alias("t")), "t").select("p_partkey", F.get("questions", F.lit(0)).alias("q"))
+    listed = lambda c, v: F.array_join(F.transform(c, lambda x: F.concat(x[v].cast("string"), F.lit("="), x["description"])), ";")
+    return told.select("p_partkey", F.col("q.type").alias("kind"), listed(F.col("q.options"), "text").alias("options"), listed(F.col("q.levels"), "value").alias("levels"), "q.intended", "q.justification")
