@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from verdigris.functions import lenient, rubrics as B, text as X
 from verdigris.functions.hashing import stable_order
-from verdigris.operators import assembly, records
+from verdigris.operators import assembly, records, validation
 from verdigris.plans.evaluation_queries import ABC, predictions, preds_sql
 from verdigris.plans.registry import query, table
 
@@ -337,3 +337,35 @@ def lenient_shapes(spark, sf_dir):
     told = lenient.with_questions(part.select("p_partkey", F.concat(F.lit('{"questions": ['), shaped, F.lit("]}")).alias("t")), "t").select("p_partkey", F.get("questions", F.lit(0)).alias("q"))
     listed = lambda c, v: F.array_join(F.transform(c, lambda x: F.concat(x[v].cast("string"), F.lit("="), x["description"])), ";")
     return told.select("p_partkey", F.col("q.type").alias("kind"), listed(F.col("q.options"), "text").alias("options"), listed(F.col("q.levels"), "value").alias("levels"), "q.intended", "q.justification")
+
+
+@query(
+    """select p_partkey, case p_partkey % 10 when 1 then ['gold_domain'] when 2 then ['text_has_image'] when 3 then ['image_missing'] when 4 then ['request_id', 'flagged'] when 5 then ['two_reviews']
+when 6 then ['json'] when 7 then ['withheld_gold'] when 8 then ['truth_gold'] when 9 then case when p_size > 30 then ['gold_domain'] else []::varchar[] end else []::varchar[] end problems from part"""
+)
+def record_rules(spark, sf_dir):
+    """Records made of parts: a choice between a part's name and brand whose answer is the name, or its size on a scale to 30, each shape with faults of its own."""
+    k, own = F.col("p_partkey") % 10, F.concat(F.lit('{"request_id": "'), F.col("p_partkey"), F.lit('", "fields": [{"id": "x", '))
+    text = lambda *x: F.concat(*[F.lit(v) if isinstance(v, str) else v for v in x])
+    choice = text(own, '"type": "choice", "options": [{"value": "', F.col("p_name"), '"}, {"value": "', F.col("p_brand"), '"}]}]}')
+    scale = text(own, '"type": "ordinal", "levels": [', F.array_join(F.transform(F.sequence(F.lit(1), F.lit(30)), lambda x: F.format_string('{"value": %d}', x)), ", "), "]}]}")
+    gold = F.when(k == 1, F.lit('"none"')).when(k == 9, F.col("p_size").cast("string")).otherwise(text('"', F.col("p_name"), '"'))
+    truth = F.when(k == 8, text('"', F.col("p_brand"), '"')).otherwise(gold)
+    made = text('{"review_route": "construction_verified", "construction": {"truth_source": "programmatic", "truth": ', truth, ', "image_checks": "passed"}', F.when(k == 4, ', "quarantined": true').otherwise(""), "}")
+    image = F.when(k == 2, '{"path": "a/b.png", "sha256": "' + "0" * 64 + '"}').otherwise("")
+    record = text(
+        '{"id": "', F.col("p_partkey"), F.when(k == 4, "x").otherwise(""), '", "track": "', F.when(k == 3, "joint").otherwise("text"), '", "split": "dev", "group_id": "', F.col("p_brand"), '", "annotation_status": "reviewed", "gold": ', gold,
+        F.when(k == 7, ', "gold_withheld": true').otherwise(""), ', "images": [', image, '], "request": ', F.when(k == 9, scale).otherwise(choice), ', "provenance": ', F.when(k == 5, "{}").otherwise(made), F.when(k == 6, "").otherwise("}"),
+    )
+    return validation.validated(table(spark, sf_dir, "part").select("p_partkey", record.alias("t")), "t").select("p_partkey", "problems")
+
+
+@query(
+    """with o as (select o_orderkey id, o_custkey g, o_orderkey % 50 < 1 s, [o_orderdate::varchar] i from orders where o_orderkey % 7 > 0 union all select o_orderkey, o_custkey, o_orderkey % 50 < 1, [o_orderdate::varchar] from orders where o_orderkey % 9 = 0),
+a as (select id from o group by id having count(*) > 1), b as (select g from o group by g having count(distinct s) > 1), c as (select i[1] d from o group by 1 having count(distinct s) > 1)
+select list_filter([case when id in (from a) then 'repeated_id' end, case when g in (from b) then 'group_crosses' end, case when i[1] in (from c) then 'image_crosses' end], lambda x: x is not null) problems, count(*) n from o group by 1"""
+)
+def record_crossings(spark, sf_dir):
+    """Orders as records: customers as groups, dates as images, a fiftieth held out; some orders come twice."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("g"), (F.col("o_orderkey") % 50 < 1).alias("s"), F.array(F.col("o_orderdate").cast("string")).alias("i"))
+    return validation.across_records(o.where("id % 7 > 0").unionAll(o.where("id % 9 = 0")), "id", "g", "s", "i").groupBy("problems").agg(F.count("*").alias("n"))
