@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from verdigris.functions import lenient, rubrics as B, text as X
+from verdigris.functions import lenient, passages as G, rubrics as B, text as X
 from verdigris.functions.hashing import stable_order
 from verdigris.operators import assembly, records, validation
 from verdigris.plans.evaluation_queries import ABC, predictions, preds_sql
@@ -369,3 +369,32 @@ def record_crossings(spark, sf_dir):
     """Orders as records: customers as groups, dates as images, a fiftieth held out; some orders come twice."""
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("g"), (F.col("o_orderkey") % 50 < 1).alias("s"), F.array(F.col("o_orderdate").cast("string")).alias("i"))
     return validation.across_records(o.where("id % 7 > 0").unionAll(o.where("id % 9 = 0")), "id", "g", "s", "i").groupBy("problems").agg(F.count("*").alias("n"))
+
+
+@query(
+    r"""with s as (select doc_id, trim(regexp_replace(unnest(string_split(regexp_replace(replace(text, chr(10), ' '), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))), '\s+', ' ', 'g')) c, generate_subscripts(string_split(regexp_replace(replace(text, chr(10), ' '), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), 1) i from documents)
+select doc_id, count(*) n, string_agg(regexp_replace(c, '\.+$', ''), '|' order by i) clauses from (select * from s where length(c) between 40 and 180 and c not like '%?' and not regexp_matches(c, '^(User|System|Assistant):') and regexp_matches(c, '^\pL') qualify row_number() over (partition by doc_id order by i) <= 8) group by doc_id"""
+)
+def passage_clauses(spark, sf_dir):
+    told = table(spark, sf_dir, "documents").select("doc_id", G.clauses(F.col("text")).alias("c"))
+    return told.where(F.size("c") > 0).select("doc_id", F.size("c").cast("long").alias("n"), F.array_join("c", "|").alias("clauses"))
+
+
+NUMBERS_SQL = r"""with t as (select doc_id, text || ' It costs $' || n_chars || ' or £ 1,' || lpad((doc_id % 1000)::varchar, 3, '0') || '.50, ' || doc_id % 120 || ' per cent, and takes ' || n_chars || ' Hours or ' || doc_id % 90 || ' lbs.' t from documents),
+f as (select doc_id, 0 k, unnest(regexp_extract_all(t, '[$£€]\s?\d[\d,]*(?:\.\d+)?')) x from t union all select doc_id, 1, unnest(regexp_extract_all(t, '(\d[\d,]*(?:\.\d+)?)\s?(?:%|per cent|percent)')) from t
+  union all select doc_id, 2, unnest(regexp_extract_all(t, '(?i)\d[\d,]*(?:\.\d+)?\s?(?:UNITS)\b')) from t),
+g as (select *, row_number() over (partition by doc_id, k) i, regexp_extract(x, '\d[\d,]*(?:\.\d+)?') v, regexp_extract(x, '[A-Za-z]+$') u, regexp_replace(lower(regexp_extract(x, '[A-Za-z]+$')), 's+$', '') stem from f),
+q as (select doc_id, k, i, case k when 0 then left(x, 1) || v when 1 then v || '%' else v || ' ' || u end raw, replace(v, ',', '')::double "value", case k when 0 then map {'$': 'USD', '£': 'GBP', '€': 'EUR'}[left(x, 1)] when 1 then 'per cent' else lower(u) end unit,
+  case k when 0 then 'price' when 1 then 'percentage' else case CASES end end quantity from g),
+w as (select * from q where "value" > 0 and "value" < 1000000 and quantity is not null qualify row_number() over (partition by doc_id, raw order by k, i) = 1)
+select doc_id, row_number() over (partition by doc_id order by k, i)::int "at", raw, "value", unit, quantity from w qualify "at" <= 8""".replace("UNITS", G.UNITS).replace("CASES", " ".join(f"when stem in ({', '.join(repr(u) for u in units)}) then '{q}'" for q, units in G.QUANTITIES.items()))
+
+
+@query(NUMBERS_SQL)
+def passage_numbers(spark, sf_dir):
+    """Documents with a sentence of amounts behind them."""
+    c = lambda x: F.lit(x) if isinstance(x, str) else x.cast("string")
+    n, d = F.col("n_chars"), F.col("doc_id")
+    text = F.concat(*map(c, (F.col("text"), " It costs $", n, " or £ 1,", F.lpad((d % 1000).cast("string"), 3, "0"), ".50, ", d % 120, " per cent, and takes ", n, " Hours or ", d % 90, " lbs.")))
+    told = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(G.quantities(text)).alias("i", "q"))
+    return told.select("doc_id", (F.col("i") + 1).alias("at"), "q.raw", "q.value", "q.unit", "q.quantity")
