@@ -96,3 +96,30 @@ def test_first_earlier_duplicate_of_a_hot_passage(spark):
                 break
     got = {r["doc_id"]: (r["earlier"], r["shared"]) for r in similarity.earlier_duplicates(df, id="doc_id", text="text").collect()}
     assert got == want
+
+
+def test_survivors_by_component_and_in_rounds(spark):
+    import random
+
+    rng = random.Random(12)
+    score = {i: rng.randint(0, 5) for i in range(120)}
+    pairs = {(a, b): rng.choice([0.5, 0.6, 0.9]) for a, b in (sorted(rng.sample(range(120), 2)) for _ in range(150))}
+    order = []
+    for (a, b), share in pairs.items():
+        w, x = (a, b) if (score[a], -a) > (score[b], -b) else (b, a)
+        order.append((-share, -score[w], w, -score[x], x))
+    lost = set()
+    for _, _, w, _, x in sorted(order):
+        if w not in lost:
+            lost.add(x)
+    rec = spark.createDataFrame(list(score.items()), "doc_id long, score int")
+    given = spark.createDataFrame([(*k, v) for k, v in pairs.items()], "a long, b long, share double").repartition(3)
+    for bound in (similarity.COMPONENT_PAIRS, 3):  # whole components, and rounds for all but the smallest
+        kept = similarity.survivors(rec, given, "doc_id", F.col("score"), bound)
+        assert {r["doc_id"] for r in kept.collect()} == set(score) - lost
+
+
+def test_a_long_chain_of_pairs_takes_no_rounds_of_its_own(spark):
+    rec = spark.createDataFrame([(f"{i:04}", 2000 - i) for i in range(1000)], "doc_id string, score long")
+    chain = spark.createDataFrame([(f"{i:04}", f"{i + 1:04}", 1 - i / 2000) for i in range(999)], "a string, b string, share double")
+    assert sorted(int(r["doc_id"]) for r in similarity.survivors(rec, chain, "doc_id", F.col("score")).collect()) == list(range(0, 1000, 2))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 from itertools import combinations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from verdigris.functions.text import hashed_ngrams, tokens
@@ -195,28 +197,73 @@ def near_duplicate_survivors(df: DataFrame, n: int = 13, *, id: str, text: str,
     return df.join(gone, id, "left_anti")
 
 
-def survivors(records: DataFrame, pairs: DataFrame, id: str, score: Column) -> DataFrame:
+#: Pairs of a component that one task settles in their order; beyond it the component is settled in rounds.
+COMPONENT_PAIRS = 1_000_000
+#: Rounds before components are looked for.
+FIRST_ROUNDS = 3
+
+
+def survivors(records: DataFrame, pairs: DataFrame, id: str, score: Column, component_pairs: int = COMPONENT_PAIRS) -> DataFrame:
     """``records`` without the losers of their pairs. Pairs are settled by descending share, then by their winner and their loser, the better
-    first; the record of smaller score, then of larger id, loses, unless the winner has lost before (a loser cannot eliminate). Solved in rounds: a
-    pair is settled once no undecided pair that ranks before it can take its winner, so each round settles the first pair at least; the pair
-    table is written between rounds, until none is left. A pair of a record with itself, or without a share, is refused."""
+    first; the record of smaller score, then of larger id, loses, unless the winner has lost before (a loser cannot eliminate).
+
+    A few rounds (``_settled``) settle most pairs, and all where chains are short. Components of what is left don't touch each other: those of
+    at most ``component_pairs`` pairs are each run through in order by one task, which remembers losers only, so a chain of any length
+    takes no rounds but those that find the components. Larger ones go on in rounds. A pair of a record with itself, or without a share, is refused."""
+    from verdigris.operators.graph import connected_components
+    from verdigris.session import ship_package
     from verdigris.storage import discard
 
+    ship_package(records.sparkSession)
     scored = records.select(F.col(id).alias("x"), score.alias("s"))
     p = pairs.join(scored.withColumnsRenamed({"x": "a", "s": "s_a"}), "a").join(scored.withColumnsRenamed({"x": "b", "s": "s_b"}), "b")
     a_wins = (F.col("s_a") > F.col("s_b")) | ((F.col("s_a") == F.col("s_b")) & (F.col("a") < F.col("b")))
     w, loser = F.when(a_wins, F.col("a")).otherwise(F.col("b")), F.when(a_wins, F.col("b")).otherwise(F.col("a"))
     rank = F.struct((-F.col("share")).alias("r"), (-F.greatest("s_a", "s_b")).alias("s"), w.alias("x"), (-F.least("s_a", "s_b")).alias("t"), loser.alias("y"))
-    left = materialise(p.select(w.alias("w"), loser.alias("l"), rank.alias("rank")), "pairs")
+    ranked = materialise(p.select(w.alias("w"), loser.alias("l"), rank.alias("rank")), "pairs")
+    if not ranked.where("w = l or rank.r is null").isEmpty():
+        raise ValueError("a record is paired with itself, or a share is null")
+    early, open_ = _settled(ranked, FIRST_ROUNDS)
+    if open_ is None:
+        return records.join(early.select(F.col("l").alias(id)), id, "left_anti") if early is not None else records
+    named = open_.join(connected_components(open_, "w", "l"), F.col("w") == F.col("node")).drop("node")
+    sized = materialise(named.join(named.groupBy("component").agg(F.count("*").alias("n")), "component"), "sized")
+    discard(open_)
+
+    def run_through(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own, lost = None, set()
+        for batch in batches:
+            out = []
+            for component, winner, loser in zip(batch.component, batch.w, batch.l):
+                if component != own:
+                    own, lost = component, set()
+                if winner not in lost and loser not in lost:
+                    lost.add(loser)
+                    out.append(loser)
+            yield pd.DataFrame({"l": pd.Series(out, dtype=batch.l.dtype)})
+
+    small = sized.where(F.col("n") <= component_pairs).repartition("component").sortWithinPartitions("component", "rank").select("component", "w", "l")
+    lost = early.unionAll(materialise(small.mapInPandas(run_through, f"l {records.schema[id].dataType.simpleString()}"), "lost"))
+    large = sized.where(F.col("n") > component_pairs).select("w", "l", "rank")
+    if not large.isEmpty():
+        lost = lost.unionAll(_settled(materialise(large, "pairs"))[0])
+    return records.join(lost.select(F.col("l").alias(id)), id, "left_anti")
+
+
+def _settled(left: DataFrame, rounds: int | None = None) -> tuple[DataFrame | None, DataFrame | None]:
+    """(l), the losers of pairs (w, l, rank), and the pairs that ``rounds`` leave open, None for none. Found in rounds: a pair is settled once no undecided pair that ranks before it can take its
+    winner, so each round settles the first pair at least; the pair table is written between rounds, until none is left."""
+    from verdigris.storage import discard
+
     lost, parts = None, 0
     while not left.isEmpty():
+        if parts == rounds:
+            return lost, left
         # the first undecided pair in which a record would lose: its winner's fate is open before that
         threat = left.groupBy("l").agg(F.min("rank").alias("first"))
         marked = left.join(threat.select(F.col("l").alias("w"), "first"), "w", "left")
         settled = marked.where(F.col("first").isNull() | (F.col("first") > F.col("rank")))
         out = materialise(settled.groupBy("l").agg(F.min("rank").alias("at")), "lost")
-        if out.isEmpty():
-            raise ValueError("no open pair can be settled: a record is paired with itself, or a share is null")
         lost, parts = out.select("l") if lost is None else lost.unionAll(out.select("l")), parts + 1
         if parts % 20 == 0:  # a plan of few tables, however long the chain
             lost = materialise(lost, "lost")
@@ -226,7 +273,7 @@ def survivors(records: DataFrame, pairs: DataFrame, id: str, score: Column) -> D
         following = materialise(following.select("w", "l", "rank"), "pairs")
         discard(left)
         left = following
-    return records if lost is None else records.join(lost.select(F.col("l").alias(id)), id, "left_anti")
+    return lost, None
 
 
 def earlier_duplicates(df: DataFrame, n: int = 8, least: int = 5, *, id: str, text: str) -> DataFrame:
