@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from verdigris.functions import distributions as D
+from verdigris.functions import distributions as D, targets as T
 from verdigris.functions.hashing import sha1_share
 from verdigris.operators import calibration, labels, metrics, quality, stats
 from verdigris.plans.registry import query, table
@@ -480,3 +480,38 @@ def response_shaping(spark, sf_dir):
         F.round(D.shaped_boolean(F.get("p", 0), F.get("p", 1), F.col("u")), 6).alias("noul"),
         F.round(D.expected_level(F.col("known"), F.array(*[F.lit(float(i)) for i in range(1, 10)])), 6).alias("score"),
     )
+
+
+@query(
+    P + """, t as (select vec_id, ['boolean', 'choice', 'ordinal'][vec_id % 3 + 1] kind, case when vec_id % 3 = 0 then [p[1], p[2], 1 - p[1] - p[2]] else p end p from preds), x as (select *, vec_id % 7 = 0 and kind <> 'boolean' bad from t)
+select vec_id, case when not bad then 'answered' end status, case when not bad then (list_position(p[:-2], list_max(p[:-2])) - 1)::int end answer, case when not bad then round(p[1], 6) end first, case when not bad then round(p[-1], 6) end unknown,
+  case when bad then [case kind when 'choice' then 'choice' else 'score' end] else []::varchar[] end problems from x"""
+)
+def response_decode(spark, sf_dir):
+    """Distributions shaped as responses and read back; every seventh choice or score declares another answer than its distribution's."""
+    kind = F.get(F.array(*map(F.lit, ("boolean", "choice", "ordinal"))), (F.col("vec_id") % 3).cast("int"))
+    two = F.array(F.get("p", 0), F.get("p", 1), 1 - F.get("p", 0) - F.get("p", 1))
+    rows = predictions(spark, sf_dir).select("vec_id", kind.alias("kind"), F.when(kind == "boolean", two).otherwise(F.col("p")).alias("p"))
+    wire = F.when(F.col("kind") == "boolean", "noul").when(F.col("kind") == "choice", "choice").otherwise("score")
+    shaped = rows.withColumn("r", T.shaped(wire, F.col("p")))
+    wrong = F.col("vec_id") % 7 == 0
+    broken = F.col("r").withField("choice", F.when(wrong, (F.col("r.choice") + 1) % 9).otherwise(F.col("r.choice"))).withField("score", F.when(wrong, F.col("r.score") + 1).otherwise(F.col("r.score")))
+    told = shaped.select("vec_id", T.decoded(F.col("kind"), F.size("p") - 1, broken).alias("x"))
+    back = F.col("x.probabilities")
+    return told.select("vec_id", "x.status", F.col("x.value").alias("answer"), F.round(F.get(back, 0), 6).alias("first"), F.round(F.element_at(back, -1), 6).alias("unknown"), "x.problems")
+
+
+@query(
+    P + """, t as (select vec_id, vec_id % 5 k, p from preds), w as (select *, p[1] + p[2] + p[10] m from t)
+select vec_id, case when k in (0, 1, 4) then round(p[1] / m, 6) end "true", case when k in (0, 1, 4) then round(p[10] / m, 6) end unknown, case when k = 3 then ['maybe'] end unknown_keys,
+  case k when 2 then ['duplicate_aliases'] when 3 then ['unknown_keys'] else []::varchar[] end problems, case when k in (0, 1, 4) then case when p[1] >= p[2] and p[1] >= p[10] then 'true' when p[2] >= p[10] then 'false' end end gold from w"""
+)
+def soft_targets(spark, sf_dir):
+    """Weights of yes, no and unknown under the names of five exports: two of them name a key twice or one that isn't there."""
+    names = [("true", "false", "__unknown__"), ("True", "False", "unknown"), ("true", "True", "null"), ("true", "maybe", "null"), ("True", "false", "null")]
+    keys = F.get(F.array(*[F.array(*map(F.lit, n)) for n in names]), (F.col("vec_id") % 5).cast("int"))
+    soft = F.map_from_arrays(keys, F.array(F.get("p", 0), F.get("p", 1), F.get("p", 9)))
+    choices = F.array(*map(F.lit, ("true", "false", T.UNKNOWN)))
+    told = predictions(spark, sf_dir).select("vec_id", T.soft_weights(soft, choices).alias("x"))
+    w = F.col("x.weights")
+    return told.select("vec_id", F.round(F.get(w, 0), 6).alias("true"), F.round(F.get(w, 2), 6).alias("unknown"), "x.unknown_keys", "x.problems", T.soft_gold(w, choices).alias("gold"))
