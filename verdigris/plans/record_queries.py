@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from verdigris.functions import lenient, passages as G, rubrics as B, text as X
 from verdigris.functions.hashing import stable_order
-from verdigris.operators import assembly, records, validation
+from verdigris.operators import assembly, distractors, records, validation
 from verdigris.plans.evaluation_queries import ABC, predictions, preds_sql
 from verdigris.plans.registry import query, table
 
@@ -398,3 +398,18 @@ def passage_numbers(spark, sf_dir):
     text = F.concat(*map(c, (F.col("text"), " It costs $", n, " or £ 1,", F.lpad((d % 1000).cast("string"), 3, "0"), ".50, ", d % 120, " per cent, and takes ", n, " Hours or ", d % 90, " lbs.")))
     told = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(G.quantities(text)).alias("i", "q"))
     return told.select("doc_id", (F.col("i") + 1).alias("at"), "q.raw", "q.value", "q.unit", "q.quantity")
+
+
+@query(
+    r"""with c as (select min(t) t, n from (select p_name || ' ' || p_type t, list_aggregate(regexp_extract_all(lower(p_name || ' ' || p_type), '[a-z0-9]+'), 'string_agg', ' ') n from part) group by n),
+o as (select t, n, row_number() over (order by sha256(n)) - 1 i from c), m as (select count(*) m from o),
+pr as (select min(x) p from (select unnest(range(greatest(2, m), 2 * m + 3)) x from m) where not exists (select 1 from range(2, x) d(d) where d * d <= x and x % d = 0)),
+r as (select p_partkey id, lower(p_name) own, ('0x' || sha256('pool:start:' || p_partkey)[1:12])::bigint % p a, ('0x' || sha256('pool:step:' || p_partkey)[1:12])::bigint % (p - 1) + 1 b, p from part, pr),
+w as (select id, own, k, (a + b * k) % p i from (select *, unnest(range(p)) k from r))
+select id p_partkey, (row_number() over (partition by id order by k))::int place, t distractor from w join o using (i)
+where not contains(n, own) and len(list_filter(string_split(own, ' '), lambda x: not list_contains(string_split(n, ' '), x))) > 0 qualify place <= 3"""
+)
+def distractor_draws(spark, sf_dir):
+    """Three wrong products for each part, from all names with their types."""
+    part = table(spark, sf_dir, "part")
+    return distractors.draw(part, "p_partkey", "p_name", part.select(F.concat_ws(" ", "p_name", "p_type").alias("t")), "t", 3)
