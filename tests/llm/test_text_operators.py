@@ -49,11 +49,23 @@ def test_bpe_round_trip_and_empty(spark, encoding):
     assert bpe.encode_ids(odd(spark).limit(0), "text", path, P.PATTERN).count() == 0
 
 
+def test_many_pieces_of_hundreds_of_bytes_stay_in_memory(encoding, tmp_path, monkeypatch):
+    """The rows of a query's recursion are bounded, so nothing is spilled to a folder of this machine."""
+    import os
+
+    monkeypatch.chdir(tmp_path)
+    rng = random.Random(5)
+    text = " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(rng.choice([390, 900]))) for _ in range(120))
+    coder = bpe.BytePairCoder(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    assert list(coder.ids([text])) == [encoding.encode_ordinary(text)]
+    assert os.listdir(tmp_path) == [] and max(len(x) for x in bpe._queries(["x" * 390] * 200)) <= bpe.QUERY_ROWS // 390**2
+
+
 def test_long_pieces_are_exact(encoding):
     rng = random.Random(3)
     coder = bpe.coder(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
-    for letters in ("ab", "abcdefgh", "etaoinshrdlu"):
-        x = "".join(rng.choice(letters) for _ in range(1500))
+    for letters, n in (("ab", 2600), ("abcdefgh", 1500), ("etaoinshrdlu", 1500)):
+        x = "".join(rng.choice(letters) for _ in range(n))
         assert next(iter(coder.ids([x]))) == encoding.encode_ordinary(x)
 
 

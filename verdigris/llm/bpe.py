@@ -23,9 +23,12 @@ from verdigris.llm.workers import claim
 
 #: Characters of text handled at once in a worker, pieces per DuckDB query, and pieces remembered by a worker.
 BATCH_CHARS, QUERY_PIECES, MEMORY_PIECES = 4_000_000, 40_000, 500_000
+#: Rows that the recursion of one query may keep: a piece of n bytes has n at most in each of fewer than n steps. So a query stays within
+#: memory, and nothing is written to a local folder.
+QUERY_ROWS = 4_000_000
 #: Bytes above which a piece is contracted by repeated queries over a replaced table: the recursion keeps every
-#: step's rows, which is quadratic in the piece's length.
-LONG_PIECE = 400
+#: step's rows, which is quadratic in the piece's length. One such piece fills a query (QUERY_ROWS).
+LONG_PIECE = 2000
 
 #: A row carries the position and token of its right neighbour, so that a step is joins and an aggregate by piece:
 #: find each piece's best pair (smallest rank, then leftmost), look up the row it swallows, and rewrite the piece's rows.
@@ -88,7 +91,7 @@ class BytePairCoder:
         self.pattern = regex.compile(pattern)
         self.byte_ids = np.array([self.ranks[bytes([i])] for i in range(256)], dtype=np.int32)
         splits = [(a, b, v) for k, v in self.ranks.items() for i in range(1, len(k)) if (a := self.ranks.get(k[:i])) is not None and (b := self.ranks.get(k[i:])) is not None]
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
         self._put("merge_rows", {n: pa.array(c, pa.int32()) for n, c in zip("lrm", zip(*splits))})
         self.db.execute("create table merges as select * from merge_rows")
         self._put("vocab_rows", {"id": pa.array(list(self.ranks.values()), pa.int32()), "hex": [k.hex() for k in self.ranks]})
@@ -142,8 +145,7 @@ class BytePairCoder:
         if len(self.known) + len(new) > MEMORY_PIECES:
             self.known.clear()
             new = sorted(pieces)
-        for at in range(0, len(new), QUERY_PIECES):
-            part = new[at : at + QUERY_PIECES]
+        for part in _queries(new):
             self._encode([x.encode() for x in part])
             shown = self.db.sql(RENDER).to_arrow_table()
             self.known.update(zip(part, zip(shown["ids"].to_pylist(), shown["n"].to_pylist(), self._decoded(len(part))), strict=True))
@@ -176,6 +178,20 @@ class BytePairCoder:
                 yield [int(t) for p in pieces for t in self.known[p][0].split()]
 
 
+def _queries(pieces: list[str]) -> Iterator[list[str]]:
+    """The pieces in lists for one query each, bounded by their number and by the rows that a recursion over them keeps."""
+    part, rows = [], 0
+    for x in pieces:
+        own = min(len(x.encode()), LONG_PIECE) ** 2
+        if part and (len(part) == QUERY_PIECES or rows + own > QUERY_ROWS):
+            yield part
+            part, rows = [], 0
+        part.append(x)
+        rows += own
+    if part:
+        yield part
+
+
 def _portions(texts: list[str]) -> Iterator[list[str]]:
     part, size = [], 0
     for x in texts:
