@@ -17,9 +17,14 @@ def largest_remainder(counts: DataFrame, stratum: str, size: str, n: int) -> Dat
 
 
 def take_per_stratum(df: DataFrame, allocation: DataFrame, stratum: str, order: list[Column]) -> DataFrame:
-    """The first ``take`` rows of each stratum in an order. The row limit is applied before the exchange as well."""
-    ranked = df.withColumn("__at", F.row_number().over(Window.partitionBy(stratum).orderBy(*order)))
-    return ranked.join(F.broadcast(allocation.select(stratum, "take")), stratum).where("__at <= take").drop("__at", "take")
+    """The first ``take`` rows of each stratum in an order. The allocation, a row a stratum, is written once, so that its largest ``take`` limits the
+    rows of each stratum and task before the exchange."""
+    from verdigris.storage import materialise
+
+    held = materialise(allocation.select(stratum, "take"), "allocation")
+    most = held.agg(F.max("take")).first()[0] or 0
+    ranked = df.withColumn("__at", F.row_number().over(Window.partitionBy(stratum).orderBy(*order))).where(F.col("__at") <= most)
+    return ranked.join(F.broadcast(held), stratum).where("__at <= take").drop("__at", "take")
 
 
 def tiered_take(counts: DataFrame, tier: str, size: str, n: int) -> DataFrame:
