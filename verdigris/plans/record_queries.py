@@ -381,9 +381,9 @@ def passage_clauses(spark, sf_dir):
 
 
 NUMBERS_SQL = r"""with t as (select doc_id, text || ' It costs $' || n_chars || ' or £ 1,' || lpad((doc_id % 1000)::varchar, 3, '0') || '.50, ' || doc_id % 120 || ' per cent, and takes ' || n_chars || ' Hours or ' || doc_id % 90 || ' lbs.' t from documents),
-f as (select doc_id, 0 k, unnest(regexp_extract_all(t, '[$£€]\s?\d[\d,]*(?:\.\d+)?')) x from t union all select doc_id, 1, unnest(regexp_extract_all(t, '(\d[\d,]*(?:\.\d+)?)\s?(?:%|per cent|percent)')) from t
-  union all select doc_id, 2, unnest(regexp_extract_all(t, '(?i)\d[\d,]*(?:\.\d+)?\s?(?:UNITS)\b')) from t),
-g as (select *, row_number() over (partition by doc_id, k) i, regexp_extract(x, '\d[\d,]*(?:\.\d+)?') v, regexp_extract(x, '[A-Za-z]+$') u, regexp_replace(lower(regexp_extract(x, '[A-Za-z]+$')), 's+$', '') stem from f),
+f as (select doc_id, 0 k, unnest(list_transform(regexp_extract_all(t, '[$£€]\s?\d[\d,]*(?:\.\d+)?'), lambda x, i: {'x': x, 'i': i})) s from t union all select doc_id, 1, unnest(list_transform(regexp_extract_all(t, '(\d[\d,]*(?:\.\d+)?)\s?(?:%|per cent|percent)'), lambda x, i: {'x': x, 'i': i})) from t
+  union all select doc_id, 2, unnest(list_transform(regexp_extract_all(t, '(?i)\d[\d,]*(?:\.\d+)?\s?(?:UNITS)\b'), lambda x, i: {'x': x, 'i': i})) from t),
+g as (select doc_id, k, s.i i, s.x x, regexp_extract(s.x, '\d[\d,]*(?:\.\d+)?') v, regexp_extract(s.x, '[A-Za-z]+$') u, regexp_replace(lower(regexp_extract(s.x, '[A-Za-z]+$')), 's+$', '') stem from f),
 q as (select doc_id, k, i, case k when 0 then left(x, 1) || v when 1 then v || '%' else v || ' ' || u end raw, replace(v, ',', '')::double "value", case k when 0 then map {'$': 'USD', '£': 'GBP', '€': 'EUR'}[left(x, 1)] when 1 then 'per cent' else lower(u) end unit,
   case k when 0 then 'price' when 1 then 'percentage' else case CASES end end quantity from g),
 w as (select * from q where "value" > 0 and "value" < 1000000 and quantity is not null qualify row_number() over (partition by doc_id, raw order by k, i) = 1)
