@@ -3,8 +3,8 @@
 A walk reads a text's code points one by one and stays on each for a number of steps that shared random bits give for
 (step, character). Two texts walk together until they differ; after an edit their walks meet again soon, so few edits
 change few steps: edit distance becomes Hamming distance between the strings of visited characters. As an unlucky edit can
-keep a walk apart for long, there are several walks with random bits of their own, and a long text is walked in segments,
-each of which starts at a step of its own. Per walk the fingerprint keeps a sample of the steps, those whose shared random rank is
+keep a walk apart for long, there are several walks with random bits of their own, and a long text is walked in segments, cut
+where its characters say so, each of which starts at a step of its own: after an edit the next segment is walked as before. Per walk the fingerprint keeps a sample of the steps, those whose shared random rank is
 lowest among the steps the walk took: so a text of another length samples mostly the same steps. Per sampled step it holds a byte
 of the characters from there on.
 
@@ -31,8 +31,9 @@ from verdigris.storage import materialise
 
 #: Walks, sampled steps of each, characters hashed at each, kinds of characters that stay differently long, and the period of the shared bits.
 WALKS, SAMPLES, SPAN, KINDS, PERIOD = 4, 64, 4, 16, 1 << 14
-#: Characters of a segment, and steps from one segment's start to the next one's: a character takes two on average.
-SEGMENT, STRIDE = 4096, 8832
+#: Characters that decide on a cut, characters before a text's first cut at least, from cut to cut on average and at most, and the
+#: grid of steps that segments start at.
+WINDOW, LEAST, APART, LONGEST, CELL = 16, 4096, 8192, 32_768, 8192
 #: Steps of lowest rank within a power of two that bands choose from; walks of up to four times the power sample nearly all of them.
 POOL = 12
 #: Code points walked together in a worker.
@@ -63,6 +64,47 @@ def kind_of(codes: np.ndarray) -> np.ndarray:
     return ((codes.astype(np.uint32) * np.uint32(0x9E3779B1)) >> np.uint32(28)).astype(np.int32)
 
 
+def segments(codes: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(begin, size, origin, room) of the segments that texts are walked in, in the order of ``codes``: where each lies, the step that its
+    walk starts at, and the steps before the next one's.
+
+    A text is cut where a hash of the ``WINDOW`` characters before says so, so that the cuts after an edit stay at the same characters.
+    A segment starts at the first multiple of ``CELL`` steps from its position on; so when an edit moves it by some characters it nearly always
+    starts at the same step. Of the cuts of one cell the first counts, none does in the first ``LEAST`` characters, and what would be longer than ``LONGEST`` is cut there too."""
+    hashed, width = codes.astype(np.uint32), 1
+    while width < WINDOW:
+        before = np.r_[np.zeros(min(width, len(hashed)), np.uint32), hashed[:-width]]
+        hashed = hashed * np.uint32(0x85EBCA6B) + before * np.uint32(0xC2B2AE35) + np.uint32(width)
+        width *= 2
+    hashed = (hashed ^ (hashed >> np.uint32(16))) * np.uint32(0x2C1B3C6D)
+    last = np.flatnonzero(hashed < np.uint32((1 << 32) // APART))  # the last character before a cut
+    text = np.searchsorted(starts + sizes, last, side="right")
+    place = last + 1 - starts[text]
+    inside = (place >= LEAST) & (place < sizes[text])
+    text, place = text[inside], place[inside]
+    cell = _origin(place)
+    new = np.r_[True, (text[1:] != text[:-1]) | (cell[1:] != cell[:-1])][: len(text)]
+    full = np.flatnonzero(sizes)
+    text, place = np.r_[full, text[new]], np.r_[np.zeros(len(full), np.int64), place[new]]
+    order = np.lexsort((place, text))
+    text, place = text[order], place[order]
+    ends = np.where(np.r_[text[1:] == text[:-1], False][: len(text)], np.r_[place[1:], 0][: len(text)], sizes[text])
+    parts = -(-(ends - place) // LONGEST)
+    of = np.repeat(np.arange(len(text)), parts)
+    place = place[of] + (np.arange(len(of)) - np.repeat(np.cumsum(parts) - parts, parts)) * LONGEST
+    text, ends = text[of], ends[of]
+    origin = _origin(place)
+    # a part that was cut for its length may start in the cell of the cut that follows; it has no room then
+    after = np.r_[text[1:] == text[:-1], False][: len(text)]
+    room = np.where(after, np.r_[origin[1:], 0][: len(text)] - origin, np.int64(1) << 31)
+    return starts[text] + place, np.minimum(ends - place, LONGEST), origin, room
+
+
+def _origin(place: np.ndarray) -> np.ndarray:
+    """The first multiple of CELL from 17/8 steps a character on: a character takes two on average."""
+    return -(-(place * 17) // (8 * CELL)) * CELL
+
+
 #: (steps, sampled bytes) of each walk.
 Fingerprint = list[tuple[int, np.ndarray]]
 
@@ -96,12 +138,9 @@ class Walker:
 
     def walk(self, codes: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
         """For each walk the step at which each code point is left; texts lie one after another in ``codes``."""
-        parts = -(-sizes // SEGMENT)
-        text = np.repeat(np.arange(len(sizes)), parts)
-        number = np.arange(len(text)) - np.repeat(np.cumsum(parts) - parts, parts)
-        begin, size = starts[text] + number * SEGMENT, np.minimum(sizes[text] - number * SEGMENT, SEGMENT)
+        begin, size, origin, room = segments(codes, starts, sizes)
         order = np.argsort(-size, kind="stable")
-        begin, size, number = begin[order], size[order], number[order]
+        begin, size, origin, room = begin[order], size[order], origin[order], room[order]
         # laid by turn: the k-th characters of all segments that have one lie side by side
         alive = np.searchsorted(-size, -np.arange(int(size[0]) if len(size) else 0), side="left")
         turns = np.r_[0, np.cumsum(alive)]
@@ -110,18 +149,22 @@ class Walker:
         source, laid = begin[lane] + turn, turns[turn] + lane
         kinds = np.empty(len(codes), np.int32)
         kinds[laid] = kind_of(codes)[source] * PERIOD
-        first = (number * STRIDE % PERIOD).astype(np.int32)
+        first = (origin % PERIOD).astype(np.int32)
+        # all walks take a turn together: their tables lie one after another
+        tables = np.concatenate(self.stays)
+        table = (np.arange(WALKS, dtype=np.int32) * (KINDS * PERIOD))[:, None]
+        now, left, seat = np.tile(first, (WALKS, 1)), np.empty((WALKS, len(codes)), np.int32), np.empty((WALKS, len(size)), np.int32)
+        for at, n in zip(turns.tolist(), alive.tolist()):
+            step, look = now[:, :n], seat[:, :n]
+            np.bitwise_and(step, PERIOD - 1, out=look)
+            look += kinds[at : at + n]
+            look += table
+            step += tables[look]
+            left[:, at : at + n] = step
         out = []
-        for stay in self.stays:
-            now, left, seat = first.copy(), np.empty(len(codes), np.int32), np.empty(len(size), np.int32)
-            for at, n in zip(turns.tolist(), alive.tolist()):
-                step, look = now[:n], seat[:n]
-                np.bitwise_and(step, PERIOD - 1, out=look)
-                look += kinds[at : at + n]
-                step += stay[look]
-                left[at : at + n] = step
+        for walked in left:
             own = np.empty(len(codes), np.int64)
-            own[source] = np.minimum(left[laid] - first[lane], STRIDE - 1) + number[lane].astype(np.int64) * STRIDE
+            own[source] = np.minimum(walked[laid] - first[lane], room[lane] - 1) + origin[lane]
             out.append(own)
         return out
 
@@ -344,8 +387,8 @@ def _compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             half = len(x) // 2
             texts.append(x)
             edited.append(x[: len(x) - half] + follower[:half])
-        own = list(walker().fingerprints(texts))
-        other = list(walker().fingerprints(edited))
+        both = list(walker().fingerprints(texts + edited))
+        own, other = both[: len(texts)], both[len(texts) :]
         after = own[1:] + list(walker().fingerprints([part[-1][2]]))
         breaks = [i for i in range(len(part) - 1) if part[i][2] is not part[i + 1][1] and part[i][2] != part[i + 1][1]]
         for i in breaks:
