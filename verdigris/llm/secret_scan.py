@@ -31,7 +31,12 @@ _RUN = "A-Za-z0-9_+/-"
 #: Beginnings of keys by their issuers' formats (fixed values): what follows one is a candidate without a digit too.
 ISSUED = "AKIA|ASIA|AIza|gh[pousr]_|[prs]k_(?:live|test)_|xox[abprs]-"
 CANDIDATE = rf"(?<![{_RUN}])(?=[A-Za-z_+/-]*+[0-9]|{ISSUED})[{_RUN}]{{12,}}+={{0,2}}" + r"|(?<=[=:][\s\"']{0,3})[^\s\"'<>=:]{8,}+"
-FEATURES = ("length", "transitions", "coverage", "digits", "in_path", "secret_beside", "harmless_beside", "upper_mix", "variety", "issued")
+FEATURES = ("length", "transitions", "coverage", "digits", "in_path", "secret_beside", "harmless_beside", "upper_mix", "variety", "issued", "reference", "encoded")
+#: What stands for a value: dotted or bracketed code, constants in capitals, and words that ask for one's own. What is encoded data or an id
+#: in an address: its beginning, and what is before it.
+REFERENCE = r"^[A-Za-z_$][A-Za-z0-9_$]*(?:(?:\.|->|::)[A-Za-z_$][A-Za-z0-9_$]*)+$|[(){}\[\]]|^\$|^[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)+$|^(?:<|_)*(?i:your|my|insert|replace|example|sample|dummy|placeholder|changeme|xxx)"
+ENCODED = r"^(?:[a-z]+/[a-z0-9.+-]+;)?base64,|^sha(?:1|256|384|512)-|&[a-z_]+$"
+ENCODED_BEFORE = r"(?:base64,|sha(?:1|256|384|512)-|[?&][A-Za-z_]{1,12}=)$"
 #: Characters of context on either side that the features see.
 BEFORE, AFTER = 48, 24
 
@@ -56,10 +61,12 @@ def features(before: Column, value: Column, after: Column) -> list[Column]:
         (value.rlike("[A-Z]").cast("double") + value.rlike("[a-z]").cast("double") + value.rlike("[0-9]").cast("double")),
         F.size(F.array_distinct(F.split(value, ""))) / F.least(size, F.lit(40.0)),
         value.rlike(rf"^(?:{ISSUED})[A-Za-z0-9_-]{{12,}}$").cast("double"),
+        value.rlike(REFERENCE).cast("double"),
+        (value.rlike(ENCODED) | before.rlike(ENCODED_BEFORE)).cast("double"),
     ]
 
 
-def labelled_findings(spark: SparkSession, rows: int = 6_000, salt: str = "finding") -> DataFrame:
+def labelled_findings(spark: SparkSession, rows: int = 9_000, salt: str = "finding") -> DataFrame:
     """(before, value, after, label): forms of secrets (1) and of what only looks like one (0), made from digests of row numbers."""
     hexed = F.sha2(F.concat(F.lit(f"{salt}:"), F.col("id").cast("string")), 512)
     base = spark.range(rows).select("id", hexed.alias("hex"), F.base64(F.unhex(hexed)).alias("b64"))
@@ -96,6 +103,19 @@ def labelled_findings(spark: SparkSession, rows: int = 6_000, salt: str = "findi
         (f"concat({word}, '=')", f"concat({word}, '_', {word})", "' '", 0),
         ("'see https:'", f"concat('//www.', {word}, '.example.com/', r)", "' '", 0),
         ("'Note: '", f"concat({word}, 'ation,')", "' and'", 0),
+        ("'https://api.example.com/v1?access_token='", "substring(hex, 1, 32 + r % 9)", "' '", 1),
+        (name, "concat('eyJ', substring(mix, 1, 20), '.eyJ', substring(mix, 22, 40), '.', substring(mix, 30, 43))", "' '", 1),
+        (name, f"concat('settings.', upper({word}), '_KEY_', r % 10)", "' '", 0),
+        (name, f"concat('os.environ[', upper({word}), '_TOKEN', r % 10, ']')", "' '", 0),
+        (name, f"concat('cfg.', {word}, '.', {word}, 'Key', r % 10)", "', '", 0),
+        ("'integrity=\"'", "concat('sha256-', substring(mix, 1, 43))", "'\" '", 0),
+        ("'src: url(data:'", "concat('font/woff2;base64,', mix, mix, substring(mix, 1, r % 80))", "' '", 0),
+        ("'data:text/css;base64,'", "concat(mix, substring(mix, 1, r % 80))", "'= '", 0),
+        ("concat('https://shop.example.com/item?ref=')", "substring(mix, 1, 10 + r % 26)", "' '", 0),
+        ("concat('https://shop.example.com/item?a=1&page=')", "concat(substring(mix, 1, 9 + r % 6), '&lang')", "'=de '", 0),
+        (other, f"concat(upper({word}), r % 10, '_MOUSE_Q', substring({digits}, 1, 5))", "' '", 0),
+        (name, "concat(element_at(array('MY_','INSERT_','REPLACE_'), 1 + r % 3), 'KEY_HERE_', r % 10)", "' '", 0),
+        (name, "concat('xxxxxxxx-', element_at(array('replace','insert','dummy'), 1 + r % 3), '-', r % 100)", "' '", 0),
     ]
 
     def pick(at: int) -> Column:
