@@ -215,11 +215,13 @@ def test_ledger(spark, tmp_path):
     assert ledger.apply("1", inserts=first) and not ledger.apply("1", inserts=first)
     total = lambda: sorted(tuple(r) for r in ledger.totals().select("source", F.coalesce("lang", F.lit("")), "version", "documents", "tokens").collect())
     assert total() == [("a", "en", "v1", 2, 15), ("b", "", "v1", 1, 7)]
+    assert ledger.refused("1") == 2 and ledger.refused("2") is None
     revised = spark.createDataFrame([(2, "v1", 6), (1, "v1", 10), (77, "v1", 9)], "doc_id long, version string, tokens long")
     assert ledger.apply("2", revised=revised)
     assert total() == [("a", "en", "v1", 2, 16), ("b", "", "v1", 1, 7)]
     assert ledger.apply("3", deletes=spark.createDataFrame([(3, "v1"), (1, "v1"), (55, "v1")], "doc_id long, version string"), inserts=spark.createDataFrame([(9, "a", "en", "v2", 1)], first.schema))
     assert total() == [("a", "en", "v1", 1, 6), ("a", "en", "v2", 1, 1)]
+    assert ledger.refused("2") == ledger.refused("3") == 0
     (tmp_path / "ledger/heads/000000000004-4").mkdir(parents=True)  # a batch that broke off before its commit
     ledger.vacuum()
     assert ledger.apply("4", deletes=spark.createDataFrame([(9, "v2")], "doc_id long, version string"))

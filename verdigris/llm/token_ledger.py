@@ -10,8 +10,8 @@ no work grows with the number of batches before but the listing of their names.
 A batch id that is committed is left alone, and a batch that broke off before its head left tables that nothing names:
 applying a batch twice, in whole or in part, is applying it once. Batches take effect in the order of their commits: a delete or
 revision of what the ledger doesn't hold (yet) does nothing. Within a batch deletes come first, then inserts, then
-revisions; of repeated rows of a document and version the one with the largest count is taken. Rows without a document id, and null counts,
-are refused; null versions, sources and languages are values of their own. An empty batch commits and changes nothing.
+revisions; of repeated rows of a document and version the one with the largest count is taken. Rows without a document id, and inserts and
+revisions with a null count, are refused, and their number is committed with the batch (``refused``); null versions, sources and languages are values of their own. An empty batch commits and changes nothing.
 
 All files go through Spark's writers, so the folder can be in any store that the cluster shares. One writer at a time.
 """
@@ -43,6 +43,14 @@ class TokenLedger:
     def committed(self, batch: str) -> bool:
         return any(n.partition("-")[2] == batch for n in self._names())
 
+    def refused(self, batch: str) -> int | None:
+        """How many rows of a committed batch were refused; None if it isn't committed."""
+        names = [n for n in self._names() if n.partition("-")[2] == batch]
+        if not names:
+            return None
+        rows = self.spark.read.schema(HEAD).parquet(f"{self.folder}/heads/{names[-1]}").where("kind = 'refused'").collect()
+        return int(rows[0]["path"]) if rows else 0
+
     def _head(self) -> dict[tuple[str, int], str]:
         """(kind, bucket): path of its newest table. A row a bucket."""
         names = self._names()
@@ -76,18 +84,22 @@ class TokenLedger:
         if deletes is not None:
             parts.append(deletes.select(*KEY, F.lit(None).cast("string").alias("source"), F.lit(None).cast("string").alias("lang"), F.lit(None).cast("long").alias("tokens"), F.lit("gone").alias("how")))
         if inserts is not None:
-            parts.append(inserts.select(*fields).where("tokens is not null").withColumn("how", F.lit("new")))
+            parts.append(inserts.select(*fields).withColumn("how", F.lit("new")))
         if revised is not None:
-            parts.append(revised.select(*KEY, "tokens").where("tokens is not null").withColumns({"source": F.lit(None).cast("string"), "lang": F.lit(None).cast("string"), "how": F.lit("count")}))
+            parts.append(revised.select(*KEY, "tokens").withColumns({"source": F.lit(None).cast("string"), "lang": F.lit(None).cast("string"), "how": F.lit("count")}))
         asked = spark.createDataFrame([], f"{ROW}, how string")
         for p in parts:
             asked = asked.unionByName(p.select(*[F.col(c.split()[0]).cast(c.split()[1]) for c in ROW.split(", ")], "how"))
-        row = lambda how: F.max(F.when(F.col("how") == how, F.struct("tokens", "source", "lang"))).alias(how)
+        bad = F.col("doc_id").isNull() | ((F.col("how") != "gone") & F.col("tokens").isNull())
+        row = lambda how: F.max(F.when((F.col("how") == how) & ~bad, F.struct("tokens", "source", "lang"))).alias(how)
         # one row a document and version, partial before it moves
-        wanted = asked.where("doc_id is not null").groupBy(*KEY).agg(row("gone"), row("new"), row("count")).withColumn("bucket", self._bucket(buckets))
+        wanted = asked.groupBy(*KEY).agg(row("gone"), row("new"), row("count"), F.count_if(bad).alias("refused")).withColumn("bucket", self._bucket(buckets))
         wanted.write.parquet(f"{self.folder}/{own}/asked")
         wanted = spark.read.parquet(f"{self.folder}/{own}/asked")
-        touched = [r["bucket"] for r in wanted.select("bucket").distinct().collect()]  # a row a bucket
+        live = F.coalesce("gone", "new", "count").isNotNull()
+        told = wanted.groupBy("bucket").agg(F.max(live).alias("live"), F.sum("refused").alias("refused")).collect()  # a row a bucket
+        touched, refused = [r["bucket"] for r in told if r["live"]], sum(r["refused"] for r in told)
+        wanted = wanted.where(live)
         held = self._read([head["held", b] for b in touched if ("held", b) in head], ROW).select(*KEY, F.struct("tokens", "source", "lang").alias("old"))
         w, h = wanted.alias("w"), held.alias("h")
         both = h.join(w, (F.col("h.doc_id") == F.col("w.doc_id")) & F.col("h.version").eqNullSafe(F.col("w.version")), "full_outer")
@@ -108,7 +120,7 @@ class TokenLedger:
         total = before.unionByName(sums).groupBy("source", "lang", "version").agg(F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens"))
         total.coalesce(1).write.parquet(f"{self.folder}/{own}/totals")
         there = {int(n.partition("=")[2]) for n in list_names(spark, f"{self.folder}/{own}/held") if n.startswith("bucket=")}
-        following = {k: p for k, p in head.items() if k[0] == "held" and k[1] not in touched} | {("held", b): f"{own}/held/bucket={b}" for b in there} | {("totals", 0): f"{own}/totals"}
+        following = {k: p for k, p in head.items() if k[0] == "held" and k[1] not in touched} | {("held", b): f"{own}/held/bucket={b}" for b in there} | {("totals", 0): f"{own}/totals", ("refused", 0): str(refused)}
         if ("held", buckets - 1) not in following:  # the number of buckets is read off the head
             spark.createDataFrame([], ROW).write.mode("overwrite").parquet(f"{self.folder}/{own}/none")
             following["held", buckets - 1] = f"{own}/none"
@@ -118,7 +130,7 @@ class TokenLedger:
 
     def vacuum(self) -> None:
         """Delete the tables that the newest head doesn't name: those that were replaced, and what broken batches left."""
-        keep = {p.split("/")[1] for p in self._head().values()}
+        keep = {p.split("/")[1] for (kind, _), p in self._head().items() if kind != "refused"}
         for n in list_names(self.spark, f"{self.folder}/tables"):
             if n not in keep:
                 delete_path(self.spark, f"{self.folder}/tables/{n}")
