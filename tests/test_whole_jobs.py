@@ -123,3 +123,11 @@ def test_a_long_chain_of_pairs_takes_no_rounds_of_its_own(spark):
     rec = spark.createDataFrame([(f"{i:04}", 2000 - i) for i in range(1000)], "doc_id string, score long")
     chain = spark.createDataFrame([(f"{i:04}", f"{i + 1:04}", 1 - i / 2000) for i in range(999)], "a string, b string, share double")
     assert sorted(int(r["doc_id"]) for r in similarity.survivors(rec, chain, "doc_id", F.col("score")).collect()) == list(range(0, 1000, 2))
+
+
+def test_keys_of_codes_are_not_broadcast(spark):
+    """84 keys a code: what the optimiser takes for a small table would be gathered on the driver."""
+    codes = spark.range(2_000).select("id", F.xxhash64("id").alias("c"))
+    found = similarity.hamming_pairs(codes.unionAll(codes.where("id % 100 = 7").select(F.col("id") + 10_000, F.col("c").bitwiseXOR(F.lit(5)))), "id", "c", 6)
+    assert found.where("b = a + 10000 and distance = 2").count() == 20
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
