@@ -64,3 +64,15 @@ def test_clauses_of_whole_documents(spark):
             if 40 <= len(s) <= 180 and not s.endswith("?") and not s.startswith(("User:", "System:", "Assistant:")) and s[:1].isalpha():
                 want.append(s.rstrip("."))
         assert r["c"] == want[:8]
+
+
+def test_quantities_of_a_long_text_are_found_in_one_pass(spark):
+    """20,000 amounts, of which seven differ, and an eighth at the end: each is compared with what is found, not with all before it."""
+    import time
+
+    text = " ".join(f"$ {1 + i % 7} lie." for i in range(20_000)) + " $ 99 lie."
+    df = spark.createDataFrame([(text,)], "t string")
+    began = time.time()
+    found = df.select(P.quantities(F.col("t")).alias("q")).first()["q"]
+    assert [x["raw"] for x in found] == [*(f"${i}" for i in range(1, 8)), "$99"] and found[7]["start"] == text.index("$ 99")
+    assert time.time() - began < 60

@@ -6,6 +6,7 @@ begins where the gaps and matches before it end.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, functions as F
@@ -34,10 +35,20 @@ SENTENCE, SHORTEST, LONGEST, SPEAKERS = r"(?U)(?<=[.!?])\s+", 40, 180, ["User:",
 BLANK = r"(?U)\s+"
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once: inside a lambda an expression is worked out again wherever it is written."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def spans(text: Column, pattern: str) -> Column:
     """array<struct<start, length, text>>: the non-empty matches from the left; start counts code points from 0. Null for null."""
+    return bound(text, lambda t: _spans(t, pattern))
+
+
+def _spans(text: Column, pattern: str) -> Column:
     found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    place = F.transform(found, lambda x, i: F.struct(x.alias("x"), F.length(F.get(gaps, i)).alias("gap")))
+    place = F.zip_with(found, gaps, lambda x, g: F.struct(x.alias("x"), F.length(g).alias("gap")))
+    place = F.filter(place, lambda x: x["x"].isNotNull())  # there is a gap more than matches
     none = F.array().cast("array<struct<start:int,length:int,text:string>>")
     begun = F.struct(F.lit(0).alias("at"), none.alias("out"))
 
@@ -62,9 +73,11 @@ def apart(found: Column) -> Column:
     return F.aggregate(ordered, F.struct(F.lit(0).alias("end"), none.alias("out")), put, lambda acc: acc["out"])
 
 
-def _first_each(items: Column, key) -> Column:
-    """The items whose key no earlier item has."""
-    return F.filter(items, lambda x, i: (i == 0) | ~F.exists(F.slice(items, F.lit(1), i), lambda y: key(y) == key(x)))
+def _first_each(items: Column, key: str, most: int, fields: str) -> Column:
+    """The first ``most`` items whose key, a field, no earlier item has; ``fields`` are theirs. One pass that remembers what it returns."""
+    none = F.array().cast(f"array<struct<{fields}>>")
+    new = lambda out, x: (F.size(out) < most) & ~F.exists(out, lambda y: y[key] == x[key])
+    return F.aggregate(items, none, lambda out, x: F.when(new(out, x), F.array_append(out, x)).otherwise(out))
 
 
 def names(text: Column, title: Column | None = None, most: int = 12) -> Column:
@@ -84,7 +97,7 @@ def names(text: Column, title: Column | None = None, most: int = 12) -> Column:
         good = title.rlike("^[A-Z]") & (F.length(title) <= 60) & title.contains(" ")
         none = F.array().cast("array<struct<start:int,text:string>>")
         kept = F.concat(F.when(good, F.array(F.struct(F.lit(None).cast("int").alias("start"), title.alias("text")))).otherwise(none), kept)
-    return F.slice(_first_each(kept, lambda x: x["text"]), 1, most)
+    return _first_each(kept, "text", most, "start:int,text:string")
 
 
 def _number(text: Column) -> Column:
@@ -98,7 +111,10 @@ def _part(text: Column, pattern: str, group: int) -> Column:
 def quantities(text: Column, most: int = 8) -> Column:
     """array<struct<raw, value, unit, quantity, start>>: amounts of money, then percentages, then measures, each raw text once, ``most`` at
     most; values in (0, 1,000,000)."""
-    body = F.coalesce(text, F.lit(""))
+    return bound(F.coalesce(text, F.lit("")), lambda body: _quantities(body, most))
+
+
+def _quantities(body: Column, most: int) -> Column:
     row = lambda x, raw, value, unit, quantity: F.struct(raw.alias("raw"), value.alias("value"), unit.alias("unit"), quantity.alias("quantity"), x["start"].alias("start"))
     signs = F.create_map(*[F.lit(v) for kv in CURRENCIES.items() for v in kv])
     stems = F.create_map(*[F.lit(v) for q, units in QUANTITIES.items() for u in units for v in (u, q)])
@@ -113,7 +129,7 @@ def quantities(text: Column, most: int = 8) -> Column:
 
     measures = F.filter(F.transform(spans(body, MEASURE), measured), lambda x: x["quantity"].isNotNull())
     usable = F.filter(F.concat(money, share, measures), lambda x: (x["value"] > 0) & (x["value"] < 1_000_000))
-    return F.slice(_first_each(usable, lambda x: x["raw"]), 1, most)
+    return _first_each(usable, "raw", most, "raw:string,value:double,unit:string,quantity:string,start:int")
 
 
 def number_spans(text: Column) -> Column:

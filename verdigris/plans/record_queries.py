@@ -396,7 +396,7 @@ def passage_numbers(spark, sf_dir):
     c = lambda x: F.lit(x) if isinstance(x, str) else x.cast("string")
     n, d = F.col("n_chars"), F.col("doc_id")
     text = F.concat(*map(c, (F.col("text"), " It costs $", n, " or £ 1,", F.lpad((d % 1000).cast("string"), 3, "0"), ".50, ", d % 120, " per cent, and takes ", n, " Hours or ", d % 90, " lbs.")))
-    told = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(G.quantities(text)).alias("i", "q"))
+    told = table(spark, sf_dir, "documents").select("doc_id", F.posexplode_outer(G.quantities(text)).alias("i", "q")).where("i is not null")  # outer: the filter that a plain one infers would repeat the whole expression
     return told.select("doc_id", (F.col("i") + 1).alias("at"), "q.raw", "q.value", "q.unit", "q.quantity")
 
 
