@@ -84,3 +84,14 @@ def test_merged_intervals_against_a_sweep(spark):
         got = [(r["k"], int(r["s"].timestamp()), int(r["e"].timestamp()), r["intervals"]) for r in out]
         assert len(got) == len(set(got)) and set(got) == want
     assert S.merged_intervals(df.limit(0), "k", "s", "e").count() == 0
+
+
+def test_occurrences_are_not_shuffled_and_end_with_their_count(spark):
+    rule = (1, at("2024-01-29T08:00"), "monthly", 1, None, 3, None)
+    rules = spark.createDataFrame([rule, (2, at("2024-01-01T08:00"), "daily", 1, None, 2, None)], RULE).withColumn("zone", F.lit("UTC"))
+    gone = spark.createDataFrame([(2, dt.date(2024, 1, 1))], "rule_id long, day date").hint("merge")
+    out = S.occurrences(rules, F.lit("4000-01-01").cast("timestamp"), gone, keep=("zone",))
+    got = sorted((r["rule_id"], r["n"], str(r["local"])[:10], r["zone"]) for r in out.collect())
+    assert got == [(1, 1, "2024-01-29", "UTC"), (1, 2, "2024-02-29", "UTC"), (1, 3, "2024-03-29", "UTC"), (2, 2, "2024-01-02", "UTC")]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("Join")  # joined below what makes occurrences

@@ -6,6 +6,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from verdigris.functions.passages import bound
+
 #: What clocks are put back by anywhere since 1970, in minutes.
 SET_BACK = (30, 60, 120)
 
@@ -13,15 +15,18 @@ SET_BACK = (30, 60, 120)
 def to_utc(local: Column, zone: Column, later: bool = False) -> Column:
     """(utc, state) of a wall time. ``plain``: it occurs once. ``gap``: clocks skip it; it's read with the offset before the change. ``twice``: clocks
     are put back over it; the earlier moment, or the later one if asked for. Null for a null wall time or zone."""
-    first = F.to_utc_timestamp(local, zone)
-    again = F.lit(None).cast("timestamp")
-    for minutes in SET_BACK:
-        then = first + F.expr(f"interval '{minutes}' minute")
-        again = F.coalesce(again, F.when(F.from_utc_timestamp(then, zone) == local, then))
-    skipped = F.from_utc_timestamp(first, zone) != local
-    state = F.when(skipped, "gap").when(again.isNotNull(), "twice").otherwise("plain")
-    moment = F.when(skipped, first).otherwise(F.coalesce(again, first)) if later else first
-    return F.when(first.isNotNull(), F.struct(moment.alias("utc"), state.alias("state")))
+    # a zone that differs by row is looked up anew at each conversion, so one is made where it will do: clocks change no two times within SET_BACK's most
+    after = lambda moment, minutes: moment + F.expr(f"interval '{minutes}' minute")
+    wall = lambda moment: F.from_utc_timestamp(moment, zone)
+
+    def told(first: Column) -> Column:
+        again = F.coalesce(*[F.when(wall(after(first, m)) == local, after(first, m)) for m in SET_BACK])
+        again = F.when(wall(after(first, max(SET_BACK))) != after(local, max(SET_BACK)), again)
+        one = lambda moment, state: F.struct(moment.alias("utc"), F.lit(state).alias("state"))
+        back = bound(again, lambda x: F.when(x.isNull(), one(first, "plain")).otherwise(one(x if later else first, "twice")))
+        return F.when(first.isNotNull(), F.when(wall(first) != local, one(first, "gap")).otherwise(back))
+
+    return bound(F.to_utc_timestamp(local, zone), told)
 
 
 def cut_off(received: Column, day: Column, minute: Column, zone: Column) -> tuple[Column, Column]:
@@ -32,44 +37,51 @@ def cut_off(received: Column, day: Column, minute: Column, zone: Column) -> tupl
     return received <= closes, closes.cast("double") - received.cast("double")
 
 
-def occurrences(rules: DataFrame, last: Column, exceptions: DataFrame | None = None, clamp: bool = False) -> DataFrame:
-    """(rule_id, n, local): when rules recur, numbered from 1 by time.
+def occurrences(rules: DataFrame, last: Column, exceptions: DataFrame | None = None, clamp: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(rule_id, *keep, n, local): when rules recur, numbered from 1 by time; ``keep`` names further columns of the rules.
 
     ``rules``: rule_id, start (wall time), freq (daily, weekly, monthly or yearly), every, weekdays (an array from 0, Monday; null: the
     start's own), count, until (both may be null). Nothing recurs after ``last``. A month without the start's day is passed over, or
     gives its last day with ``clamp``. As in calendars, an exception (rule_id, day) takes an occurrence out but not its number, so that it uses up
     ``count``. A rule with another frequency, without a start or with ``every`` below 1 has none. Repeated rules recur each.
 
-    A rule's times are one array worked out on its own row, so nothing is shuffled; exceptions are joined to what they meet."""
+    A rule's times are one array worked out on its own row, of no more than ``count`` steps where each step gives a time, so nothing is shuffled; a
+    rule's exceptions are one array of days, joined to the rule, so that occurrences aren't shuffled either."""
+    rules = rules.where("start is not null and every >= 1 and freq in ('daily', 'weekly', 'monthly', 'yearly')")
     day, end = F.to_date("start"), F.least(last, F.coalesce("until", last))
     month, step = F.trunc(day, "month"), F.col("every").cast("int")
     monday = F.date_sub(day, F.weekday(day))
     months = F.when(F.col("freq") == "yearly", step * 12).otherwise(step)
 
-    def upto(span: Column, by: Column) -> Column:
-        """0, 1, ... as long as so many times ``by`` lie within the span."""
-        return F.when(span >= 0, F.sequence(F.lit(0), F.floor(span / by).cast("int"))).otherwise(F.array().cast("array<int>"))
+    def upto(span: Column, by: Column, sure: Column = F.lit(False)) -> Column:
+        """0, 1, ... as long as so many times ``by`` lie within the span; up to ``count`` where each is ``sure`` to give a time."""
+        most = F.when(sure, F.greatest("count", F.lit(1)).cast("int") - 1)  # the least of what isn't null
+        return F.when(span >= 0, F.sequence(F.lit(0), F.least(F.floor(span / by).cast("int"), F.when(F.col("count").isNotNull(), most)))).otherwise(F.array().cast("array<int>"))
 
     def in_month(k: Column) -> Column:
-        begin = F.add_months(month, k * months)
-        own = F.date_add(begin, F.dayofmonth(day) - 1)
-        return F.when(F.trunc(own, "month") == begin, own).otherwise(F.last_day(begin) if clamp else F.lit(None).cast("date"))
+        # of the last day's month: the start's day, or the last one if the month is shorter
+        own = F.add_months(day, k * months)
+        return own if clamp else F.when(F.dayofmonth(own) == F.dayofmonth(day), own)
 
     named = F.coalesce(F.array_sort(F.array_distinct(F.filter("weekdays", lambda d: d.between(0, 6)))), F.array(F.weekday(day)))
-    daily = F.transform(upto(F.datediff(end, day), step), lambda k: F.date_add(day, k * step))
-    weekly = F.flatten(F.transform(upto(F.datediff(end, monday), step * 7), lambda k: F.transform(named, lambda d: F.date_add(monday, k * step * 7 + d.cast("int")))))
-    monthly = F.transform(upto((F.year(end) - F.year(month)) * 12 + F.month(end) - F.month(month), months), in_month)
+    daily = F.transform(upto(F.datediff(end, day), step, F.lit(True)), lambda k: F.date_add(day, k * step))
+    weekly = F.flatten(F.transform(upto(F.datediff(end, monday), step * 7), lambda k: F.transform("__named", lambda d: F.date_add(monday, k * step * 7 + d.cast("int")))))
+    monthly = F.transform(upto((F.year(end) - F.year(month)) * 12 + F.month(end) - F.month(month), months, F.lit(True) if clamp else F.dayofmonth(day) <= 28), in_month)
     days = F.when(F.col("freq") == "daily", daily).when(F.col("freq") == "weekly", weekly).when(F.col("freq").isin("monthly", "yearly"), monthly)
     clock = F.col("start").cast("timestamp") - day.cast("timestamp")
-    times = F.transform(F.filter(days, lambda d: d >= day), lambda d: d.cast("timestamp") + clock)
-    times = F.filter(times, lambda t: (t >= F.col("start")) & (t <= end))
-    limited = F.when(F.col("count").isNull(), times).otherwise(F.slice(times, F.lit(1), F.greatest(F.col("count"), F.lit(0))))
-    out = rules.where("start is not null and every >= 1").select("rule_id", F.posexplode_outer(limited).alias("n", "local")).where("local is not null")
-    out = out.select("rule_id", (F.col("n") + 1).alias("n"), "local")
-    if exceptions is None:
-        return out
-    gone = exceptions.select(F.col("rule_id").alias("__r"), F.col("day").cast("date").alias("__d"))
-    return out.join(gone, (F.col("rule_id") == F.col("__r")) & (F.to_date("local") == F.col("__d")), "left_anti")
+    gone: list[str] = []
+    if exceptions is not None:
+        out_days = exceptions.where("rule_id is not null and day is not null").groupBy(F.col("rule_id").alias("__r")).agg(F.collect_set(F.col("day").cast("date")).alias("__gone"))
+        rules, gone = rules.join(out_days, F.col("rule_id") == F.col("__r"), "left"), ["__gone"]
+    # projections of their own: an expression that is used several times, or in a lambda, is worked out once
+    held = ["rule_id", *keep, *gone]
+    own = rules.withColumn("__named", named).select(*held, "start", "count", end.alias("__end"), clock.alias("__clock"), days.alias("__days"))
+    timed = own.select(*held, "count", F.filter(F.transform("__days", lambda d: d.cast("timestamp") + F.col("__clock")), lambda t: (t >= F.col("start")) & (t <= F.col("__end"))).alias("__times"))
+    limited = F.when(F.col("count").isNull(), F.col("__times")).otherwise(F.slice("__times", F.lit(1), F.greatest(F.col("count"), F.lit(0))))
+    out = timed.select(*held, F.posexplode_outer(limited).alias("n", "local")).where("local is not null")
+    if gone:
+        out = out.where(~F.coalesce(F.array_contains("__gone", F.to_date("local")), F.lit(False)))
+    return out.select("rule_id", *keep, (F.col("n") + 1).alias("n"), "local")
 
 
 def merged_intervals(df: DataFrame, key: str, start: str, end: str, bucket_seconds: int = 86_400) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from verdigris.operators import schedules as S
 from verdigris.plans.registry import query, table
+from verdigris.storage import spread
 
 ZONES = ["America/New_York", "Europe/Berlin", "Asia/Kolkata", "Australia/Sydney"]
 #: Events moved over the year, so that clocks change on some days, with a zone.
@@ -42,7 +43,7 @@ def recurring_occurrences(spark, sf_dir):
         F.when(kind == 1, F.timestamp_add("DAY", F.lit(60), F.col("start"))).alias("until"),
     )
     out_days = rules.where("rule_id % 5 = 0").select("rule_id", F.explode(F.array(*[F.date_add(F.to_date("start"), n) for n in (3, 7)])).alias("day"))
-    found = S.occurrences(rules, F.lit("2028-12-31").cast("timestamp"), out_days).join(rules.select("rule_id", "zone"), "rule_id")
+    found = S.occurrences(spread(rules), F.lit("2028-12-31").cast("timestamp"), out_days, keep=("zone",))
     return found.select("rule_id", "n", "local", S.to_utc(F.col("local"), F.col("zone")).alias("at")).select("rule_id", "n", "local", "at.*")
 
 
