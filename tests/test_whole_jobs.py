@@ -131,3 +131,19 @@ def test_keys_of_codes_are_not_broadcast(spark):
     found = similarity.hamming_pairs(codes.unionAll(codes.where("id % 100 = 7").select(F.col("id") + 10_000, F.col("c").bitwiseXOR(F.lit(5)))), "id", "c", 6)
     assert found.where("b = a + 10000 and distance = 2").count() == 20
     assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_leakage_of_common_passages(spark):
+    """Rows of both sides that share a passage in their lesser half, a template line of fewer words than an n-gram, copies, and an id on both sides."""
+    own = lambda i, k: " ".join(f"{c}{i}" for c in "abcdefghijklmnopqrstuvwxyz"[:k])
+    shared = " ".join(f"p{i}" for i in range(14))
+    data = [(i, f"{own(i, 26)} {shared}\none two three four five six") for i in range(300)] + [(1000, own(5, 26) + " x"), (1001, own(7, 26)), (1002, own(7, 26))]
+    df = spark.createDataFrame(data, "doc_id long, text string").withColumn("f", F.lit(None).cast("string"))
+    held = df.where("doc_id % 2 = 0 and doc_id < 400").unionAll(df.where("doc_id in (1001, 1000)"))
+    train = df.where("doc_id % 2 = 1 and doc_id < 400").unionAll(df.where("doc_id in (1002, 1000)"))
+    found = similarity.leakage(train, held, "f", id="doc_id", text="text")
+    want = [(5, 1000, "near_dup"), (7, 1001, "near_dup"), (1000, 1000, "field"), (1000, 1000, "near_dup"), (1000, 1000, "same_id"), (1000, 1000, "state"), (1002, 1001, "field"), (1002, 1001, "near_dup"), (1002, 1001, "state")]
+    assert sorted(tuple(r) for r in found.collect()) == want
+    # 150 x 150 pairs share the passage and the template; none is made
+    links = similarity.benchmark_links(train, held.withColumnsRenamed({"doc_id": "i", "text": "t"}), id="doc_id", text="text", bench_id="i", bench_text="t", weak=False)
+    assert links.count() == 4  # lines and whole texts of copies, and of the id on both sides
