@@ -106,3 +106,12 @@ def test_texts_that_are_no_objects(spark):
     rows = [(None,), ("",), ("{bad",), ("[1]",), ("7",), ("{}",), ('{"questions": 3}',), ('{"questions": null}',), ('{"questions": [null, 1]}',)]
     got = spark.createDataFrame(rows, "t string").select(F.size(lenient.questions(F.col("t"))).alias("n"), lenient.questions(F.col("t")).isNull().alias("none")).collect()
     assert [r["none"] for r in got] == [True] * 5 + [False] * 4 and [r["n"] for r in got[5:]] == [0] * 4
+
+
+def test_names_of_options_are_each_looked_up_once(spark):
+    """What is looked up is bound: each name of an option's text and description stands in the plan once."""
+    df = spark.createDataFrame([('{"questions": [{"options": [{"label": "x", "meaning": ""}]}]}',)], "t string")
+    found = df.select(lenient.questions(F.col("t")).alias("q"))
+    assert found.first()["q"][0]["options"] == [("x", "x")]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("$.desc,") == 1 and plan.count("$.option,") <= 2  # a text of options, and one of an intended choice

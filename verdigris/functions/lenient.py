@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from verdigris.functions.passages import bound
+
 #: How long texts may be, and what stands for a missing description or justification.
 TEXT, DESCRIPTION, JUSTIFICATION = 120, 400, 800
 NO_DESCRIPTION, NO_JUSTIFICATION = "option", "see document"
@@ -39,12 +41,12 @@ def member(value: Column, name: str) -> Column:
 
 
 def as_text(value: Column) -> Column:
-    return F.when(kind(value) != "VOID", value.try_cast("string"))
+    return F.when(~F.is_variant_null(value), value.try_cast("string"))
 
 
 def first_said(value: Column, names: list[str]) -> Column:
     """As text, the first member of these names that says something."""
-    return F.coalesce(*[F.when(~F.to_json(member(value, n)).isin("null", '""', "0", "0.0", "false", "[]", "{}"), as_text(member(value, n))) for n in names])
+    return F.coalesce(*[bound(member(value, n), lambda m: F.when(~F.to_json(m).isin("null", '""', "0", "0.0", "false", "[]", "{}"), as_text(m))) for n in names])
 
 
 def _or(text: Column, other: Column) -> Column:
@@ -57,10 +59,14 @@ def _option(text: Column, description: Column) -> Column:
 
 def option(value: Column) -> Column:
     """One option: a string is its own description, other values their text, objects by the names they use."""
-    plain, said = as_text(value), F.coalesce(first_said(value, OPTION_TEXT), F.lit(""))
-    described = strip(F.coalesce(first_said(value, OPTION_DESCRIPTION), said)).substr(1, DESCRIPTION)
+    plain = as_text(value)
+
+    def named(said: Column) -> Column:
+        described = bound(strip(F.coalesce(first_said(value, OPTION_DESCRIPTION), said)).substr(1, DESCRIPTION), lambda d: _or(d, said))
+        return _option(strip(said).substr(1, TEXT), described)
+
     return (
-        F.when(kind(value) == "OBJECT", _option(strip(said).substr(1, TEXT), _or(described, said)))
+        F.when(kind(value) == "OBJECT", bound(F.coalesce(first_said(value, OPTION_TEXT), F.lit("")), named))
         .when(kind(value) == "STRING", _option(strip(plain).substr(1, TEXT), _or(strip(plain).substr(1, DESCRIPTION), F.lit(NO_DESCRIPTION))))
         .otherwise(_option(F.coalesce(plain, F.lit("null")).substr(1, TEXT), F.coalesce(plain, F.lit("null")).substr(1, DESCRIPTION)))
     )
@@ -122,12 +128,16 @@ def questions(text: Column) -> Column:
     """The questions of a JSON text {"questions": [...]}, each with type, question, options, levels, intended, justification.
 
     Null where the text is no JSON or no object; no questions where it has none or they are no list; questions that are no objects are left out."""
-    whole = F.try_parse_json(text)
+    # each part is bound, as an expression within a lambda is worked out anew wherever it is written
+    return bound(F.try_parse_json(text), _questions)
+
+
+def _questions(whole: Column) -> Column:
     listed = F.coalesce(F.try_variant_get(whole, "$.questions", "array<variant>"), F.array().cast("array<variant>"))
     shaped = F.transform(
         F.filter(listed, lambda q: kind(q) == "OBJECT"),
         lambda q: F.struct(
-            as_text(member(q, "type")).alias("type"), as_text(member(q, "question")).alias("question"), options(member(q, "options")).alias("options"), levels(member(q, "levels")).alias("levels"),
+            as_text(member(q, "type")).alias("type"), as_text(member(q, "question")).alias("question"), bound(member(q, "options"), options).alias("options"), bound(member(q, "levels"), levels).alias("levels"),
             intended(q).alias("intended"), justification(q).alias("justification"),
         ),
     )

@@ -9,6 +9,7 @@ from verdigris.functions.hashing import stable_order
 from verdigris.operators import assembly, distractors, records, validation
 from verdigris.plans.evaluation_queries import ABC, predictions, preds_sql
 from verdigris.plans.registry import query, table
+from verdigris.storage import spread
 
 
 @query(
@@ -323,7 +324,7 @@ select p_partkey, case k when 1 then 'noul' when 2 then 'choice' else 'score' en
 
 @query(LENIENT_SQL)
 def lenient_shapes(spark, sf_dir):
-    part = table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("n"), F.col("p_brand").alias("b"), F.col("p_size").cast("string").alias("z"))
+    part = spread(table(spark, sf_dir, "part")).select("p_partkey", F.col("p_name").alias("n"), F.col("p_brand").alias("b"), F.col("p_size").cast("string").alias("z"))
     shapes = [
         '{"type": "score", "options": ["{n}", " {b} "], "levels": [1, "{z}", true, null], "intended": " {z} "}',
         '{"type": "noul", "options": {"b": "{b}", "a": "{n}"}, "levels": {"7": "high", "3": "low"}, "intended": "Yes", "justification": ["{b}", 2]}',
