@@ -147,3 +147,30 @@ def test_leakage_of_common_passages(spark):
     # 150 x 150 pairs share the passage and the template; none is made
     links = similarity.benchmark_links(train, held.withColumnsRenamed({"doc_id": "i", "text": "t"}), id="doc_id", text="text", bench_id="i", bench_text="t", weak=False)
     assert links.count() == 4  # lines and whole texts of copies, and of the id on both sides
+
+
+def test_earlier_duplicates_meet_the_first_holders_only(spark, monkeypatch):
+    """Windows of one passage, so that its n-grams have all different holders: most pairs of records share some, few are looked at."""
+    import random
+
+    rng = random.Random(4)
+    passage = [f"p{i}" for i in range(120)]
+    data = []
+    for i in range(300):
+        at, long = rng.randrange(100), rng.randrange(9, 40)
+        data.append((i, " ".join([f"a{i}", *passage[at : at + long], f"b{i}"])))
+    grams = {i: {tuple(t.split()[k : k + 8]) for k in range(len(t.split()) - 7)} for i, t in data}
+    want = {i: next(((j, n) for j in range(i) if (n := len(grams[i] & grams[j])) >= 5), None) for i in grams}
+    met, common = [], similarity._common
+    monkeypatch.setattr(similarity, "_common", lambda pairs, bundles: met.append(pairs.count()) or common(pairs, bundles))
+    got = {r["doc_id"]: (r["earlier"], r["shared"]) for r in similarity.earlier_duplicates(spark.createDataFrame(data, "doc_id long, text string"), id="doc_id", text="text").collect()}
+    assert got == {i: e for i, e in want.items() if e}
+    assert sum(bool(grams[i] & grams[j]) for i in grams for j in range(i)) > 13_000 and sum(met) < 5_000
+
+
+def test_hashed_ngrams_are_as_many_as_ngrams(spark):
+    from verdigris.functions.text import hashed_ngrams, ngrams
+
+    rows = spark.createDataFrame([("a b a b a b a c a b a b a b a b d a b c d e f g h i j k l m n",), ("a b c",), ("",)], "t string").select(F.filter(F.split("t", " "), lambda w: w != "").alias("w"))
+    told = rows.select(*[F.struct(F.size(hashed_ngrams(F.col("w"), n)).alias("h"), F.size(ngrams(F.col("w"), n)).alias("g")) for n in (1, 2, 3, 5, 8, 13)]).collect()
+    assert all(x["h"] == x["g"] for r in told for x in r)
