@@ -174,3 +174,28 @@ def test_hashed_ngrams_are_as_many_as_ngrams(spark):
     rows = spark.createDataFrame([("a b a b a b a c a b a b a b a b d a b c d e f g h i j k l m n",), ("a b c",), ("",)], "t string").select(F.filter(F.split("t", " "), lambda w: w != "").alias("w"))
     told = rows.select(*[F.struct(F.size(hashed_ngrams(F.col("w"), n)).alias("h"), F.size(ngrams(F.col("w"), n)).alias("g")) for n in (1, 2, 3, 5, 8, 13)]).collect()
     assert all(x["h"] == x["g"] for r in told for x in r)
+
+
+@pytest.mark.parametrize("job", ["pairs", "survivors"])
+def test_near_duplicates_write_what_is_shared_only(spark, monkeypatch, job):
+    """Twenty texts of 300 words of their own, two of which share most: no table on the way holds a set of n-grams, or a row for each."""
+    import re
+
+    data = [(i, " ".join(f"w{i}x{k}" for k in range(300)), f"s{i % 2}", i) for i in range(20)]
+    data.append((20, re.sub("w0x299", "other", data[0][1]), "s1", 20))
+    df, written, write = spark.createDataFrame(data, "doc_id long, text string, source string, score int"), [], similarity.materialise
+
+    def told(table, tag):
+        out = write(table, tag)
+        written.append((tag, out.count(), [c for c, kind in out.dtypes if kind.startswith("array")]))
+        return out
+
+    monkeypatch.setattr(similarity, "materialise", told)
+    names = {"id": "doc_id", "text": "text", "source": "source"}
+    if job == "pairs":
+        found = [(r["a"], r["b"], r["shared"], r["links"]) for r in similarity.near_duplicate_pairs(df, **names)[0].collect()]
+        assert found == [(0, 20, 287, 1)]
+    else:
+        kept = similarity.near_duplicate_survivors(df, **names, score=F.col("score"))
+        assert sorted(r["doc_id"] for r in kept.collect()) == list(range(1, 21))
+    assert written and all(rows <= len(data) and not arrays for _, rows, arrays in written)
