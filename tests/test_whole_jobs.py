@@ -199,3 +199,12 @@ def test_near_duplicates_write_what_is_shared_only(spark, monkeypatch, job):
         kept = similarity.near_duplicate_survivors(df, **names, score=F.col("score"))
         assert sorted(r["doc_id"] for r in kept.collect()) == list(range(1, 21))
     assert written and all(rows <= len(data) and not arrays for _, rows, arrays in written)
+
+
+def test_contamination_cuts_records_once(spark):
+    """Also where n-grams of both kinds have one length: they don't count double."""
+    docs = spark.createDataFrame([(1, "x a b c d e f g h i y", "t"), (2, "a b c d e f g h", "t"), (3, "one two three\nother", "t"), (4, None, "t")], "doc_id long, text string, task string")
+    items = spark.createDataFrame([(7, "a b c d e f g h i\none two three"), (8, "z a b c d e f g h")], "item_id long, text string")
+    told = similarity.contamination(docs, items, ["task"], 8, 8, id="doc_id", text="text", bench_id="item_id", bench_text="text")
+    assert told._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
+    assert told.first().asDict() == {"task": "t", "records": 4, "any_gram": 2, "near_dup": 1, "two_8grams": 1, "exact": 0, "short_line": 1}
